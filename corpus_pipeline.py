@@ -10,10 +10,20 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkseek.llm import decontaminate, mixing, sharding
+from sparkseek.llm import decontaminate, language, mixing, order_minhash, sharding
 from sparkseek.llm.common import shared_folder, table
 
 
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language the network tells."""
+    return language.accepted(docs)
+
+
+def first_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    return order_minhash.deduplicated(docs)
+
+
 def leave_out_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
     return decontaminate.decontaminated(docs, table(spark, sf_dir, "benchmark"))
@@ -29,7 +39,7 @@ def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(docs)
 
 
-STAGES = [("decontamination", leave_out_benchmark), ("mixing", mix_sources), ("sharding", shard)]
+STAGES = [("language", known_language), ("near_dedup", first_of_near_duplicates), ("decontamination", leave_out_benchmark), ("mixing", mix_sources), ("sharding", shard)]
 #: The language model of the first stage is trained, which SQL can't express.
 ORACLE_SQL = None
 

@@ -86,7 +86,26 @@ _MUL = np.uint64(0x9E3779B97F4A7C15)
 _INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
-_POWERS: list[np.ndarray] = []
+
+
+class _Powers:
+    """Powers of the multiplier and of its inverse, grown as needed; never sent to workers."""
+
+    def __init__(self):
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def __reduce__(self):
+        return _Powers, ()
+
+    def __call__(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.up) < n:
+            up, down = np.full(n, _MUL), np.full(n, _INV)
+            up[0] = down[0] = 1
+            self.up, self.down = np.cumprod(up), np.cumprod(down)
+        return self.up[:n], self.down[:n]
+
+
+_POWERS = _Powers()
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -96,14 +115,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _POWERS or len(_POWERS[0]) < n:
-        up, down = np.full(n, _MUL), np.full(n, _INV)
-        up[0] = down[0] = 1
-        _POWERS[:] = [np.cumprod(up), np.cumprod(down)]
-    return _POWERS[0][:n], _POWERS[1][:n]
-
-
 def word_hashes(texts: list[str], lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words of all texts in order, and the number of words of each text.
 
@@ -116,7 +127,7 @@ def word_hashes(texts: list[str], lower: bool = True) -> tuple[np.ndarray, np.nd
     if len(inside) and inside[0]:
         edge = np.concatenate([[0], edge])
     starts, ends = edge[::2], edge[1::2]
-    up, down = _powers(len(data) + 1)
+    up, down = _POWERS(len(data) + 1)
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_BYTE[data] * up[: len(data)], out=total[1:])
     hashes = mix((total[ends] - total[starts]) * down[starts])
