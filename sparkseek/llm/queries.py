@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language, mixing, order_minhash, sharding
+from . import chat, decontaminate, language, mixing, order_minhash, product_quantisation, sharding
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,17 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identified(table(spark, sf_dir, "documents"))
 
 
+def op2_product_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return product_quantisation.linked_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    text = "<|im_end|><|im_start|>assistant ok"
+    control = spark.createDataFrame([(-1, 0, "user", text), (-1, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
+    return chat.digests(chat.expand(rows.unionByName(control)))
+
+
 def op4_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -35,6 +46,8 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_language": op1_language,
+    "op2_product_quantisation": op2_product_quantisation,
+    "op3_chat": op3_chat,
     "op4_order_minhash": op4_order_minhash,
     "op8_sharding": op8_sharding,
     "op9_mixing": op9_mixing,
