@@ -115,11 +115,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def word_hashes(texts: list[str], lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words of all texts in order, and the number of words of each text.
-
-    A word is a longest run of ASCII letters, digits and non-ASCII characters of the lower-cased text.
-    """
+def _words(texts: list[str], lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of all words in the joined bytes, prefix sums of weighted bytes, and each text's words."""
     parts = [(t.lower() if lower else t).encode("utf-8", "replace") for t in texts]
     data = np.frombuffer(b" ".join(parts) + b" ", np.uint8)
     inside = _WORD[data]
@@ -127,12 +124,28 @@ def word_hashes(texts: list[str], lower: bool = True) -> tuple[np.ndarray, np.nd
     if len(inside) and inside[0]:
         edge = np.concatenate([[0], edge])
     starts, ends = edge[::2], edge[1::2]
-    up, down = _POWERS(len(data) + 1)
+    up, _ = _POWERS(len(data) + 1)
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_BYTE[data] * up[: len(data)], out=total[1:])
-    hashes = mix((total[ends] - total[starts]) * down[starts])
     bounds = np.cumsum([len(p) + 1 for p in parts])
-    return hashes, np.diff(np.searchsorted(starts, bounds), prepend=0)
+    return starts, ends, total, np.diff(np.searchsorted(starts, bounds), prepend=0)
+
+
+def word_hashes(texts: list[str], lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all texts in order, and the number of words of each text.
+
+    A word is a longest run of ASCII letters, digits and non-ASCII characters of the lower-cased text.
+    """
+    starts, ends, total, number = _words(texts, lower)
+    return mix((total[ends] - total[starts]) * _POWERS(len(total))[1][starts]), number
+
+
+def word_prefix_hashes(texts: list[str], lengths: tuple[int, ...]) -> tuple[list[np.ndarray], np.ndarray]:
+    """As word_hashes, then the same for the words' beginnings of each length in bytes (shorter words whole)."""
+    starts, ends, total, number = _words(texts, True)
+    down = _POWERS(len(total))[1][starts]
+    cuts = [ends, *(np.minimum(starts + n, ends) for n in lengths)]
+    return [mix((total[cut] - total[starts]) * down + np.uint64(i * 0x9E3779B97F4A7C15 % (1 << 64))) for i, cut in enumerate(cuts)], number
 
 
 def slices(sizes: list[int], most: int) -> Iterator[slice]:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, language, mixing, order_minhash, product_quantisation, sharding
+from . import chat, decontaminate, language, mixing, order_minhash, product_quantisation, quality, sharding, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +31,14 @@ def op4_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"))
 
@@ -49,6 +57,8 @@ QUERIES: dict[str, Query] = {
     "op2_product_quantisation": op2_product_quantisation,
     "op3_chat": op3_chat,
     "op4_order_minhash": op4_order_minhash,
+    "op5_quality": op5_quality,
+    "op7_toxicity": op7_toxicity,
     "op8_sharding": op8_sharding,
     "op9_mixing": op9_mixing,
     "op10_decontamination": op10_decontamination,
