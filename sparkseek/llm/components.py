@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import drop_table, durable
 
 ROUNDS = 60
 
@@ -39,11 +39,11 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     Each partition first keeps a spanning forest of its edges, so a dense group costs its nodes, not its
     pairs. Then each round hangs larger neighbours on a node's smallest one (large star) and smaller ones
     likewise (small star) until all edges are stars. A hub's edges meet its minimum in an equi-join whose
-    large partitions can be split. Every round ends in a checkpoint.
+    large partitions can be split. Every round ends in a written table.
     """
     e = edges.select(F.greatest(a, b).alias("_a"), F.least(a, b).alias("_b")).filter(F.col("_a") != F.col("_b"))
     e = durable(e.mapInPandas(_forest, "_a long, _b long").distinct())
-    state = None
+    state, last = None, e
     for _ in range(ROUNDS):
         sides = e.unionByName(e.select(F.col("_b").alias("_a"), F.col("_a").alias("_b")))
         least = sides.groupBy("_a").agg(F.least(F.min("_b"), F.col("_a")).alias("_m"))
@@ -51,7 +51,9 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         least = e.groupBy("_a").agg(F.min("_b").alias("_m"))
         e = e.join(least, "_a")
         e = e.select(F.explode(F.array(F.struct(F.col("_a").alias("x"), F.col("_m").alias("y")), F.struct(F.col("_b").alias("x"), F.col("_m").alias("y")))).alias("e"))
-        e = durable(e.select(F.col("e.x").alias("_a"), F.col("e.y").alias("_b")).filter(F.col("_a") != F.col("_b")).distinct())
+        old, e = last, durable(e.select(F.col("e.x").alias("_a"), F.col("e.y").alias("_b")).filter(F.col("_a") != F.col("_b")).distinct())
+        drop_table(old)
+        last = e
         now = e.agg(F.count("*"), F.sum(F.xxhash64("_a", "_b").cast("decimal(20,0)"))).first()
         if now == state:
             break

@@ -8,14 +8,15 @@ five shingles, so such pairs share about two thirds of their distinct shingles o
 Search. Shingles are labelled with their occurrence number. For each of SKETCHES hash functions the LENGTH
 smallest labelled shingles are kept in the order in which they stand in the text; equal sketches make a pair
 likely in proportion to a power of the edit similarity. At the threshold a pair shares none of the sketches
-with a probability of about 1e-5. The smallest hash of each function also gives a signature of 16-bit values;
-candidates below ALIKE equal values of SKETCHES (lost at the threshold: 1e-4) are not aligned.
+with a probability of about 1e-5. Texts that share a sketch also get a signature, the smallest hash of each of
+BINS bins of their labelled shingles; pairs whose estimated share of labelled shingles is below ALIKE are not
+aligned (at the threshold the share is two thirds, four standard deviations above).
 
 Groups. Equal word sequences are one class first, so copies cost one count. Within a bucket of equal
 sketches every class is aligned with one leader, twice (the smallest id, then one by hash), which is linear in
-the bucket. Only buckets that still hold more than one component are compared pair by pair, in blocks of
-bounded size, leaving out pairs of one component: no link between components is lost, and no group is expanded
-into its pairs.
+the bucket. Only buckets that still hold more than one component are then searched for links between their
+components, in blocks of bounded size. A block gives a forest of such links, not its pairs: no link between
+components is lost, and no group is expanded.
 
 Edge cases: null texts stand alone; texts without words are copies of equal texts only; repeated rows of an
 id stay, with one result each; rows of one id with different texts link these texts; null ids stand by a hash
@@ -37,9 +38,11 @@ from .components import components
 
 WORDS, LEAST = 5, 0.8
 SKETCHES, LENGTH = 32, 3
-ALIKE = 11
+#: Bins of a signature and the estimated share from which pairs are aligned; FEW bins are compared first.
+BINS, ALIKE = 256, 0.55
+FEW, ROUGHLY = 64, 0.42
 #: Rows of a bucket that meet in one task: at most two blocks.
-ROWS = 2048
+ROWS = 1024
 #: Characters of text that are hashed at once.
 CHARS = 1 << 18
 
@@ -66,25 +69,30 @@ def shingle_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return mix(sums[at]), number
 
 
-def sketches(hashes: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order MinHash sketches (documents x SKETCHES) and 16-bit signatures; all documents have a shingle."""
-    docs = len(number)
-    ends = np.cumsum(number)
-    starts = ends - number
-    owner = np.repeat(np.arange(docs), number)
+def occurrences(hashes: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """The hashes, mixed with their occurrence number where a text repeats a shingle."""
     tagged = hashes ^ mix(owner.astype(np.uint64) + np.uint64(1))
     order = np.argsort(tagged, kind="stable")
     run = tagged[order]
     fresh = np.ones(len(run), bool)
     fresh[1:] = run[1:] != run[:-1]
-    if not fresh.all():
-        first = np.flatnonzero(fresh)
-        again = np.arange(len(run)) - np.repeat(first, np.diff(np.append(first, len(run))))
-        occurrence = np.empty(len(run), np.uint64)
-        occurrence[order] = again.astype(np.uint64)
-        hashes = np.where(occurrence > 0, mix(hashes + occurrence * _GOLD), hashes)
+    if fresh.all():
+        return hashes
+    first = np.flatnonzero(fresh)
+    again = np.arange(len(run)) - np.repeat(first, np.diff(np.append(first, len(run))))
+    occurrence = np.empty(len(run), np.uint64)
+    occurrence[order] = again.astype(np.uint64)
+    return np.where(occurrence > 0, mix(hashes + occurrence * _GOLD), hashes)
+
+
+def sketches(hashes: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """Order MinHash sketches (documents x SKETCHES); all documents have a shingle."""
+    docs = len(number)
+    ends = np.cumsum(number)
+    starts = ends - number
+    owner = np.repeat(np.arange(docs), number)
+    hashes = occurrences(hashes, owner)
     out = np.zeros((docs, SKETCHES), np.uint64)
-    signature = np.zeros((docs, SKETCHES), np.uint16)
     for j, (factor, shift) in enumerate(_SEEDS):
         values = hashes * factor + shift
         values ^= values >> np.uint64(29)
@@ -95,17 +103,29 @@ def sketches(hashes: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.nda
             place = places[n]
             place[owner[hit[::-1]]] = hit[::-1]
             values[place] = _LAST
-        signature[:, j] = (mix(least[0]) >> np.uint64(48)).astype(np.uint16)
         spare = np.arange(LENGTH)[:, None] >= number[None, :]
         places[spare] = np.iinfo(np.int64).max
         least[spare] = 0
-        by_place = np.argsort(places, axis=0, kind="stable")
-        kept = np.take_along_axis(least, by_place, axis=0)
-        total = np.full(docs, np.uint64(((j + 1) * int(_GOLD)) % (1 << 64)))
+        kept = np.take_along_axis(least, np.argsort(places, axis=0, kind="stable"), axis=0)
+        total = np.full(docs, np.uint64((j + 1) * int(_GOLD) % (1 << 64)))
         for n in range(LENGTH):
             total = mix(total ^ kept[n]) * _GOLD
         out[:, j] = total
-    return out, signature
+    return out
+
+
+def signatures(hashes: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """documents x BINS bytes: of each bin's smallest labelled hash, 0 for an empty bin."""
+    owner = np.repeat(np.arange(len(number)), number)
+    values = mix(occurrences(hashes, owner) + _GOLD)
+    least = np.full(len(number) * BINS, _LAST)
+    np.minimum.at(least, owner * BINS + (values >> np.uint64(56)).astype(np.int64), values)
+    return np.where(least == _LAST, 0, 1 + mix(least) % np.uint64(255)).astype(np.uint8).reshape(len(number), BINS)
+
+
+def share_of(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Estimated shares of common labelled shingles of rows of signatures."""
+    return ((x == y) & (x > 0)).sum(-1) / np.maximum(((x > 0) | (y > 0)).sum(-1), 1)
 
 
 def _sketched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -115,19 +135,18 @@ def _sketched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             texts = own["text"].tolist()
             hashes, number = shingle_hashes(texts)
             some = np.flatnonzero(number)
-            out = pd.DataFrame({"_doc": own["_doc"].to_numpy(), "_key": own["_raw"].to_numpy(), "_key2": np.int64(0), "_n": number.astype(np.int64), "_sk": None, "_sig": None})
+            out = pd.DataFrame({"_doc": own["_doc"].to_numpy(), "_key": own["_raw"].to_numpy(), "_key2": np.int64(0), "_n": number.astype(np.int64), "_sk": None})
             if len(some):
                 starts = (np.cumsum(number) - number)[some]
                 place = np.arange(len(hashes), dtype=np.uint64) - np.repeat(starts, number[some]).astype(np.uint64)
                 ordered = mix(hashes + mix(place + _GOLD))
                 keys = [np.add.reduceat(mix(ordered ^ np.uint64(salt)), starts).astype(np.int64) for salt in (11, 23)]
-                values, signature = sketches(hashes, number[some])
-                sk, sig = [None] * len(own), [None] * len(own)
-                for i, row, s in zip(some, values.astype(np.int64), signature, strict=True):
-                    sk[i], sig[i] = row, s.tobytes()
+                sk = [None] * len(own)
+                for i, row in zip(some, sketches(hashes, number[some]).astype(np.int64), strict=True):
+                    sk[i] = row
                 key, key2 = out["_key"].to_numpy().copy(), out["_key2"].to_numpy().copy()
                 key[some], key2[some] = keys[0], keys[1]
-                out = out.assign(_key=key, _key2=key2, _sk=sk, _sig=sig)
+                out = out.assign(_key=key, _key2=key2, _sk=sk)
             yield out
 
 
@@ -209,7 +228,8 @@ def _tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in slices([len(t) for t in batch["text"]], CHARS):
             own = batch.iloc[part]
             hashes, number = shingle_hashes(own["text"].tolist())
-            yield pd.DataFrame({"_node": own["_node"].to_numpy(), "_seq": np.split((hashes >> np.uint64(32)).astype(np.uint32).astype(np.int32), np.cumsum(number)[:-1])})
+            short = (hashes >> np.uint64(32)).astype(np.uint32).astype(np.int32)
+            yield pd.DataFrame({"_node": own["_node"].to_numpy(), "_seq": np.split(short, np.cumsum(number)[:-1]), "_sig": [s.tobytes() for s in signatures(hashes, number)]})
 
 
 def _aligned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -222,23 +242,48 @@ def _aligned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _near(a: pd.Series, b: pd.Series) -> pd.Series:
     if not len(a):
         return pd.Series([], dtype=bool)
-    x, y = (np.frombuffer(b"".join(s), np.uint16).reshape(len(s), -1) for s in (a, b))
-    return pd.Series((x == y).sum(1) >= ALIKE)
+    return pd.Series(share_of(*(np.frombuffer(b"".join(s), np.uint8).reshape(-1, BINS) for s in (a, b))) >= ALIKE)
 
 
 def _across(rows: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of a bucket's two blocks (or within its one) whose signatures are alike and components differ."""
-    rows = rows.sort_values("_node")
-    sig = np.frombuffer(b"".join(rows["_sig"]), np.uint16).reshape(len(rows), -1)
-    node, comp, side = (rows[c].to_numpy() for c in ("_node", "_comp", "_side"))
-    i, j = rows["_i"].iloc[0], rows["_j"].iloc[0]
+    """A forest of the links between components of a bucket's two blocks (or within its one).
+
+    Members of the largest component meet only the others, a pair is looked at in the first bucket that it
+    shares, likeliest partners come first, and components that a link has joined are not aligned again.
+    """
+    sig = np.frombuffer(b"".join(rows["_sig"]), np.uint8).reshape(len(rows), BINS)
+    sk = np.stack(rows["_sk"].to_list())
+    rough = np.ascontiguousarray(sig[:, :FEW])
+    node, comp, side, value = (rows[c].to_numpy() for c in ("_node", "_comp", "_side", "_value"))
+    seq, number = rows["_seq"].tolist(), np.arange(len(rows))
+    one_block = rows["_i"].iloc[0] == rows["_j"].iloc[0]
+    names, at, count = np.unique(comp, return_inverse=True, return_counts=True)
+    small_ones = at != count.argmax()
+    parent = list(range(len(names)))
+    here = (sk[0] == value[0]).argmax()
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
     found = []
-    for k in range(len(rows)):
-        if side[k] != i:
-            continue
-        hit = ((sig == sig[k]).sum(1) >= ALIKE) & (comp != comp[k]) & ((node > node[k]) if i == j else (side == j))
-        found += [(min(node[k], x), max(node[k], x)) for x in node[hit]]
-    return pd.DataFrame(found, columns=["_a", "_b"]).astype("int64").drop_duplicates()
+    for k in np.flatnonzero(small_ones):
+        # Each pair once: of two small ones the earlier row looks.
+        other = (at != at[k]) & (~small_ones | (number > k))
+        if not one_block:
+            other &= side != side[k]
+        other = np.flatnonzero(other)
+        other = other[share_of(rough[other], rough[k]) >= ROUGHLY]
+        share = share_of(sig[other], sig[k])
+        keep = (share >= ALIKE) & ((sk[other] == sk[k]).argmax(1) == here)
+        for o in other[keep][np.argsort(-share[keep], kind="stable")]:
+            x, y = root(at[k]), root(at[o])
+            if x != y and alike(seq[k], seq[o]):
+                parent[x] = y
+                found.append((node[k], node[o]))
+    return pd.DataFrame(found, columns=["_a", "_b"]).astype("int64")
 
 
 def node_id() -> Column:
@@ -251,50 +296,50 @@ def near_duplicates(docs: DataFrame, least: float = LEAST) -> DataFrame:
         raise ValueError("sketches and signatures are sized for a similarity of 0.8")
     spark = docs.sparkSession
     arrow_limits(spark)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select("doc_id", node_id().alias("_doc"), F.coalesce(F.col("text"), F.lit("")).alias("text"), F.when(F.col("text").isNull(), F.xxhash64(node_id(), F.lit("null"))).otherwise(F.xxhash64("text")).alias("_raw"))
-    rows = durable(texts.select("_doc", "text", "_raw").mapInPandas(_sketched, "_doc long, _key long, _key2 long, _n long, _sk array<long>, _sig binary"))
+    rows = durable(texts.select("_doc", "text", "_raw").mapInPandas(_sketched, "_doc long, _key long, _key2 long, _n long, _sk array<long>"))
     classes = durable(rows.groupBy("_key", "_key2").agg(F.min("_doc").alias("_node"), F.max("_n").alias("_n")))
-    # A class has one row with a sketch; rows that repeat an id may give it more than one.
-    firsts = rows.join(classes.drop("_n"), ["_key", "_key2"]).filter("_doc = _node AND _n > 0")
-    nodes = durable(firsts.groupBy("_node").agg(F.first("_sk").alias("_sk"), F.first("_sig").alias("_sig"), F.count_distinct("_key").alias("_keys")))
-    buckets = nodes.select("_node", F.posexplode("_sk").alias("_band", "_value"))
-    shared = buckets.groupBy("_band", "_value").agg(F.count("*").alias("_size"), F.min("_node").alias("_lead")).filter("_size > 1")
-    buckets = durable(buckets.join(shared, ["_band", "_value"]))
+    # A class has one row with a sketch; rows that repeat an id may give it more.
+    firsts = rows.filter("_n > 0").join(classes.drop("_n"), ["_key", "_key2"]).filter("_doc = _node").dropDuplicates(["_node"])
+    # Sketches carry their function's number, so the value alone names a bucket.
+    buckets = firsts.select("_node", F.explode("_sk").alias("_value")).repartition("_value")
+    shared = buckets.groupBy("_value").agg(F.count("*").alias("_size"), F.min("_node").alias("_lead")).filter("_size > 1")
+    buckets = durable(buckets.join(shared, "_value"))
     inside = durable(buckets.select("_node").distinct())
-    seqs = texts.filter(F.col("_doc").isNotNull()).select(F.col("_doc").alias("_node"), "text").join(small(inside), "_node", "left_semi")
-    seqs = durable(seqs.mapInPandas(_tokens, "_node long, _seq array<int>").groupBy("_node").agg(F.first("_seq").alias("_seq")))
-    sigs = nodes.select("_node", "_sig").join(small(inside), "_node", "left_semi")
+    seqs = texts.select(F.col("_doc").alias("_node"), "text").join(small(inside), "_node", "left_semi")
+    # Copies of an id are rare: one of them is kept.
+    seqs = seqs.mapInPandas(_tokens, "_node long, _seq array<int>, _sig binary")
+    # Copies of an id are rare: one of them is kept.
+    seqs = durable(seqs.join(firsts.select("_node", "_sk"), "_node").dropDuplicates(["_node"]))
 
     def linked(pairs: DataFrame) -> DataFrame:
         """The pairs that alignment verifies."""
-        one, two = (x.withColumnRenamed("_node", f"_{y}") for x, y in ((sigs, "a"), (sigs, "b")))
-        pairs = pairs.distinct().join(one.withColumnRenamed("_sig", "_ga"), "_a").join(two.withColumnRenamed("_sig", "_gb"), "_b").filter(_near("_ga", "_gb")).select("_a", "_b")
-        one, two = (seqs.withColumnsRenamed({"_node": f"_{y}", "_seq": f"_s{y}"}) for y in "ab")
-        return pairs.join(one, "_a").join(two, "_b").repartition(parts).mapInPandas(_aligned, "_a long, _b long")
+        one, two = (seqs.select(F.col("_node").alias(f"_{y}"), F.col("_sig").alias(f"_g{y}")) for y in "ab")
+        pairs = pairs.join(one, "_a").join(two, "_b").filter(_near("_ga", "_gb")).select("_a", "_b")
+        one, two = (seqs.select(F.col("_node").alias(f"_{y}"), F.col("_seq").alias(f"_s{y}")) for y in "ab")
+        return pairs.join(one, "_a").join(two, "_b").mapInPandas(_aligned, "_a long, _b long")
 
-    lead = buckets.filter("_node <> _lead").select(F.least("_node", "_lead").alias("_a"), F.greatest("_node", "_lead").alias("_b"))
+    lead = durable(buckets.filter("_node <> _lead").select(F.least("_node", "_lead").alias("_a"), F.greatest("_node", "_lead").alias("_b")).distinct())
     edges = durable(linked(lead))
-    comps = durable(components(edges, "_a", "_b"))
+    comps = components(edges, "_a", "_b")
 
     def open_buckets() -> DataFrame:
         """Members of the buckets that hold more than one component, with their components."""
-        own = buckets.select("_band", "_value", "_node").join(comps, F.col("_node") == F.col("node"), "left").withColumn("_comp", F.coalesce("component", "_node")).drop("node", "component")
-        least, most = F.min("_comp"), F.max("_comp")
-        many = own.groupBy("_band", "_value").agg(F.count("*").alias("_size"), F.max(F.struct(F.xxhash64("_node", "_band"), "_node", "_comp")).alias("_lead"), (least != most).alias("_many")).filter("_many").drop("_many")
-        return durable(own.join(many, ["_band", "_value"]))
-
-    again = open_buckets().filter("_comp <> _lead._comp").select(F.least("_node", "_lead._node").alias("_a"), F.greatest("_node", "_lead._node").alias("_b"))
-    more = durable(linked(again.join(lead.distinct(), ["_a", "_b"], "left_anti")))
-    edges = edges.unionByName(more)
-    comps = durable(components(edges, "_a", "_b"))
-    rest = open_buckets().join(sigs, "_node").drop("_lead")
+        own = buckets.select("_value", "_node").join(comps, F.col("_node") == F.col("node"), "left").withColumn("_comp", F.coalesce("component", "_node")).drop("node", "component")
+        many = own.groupBy("_value").agg(F.count("*").alias("_size"), F.max(F.struct(F.xxhash64("_node", F.lit("lead")), "_node", "_comp")).alias("_lead"), (F.min("_comp") != F.max("_comp")).alias("_many")).filter("_many").drop("_many")
+        return durable(own.join(many, "_value"))
+
+    again = open_buckets().filter("_comp <> _lead._comp").select(F.least("_node", "_lead._node").alias("_a"), F.greatest("_node", "_lead._node").alias("_b")).distinct()
+    again = durable(again.join(lead, ["_a", "_b"], "left_anti"))
+    edges = durable(edges.unionByName(linked(again)))
+    comps = components(edges, "_a", "_b")
     blocks = F.ceil(F.col("_size") / ROWS).cast("int")
-    rest = rest.withColumn("_side", F.pmod(F.xxhash64("_node", F.lit("block")), blocks).cast("int"))
+    rest = open_buckets().drop("_lead").withColumn("_side", F.pmod(F.xxhash64("_node", F.lit("block")), blocks).cast("int"))
     rest = rest.withColumn("_other", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumns({"_i": F.least("_side", "_other"), "_j": F.greatest("_side", "_other")})
-    across = durable(rest.groupBy("_band", "_value", "_i", "_j").applyInPandas(_across, "_a long, _b long"))
-    edges = edges.unionByName(linked(across.join(lead.distinct(), ["_a", "_b"], "left_anti")))
-    comps = durable(components(edges, "_a", "_b"))
+    rest = rest.join(seqs, "_node")
+    across = rest.groupBy("_value", "_i", "_j").applyInPandas(_across, "_a long, _b long")
+    edges = durable(edges.unionByName(across))
+    comps = components(edges, "_a", "_b")
 
     named = rows.select("_doc", "_key", "_key2").join(classes.drop("_n"), ["_key", "_key2"])
     out = named.join(comps, F.col("_node") == F.col("node"), "left").select("_doc", F.col("_node").alias("class_id"), F.coalesce("component", "_node").alias("component_id"))
