@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import analytics, corpus, links, web
+
+QUERIES = corpus.QUERIES | links.QUERIES | web.QUERIES | analytics.QUERIES
+ORACLES = corpus.ORACLES | links.ORACLES | web.ORACLES | analytics.ORACLES
