@@ -13,8 +13,7 @@ BINS bins of their labelled shingles; pairs whose estimated share of labelled sh
 aligned (at the threshold the share is two thirds, four standard deviations above).
 
 Groups. Equal word sequences are one class first, so copies cost one count. Within a bucket of equal
-sketches every class is aligned with one leader, twice (the smallest id, then one by hash), which is linear in
-the bucket. Only buckets that still hold more than one component are then searched for links between their
+sketches every class is aligned with the bucket's smallest id, which is linear in the bucket. Only buckets that still hold more than one component are then searched for links between their
 components, in blocks of bounded size. A block gives a forest of such links, not its pairs: no link between
 components is lost, and no group is expanded.
 
@@ -59,7 +58,7 @@ def shingle_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     starts = ends - counts
     sums = np.zeros(len(words), np.uint64)
     for j in range(WORDS):
-        sums[: len(words) - j] += words[j:] * _FACTORS[j]
+        sums[: max(len(words) - j, 0)] += words[j:] * _FACTORS[j]
     number = np.where(counts >= WORDS, counts - WORDS + 1, (counts > 0).astype(counts.dtype))
     for i in np.flatnonzero((counts > 0) & (counts < WORDS)):
         own = words[starts[i] : ends[i]]
@@ -323,18 +322,11 @@ def near_duplicates(docs: DataFrame, least: float = LEAST) -> DataFrame:
     edges = durable(linked(lead))
     comps = components(edges, "_a", "_b")
 
-    def open_buckets() -> DataFrame:
-        """Members of the buckets that hold more than one component, with their components."""
-        own = buckets.select("_value", "_node").join(comps, F.col("_node") == F.col("node"), "left").withColumn("_comp", F.coalesce("component", "_node")).drop("node", "component")
-        many = own.groupBy("_value").agg(F.count("*").alias("_size"), F.max(F.struct(F.xxhash64("_node", F.lit("lead")), "_node", "_comp")).alias("_lead"), (F.min("_comp") != F.max("_comp")).alias("_many")).filter("_many").drop("_many")
-        return durable(own.join(many, "_value"))
-
-    again = open_buckets().filter("_comp <> _lead._comp").select(F.least("_node", "_lead._node").alias("_a"), F.greatest("_node", "_lead._node").alias("_b")).distinct()
-    again = durable(again.join(lead, ["_a", "_b"], "left_anti"))
-    edges = durable(edges.unionByName(linked(again)))
-    comps = components(edges, "_a", "_b")
+    # Members of the buckets that hold more than one component, with their components.
+    own = buckets.select("_value", "_node", "_size").join(comps, F.col("_node") == F.col("node"), "left").withColumn("_comp", F.coalesce("component", "_node")).drop("node", "component")
+    many = own.groupBy("_value").agg((F.min("_comp") != F.max("_comp")).alias("_many")).filter("_many").drop("_many")
     blocks = F.ceil(F.col("_size") / ROWS).cast("int")
-    rest = open_buckets().drop("_lead").withColumn("_side", F.pmod(F.xxhash64("_node", F.lit("block")), blocks).cast("int"))
+    rest = own.join(many, "_value").withColumn("_side", F.pmod(F.xxhash64("_node", F.lit("block")), blocks).cast("int"))
     rest = rest.withColumn("_other", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumns({"_i": F.least("_side", "_other"), "_j": F.greatest("_side", "_other")})
     rest = rest.join(seqs, "_node")
     across = rest.groupBy("_value", "_i", "_j").applyInPandas(_across, "_a long, _b long")
@@ -347,6 +339,15 @@ def near_duplicates(docs: DataFrame, least: float = LEAST) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """The documents that stand for their component, the first of rows that repeat one; all columns stay."""
-    lost = durable(near_duplicates(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("_lost")).distinct())
-    return docs.join(small(lost), node_id().eqNullSafe(F.col("_lost")), "left_anti")
+    """One document of each component: the one with the smallest id; all columns stay.
+
+    Rows that repeat an id are copies of each other, of which one stays.
+    """
+    found = near_duplicates(docs).groupBy("doc_id").agg(F.min("kept").alias("kept"), F.count("*").alias("n"))
+    found = durable(found.filter("n > 1 OR NOT kept").select(F.col("doc_id").alias("_id"), "kept"))
+    lost, twice = small(found.filter("NOT kept").select("_id")), small(found.filter("kept").select("_id"))
+    rows = docs.select(F.struct("*").alias("_row"), node_id().alias("_node"))
+    stay = rows.join(lost, F.col("_node").eqNullSafe(F.col("_id")), "left_anti")
+    once = stay.join(twice, F.col("_node").eqNullSafe(F.col("_id")), "left_anti")
+    more = stay.join(twice, F.col("_node").eqNullSafe(F.col("_id")), "left_semi").dropDuplicates(["_node"])
+    return once.unionByName(more).select("_row.*")
