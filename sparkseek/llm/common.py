@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A table of ids is broadcast only up to this many rows (about 16 MB); beyond it the join shuffles.
-BROADCAST_ROWS = 500_000
+from ..session import drop_table, durable, shared_folder, small
+
+__all__ = ["drop_table", "durable", "shared_folder", "small"]
+
 #: Python sees at most so many rows and bytes of a partition at once.
 ARROW_ROWS, ARROW_BYTES = 1000, 8 << 20
 
@@ -26,36 +26,6 @@ def arrow_limits(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; a temporary one where it is unset, as in tests."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
-    return sc.getCheckpointDir()
-
-
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage: write the table as Parquet to the shared folder and read it again."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_table(df: DataFrame) -> None:
-    """Delete the files of a table that `durable` wrote and nothing reads any more."""
-    sc = df.sparkSession.sparkContext
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if folder.rsplit("/", 1)[-1].startswith("table-"):
-            path = sc._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def small(df: DataFrame) -> DataFrame:
-    """A broadcast hint if the (materialised) table is within BROADCAST_ROWS, else the table as it is."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
-
-
 def crc_mod(column: str, n: int):
     """crc32 of an id as text, modulo n; a null id counts as remainder of the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % n

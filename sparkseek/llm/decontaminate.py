@@ -66,7 +66,7 @@ def containment(docs: DataFrame, items: DataFrame, least: float = LEAST, width:
     shared = sketched.join(small(probes), "_x").groupBy("doc_id", "item_id").agg(F.count("*").alias("_shared"), F.max(F.col("_k") - F.col("_n") + F.col("_need")).alias("_least"))
     found = durable(shared.filter(F.col("_shared") >= F.col("_least")).select(F.col("doc_id").alias("_doc"), "item_id"))
     texts = split.join(small(found.select("_doc").distinct()), F.col("doc_id").eqNullSafe(F.col("_doc")), "left_semi").select("doc_id", F.array_distinct(shingles("_w", width, _text)).alias("_held"))
-    pairs = texts.join(small(found), F.col("doc_id").eqNullSafe(F.col("_doc"))).drop("_doc").join(small(items.select("item_id", "_text", "_n", "_need")), "item_id")
+    pairs = texts.join(small(found), F.col("doc_id").eqNullSafe(F.col("_doc"))).drop("_doc").join(small(items.select(F.col("item_id").alias("_item"), "_text", "_n", "_need")), F.col("item_id").eqNullSafe(F.col("_item")))
     pairs = pairs.select("doc_id", "item_id", F.col("_n").alias("n_shingles"), F.size(F.array_intersect("_text", "_held")).alias("_common"), "_need")
     return pairs.filter(F.col("_common") >= F.col("_need")).groupBy("doc_id", "item_id").agg(F.max("n_shingles").alias("n_shingles"), F.max(F.col("_common") / F.col("n_shingles")).alias("containment"))
 
@@ -74,7 +74,8 @@ def containment(docs: DataFrame, items: DataFrame, least: float = LEAST, width:
 def decontaminated(docs: DataFrame, items: DataFrame, least: float = LEAST, width: int = WORDS) -> DataFrame:
     """The documents that hold no item; all columns stay. Rows that repeat a doc_id go together."""
     hit = durable(containment(docs, items, least, width).select(F.col("doc_id").alias("_hit")).distinct())
-    return docs.join(small(hit), F.col("doc_id").eqNullSafe(F.col("_hit")), "left_anti")
+    rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_doc"))
+    return rows.join(small(hit), F.col("_doc").eqNullSafe(F.col("_hit")), "left_anti").select("_row.*")
 
 
 ORACLE_SQL = rf"""

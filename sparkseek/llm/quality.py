@@ -118,7 +118,7 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, limit: int, passage
     """Texts and labels of at most `limit` labelled documents, in a fixed order."""
     picked = bounded_sample(labels.filter(F.col(label).isin(0, 1)).select("doc_id", F.col(label).alias("_y")), "doc_id", limit, "_y")
     rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").filter(F.col("text").isNotNull())
-    rows = rows.select("doc_id", "_y", window_of("text", "doc_id", passage).alias("text")).collect()
+    rows = rows.select("doc_id", "_y", window_of("text", "doc_id", passage).alias("text")).orderBy("doc_id", "_y", "text").limit(limit).collect()
     return [(r["text"], r["_y"]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["_y"], r["text"]))]
 
 

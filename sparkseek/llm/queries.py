@@ -49,7 +49,7 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mixing.schedule(table(spark, sf_dir, "documents").select("doc_id", "source"))
-    return rows.selectExpr("doc_id", "source", "_block AS block", "_at AS place", "_slot AS slot")
+    return rows.select("row.doc_id", "row.source", "block", "place", "slot")
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

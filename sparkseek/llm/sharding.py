@@ -71,13 +71,14 @@ def quantised_size(size: Column, bits: int) -> Column:
 
 
 def keyed(docs: DataFrame, bits: int = BITS) -> DataFrame:
-    """The documents with the sort key _place, _crc, _id and the size _size."""
+    """The whole rows as _row, doc_id, the sort key _place, _crc, _id and the size _size."""
     cell = F.lit(0)
     for part in (quantised_name(docs, "source", bits), quantised_name(docs, "lang", bits), quantised_size(F.coalesce(F.length("text"), F.lit(0)), bits)):
         cell = F.shiftleft(cell, bits) + part
     curve = F.split(F.lit(",".join(map(str, hilbert(3, bits)))), ",").cast("array<int>")
     return docs.select(
-        "*",
+        F.struct("*").alias("_row"),
+        "doc_id",
         F.get(curve, cell).alias("_place"),
         F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("_crc"),
         F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).alias("_id"),
@@ -120,7 +121,7 @@ def assign(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
 
 
 def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """The documents with their shard and place, laid out as runs of the curve.
+    """The documents with shard and place (given columns of these names are replaced), laid out as runs of the curve.
 
     Only the first key of each shard (at most `shards` rows) comes to the driver; the texts are then dealt
     by range once. Rows that repeat a key wholly stay together, on the later side of a cut.
@@ -136,5 +137,5 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
             own = F.when(later, row["shard"]).otherwise(own)
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), shards)
     out = keyed(docs).withColumn("_shard", own.cast("int")).repartitionByRange(parts, "_shard", "_place", "_crc", "_id").sortWithinPartitions("_shard", "_place", "_crc", "_id")
-    given = [c for c in docs.columns if c not in ("shard", "place")]
+    given = [F.col("_row").getField(c).alias(c) for c in docs.columns if c not in ("shard", "place")]
     return out.select(*given, F.col("_shard").alias("shard"), F.col("_place").alias("place"))
