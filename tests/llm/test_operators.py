@@ -437,9 +437,10 @@ def test_mixing_keeps_every_row(spark):
 # --- Decontamination ---
 
 
-def test_containment_equals_its_sql(spark):
+@pytest.mark.parametrize("name", sorted(llm.ORACLES))
+def test_query_equals_its_sql(spark, name):
     sf_dir = "/root/testdata/sf0.01"
-    assert compare(spark, database(sf_dir), llm.op10_decontamination, decontaminate.ORACLE_SQL, sf_dir) == ""
+    assert compare(spark, database(sf_dir), llm.QUERIES[name], llm.ORACLES[name], sf_dir) == ""
 
 
 def test_containment_equals_brute_force(spark):
