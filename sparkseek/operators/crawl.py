@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from urllib.parse import urlsplit
+import time
+from collections.abc import Callable, Iterator
 from urllib.robotparser import RobotFileParser
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.html import parse_pages
 from ..functions.text import content_hash, is_utility_title, link_priority, topic_score
 from ..functions.urls import first_by, is_utility_url, origin
+from ..session import durable
+from ..sources import fetch
+from ..sources import pages as files
 
 MIN_CHARS, TOPIC, PRIORITY, DEPTH, OUTLINKS = 200, 6, 8, 8, 200
 AGENT = "sparkseek"
+FRONT = ("url", "depth", "score", "discovered_from", "queue", "seq")
 
 
 def keep_new(candidates: DataFrame, queued: DataFrame, visited: DataFrame, depth: int = DEPTH, priority: int = PRIORITY) -> DataFrame:
@@ -129,6 +133,41 @@ def crawl_round(fetched: DataFrame, frontier: DataFrame, visited: DataFrame, has
     return {"pages": kept, "edges": edges.select("source_doc_id", "source_url", "target_url", "anchor_text"), "rest": rest, "queued": queued, "visited": seen, "hashes": new_hashes if hashes is None else hashes.select("content_hash").unionByName(new_hashes), "funnel": funnel(rows, kept)}
 
 
+def crawl(spark: SparkSession, seeds: DataFrame, folder: str, rounds: int, size: int = 5000, keywords: list[str] | None = None, retrieve: Callable[[DataFrame], DataFrame] | None = None, robots: Callable[[DataFrame], DataFrame] | None = None) -> dict:
+    """Rounds of a crawl from seeds (url), or from where the folder's last crawl ended; gives its counters.
+
+    A round takes up to `size` URLs, retrieves and judges them, writes a numbered batch of pages and edges, and
+    saves frontier, seen sets and counters after the export, so that a broken round is simply run again.
+    """
+    retrieve, robots = retrieve or fetch.fetch, robots or fetch.fetch_robots
+    frontier, visited, hashes, state = files.load_crawl(spark, f"{folder}/seen")
+    if not state:
+        found = seeds.select("url", F.lit(0).alias("depth"), F.lit(PRIORITY).alias("score"), F.lit(None).cast("long").alias("discovered_from"), F.monotonically_increasing_id().alias("seq"))
+        frontier = keep_new(found, visited, visited)
+    stats, batch = dict(state.get("stats", {})), state.get("next_batch_idx", 1)
+    next_id, seq = state.get("next_doc_id", 1), state.get("next_seq", 1 << 40)
+    for _ in range(rounds):
+        start = time.time()
+        frontier = durable(frontier)
+        asked = durable(pop(frontier, size).select("url"))
+        if not asked.count():
+            break
+        rules = durable(robots(asked))
+        fetched = durable(retrieve(allowed(asked, rules)))
+        out = crawl_round(fetched, frontier, visited, hashes, rules, next_id, size, keywords)
+        pages, edges = durable(out["pages"]), durable(out["edges"])
+        counts = out["funnel"].first().asDict()
+        stats = {k: stats.get(k, 0) + v for k, v in counts.items()}
+        columns = [c.split()[0] for c in files.PAGE.split(", ")]
+        files.export_batch(pages.select(*columns), edges, folder, batch, stats, {"batch_elapsed_sec": round(time.time() - start, 2)}, time.time())
+        queued = numbered(durable(out["queued"]), "seq", seq, "place").withColumn("seq", F.col("place").cast("long"))
+        frontier = durable(out["rest"].select(*FRONT).unionByName(queued.select(*FRONT)))
+        visited, hashes = durable(out["visited"]), durable(out["hashes"])
+        next_id, seq, batch = next_id + counts["kept_after_dedup"], seq + frontier.count() + size, batch + 1
+        files.save_crawl(f"{folder}/seen", frontier, visited, hashes, {"next_doc_id": next_id, "next_batch_idx": batch, "next_seq": seq, "saved_at": time.time(), "stats": stats})
+    return stats
+
+
 def host_delay(urls: DataFrame, delay: float = 1.0) -> DataFrame:
     """wait: seconds until a URL's turn when each host is asked once in `delay` seconds, in order of seq."""
     order = Window.partitionBy("_h").orderBy("seq")
@@ -136,10 +175,6 @@ def host_delay(urls: DataFrame, delay: float = 1.0) -> DataFrame:
     return rows.withColumn("wait", (F.row_number().over(order) - 1) * F.lit(delay)).drop("_h")
 
 
-def host_of(url: str) -> str:
-    return (urlsplit(url).hostname or "").lower()
-
-
 def stop_counts(pages: DataFrame) -> DataFrame:
     """stop, pages: how many each gate stopped."""
     gate: Column = F.coalesce("stop", F.lit("kept"))

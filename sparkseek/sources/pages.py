@@ -120,3 +120,21 @@ def tail_log(log: DataFrame, limit: int = 50) -> tuple[int, DataFrame]:
     """Number of entries, and the last ones (500 at most), oldest first."""
     last = log.orderBy(F.desc("timestamp")).limit(max(0, min(limit, 500)))
     return log.count(), last.orderBy("timestamp")
+
+
+def save_crawl(folder: str, frontier: DataFrame, visited: DataFrame, hashes: DataFrame, state: dict) -> None:
+    """Frontier with its queues, seen URLs and text hashes, and the counters."""
+    write_jsonl(frontier, f"{folder}/frontier")
+    write_lines(visited, "url", f"{folder}/visited_urls")
+    write_lines(hashes, "content_hash", f"{folder}/content_hashes")
+    write_document(frontier.sparkSession, state, f"{folder}/state")
+
+
+def load_crawl(spark: SparkSession, folder: str, depth: int = 8) -> tuple[DataFrame, DataFrame, DataFrame, dict]:
+    """What save_crawl wrote, or an empty crawl; queued URLs are checked for depth, repeats and visits again."""
+    if not exists(spark, f"{folder}/state"):
+        return spark.createDataFrame([], f"{FRONTIER}, seq LONG"), spark.createDataFrame([], "url STRING"), spark.createDataFrame([], "content_hash STRING"), {}
+    visited, hashes = (read_lines(spark, f"{folder}/{name}").withColumnRenamed("value", c) for name, c in (("visited_urls", "url"), ("content_hashes", "content_hash")))
+    frontier = read_jsonl(spark, f"{folder}/frontier", f"{FRONTIER}, seq LONG").filter((F.col("depth") <= depth) & (F.col("url") != ""))
+    frontier = frontier.groupBy("url").agg(F.min_by(F.struct("depth", "score", "discovered_from", "queue", "seq"), "seq").alias("f")).select("url", "f.*")
+    return frontier.join(visited, "url", "left_anti"), visited, hashes, read_document(spark, f"{folder}/state", {})

@@ -1,6 +1,8 @@
 """Text, URL, HTML, crawl, source, clustering, streaming and service operators on small fixtures."""
 
 import json
+import threading
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
 import numpy as np
 import pytest
@@ -12,6 +14,7 @@ from pyspark.sql import functions as F
 from sparkseek import service
 from sparkseek.functions import html, stemmer, text, urls
 from sparkseek.operators import cluster, crawl
+from sparkseek.sources import fetch
 from sparkseek.sources import pages as files
 from sparkseek.streaming import ingest
 
@@ -207,3 +210,50 @@ def test_engine(spark, tmp_path):
     assert engine.pagerank_report(2).count() == 2 and engine.examples(["fault"]).count() == 2
     with pytest.raises(ValueError):
         engine.search("x", "nope")
+
+
+@pytest.fixture
+def site():
+    """A small local site: two good pages with the same text, a link cycle, a missing page, a busy page, a private one."""
+    body = "<html><head><title>Fault</title></head><body><article>" + "fault volcano mineral earthquake tectonic igneous " * 8
+    pages = {"/": body + "start <a href='/a'>fault a</a><a href='/b'>b</a><a href='/busy'>x</a><a href='/private/p'>p</a><a href='/gone'>g</a></article></body></html>", "/a": body + "<a href='/'>home</a></article></body></html>", "/b": body + "<a href='/'>home</a></article></body></html>", "/private/p": body}
+    seen = []
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_GET(self):
+            seen.append(self.path)
+            text = "User-agent: *\nDisallow: /private/" if self.path == "/robots.txt" else pages.get(self.path)
+            busy = self.path == "/busy" and seen.count("/busy") < 3
+            self.send_response(503 if busy else 200 if text or self.path == "/busy" else 404)
+            self.send_header("Content-Type", "text/plain" if self.path == "/robots.txt" else "text/html; charset=utf-8")
+            self.end_headers()
+            self.wfile.write((text or "late").encode())
+
+        def log_message(self, *args):
+            pass
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{server.server_port}", seen
+    server.shutdown()
+
+
+def test_fetch_and_crawl(spark, site, tmp_path):
+    base, seen = site
+    urls_in = spark.createDataFrame([(f"{base}/a",), (f"{base}/gone",), (f"{base}/busy",), ("http://127.0.0.1:9/x",)], "url STRING")
+    rows = {r["url"].removeprefix(base): r for r in fetch.fetch(urls_in, 0.0, backoff=0.01, retries=2, timeout=3).collect()}
+    assert rows["/a"]["status"] == 200 and "fault" in rows["/a"]["html"]
+    assert rows["/gone"]["status"] == 404 and rows["/gone"]["html"] is None
+    assert rows["/busy"]["status"] == 200 and seen.count("/busy") == 3
+    assert rows["http://127.0.0.1:9/x"]["error"] and rows["http://127.0.0.1:9/x"]["status"] is None
+    seeds = spark.createDataFrame([(f"{base}/",)], "url STRING")
+    quick = lambda df: fetch.fetch(df, 0.0, backoff=0.01, timeout=3)
+    folder = str(tmp_path / "crawl")
+    first = crawl.crawl(spark, seeds, folder, 1, retrieve=quick)
+    assert (first["attempted"], first["final_usable"]) == (1, 1)
+    both = crawl.crawl(spark, seeds, folder, 3, retrieve=quick)
+    assert both["final_usable"] == 2 and both["duplicates_content"] == 1
+    pages = files.load_pages(spark, folder).orderBy("doc_id").collect()
+    assert [(p["doc_id"], p["url"].removeprefix(base)) for p in pages] == [(1, "/"), (2, "/a")]
+    assert "/private/p" not in seen and seen.count("/a") == 2
+    assert files.load_edges(spark, folder).filter("source_doc_id = 1").count() == 5
