@@ -24,6 +24,7 @@ of their text; an empty table gives no rows; further columns are not looked at.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
-from .common import arrow_limits, durable, mix, slices, small, word_hashes
+from .common import arrow_limits, drop_table, durable, mix, slices, small, word_hashes
 from .components import components
 
 WORDS, LEAST = 5, 0.8
@@ -49,6 +50,7 @@ _SEEDS = np.random.default_rng(5).integers(1, 1 << 62, (SKETCHES, 2), dtype=np.u
 _FACTORS = np.random.default_rng(6).integers(1, 1 << 62, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _LAST = np.uint64((1 << 64) - 1)
+_LOW = np.uint64(0x7F7F7F7F7F7F7F7F)
 
 
 def shingle_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -122,9 +124,16 @@ def signatures(hashes: np.ndarray, number: np.ndarray) -> np.ndarray:
     return np.where(least == _LAST, 0, 1 + mix(least) % np.uint64(255)).astype(np.uint8).reshape(len(number), BINS)
 
 
+def _empty_bytes(words: np.ndarray) -> np.ndarray:
+    """Number of zero bytes in each row of 64-bit words."""
+    some = ((words & _LOW) + _LOW | words) & ~_LOW
+    return 8 * words.shape[-1] - np.bitwise_count(some).sum(-1, dtype=np.int64)
+
+
 def share_of(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Estimated shares of common labelled shingles of rows of signatures."""
-    return ((x == y) & (x > 0)).sum(-1) / np.maximum(((x > 0) | (y > 0)).sum(-1), 1)
+    """Estimated shares of common labelled shingles of rows of signatures, as 64-bit words of eight bins."""
+    neither = _empty_bytes(x | y)
+    return (_empty_bytes(x ^ y) - neither) / np.maximum(8 * x.shape[-1] - neither, 1)
 
 
 def _sketched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -204,20 +213,21 @@ def banded_distance(a: list[int], b: list[int], most: int) -> int:
     return score if score <= most else most + 1
 
 
-def alike(a: np.ndarray, b: np.ndarray, least: float = LEAST) -> bool:
-    """Whether the edit similarity of two sequences is `least` or more."""
+def bag(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct elements and their counts."""
+    return np.unique(a, return_counts=True)
+
+
+def alike(a: np.ndarray, b: np.ndarray, least: float = LEAST, bags: tuple | None = None) -> bool:
+    """Whether the edit similarity of two sequences is `least` or more; bags: of both, if they are at hand."""
     longer = max(len(a), len(b))
     most = int((1 - least) * longer + 1e-9)
     if abs(len(a) - len(b)) > most:
         return False
-    x, y = np.sort(a), np.sort(b)
-    # Elements of x without a partner in y: a bound on the distance from below.
-    values, first, count = np.unique(y, return_index=True, return_counts=True)
-    xv, xc = np.unique(x, return_counts=True)
-    at = np.searchsorted(values, xv)
-    at[at == len(values)] = 0
-    shared = np.minimum(xc, np.where(values[at] == xv, count[at], 0)).sum()
-    if longer - shared > most:
+    (x, xn), (y, yn) = bags or (bag(a), bag(b))
+    # Every element of the longer sequence without a partner in the other costs an edit at least.
+    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+    if longer - np.minimum(xn, yn[at])[y[at] == x].sum() > most:
         return False
     return banded_distance(a.tolist(), b.tolist(), most) <= most
 
@@ -241,25 +251,43 @@ def _aligned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _near(a: pd.Series, b: pd.Series) -> pd.Series:
     if not len(a):
         return pd.Series([], dtype=bool)
-    return pd.Series(share_of(*(np.frombuffer(b"".join(s), np.uint8).reshape(-1, BINS) for s in (a, b))) >= ALIKE)
-
-
-def _across(rows: pd.DataFrame) -> pd.DataFrame:
+    return pd.Series(share_of(*(np.frombuffer(b"".join(s), np.uint64).reshape(-1, BINS // 8) for s in (a, b))) >= ALIKE)
+
+
+def _across(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Links of all buckets of a partition that is sorted by bucket and blocks."""
+    held = None
+    for batch in itertools.chain(batches, [None]):
+        rows = held if batch is None else batch if held is None else pd.concat([held, batch], ignore_index=True)
+        if rows is None or not len(rows):
+            continue
+        key = rows[["_value", "_i", "_j"]].to_numpy()
+        cuts = np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1
+        ends = cuts if batch is not None else np.append(cuts, len(rows))
+        held = rows.iloc[cuts[-1] if len(cuts) else 0 :].reset_index(drop=True)
+        if not len(ends):
+            continue
+        sig = np.frombuffer(b"".join(rows["_sig"]), np.uint64).reshape(len(rows), BINS // 8)
+        rest = np.stack(rows["_sk"].to_list()), rows["_seq"].to_numpy(), *(rows[c].to_numpy() for c in ("_node", "_comp", "_side"))
+        found, start = [], 0
+        for end in ends:
+            found += _bucket_links(key[start], sig[start:end], *(x[start:end] for x in rest))
+            start = end
+        yield pd.DataFrame(found, columns=["_a", "_b"]).astype("int64")
+
+
+def _bucket_links(key: np.ndarray, sig: np.ndarray, sk: np.ndarray, seq: np.ndarray, node: np.ndarray, comp: np.ndarray, side: np.ndarray) -> list[tuple[int, int]]:
     """A forest of the links between components of a bucket's two blocks (or within its one).
 
     Members of the largest component meet only the others, a pair is looked at in the first bucket that it
     shares, likeliest partners come first, and components that a link has joined are not aligned again.
     """
-    sig = np.frombuffer(b"".join(rows["_sig"]), np.uint8).reshape(len(rows), BINS)
-    sk = np.stack(rows["_sk"].to_list())
-    rough = np.ascontiguousarray(sig[:, :FEW])
-    node, comp, side, value = (rows[c].to_numpy() for c in ("_node", "_comp", "_side", "_value"))
-    seq, number = rows["_seq"].tolist(), np.arange(len(rows))
-    one_block = rows["_i"].iloc[0] == rows["_j"].iloc[0]
+    rough = np.ascontiguousarray(sig[:, : FEW // 8])
+    number, one_block = np.arange(len(node)), key[1] == key[2]
     names, at, count = np.unique(comp, return_inverse=True, return_counts=True)
     small_ones = at != count.argmax()
     parent = list(range(len(names)))
-    here = (sk[0] == value[0]).argmax()
+    here = (sk[0] == key[0]).argmax()
 
     def root(x: int) -> int:
         while parent[x] != x:
@@ -267,6 +295,12 @@ def _across(rows: pd.DataFrame) -> pd.DataFrame:
             x = parent[x]
         return x
 
+    bags: dict = {}
+
+    def linked(k: int, o: int) -> bool:
+        both = [bags[n] if n in bags else bags.setdefault(n, bag(seq[n])) for n in (k, o)]
+        return alike(seq[k], seq[o], bags=both)
+
     found = []
     for k in np.flatnonzero(small_ones):
         # Each pair once: of two small ones the earlier row looks.
@@ -279,10 +313,10 @@ def _across(rows: pd.DataFrame) -> pd.DataFrame:
         keep = (share >= ALIKE) & ((sk[other] == sk[k]).argmax(1) == here)
         for o in other[keep][np.argsort(-share[keep], kind="stable")]:
             x, y = root(at[k]), root(at[o])
-            if x != y and alike(seq[k], seq[o]):
+            if x != y and linked(k, o):
                 parent[x] = y
                 found.append((node[k], node[o]))
-    return pd.DataFrame(found, columns=["_a", "_b"]).astype("int64")
+    return found
 
 
 def node_id() -> Column:
@@ -329,9 +363,11 @@ def near_duplicates(docs: DataFrame, least: float = LEAST) -> DataFrame:
     rest = own.join(many, "_value").withColumn("_side", F.pmod(F.xxhash64("_node", F.lit("block")), blocks).cast("int"))
     rest = rest.withColumn("_other", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumns({"_i": F.least("_side", "_other"), "_j": F.greatest("_side", "_other")})
     rest = rest.join(seqs, "_node")
-    across = rest.groupBy("_value", "_i", "_j").applyInPandas(_across, "_a long, _b long")
-    edges = durable(edges.unionByName(across))
-    comps = components(edges, "_a", "_b")
+    across = rest.repartition("_value", "_i", "_j").sortWithinPartitions("_value", "_i", "_j").mapInPandas(_across, "_a long, _b long")
+    links = durable(edges.unionByName(across))
+    for done in (buckets, inside, seqs, lead, edges):
+        drop_table(done)
+    comps = components(links, "_a", "_b")
 
     named = rows.select("_doc", "_key", "_key2").join(classes.drop("_n"), ["_key", "_key2"])
     out = named.join(comps, F.col("_node") == F.col("node"), "left").select("_doc", F.col("_node").alias("class_id"), F.coalesce("component", "_node").alias("component_id"))
