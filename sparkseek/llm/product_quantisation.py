@@ -39,6 +39,8 @@ LEARN, CELLS = 16384, 1024
 ROUNDS = 8
 #: Members and queries of a group, about.
 MEMBERS, QUERIES = 2048, 8192
+#: Queries whose distances to a group's members are looked up at once.
+TOGETHER = 64
 
 
 def kmeans(x: np.ndarray, k: int, seed: int) -> np.ndarray:
@@ -77,6 +79,11 @@ class Index:
     def part(self, x: np.ndarray, s: int) -> np.ndarray:
         return x[:, s * self.width : (s + 1) * self.width]
 
+    def table(self, rest: np.ndarray, s: int) -> np.ndarray:
+        """Squared distances of the rows' parts to all codewords of a subspace."""
+        x, w = self.part(rest, s), self.words[s]
+        return (x * x).sum(1)[:, None] - 2 * x @ w.T + (w * w).sum(1)
+
     def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Cell, code bytes and coding error of each row."""
         cell = nearest(x, self.cells)
@@ -136,22 +143,21 @@ def links_of(members: pd.DataFrame, queries: pd.DataFrame, index: Index, cell: i
     offsets = np.arange(SUBSPACES)[:, None] * CODES
     places = (codes.T + offsets).copy()
     weights, a, b = np.zeros(len(asking), np.int64), [], []
-    for at in range(0, len(asking), 256):
-        block = asked[at : at + 256]
+    for at in range(0, len(asking), TOGETHER):
+        block = asked[at : at + TOGETHER]
         rest = (block - index.cells[cell]).astype(np.float32)
-        look = np.concatenate([((index.part(rest, s)[:, None, :] - index.words[s][None, :, :]) ** 2).sum(2) for s in range(SUBSPACES)], 1)
-        for q in range(len(block)):
-            table = look[q]
-            distance = table[places[0]]
-            for s in range(1, SUBSPACES):
-                distance += table[places[s]]
-            near = np.flatnonzero(distance <= bound)
-            if len(near):
-                near = near[(vectors[near] @ block[q] >= least) & (node[near] != asking[at + q])]
-                weights[at + q] = size[near].sum()
-                if len(near):
-                    a.append(np.full(len(near), asking[at + q]))
-                    b.append(node[near])
+        look = np.concatenate([index.table(rest, s) for s in range(SUBSPACES)], 1)
+        distance = np.take(look, places[0], axis=1)
+        for s in range(1, SUBSPACES):
+            distance += np.take(look, places[s], axis=1)
+        q, near = np.nonzero(distance <= bound)
+        good = np.einsum("ij,ij->i", vectors[near], block[q]) >= least
+        good &= node[near] != asking[at + q]
+        q, near = q[good], near[good]
+        if len(q):
+            np.add.at(weights, at + q, size[near])
+            a.append(asking[at + q])
+            b.append(node[near])
     some = weights > 0
     out = [pd.DataFrame({"node": asking[some], "other": pd.array([None] * int(some.sum()), "Int64"), "weight": weights[some]})]
     if a:
