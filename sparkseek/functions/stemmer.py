@@ -72,8 +72,12 @@ def _applying(step: list[Rule]) -> Callable[[Column], Column]:
 
 
 def stem_words(words: DataFrame, column: str = "term") -> DataFrame:
-    """The distinct words with their stems."""
-    return words.select(column).distinct().withColumn("stem", stem(F.col(column)))
+    """The distinct words with their stems.
+
+    The stem is made from an aggregate of the word, not from the grouping key: otherwise the optimizer moves
+    joins on the stem below the grouping and computes it for every occurrence.
+    """
+    return words.groupBy(column).agg(F.max(column).alias("_w")).select(column, stem(F.col("_w")).alias("stem"))
 
 
 def stem_sql(source: str, column: str) -> str:

@@ -100,7 +100,7 @@ def _single_pass(cosine: float, size: int):
     """Assigns terms in order to the nearest running-mean centroid, or opens a cluster."""
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: dict[int, tuple[list[int], list[float], dict[int, int]]] = {}  # document -> clusters, sums, places
+        sums: dict[int, list] = {}  # document -> clusters, their sums, how many, places by cluster
         squares, counts = np.zeros(1024), np.zeros(1024, int)
         n = 0
         for batch in batches:
@@ -111,8 +111,8 @@ def _single_pass(cosine: float, size: int):
                 dots = np.zeros(n)
                 for d, x in zip(docs, w, strict=True):
                     if d in sums:
-                        where, what, _ = sums[d]
-                        dots[where] += x * np.asarray(what)
+                        where, what, used, _ = sums[d]
+                        dots[where[:used]] += x * what[:used]
                 best = -1
                 if n:
                     with np.errstate(divide="ignore", invalid="ignore"):
@@ -125,15 +125,16 @@ def _single_pass(cosine: float, size: int):
                     if n > len(counts):
                         squares, counts = np.concatenate([squares, np.zeros(n)]), np.concatenate([counts, np.zeros(n, int)])
                 for d, x in zip(docs, w, strict=True):
-                    where, what, places = sums.setdefault(d, ([], [], {}))
-                    if best in places:
-                        at = places[best]
-                        squares[best] += x * (2 * what[at] + x)
-                        what[at] += x
+                    own = sums.setdefault(d, [np.zeros(8, np.int64), np.zeros(8), 0, {}])
+                    if best in own[3]:
+                        at = own[3][best]
+                        squares[best] += x * (2 * own[1][at] + x)
+                        own[1][at] += x
                     else:
-                        places[best] = len(where)
-                        where.append(best)
-                        what.append(x)
+                        used = own[2]
+                        if used == len(own[0]):
+                            own[0], own[1] = np.concatenate([own[0], np.zeros(used, np.int64)]), np.concatenate([own[1], np.zeros(used)])
+                        own[0][used], own[1][used], own[3][best], own[2] = best, x, used, used + 1
                         squares[best] += x * x
                 counts[best] += 1
                 labels.append(best)
