@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.html import parse_pages
 from ..functions.text import content_hash, is_utility_title, link_priority, topic_score
 from ..functions.urls import first_by, is_utility_url, origin
-from ..session import durable
+from ..session import durable, placed
 from ..sources import fetch
 from ..sources import pages as files
 
@@ -82,12 +82,8 @@ def first_contents(pages: DataFrame, order: str, seen: DataFrame | None = None)
 
 
 def numbered(pages: DataFrame, order: str, first: int = 1, name: str = "doc_id") -> DataFrame:
-    """Dense ids in `order`: places within the sorted partitions, and one row of offsets for each."""
-    rows = pages.repartitionByRange(order).sortWithinPartitions(order).withColumn("_part", F.spark_partition_id())
-    rows = rows.withColumn("_at", F.row_number().over(Window.partitionBy("_part").orderBy(order)))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    counts = rows.groupBy("_part").count().select("_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
-    return rows.join(F.broadcast(counts), "_part").withColumn(name, F.col("_before") + F.col("_at") + (first - 1)).drop("_part", "_at", "_before")
+    """Dense ids in `order`, from `first` up; every row gets one."""
+    return placed(pages, order, name="_rank").withColumn(name, F.col("_rank") + first).drop("_rank")
 
 
 def page_edges(pages: DataFrame) -> DataFrame:
@@ -155,12 +151,12 @@ def crawl(spark: SparkSession, seeds: DataFrame, folder: str, rounds: int, size:
         rules = durable(robots(asked))
         fetched = durable(retrieve(allowed(asked, rules)))
         out = crawl_round(fetched, frontier, visited, hashes, rules, next_id, size, keywords)
-        pages, edges = durable(out["pages"]), durable(out["edges"])
+        pages, edges = out["pages"], durable(out["edges"])
         counts = out["funnel"].first().asDict()
         stats = {k: stats.get(k, 0) + v for k, v in counts.items()}
         columns = [c.split()[0] for c in files.PAGE.split(", ")]
         files.export_batch(pages.select(*columns), edges, folder, batch, stats, {"batch_elapsed_sec": round(time.time() - start, 2)}, time.time())
-        queued = numbered(durable(out["queued"]), "seq", seq, "place").withColumn("seq", F.col("place").cast("long"))
+        queued = numbered(out["queued"], "seq", seq, "place").withColumn("seq", F.col("place"))
         frontier = durable(out["rest"].select(*FRONT).unionByName(queued.select(*FRONT)))
         visited, hashes = durable(out["visited"]), durable(out["hashes"])
         next_id, seq, batch = next_id + counts["kept_after_dedup"], seq + frontier.count() + size, batch + 1

@@ -125,7 +125,7 @@ def stop_counts(spark, sf_dir):
 
 def sequential_ids(spark, sf_dir):
     rows = crawl.first_contents(_judged(spark, sf_dir).filter(F.col("stop").isNull()), "doc_id")
-    return crawl.numbered(rows.select("doc_id"), "doc_id", 1, "new_id").select("doc_id", F.col("new_id").cast("long").alias("new_id"))
+    return crawl.numbered(rows.select("doc_id", "clean_text"), "doc_id", 1, "new_id").select("doc_id", "new_id", F.col("clean_text").alias("text"))
 
 
 def frontier_priority_topk(spark, sf_dir):
@@ -229,7 +229,7 @@ ORACLES = {
     "quality_funnel": f"""WITH {_JUDGED} SELECT count(*) AS attempted, CAST(count_if(coalesce(stop, '') <> 'status') AS BIGINT) AS fetched_ok, CAST(count_if(coalesce(stop, '') NOT IN ('status', 'html')) AS BIGINT) AS parsed, CAST(count_if(coalesce(stop, '') NOT IN ('status', 'html', 'length')) AS BIGINT) AS long_enough,
 CAST(0 AS BIGINT) AS filtered_utility, CAST(count_if(stop = 'topic') AS BIGINT) AS filtered_topic, CAST(count_if(stop IS NULL) AS BIGINT) AS kept_after_quality, (SELECT count(*) FROM k) AS kept_after_dedup, CAST(count_if(stop IS NULL) AS BIGINT) - (SELECT count(*) FROM k) AS duplicates_content, (SELECT count(*) FROM k) AS final_usable FROM j""",
     "stop_counts": f"WITH {_JUDGED} SELECT coalesce(stop, 'kept') AS stop, count(*) AS pages FROM j GROUP BY 1",
-    "sequential_ids": f"WITH {_JUDGED} SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS new_id FROM k",
+    "sequential_ids": f"WITH {_JUDGED} SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS new_id, text FROM k JOIN documents USING (doc_id)",
     "frontier_priority_topk": f"""WITH c AS (SELECT target AS url, {_PRIORITY} AS score, page_id * 100000 + pos AS seq FROM {_LINKS_SQL} WHERE target <> ''), f AS (SELECT *, CASE WHEN score >= 8 THEN 'high' ELSE 'normal' END AS queue FROM c QUALIFY row_number() OVER (PARTITION BY url ORDER BY seq) = 1)
 SELECT url, score, queue, seq FROM f ORDER BY queue <> 'high', seq LIMIT 200""",
     "robots_gate": "SELECT page_id, url FROM pages WHERE NOT regexp_matches(url, '^https?://[^/?#]+/en/')",

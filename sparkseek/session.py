@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A table is broadcast only up to this many narrow rows (about 16 MB); beyond it the join shuffles.
@@ -26,11 +26,13 @@ def session(name: str = "sparkseek", cores: int | str = "*", partitions: int = 8
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; a temporary one where it is unset, as in tests."""
+    """The folder that spark.checkpoint.dir names; under a local master a temporary one where it is unset."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = sc.getConf().get("spark.checkpoint.dir")
         if not folder:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
             folder = tempfile.mkdtemp(prefix="checkpoints-")
             atexit.register(shutil.rmtree, folder, ignore_errors=True)
         sc.setCheckpointDir(folder)
@@ -57,3 +59,18 @@ def drop_table(df: DataFrame) -> None:
 def small(df: DataFrame) -> DataFrame:
     """A broadcast hint if the (materialised) table is within BROADCAST_ROWS, else the table as it is."""
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
+def placed(df: DataFrame, *key: str, name: str = "_rank") -> DataFrame:
+    """The rows with their place from 0 in the order of `key`, dense, as `name`.
+
+    The range-sorted rows are written once, with the partition and the row in it; counts and places both come from
+    that table, so nothing depends on how a plan is partitioned when it is run again. The offsets are one row for
+    each partition.
+    """
+    rows = durable(df.repartitionByRange(*key).sortWithinPartitions(*key).withColumn("_at", F.monotonically_increasing_id()))
+    rows = rows.withColumn("_part", F.shiftright("_at", 33))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy("_part").count().select("_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
+    place = F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return rows.join(F.broadcast(counts), "_part").withColumn(name, place).drop("_part", "_at", "_before")

@@ -119,6 +119,17 @@ def test_numbers_are_dense(spark):
     assert [r["doc_id"] for r in rows] == list(range(10, 10 + len(rows)))
 
 
+def test_numbers_of_wide_rows_are_complete(spark):
+    n, before = 300_000, spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        pages = spark.range(n).select((F.lit(n) - F.col("id")).alias("seq"), F.repeat(F.sha2(F.col("id").cast("string"), 256), 16).alias("clean_text"))
+        found = crawl.numbered(pages, "seq").agg(F.count("*"), F.count_distinct("doc_id"), F.min("doc_id"), F.max("doc_id"), F.count_if(F.col("doc_id") == F.col("seq")), F.sum(F.length("clean_text"))).first()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert tuple(found) == (n, n, 1, n, n, n * 1024)
+
+
 def test_files(spark, tmp_path):
     folder = str(tmp_path)
     pages = spark.createDataFrame([(1, "http://a/x", "", "T", "é text", "text/html", 1.0, 200, 0, 5), (2, "http://a/login", "", "T", "t", "text/html", 1.0, 200, 0, 5)], files.PAGE)
