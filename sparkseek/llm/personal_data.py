@@ -2,14 +2,14 @@
 
 The base kinds (email, ip, card, phone) are fixed patterns with checks; their spans always stay. The field adds
 spans that the patterns miss: written-out addresses, numbers without a plus sign, cards with dots. It scores
-whole candidate segments of at most LONGEST tokens by features of the entire span and of its borders, and a
+whole candidate segments of at most LONGEST tokens and WIDEST characters by features of the entire span and of its borders, and a
 dynamic programme over a stretch of text chooses boundaries and kinds together; weights are trained by the
 likelihood of sentences made from templates. Only stretches around digits, @ and written-out signs are looked
 at: elsewhere no segment is a candidate, so nothing else than "outside" is possible there. An added span never
 overlaps a base span.
 
-Edge cases: null texts count as empty, which have no spans and the digest of an empty string; very long runs
-of digits or letters are read once; repeated rows and further columns stay; spans of one start are ordered by
+Edge cases: null texts count as empty, which have no spans and the digest of an empty string; the work grows
+with a text's length, also in long runs of digits, numbers and marks; repeated rows and further columns stay; spans of one start are ordered by
 kind; an empty table gives no rows.
 """
 
@@ -28,14 +28,18 @@ from pyspark.sql import functions as F
 from .common import arrow_limits
 
 KINDS = ("email", "ip", "card", "phone")
-LONGEST = 24
+LONGEST, WIDEST = 24, 160
+#: Groups of digits and digits of a number.
+GROUPS, DIGITS = 6, 19
+#: Tokens at which segments begin that are scored at once.
+STARTS = 1 << 14
 #: Characters of context on either side of a stretch.
 CONTEXT = 24
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _LOCAL_SET = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOTTED = re.compile(r"[0-9][0-9.]*")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+_RUN = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]")
@@ -51,6 +55,11 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _is_byte(digits: str) -> bool:
+    digits = digits.lstrip("0")
+    return len(digits) <= 3 and int(digits or 0) <= 255
+
+
 def base_spans(text: str) -> list[Span]:
     """Leftmost non-overlapping matches of each kind that pass its check, by start, then kind."""
     found: list[Span] = []
@@ -66,11 +75,12 @@ def base_spans(text: str) -> list[Span]:
         at = text.find("@", max(at + 1, end))
     for run in _DOTTED.finditer(text):
         if run[0].count(".") >= 3:
-            # A match begins at a digit that another part follows; what stands before ".." can't.
-            for part in re.finditer(r"[0-9]+(?:\.[0-9]+)*", run[0]):
-                for match in _IP.finditer(part[0]):
-                    if all(len(x.lstrip("0")) <= 3 and int(x) <= 255 for x in match[0].split(".")):
-                        found.append(("ip", run.start() + part.start() + match.start(), run.start() + part.start() + match.end()))
+            # A match takes the next four numbers of a run; what stands before ".." ends one.
+            for part in _RUN.finditer(text, *run.span()):
+                numbers = [m.span() for m in _GROUPS.finditer(text, *part.span())]
+                for i in range(0, len(numbers) - 3, 4):
+                    if all(_is_byte(text[x:y]) for x, y in numbers[i : i + 4]):
+                        found.append(("ip", numbers[i][0], numbers[i + 3][1]))
     for match in _CARD.finditer(text):
         if match.end() - match.start() >= 12:
             digits = _NOT_DIGIT.sub("", match[0])
@@ -87,74 +97,165 @@ def base_spans(text: str) -> list[Span]:
 
 _STRETCH = re.compile(r"@|\(?[0-9][0-9().\-/ ]{5,}[0-9]|[(\[ ]at[)\] ] ?[\w-]{1,40} ?[(\[ ]dot[)\] ]", re.IGNORECASE | re.ASCII)
 _TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|\s+|.", re.ASCII | re.DOTALL)
-_WRITTEN = re.compile(r"[a-z0-9._%+-]+ ?(\(at\)|\[at\]|\sat\s|@) ?[a-z0-9-]+( ?(\(dot\)|\[dot\]|\sdot\s|\.) ?[a-z0-9-]+)+", re.IGNORECASE | re.ASCII)
+_BEGUN = r"[a-z0-9._%+-]{1,64} ?(\(at\)|\[at\]|\sat\s|@)"
+_AT = re.compile(_BEGUN, re.IGNORECASE | re.ASCII)
+_WRITTEN = re.compile(_BEGUN + r" ?[a-z0-9-]{1,63}( ?(\(dot\)|\[dot\]|\sdot\s|\.) ?[a-z0-9-]{1,63})+", re.IGNORECASE | re.ASCII)
 _MARKED = re.compile(r"[(\[ ](at|dot)[)\] ]", re.IGNORECASE)
 _GROUPS = re.compile(r"[0-9]+")
 _DATE = re.compile(r"([12][0-9]{3}[-/. ][0-9]{1,2}[-/. ][0-9]{1,2})|([0-9]{1,2}[-/. ][0-9]{1,2}[-/. ][0-9]{2,4})")
-_ENDS = re.compile(r"[A-Za-z0-9(]")
+_NUMBER_BEFORE, _NUMBER_AFTER = re.compile(r"[0-9][-./ ]$"), re.compile(r"[-./ ][0-9]")
+#: Marks inside numbers, each a bit; all blanks are one kind of mark, and so are all others.
+MARKS = {".": 1, "-": 2, "/": 4, "(": 8, ")": 16}
+BLANK, OTHER = 32, 64
+_KINDS_OF_MARKS = np.array([n.bit_count() for n in range(128)])
 #: Words before a number that name its kind.
 CALLED = {"phone": ("tel", "phone", "call", "fax", "mobile", "cell"), "card": ("card", "visa", "mastercard", "amex", "credit"), "ip": ("ip", "host", "address", "server"), "email": ("mail", "email", "contact", "write")}
+(
+    ALWAYS, WRITTEN, MARKED, AT_SIGN, AS_PHONE, AS_CARD, LUHN, FOURS, FOUR_BYTES, LOCAL, AREA, ONE_GROUP, ONE_MARK, MIXED_MARKS, SLASH, DATE, INSIDE, AFTER_SIGN,
+    NAMED_PHONE, NAMED_CARD, NAMED_IP, NAMED_EMAIL, UNBALANCED, FEW_DIGITS,
+) = range(24)
 FEATURES = 24
 
 
-def span_features(span: str, before: str, after: str) -> np.ndarray | None:
-    """Features of a whole span and its borders; None where no kind is possible."""
-    written = bool(_WRITTEN.fullmatch(span))
-    groups = [len(g) for g in _GROUPS.findall(span)]
-    digits = sum(groups)
-    numeric = not re.search(r"[A-Za-z@]", span)
-    if not written and (not numeric or not 4 <= digits <= 19 or not span[-1].isdigit() or len(groups) > 6):
-        return None
-    marks = set(_GROUPS.sub("", span))
-    inside = before[-1:].isalnum() or after[:1].isalnum() or bool(re.search(r"[0-9][-./ ]$", before)) or bool(re.match(r"[-./ ][0-9]", after))
-    context = before.lower()[-16:]
-    dotted = numeric and marks == {"."} and len(groups) == 4 and all(int(g) <= 255 for g in _GROUPS.findall(span) if len(g) < 9) and max(groups) <= 3
-    fours = numeric and len(groups) > 1 and set(groups) <= {4, 3, 6, 5} and groups[0] == 4 and digits >= 13
-    local = groups[-3:] == [3, 3, 4] and len(groups) <= 4
-    return np.array(
-        [
-            1,
-            written,
-            written and len(_MARKED.findall(span)) >= 2,
-            written and "@" in span,
-            numeric and 7 <= digits <= 11,
-            numeric and digits >= 12,
-            numeric and digits >= 12 and luhn(_NOT_DIGIT.sub("", span)),
-            numeric and fours,
-            dotted,
-            numeric and local,
-            numeric and span[:1] == "(" and ")" in span,
-            numeric and len(groups) == 1,
-            numeric and len(marks) <= 1 and bool(marks),
-            numeric and len(marks - {" "}) > 1,
-            numeric and "/" in marks,
-            numeric and bool(_DATE.fullmatch(span)),
-            inside,
-            before[-1:] in tuple("$#=€£%:"),
-            any(w in context for w in CALLED["phone"]),
-            any(w in context for w in CALLED["card"]),
-            any(w in context for w in CALLED["ip"]),
-            any(w in context for w in CALLED["email"]),
-            span.count("(") != span.count(")"),
-            numeric and digits < 7,
-        ],
-        np.float64,
-    )
-
-
-def candidates(text: str, tokens: list[tuple[int, int]]) -> list[tuple[int, int, np.ndarray]]:
-    """First token, end token and features of every segment that some kind is possible for."""
-    found = []
-    starts = [i for i, (a, _) in enumerate(tokens) if _ENDS.match(text, a)]
-    ends = [j for j, (_, b) in enumerate(tokens) if text[b - 1].isalnum()]
-    for i in starts:
-        for j in ends:
-            if i <= j < i + LONGEST:
-                a, b = tokens[i][0], tokens[j][1]
-                features = span_features(text[a:b], text[max(0, a - CONTEXT) : a], text[b : b + CONTEXT])
-                if features is not None:
-                    found.append((i, j + 1, features))
-    return found
+class Borders:
+    """Features of what stands before a token and after one."""
+
+    def __init__(self, text: str, tokens: list[tuple[int, int]]):
+        self.text, self.tokens = text, tokens
+
+    def before(self, i: int) -> tuple[bool, bool, list[bool]]:
+        """Inside a number or word, after a sign, and called by each kind's words."""
+        at = self.tokens[i][0]
+        before = self.text[max(0, at - CONTEXT) : at]
+        context = before[-16:].lower()
+        inside = before[-1:].isalnum() or bool(_NUMBER_BEFORE.search(before))
+        return inside, before[-1:] in tuple("$#=€£%:"), [any(w in context for w in CALLED[k]) for k in ("phone", "card", "ip", "email")]
+
+    def after(self, j: int) -> bool:
+        """Inside a number or word."""
+        at = self.tokens[j][1]
+        return self.text[at : at + 1].isalnum() or bool(_NUMBER_AFTER.match(self.text, at))
+
+
+def numbers(text: str, tokens: list[tuple[int, int]], starts: np.ndarray, borders: Borders) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """First tokens, last tokens and features of the numbers that begin at `starts`, all of a length at once.
+
+    A number begins with a digit or a bracket, ends with a digit, and holds digits and marks but no letters.
+    """
+    if not len(starts):
+        return
+    low, high = int(starts[0]), min(len(tokens), int(starts[-1]) + LONGEST)
+    head = [text[tokens[t][0]] for t in range(low, high)]
+    size = np.array([b - a for a, b in tokens[low:high]])
+    begin = np.array([a for a, _ in tokens[low:high]])
+    digit = np.array(["0" <= c <= "9" for c in head])
+    word = np.array([c == "@" or c.isascii() and c.isalpha() for c in head])
+    mark = np.array([0 if d else MARKS.get(c, BLANK if c.isspace() else OTHER) for c, d in zip(head, digit, strict=True)])
+    wide = np.array([d and not _is_byte(text[a : a + n]) if n <= 3 else d for d, a, n in zip(digit, begin, size, strict=True)])
+    # Borders of a token are looked at when a segment first needs them.
+    left, right, seen = np.zeros((len(head), 6), bool), np.zeros(len(head), bool), np.zeros((2, len(head)), bool)
+    first = starts - low
+    count = {name: np.zeros(len(first), np.int64) for name in ("digits", "groups", "marks", "open", "close", "lead", "one", "two", "three", "odd", "wide", "longest")}
+    for d in range(LONGEST):
+        keep = first + d < len(head)
+        keep[keep] &= ~word[first[keep] + d]
+        keep[keep] &= begin[first[keep] + d] + size[first[keep] + d] - begin[first[keep]] <= WIDEST
+        keep &= (count["digits"] <= DIGITS) & (count["groups"] <= GROUPS)
+        first, count = first[keep], {k: v[keep] for k, v in count.items()}
+        if not len(first):
+            return
+        at = first + d
+        own, length = digit[at], size[at]
+        number = np.where(own, length, 0)
+        count["digits"] += number
+        count["groups"] += own
+        count["marks"] |= mark[at]
+        count["open"] += mark[at] == MARKS["("]
+        count["close"] += mark[at] == MARKS[")"]
+        count["lead"] = np.where(own & (count["groups"] == 1), number, count["lead"])
+        for old, new in (("three", count["two"]), ("two", count["one"]), ("one", number)):
+            count[old] = np.where(own, new, count[old])
+        count["odd"] += own & ((length < 3) | (length > 6))
+        count["wide"] += wide[at]
+        count["longest"] = np.maximum(count["longest"], number)
+        some = np.flatnonzero(own & (count["digits"] >= 4) & (count["digits"] <= DIGITS) & (count["groups"] <= GROUPS))
+        if not len(some):
+            continue
+        n = {k: v[some] for k, v in count.items()}
+        i, j = first[some] + low, at[some] + low
+        f = np.zeros((len(some), FEATURES), bool)
+        kinds = _KINDS_OF_MARKS[n["marks"]]
+        f[:, ALWAYS] = True
+        f[:, AS_PHONE] = (n["digits"] >= 7) & (n["digits"] <= 11)
+        f[:, AS_CARD] = n["digits"] >= 12
+        f[:, FOURS] = (n["groups"] > 1) & (n["odd"] == 0) & (n["lead"] == 4) & (n["digits"] >= 13)
+        f[:, FOUR_BYTES] = (n["marks"] == MARKS["."]) & (n["groups"] == 4) & (n["wide"] == 0) & (n["longest"] <= 3)
+        f[:, LOCAL] = (n["three"] == 3) & (n["two"] == 3) & (n["one"] == 4) & (n["groups"] <= 4)
+        f[:, AREA] = (mark[first[some]] == MARKS["("]) & (n["close"] > 0)
+        f[:, ONE_GROUP] = n["groups"] == 1
+        f[:, ONE_MARK] = kinds == 1
+        f[:, MIXED_MARKS] = _KINDS_OF_MARKS[n["marks"] & ~BLANK] > 1
+        f[:, SLASH] = n["marks"] & MARKS["/"] > 0
+        f[:, UNBALANCED] = n["open"] != n["close"]
+        f[:, FEW_DIGITS] = n["digits"] < 7
+        for r in np.flatnonzero(f[:, AS_CARD]):
+            f[r, LUHN] = luhn(_NOT_DIGIT.sub("", text[tokens[i[r]][0] : tokens[j[r]][1]]))
+        for r in np.flatnonzero((n["groups"] == 3) & (n["digits"] <= 8)):
+            f[r, DATE] = bool(_DATE.fullmatch(text, tokens[i[r]][0], tokens[j[r]][1]))
+        x, y = first[some], at[some]
+        for t in np.unique(x[~seen[0, x]]).tolist():
+            inside, sign, called = borders.before(t + low)
+            left[t] = inside, sign, *called
+        for t in np.unique(y[~seen[1, y]]).tolist():
+            right[t] = borders.after(t + low)
+        seen[0, x] = seen[1, y] = True
+        f[:, INSIDE], f[:, AFTER_SIGN], f[:, NAMED_PHONE : NAMED_EMAIL + 1] = left[x, 0] | right[y], left[x, 1], left[x, 2:]
+        yield i, j, f
+
+
+def addresses(text: str, tokens: list[tuple[int, int]], borders: Borders) -> Iterator[tuple[int, int, np.ndarray]]:
+    """First token, last token and features of written addresses."""
+    for i, (a, b) in enumerate(tokens):
+        if not (text[a].isascii() and text[a].isalnum()) or not _AT.match(text, a, b + 64 + 8):
+            continue
+        left = None
+        for j in range(i, min(i + LONGEST, len(tokens))):
+            end = tokens[j][1]
+            if end - a > WIDEST:
+                break
+            if not text[end - 1].isalnum() or not _WRITTEN.fullmatch(text, a, end):
+                continue
+            left = left or borders.before(i)
+            span = text[a:end]
+            f = np.zeros(FEATURES, bool)
+            f[[ALWAYS, WRITTEN]] = True
+            f[MARKED], f[AT_SIGN] = len(_MARKED.findall(span)) >= 2, "@" in span
+            f[INSIDE], f[AFTER_SIGN], f[NAMED_PHONE : NAMED_EMAIL + 1] = left[0] or borders.after(j), left[1], left[2]
+            f[UNBALANCED] = span.count("(") != span.count(")")
+            yield i, j, f
+
+
+def segments(text: str, tokens: list[tuple[int, int]]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """First tokens, end tokens and features of every segment that some kind is possible for, in blocks."""
+    borders = Borders(text, tokens)
+    found = list(addresses(text, tokens, borders))
+    if found:
+        i, j, f = (np.array(x) for x in zip(*found, strict=True))
+        yield i, j + 1, f
+    starts = np.array([i for i, (a, _) in enumerate(tokens) if text[a] == "(" or "0" <= text[a] <= "9"], np.int64)
+    for at in range(0, len(starts), STARTS):
+        for i, j, f in numbers(text, tokens, starts[at : at + STARTS], borders):
+            yield i, j + 1, f
+
+
+def candidates(text: str, tokens: list[tuple[int, int]], weights: np.ndarray | None = None) -> list[tuple[int, int, np.ndarray]]:
+    """The segments one by one; with weights only those that score above "outside", which no best path lacks."""
+    out = []
+    for i, j, f in segments(text, tokens):
+        f = f.astype(np.float64)
+        keep = (f @ weights.T).max(1) > 0 if weights is not None else np.ones(len(i), bool)
+        out += zip(i[keep].tolist(), j[keep].tolist(), f[keep], strict=True)
+    return out
 
 
 def best_path(length: int, segments: list[tuple[int, int, np.ndarray]], weights: np.ndarray) -> list[tuple[int, int, int]]:
@@ -288,18 +389,23 @@ def added_spans(text: str, base: list[Span], weights: np.ndarray) -> list[Span]:
             stretches.append([a, b])
     found: list[Span] = []
     taken = sorted((a, b) for _, a, b in base)
+    n = 0
     for a, b in stretches:
         # Base spans are settled: the field reads the gaps between them.
         gaps, at = [], a
-        for x, y in taken:
-            if y > at and x < b:
+        while n < len(taken) and taken[n][0] < b:
+            x, y = taken[n]
+            if y > at:
                 gaps.append((at, x))
                 at = y
+            if y > b:
+                break
+            n += 1
         for x, y in [*gaps, (at, b)]:
             if y - x < 7 or not _STRETCH.search(text, x, y):
                 continue
             tokens = [(m.start(), m.end()) for m in _TOKEN.finditer(text, x, y)]
-            for i, j, kind in best_path(len(tokens), candidates(text, tokens), weights):
+            for i, j, kind in best_path(len(tokens), candidates(text, tokens, weights), weights):
                 found.append((KINDS[kind], tokens[i][0], tokens[j - 1][1]))
     return found
 

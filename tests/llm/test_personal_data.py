@@ -1,0 +1,132 @@
+"""Personal data: base spans against SQL, span features against their plain definition, recall, and long texts."""
+
+import re
+import time
+
+import numpy as np
+import pytest
+
+from sparkseek.llm import personal_data as pd_
+from tests.oracle import database
+
+SF = "/root/testdata/sf0.01"
+
+
+def _kind_sql(kind: str, pattern: str, good: str) -> str:
+    return f"""SELECT doc_id, '{kind}' AS kind, s, s + length(m) AS e FROM (SELECT doc_id, m, sum(length(g)) OVER w + sum(length(m)) OVER w - length(m) AS s
+FROM (SELECT doc_id, unnest(m) AS m, unnest(g[:len(m)]) AS g, unnest(range(len(m))) AS i FROM (SELECT doc_id, regexp_extract_all(t, '{pattern}') AS m, string_split_regex(t, '{pattern}') AS g FROM d))
+WINDOW w AS (PARTITION BY doc_id ORDER BY i)) WHERE {good}"""
+
+
+_DIGITS = "regexp_replace(m, '[^0-9]', '', 'g')"
+_LUHN = f"list_sum(list_transform(range(length({_DIGITS})), lambda i: CAST(substr(reverse({_DIGITS}), CAST(i + 1 AS INTEGER), 1) AS INTEGER) * (1 + i % 2) - CASE WHEN CAST(substr(reverse({_DIGITS}), CAST(i + 1 AS INTEGER), 1) AS INTEGER) * (1 + i % 2) > 9 THEN 9 ELSE 0 END)) % 10 = 0"
+BASE_SQL = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), s AS (
+{_kind_sql("email", "[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:[.][A-Za-z0-9-]+)+", "true")} UNION ALL
+{_kind_sql("ip", "[0-9]+(?:[.][0-9]+)(?:[.][0-9]+)(?:[.][0-9]+)", "list_bool_and(list_transform(string_split(m, '.'), lambda x: length(ltrim(x, '0')) <= 3 AND coalesce(try_cast(x AS BIGINT), 0) <= 255))")} UNION ALL
+{_kind_sql("card", "[0-9](?:[ -]?[0-9])+", f"length({_DIGITS}) BETWEEN 12 AND 19 AND {_LUHN}")} UNION ALL
+{_kind_sql("phone", "[+][0-9][ ().0-9-]+[0-9]", f"length({_DIGITS}) BETWEEN 9 AND 15")})
+SELECT d.doc_id, count_if(kind = 'email') AS n_email, count_if(kind = 'ip') AS n_ip, count_if(kind = 'card') AS n_card, count_if(kind = 'phone') AS n_phone,
+sha256(coalesce(string_agg(kind || ':' || CAST(s AS BIGINT) || ':' || CAST(e AS BIGINT), ',' ORDER BY s, list_position(['email', 'ip', 'card', 'phone'], kind)), '')) AS base_sha256 FROM d LEFT JOIN s USING (doc_id) GROUP BY d.doc_id"""
+
+
+def test_base_columns_equal_sql(spark):
+    found = pd_.find(spark.read.parquet(f"{SF}/documents.parquet")).toPandas()
+    columns = ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256"]
+    expected = database(SF).execute(BASE_SQL).df()[columns]
+    mine = sorted(found[columns].itertuples(index=False, name=None))
+    assert mine == sorted(expected.astype({c: "int64" for c in columns[1:-1]}).itertuples(index=False, name=None))
+    assert found["n_email"].sum() > 0 and (found["n_added"] >= 0).all()
+
+
+def _plain_features(span: str, before: str, after: str):
+    """The definition, a span at a time; None where no kind is possible."""
+    written = bool(pd_._WRITTEN.fullmatch(span))
+    groups = re.findall("[0-9]+", span)
+    sizes, digits = [len(g) for g in groups], sum(len(g) for g in groups)
+    numeric = not re.search("[A-Za-z@]", span)
+    if not written and (not numeric or not 4 <= digits <= 19 or not span[-1].isdigit() or len(groups) > 6 or span[0] not in "(0123456789"):
+        return None
+    kind = lambda c: c if c in pd_.MARKS else "blank" if c.isspace() else "other"
+    marks = {kind(c) for c in re.sub("[0-9]", "", span)}
+    context = before.lower()[-16:]
+    called = [any(w in context for w in pd_.CALLED[k]) for k in ("phone", "card", "ip", "email")]
+    inside = before[-1:].isalnum() or after[:1].isalnum() or bool(re.search(r"[0-9][-./ ]$", before)) or bool(re.match(r"[-./ ][0-9]", after))
+    edge = [inside, before[-1:] in tuple("$#=€£%:"), *called, span.count("(") != span.count(")")]
+    if written:
+        return [True, True, len(pd_._MARKED.findall(span)) >= 2, "@" in span, *[False] * 12, *edge, False]
+    number = [
+        7 <= digits <= 11, digits >= 12, digits >= 12 and pd_.luhn("".join(groups)), len(groups) > 1 and set(sizes) <= {3, 4, 5, 6} and sizes[0] == 4 and digits >= 13,
+        marks == {"."} and len(groups) == 4 and max(sizes) <= 3 and all(int(g) <= 255 for g in groups), sizes[-3:] == [3, 3, 4] and len(groups) <= 4,
+        span[0] == "(" and ")" in span, len(groups) == 1, len(marks) == 1, len(marks - {"blank"}) > 1, "/" in marks, bool(pd_._DATE.fullmatch(span)),
+    ]
+    return [True, False, False, False, *number, *edge, digits < 7]
+
+
+def test_features_equal_their_definition():
+    rng = np.random.default_rng(8)
+    texts = [t for t, _ in pd_._templates(99, 200)]
+    texts += ["".join(rng.choice(list("0123459 .-/()@abé,"), 60)) for _ in range(150)]
+    for text in texts:
+        tokens = [m.span() for m in pd_._TOKEN.finditer(text)]
+        expected = {}
+        for i, (a, _) in enumerate(tokens):
+            for j in range(i, min(i + pd_.LONGEST, len(tokens))):
+                b = tokens[j][1]
+                if (text[a].isascii() and text[a].isalnum() or text[a] == "(") and text[b - 1].isalnum():
+                    f = _plain_features(text[a:b], text[max(0, a - pd_.CONTEXT) : a], text[b : b + pd_.CONTEXT])
+                    if f is not None:
+                        expected[i, j + 1] = [bool(x) for x in f]
+        found = {(i, j): [bool(x) for x in f] for i, j, f in pd_.candidates(text, tokens)}
+        assert found == expected, text
+
+
+#: Sentences written by hand, not by the templates: kind, sentence, span.
+SENTENCES = [
+    ("phone", "Please ring (415) 555-2671 after six.", "(415) 555-2671"),
+    ("phone", "The office line is 212-555-0147, ask for Dana.", "212-555-0147"),
+    ("phone", "my cell: 503.555.0198", "503.555.0198"),
+    ("phone", "Fax 1-800-555-0199 any time", "1-800-555-0199"),
+    ("phone", "Reach the desk at (206) 555-0123 or in person", "(206) 555-0123"),
+    ("phone", "Her number, 312-555-0170, has changed", "312-555-0170"),
+    ("card", "paid with 4111.1111.1111.1111 on Friday", "4111.1111.1111.1111"),
+    ("card", "the Visa 5500.0000.0000.0004 was declined", "5500.0000.0000.0004"),
+    ("card", "use card 4012.8888.8888.1881 please", "4012.8888.8888.1881"),
+    ("email", "write to jane.doe (at) example (dot) org today", "jane.doe (at) example (dot) org"),
+    ("email", "contact: bob [at] mail [dot] net", "bob [at] mail [dot] net"),
+    ("email", "mail sales at widgets dot com for a quote", "sales at widgets dot com"),
+    ("email", "You can find me: k.lee (at) uni (dot) edu.", "k.lee (at) uni (dot) edu"),
+]
+PLAIN = [
+    "The meeting is on 2023-11-05 at noon.", "It cost $1,234.56 in total", "Room 12 at the end of hall", "ISBN 978-0-306-40615-7 is out of print", "from 10:30 to 11:45 on 12/05/2021",
+    "serial 4829104857 was recalled", "pages 100-200 and 300-400", "version 10.2.14 of the tool", "the score was 21-17, 15-21, 21-19",
+]
+
+
+@pytest.mark.parametrize("kind", ["phone", "card", "email"])
+def test_recall_on_other_sentences(kind):
+    weights = pd_.trained()
+    own = [(t, s) for k, t, s in SENTENCES if k == kind]
+    hit = [(kind, t.index(s), t.index(s) + len(s)) in pd_.added_spans(t, pd_.base_spans(t), weights) for t, s in own]
+    assert np.mean(hit) >= 0.8
+
+
+def test_plain_sentences_have_no_spans():
+    weights = pd_.trained()
+    assert [t for t in PLAIN if pd_.base_spans(t) or pd_.added_spans(t, [], weights)] == []
+
+
+def test_unbounded_digits():
+    assert pd_.base_spans("0" * 5000 + ".1.1.1") == [("ip", 0, 5006)]
+    assert pd_.base_spans("9" * 5000 + ".1.1.1") == []
+    assert pd_.base_spans("1.2.3.4.5.6.7.8.9") == [("ip", 0, 7), ("ip", 8, 15)]
+
+
+@pytest.mark.parametrize("text", ["7", "12 34 56 78 ", "a at b dot c ", "ab@cd.ef, ", "1.1.1.1.", "(1(", "12          "])
+def test_work_grows_with_the_text(text):
+    weights, spent = pd_.trained(), []
+    for size in (50_000, 200_000):
+        own = text * (size // len(text))
+        start = time.process_time()
+        pd_.added_spans(own, pd_.base_spans(own), weights)
+        spent.append(time.process_time() - start)
+    assert spent[1] <= 8 * spent[0] + 0.5
