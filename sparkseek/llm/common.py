@@ -8,9 +8,9 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import drop_table, durable, shared_folder, small
+from ..session import drop_table, durable, placed, shared_folder, small
 
-__all__ = ["drop_table", "durable", "shared_folder", "small"]
+__all__ = ["drop_table", "durable", "placed", "shared_folder", "small"]
 
 #: Python sees at most so many rows and bytes of a partition at once.
 ARROW_ROWS, ARROW_BYTES = 1000, 8 << 20
@@ -34,23 +34,21 @@ def crc_mod(column: str, n: int):
 def bounded_sample(df: DataFrame, key: str, limit: int, by: str | None = None) -> DataFrame:
     """At most `limit` rows, by the order of a hash of `key`; with `by`, near-equal numbers of each value.
 
-    The counts decide a hash threshold for each value, so no sort or group holds more than the sample;
-    an exact top-`limit` by the hash ends it.
+    Counts decide a hash threshold, for each value where there is a `by` (of which there may be any number), so no
+    sort or group holds more than the sample; an exact top-`limit` by the hash ends it.
     """
     spread = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit("sample")), F.lit(1 << 30))
+    share = lambda rows, n: F.least(F.lit(1.0), 1.2 * F.lit(rows) / n + 1e-9) * (1 << 30)
     if by is None:
-        n = df.count()
-        df = df.filter(spread < int(min(1.0, 1.3 * limit / max(n, 1) + 1e-9) * (1 << 30)))
+        df = df.filter(spread < share(limit, max(df.count(), 1)))
     else:
-        counts = {r[0]: r[1] for r in df.groupBy(by).count().orderBy(F.desc("count")).limit(1000).collect()}
-        share, left, todo = {}, limit, sorted(counts.items(), key=lambda x: x[1])
-        for i, (value, n) in enumerate(todo):
-            share[value] = min(n, left // (len(todo) - i))
-            left -= share[value]
-        keep = F.lit(False)
-        for value, n in counts.items():
-            keep = keep | (F.col(by).eqNullSafe(F.lit(value)) & (spread < int(min(1.0, 1.1 * share[value] / n + 1e-9) * (1 << 30))))
-        df = df.filter(keep)
+        counts = durable(df.groupBy(F.col(by).alias("_value")).agg(F.count("*").alias("_count")))
+        # The largest number of rows a value that leaves the sum within the limit, to a tenth.
+        levels = sorted({int(1.1**i) for i in range(1 + int(np.log(limit) / np.log(1.1)))} | {limit})
+        sums = counts.agg(*[F.coalesce(F.sum(F.least("_count", F.lit(n))), F.lit(0)) for n in levels]).first()
+        level = max([n for n, total in zip(levels, sums, strict=True) if total <= limit], default=1)
+        most = small(counts.select("_value", share(level, F.col("_count")).alias("_most")))
+        df = df.join(most, F.col(by).eqNullSafe(F.col("_value"))).filter(spread < F.col("_most")).drop("_value", "_most")
     return df.orderBy(spread, F.col(key)).limit(limit)
 
 

@@ -12,14 +12,15 @@ with a probability of about 1e-5. Texts that share a sketch also get a signature
 BINS bins of their labelled shingles; pairs whose estimated share of labelled shingles is below ALIKE are not
 aligned (at the threshold the share is two thirds, four standard deviations above).
 
-Groups. Equal word sequences are one class first, so copies cost one count. Within a bucket of equal
-sketches every class is aligned with the bucket's smallest id, which is linear in the bucket. Only buckets that still hold more than one component are then searched for links between their
-components, in blocks of bounded size. A block gives a forest of such links, not its pairs: no link between
-components is lost, and no group is expanded.
+Groups. Equal word sequences are one class first, so copies cost one count; classes are numbered in the order of
+their smallest ids. Within a bucket of equal sketches every class is aligned with the bucket's first one, which is
+linear in the bucket. Only buckets that still hold more than one component are then searched, and there only the
+classes outside the bucket's largest component ask: each block of the bucket's classes meets the blocks of askers.
+A block gives a forest of links, not its pairs: no link between components is lost, and no group is expanded.
 
 Edge cases: null texts stand alone; texts without words are copies of equal texts only; repeated rows of an
-id stay, with one result each; rows of one id with different texts link these texts; null ids stand by a hash
-of their text; an empty table gives no rows; further columns are not looked at.
+id stay, with one result each; rows of one id with different texts link these texts, each of which is compared;
+null ids stand by a hash of their text; an empty table gives no rows; further columns are not looked at.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
-from .common import arrow_limits, drop_table, durable, mix, slices, small, word_hashes
+from .common import arrow_limits, drop_table, durable, mix, placed, slices, small, word_hashes
 from .components import components
 
 WORDS, LEAST = 5, 0.8
@@ -41,7 +42,7 @@ SKETCHES, LENGTH = 32, 3
 #: Bins of a signature and the estimated share from which pairs are aligned; FEW bins are compared first.
 BINS, ALIKE = 256, 0.55
 FEW, ROUGHLY = 64, 0.42
-#: Rows of a bucket that meet in one task: at most two blocks.
+#: Classes of a bucket, and askers, that meet in one block, about.
 ROWS = 1024
 #: Characters of text that are hashed at once.
 CHARS = 1 << 18
@@ -143,7 +144,7 @@ def _sketched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             texts = own["text"].tolist()
             hashes, number = shingle_hashes(texts)
             some = np.flatnonzero(number)
-            out = pd.DataFrame({"_doc": own["_doc"].to_numpy(), "_key": own["_raw"].to_numpy(), "_key2": np.int64(0), "_n": number.astype(np.int64), "_sk": None})
+            out = pd.DataFrame({"_doc": own["_doc"].to_numpy(), "_raw": own["_raw"].to_numpy(), "_key": own["_raw"].to_numpy(), "_key2": np.int64(0), "_n": number.astype(np.int64), "_sk": None})
             if len(some):
                 starts = (np.cumsum(number) - number)[some]
                 place = np.arange(len(hashes), dtype=np.uint64) - np.repeat(starts, number[some]).astype(np.uint64)
@@ -268,7 +269,7 @@ def _across(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if not len(ends):
             continue
         sig = np.frombuffer(b"".join(rows["_sig"]), np.uint64).reshape(len(rows), BINS // 8)
-        rest = np.stack(rows["_sk"].to_list()), rows["_seq"].to_numpy(), *(rows[c].to_numpy() for c in ("_node", "_comp", "_side"))
+        rest = np.stack(rows["_sk"].to_list()), rows["_seq"].to_numpy(), *(rows[c].to_numpy() for c in ("_node", "_comp", "_asks", "_asker"))
         found, start = [], 0
         for end in ends:
             found += _bucket_links(key[start], sig[start:end], *(x[start:end] for x in rest))
@@ -276,18 +277,17 @@ def _across(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(found, columns=["_a", "_b"]).astype("int64")
 
 
-def _bucket_links(key: np.ndarray, sig: np.ndarray, sk: np.ndarray, seq: np.ndarray, node: np.ndarray, comp: np.ndarray, side: np.ndarray) -> list[tuple[int, int]]:
-    """A forest of the links between components of a bucket's two blocks (or within its one).
+def _bucket_links(key: np.ndarray, sig: np.ndarray, sk: np.ndarray, seq: np.ndarray, node: np.ndarray, comp: np.ndarray, asks: np.ndarray, asker: np.ndarray) -> list[tuple[int, int]]:
+    """A forest of the links between the components of a block's askers and its members.
 
-    Members of the largest component meet only the others, a pair is looked at in the first bucket that it
-    shares, likeliest partners come first, and components that a link has joined are not aligned again.
+    Of two askers the one with the smaller number asks. A pair is looked at in the first bucket that it shares,
+    likeliest partners come first, and components that a link has joined are not aligned again.
     """
     rough = np.ascontiguousarray(sig[:, : FEW // 8])
-    number, one_block = np.arange(len(node)), key[1] == key[2]
-    names, at, count = np.unique(comp, return_inverse=True, return_counts=True)
-    small_ones = at != count.argmax()
+    names, at = np.unique(comp, return_inverse=True)
     parent = list(range(len(names)))
     here = (sk[0] == key[0]).argmax()
+    members = np.flatnonzero(~asks)
 
     def root(x: int) -> int:
         while parent[x] != x:
@@ -302,12 +302,8 @@ def _bucket_links(key: np.ndarray, sig: np.ndarray, sk: np.ndarray, seq: np.ndar
         return alike(seq[k], seq[o], bags=both)
 
     found = []
-    for k in np.flatnonzero(small_ones):
-        # Each pair once: of two small ones the earlier row looks.
-        other = (at != at[k]) & (~small_ones | (number > k))
-        if not one_block:
-            other &= side != side[k]
-        other = np.flatnonzero(other)
+    for k in np.flatnonzero(asks):
+        other = members[(at[members] != at[k]) & (~asker[members] | (node[members] > node[k]))]
         other = other[share_of(rough[other], rough[k]) >= ROUGHLY]
         share = share_of(sig[other], sig[k])
         keep = (share >= ALIKE) & ((sk[other] == sk[k]).argmax(1) == here)
@@ -323,26 +319,32 @@ def node_id() -> Column:
     return F.coalesce(F.col("doc_id"), -F.abs(F.xxhash64("text", F.lit("id"))))
 
 
-def near_duplicates(docs: DataFrame, least: float = LEAST) -> DataFrame:
-    """doc_id, class_id (smallest id of equal word sequences), component_id (smallest id that links reach), kept."""
-    if least != LEAST:
-        raise ValueError("sketches and signatures are sized for a similarity of 0.8")
-    spark = docs.sparkSession
-    arrow_limits(spark)
-    texts = docs.select("doc_id", node_id().alias("_doc"), F.coalesce(F.col("text"), F.lit("")).alias("text"), F.when(F.col("text").isNull(), F.xxhash64(node_id(), F.lit("null"))).otherwise(F.xxhash64("text")).alias("_raw"))
-    rows = durable(texts.select("_doc", "text", "_raw").mapInPandas(_sketched, "_doc long, _key long, _key2 long, _n long, _sk array<long>"))
-    classes = durable(rows.groupBy("_key", "_key2").agg(F.min("_doc").alias("_node"), F.max("_n").alias("_n")))
-    # A class has one row with a sketch; rows that repeat an id may give it more.
-    firsts = rows.filter("_n > 0").join(classes.drop("_n"), ["_key", "_key2"]).filter("_doc = _node").dropDuplicates(["_node"])
+def raw_hash() -> Column:
+    """Tells the texts of one id apart."""
+    return F.when(F.col("text").isNull(), F.xxhash64(node_id(), F.lit("null"))).otherwise(F.xxhash64("text"))
+
+
+def grouped(docs: DataFrame, by_id: bool) -> tuple[DataFrame, DataFrame]:
+    """_doc, _raw, _node, _first (the class's number and smallest id) of every row, and the components of classes
+    (node, component) that links join; with `by_id`, different texts of one id are linked too.
+    """
+    arrow_limits(docs.sparkSession)
+    texts = docs.select(node_id().alias("_doc"), F.coalesce(F.col("text"), F.lit("")).alias("text"), raw_hash().alias("_raw"))
+    rows = durable(texts.mapInPandas(_sketched, "_doc long, _raw long, _key long, _key2 long, _n long, _sk array<long>"))
+    classes = rows.groupBy("_key", "_key2").agg(F.min("_doc").alias("_first"))
+    classes = placed(classes, "_first", "_key", "_key2", name="_node")
+    named = durable(rows.select("_doc", "_raw", "_key", "_key2").join(classes, ["_key", "_key2"]).select("_doc", "_raw", "_node", "_first"))
+    # One row stands for its class, by its id and text.
+    stands = named.filter("_doc = _first").groupBy("_node").agg(F.min(F.struct("_doc", "_raw")).alias("_s")).select("_node", "_s.*")
+    firsts = rows.filter("_n > 0").drop("_n", "_key", "_key2").join(stands, ["_doc", "_raw"]).dropDuplicates(["_node"])
     # Sketches carry their function's number, so the value alone names a bucket.
-    buckets = firsts.select("_node", F.explode("_sk").alias("_value")).repartition("_value")
+    buckets = firsts.select("_node", "_doc", "_raw", F.explode("_sk").alias("_value")).repartition("_value")
     shared = buckets.groupBy("_value").agg(F.count("*").alias("_size"), F.min("_node").alias("_lead")).filter("_size > 1")
     buckets = durable(buckets.join(shared, "_value"))
-    inside = durable(buckets.select("_node").distinct())
-    seqs = texts.select(F.col("_doc").alias("_node"), "text").join(small(inside), "_node", "left_semi")
-    # Copies of an id are rare: one of them is kept.
-    seqs = seqs.mapInPandas(_tokens, "_node long, _seq array<int>, _sig binary")
-    # Copies of an id are rare: one of them is kept.
+    inside = durable(buckets.select("_node", "_doc", "_raw").distinct())
+    # Rows that repeat an id and its text give equal sequences, of which one stays.
+    seqs = texts.join(small(inside), ["_doc", "_raw"])
+    seqs = seqs.select("_node", "text").mapInPandas(_tokens, "_node long, _seq array<int>, _sig binary")
     seqs = durable(seqs.join(firsts.select("_node", "_sk"), "_node").dropDuplicates(["_node"]))
 
     def linked(pairs: DataFrame) -> DataFrame:
@@ -352,38 +354,59 @@ def near_duplicates(docs: DataFrame, least: float = LEAST) -> DataFrame:
         one, two = (seqs.select(F.col("_node").alias(f"_{y}"), F.col("_seq").alias(f"_s{y}")) for y in "ab")
         return pairs.join(one, "_a").join(two, "_b").mapInPandas(_aligned, "_a long, _b long")
 
-    lead = durable(buckets.filter("_node <> _lead").select(F.least("_node", "_lead").alias("_a"), F.greatest("_node", "_lead").alias("_b")).distinct())
-    edges = durable(linked(lead))
+    lead = durable(buckets.filter("_node <> _lead").select(F.col("_lead").alias("_a"), F.col("_node").alias("_b")).distinct())
+    edges = linked(lead)
+    if by_id:
+        several = durable(named.groupBy("_doc").agg(F.min("_node").alias("_a"), F.max("_node").alias("_z")).filter("_a <> _z").select("_doc", "_a"))
+        edges = edges.unionByName(named.select("_doc", F.col("_node").alias("_b")).join(small(several), "_doc").filter("_a <> _b").select("_a", "_b").distinct())
+    edges = durable(edges)
     comps = components(edges, "_a", "_b")
 
-    # Members of the buckets that hold more than one component, with their components.
-    own = buckets.select("_value", "_node", "_size").join(comps, F.col("_node") == F.col("node"), "left").withColumn("_comp", F.coalesce("component", "_node")).drop("node", "component")
-    many = own.groupBy("_value").agg((F.min("_comp") != F.max("_comp")).alias("_many")).filter("_many").drop("_many")
-    blocks = F.ceil(F.col("_size") / ROWS).cast("int")
-    rest = own.join(many, "_value").withColumn("_side", F.pmod(F.xxhash64("_node", F.lit("block")), blocks).cast("int"))
-    rest = rest.withColumn("_other", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumns({"_i": F.least("_side", "_other"), "_j": F.greatest("_side", "_other")})
+    # Members of the buckets that hold more than one component, with their components; all but the largest ask.
+    own = buckets.select("_value", "_node").join(comps, F.col("_node") == F.col("node"), "left").select("_value", "_node", F.coalesce("component", "_node").alias("_comp"))
+    sizes = own.groupBy("_value", "_comp").agg(F.count("*").alias("n"))
+    sizes = sizes.groupBy("_value").agg(F.sum("n").alias("_size"), F.max(F.struct("n", "_comp")).alias("_most"), F.count("*").alias("m")).filter("m > 1")
+    sizes = sizes.select("_value", F.col("_most._comp").alias("_main"), F.ceil(F.col("_size") / ROWS).cast("int").alias("_blocks"), F.ceil((F.col("_size") - F.col("_most.n")) / ROWS).cast("int").alias("_queues"))
+    rest = own.join(sizes, "_value").withColumns({"_asker": F.col("_comp") != F.col("_main"), "_h": F.xxhash64("_node", F.lit("block"))})
+    member = F.transform(F.sequence(F.lit(0), F.col("_queues") - 1), lambda q: F.struct(F.lit(False).alias("_asks"), F.pmod("_h", "_blocks").cast("int").alias("_i"), q.alias("_j")))
+    asking = F.transform(F.sequence(F.lit(0), F.col("_blocks") - 1), lambda b: F.struct(F.lit(True).alias("_asks"), b.alias("_i"), F.pmod("_h", "_queues").cast("int").alias("_j")))
+    rest = rest.select("_value", "_node", "_comp", "_asker", F.explode(F.when(F.col("_asker"), F.concat(member, asking)).otherwise(member)).alias("_m")).select("_value", "_node", "_comp", "_asker", "_m.*")
     rest = rest.join(seqs, "_node")
     across = rest.repartition("_value", "_i", "_j").sortWithinPartitions("_value", "_i", "_j").mapInPandas(_across, "_a long, _b long")
     links = durable(edges.unionByName(across))
     for done in (buckets, inside, seqs, lead, edges):
         drop_table(done)
-    comps = components(links, "_a", "_b")
+    return named, components(links, "_a", "_b")
+
 
-    named = rows.select("_doc", "_key", "_key2").join(classes.drop("_n"), ["_key", "_key2"])
-    out = named.join(comps, F.col("_node") == F.col("node"), "left").select("_doc", F.col("_node").alias("class_id"), F.coalesce("component", "_node").alias("component_id"))
+def near_duplicates(docs: DataFrame, least: float = LEAST) -> DataFrame:
+    """doc_id, class_id (smallest id of equal word sequences), component_id (smallest id that links reach), kept."""
+    if least != LEAST:
+        raise ValueError("sketches and signatures are sized for a similarity of 0.8")
+    named, comps = grouped(docs, by_id=True)
+    # Classes are numbered by their smallest ids, so a component's first class has its smallest id.
+    firsts = named.select(F.col("_node").alias("component"), F.col("_first").alias("component_id")).join(comps.select("component").distinct(), "component", "left_semi").distinct()
+    names = durable(comps.join(firsts, "component").select(F.col("node").alias("_node"), "component_id"))
+    out = named.join(small(names), "_node", "left").select("_doc", F.col("_first").alias("class_id"), F.coalesce("component_id", "_first").alias("component_id"))
     return out.select(F.col("_doc").alias("doc_id"), "class_id", "component_id", (F.col("_doc") == F.col("component_id")).alias("kept"))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """One document of each component: the one with the smallest id; all columns stay.
+    """One document of each group of near-duplicate texts: the one with the smallest id; all columns stay.
 
-    Rows that repeat an id are copies of each other, of which one stays.
+    Texts of one id are texts of their own here, so that no distinct text goes with another's group; of rows that
+    repeat an id and its text one stays.
     """
-    found = near_duplicates(docs).groupBy("doc_id").agg(F.min("kept").alias("kept"), F.count("*").alias("n"))
-    found = durable(found.filter("n > 1 OR NOT kept").select(F.col("doc_id").alias("_id"), "kept"))
-    lost, twice = small(found.filter("NOT kept").select("_id")), small(found.filter("kept").select("_id"))
-    rows = docs.select(F.struct("*").alias("_row"), node_id().alias("_node"))
-    stay = rows.join(lost, F.col("_node").eqNullSafe(F.col("_id")), "left_anti")
-    once = stay.join(twice, F.col("_node").eqNullSafe(F.col("_id")), "left_anti")
-    more = stay.join(twice, F.col("_node").eqNullSafe(F.col("_id")), "left_semi").dropDuplicates(["_node"])
+    named, comps = grouped(docs, by_id=False)
+    copies = comps.filter("node <> component").select(F.col("node").alias("_node"), F.lit(True).alias("_copy"))
+    rows = named.join(small(durable(copies)), "_node", "left").groupBy("_node", "_doc", "_raw", "_copy").agg(F.count("*").alias("_rows"))
+    stands = rows.filter("_copy IS NULL").groupBy("_node").agg(F.min(F.struct("_doc", "_raw")).alias("_s")).select("_node", "_s.*", F.lit(True).alias("_kept"))
+    rows = rows.join(stands, ["_node", "_doc", "_raw"], "left").filter("_kept IS NULL OR _rows > 1")
+    found = durable(rows.select(F.col("_doc").alias("_d"), F.col("_raw").alias("_r"), F.coalesce("_kept", F.lit(False)).alias("_kept")))
+    lost, twice = (small(found.filter(F.col("_kept") == kept).select("_d", "_r")) for kept in (False, True))
+    docs = docs.select(F.struct("*").alias("_row"), node_id().alias("_doc"), raw_hash().alias("_raw"))
+    same = (F.col("_doc") == F.col("_d")) & (F.col("_raw") == F.col("_r"))
+    stay = docs.join(lost, same, "left_anti")
+    once = stay.join(twice, same, "left_anti")
+    more = stay.join(twice, same, "left_semi").dropDuplicates(["_doc", "_raw"])
     return once.unionByName(more).select("_row.*")

@@ -241,6 +241,36 @@ def test_near_duplicates_equal_all_pairs(spark):
     assert order_minhash.deduplicated(docs_of(spark, texts)).count() == len(set(label))
 
 
+def test_texts_of_one_id_are_each_compared(spark):
+    one, two, other = (" ".join(words(120, seed, 3000)) for seed in (31, 32, 33))
+    rows = [(1, one), (1, two), (2, one + " tail"), (3, two + " tail"), (4, other), (4, other.upper()), (5, other + " tail"), (6, two), (7, None), (7, "seven")]
+    docs = spark.createDataFrame(rows, "doc_id LONG, text STRING").withColumn("_node", F.lit("x"))
+    found = sorted((r["doc_id"], r["component_id"], r["kept"]) for r in order_minhash.near_duplicates(docs).collect())
+    assert found == [(1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (4, 4, True), (4, 4, True), (5, 4, False), (6, 1, False), (7, 7, True), (7, 7, True)]
+    stay = sorted((r["doc_id"], (r["text"] or "").lower()) for r in order_minhash.deduplicated(docs).collect())
+    assert stay == sorted([(1, one), (1, two), (4, other), (7, ""), (7, "seven")])
+
+
+def test_divided_buckets_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(order_minhash, "ROWS", 16)
+    rng, base = random.Random(12), words(100, 12, 3000)
+    texts = []
+    for family in range(6):
+        own = list(base)
+        for k in rng.sample(range(100), 4):
+            own[k] = f"f{family}x{k}"
+        texts += [" ".join([*own, *words(rng.randrange(3), rng.random())]) for _ in range(20)]
+    hashes, number = order_minhash.shingle_hashes(texts)
+    seqs = np.split(hashes, np.cumsum(number)[:-1])
+    label = list(range(len(texts)))
+    near = [(i, j) for i in label for j in range(i) if order_minhash.alike(seqs[i], seqs[j])]
+    for _ in range(10):
+        for i, j in near:
+            label[i] = label[j] = min(label[i], label[j])
+    found = {r["doc_id"]: r["component_id"] for r in order_minhash.near_duplicates(docs_of(spark, texts)).collect()}
+    assert [found[i] for i in range(len(texts))] == label
+
+
 def test_a_large_group_of_copies_is_one_component(spark):
     base = words(80, 9)
     texts = [" ".join(base)] * 300 + [" ".join([*base[:40], f"v{i}", *base[41:]]) for i in range(300)]
