@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from .common import durable, small
 
 WORDS, LEAST, EXTRA = 5, 0.8, 2
+#: Items' shingles are broadcast up to so many characters; beyond that the pairs are shuffled to them.
+BROADCAST_CHARS = 32 << 20
 WORD_BREAK = r"[^\p{L}\p{N}]+"
 
 
@@ -65,8 +67,12 @@ def containment(docs: DataFrame, items: DataFrame, least: float = LEAST, width:
     probes = durable(items.select("item_id", "_k", "_need", "_n", F.explode("_sketch").alias("_x")))
     shared = sketched.join(small(probes), "_x").groupBy("doc_id", "item_id").agg(F.count("*").alias("_shared"), F.max(F.col("_k") - F.col("_n") + F.col("_need")).alias("_least"))
     found = durable(shared.filter(F.col("_shared") >= F.col("_least")).select(F.col("doc_id").alias("_doc"), "item_id"))
-    texts = split.join(small(found.select("_doc").distinct()), F.col("doc_id").eqNullSafe(F.col("_doc")), "left_semi").select("doc_id", F.array_distinct(shingles("_w", width, _text)).alias("_held"))
-    pairs = texts.join(small(found), F.col("doc_id").eqNullSafe(F.col("_doc"))).drop("_doc").join(small(items.select(F.col("item_id").alias("_item"), "_text", "_n", "_need")), F.col("item_id").eqNullSafe(F.col("_item")))
+    # Only documents with a candidate are split a second time.
+    texts = docs.select("doc_id", "text").join(small(found.select("_doc").distinct()), F.col("doc_id").eqNullSafe(F.col("_doc")), "left_semi")
+    texts = texts.select("doc_id", words("text").alias("_w")).select("doc_id", F.array_distinct(shingles("_w", width, _text)).alias("_held"))
+    wanted = items.select(F.col("item_id").alias("_item"), "_text", "_n", "_need")
+    chars = wanted.agg(F.sum(F.aggregate("_text", F.lit(0).cast("long"), lambda total, t: total + F.length(t) + 16))).first()[0]
+    pairs = texts.join(small(found), F.col("doc_id").eqNullSafe(F.col("_doc"))).drop("_doc").join(F.broadcast(wanted) if chars <= BROADCAST_CHARS else wanted, F.col("item_id").eqNullSafe(F.col("_item")))
     pairs = pairs.select("doc_id", "item_id", F.col("_n").alias("n_shingles"), F.size(F.array_intersect("_text", "_held")).alias("_common"), "_need")
     return pairs.filter(F.col("_common") >= F.col("_need")).groupBy("doc_id", "item_id").agg(F.max("n_shingles").alias("n_shingles"), F.max(F.col("_common") / F.col("n_shingles")).alias("containment"))
 

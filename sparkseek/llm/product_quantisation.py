@@ -1,18 +1,20 @@
 """Near-duplicate vectors by product quantisation.
 
-Unit vectors are dealt to coarse cells (k-means), and the residual to the cell's centroid is coded in SUBSPACES
-bytes. Every vector searches its own cell and each cell whose border is within reach of a vector at the
-threshold; with a table of distances from the query's residual parts to all codewords, a member's distance is
-a sum of looked-up entries. A member passes when that is within the threshold's distance plus the member's own
-coding error, so coding loses nothing; what passes is compared by cosine in double precision.
+Unit vectors are dealt to coarse cells on two levels (k-means inside k-means), and the residual to the cell's
+centroid is coded in SUBSPACES bytes. Every vector searches its own cell and each later cell whose borders, on
+either level, are within reach of a vector at the threshold; a pair of cells is thus searched from one side, and
+what it finds counts for both. With a table of distances from the query's residual parts to all codewords, a
+member's distance is a sum of looked-up entries. A member passes when that is within the threshold's distance plus
+the member's own coding error, so coding loses nothing; what passes is compared by cosine in double precision.
 
 A change of length r spread over d dimensions moves a vector by about r / sqrt(d) across one border, so cells
-within REACH such lengths are searched (never further than r, which is enough for any change). The cells and
-codewords are fitted on a bounded, hashed sample; all vectors are indexed and all are queries.
+within REACH such lengths are searched (never further than r, which is enough for any change). The number of cells
+follows the square root of the number of vectors, up to CELLS; cells and codewords are fitted on a hashed sample of
+SAMPLE vectors a cell, all vectors are indexed and all are queries.
 
 Groups. Equal vectors are one class first. A cell's members and queries are dealt to groups of bounded size,
 and a group returns sums of links and a spanning forest of them, not its pairs, so dense groups cost their
-members. The graph's components come from `components`.
+members. Vectors travel in the type they came in. The graph's components come from `components`.
 
 Edge cases: vectors that are null, empty or zero, or hold null or non-finite components link with nothing;
 shorter vectors count as padded with zeros; repeated rows of an id stay, and link with each other; null ids
@@ -27,6 +29,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from .common import arrow_limits, bounded_sample, durable
 from .components import components
@@ -34,8 +37,9 @@ from .components import components
 LEAST = 0.95
 SUBSPACES, CODES = 8, 256
 REACH = 4.0
-#: Vectors that cells and codewords are fitted on, at most; and cells, at most.
-LEARN, CELLS = 16384, 1024
+#: Cells in all and of one coarse cell, at most; vectors that are fitted on for each cell, and at least.
+CELLS, FINE = 16384, 256
+SAMPLE, LEAST_SAMPLE = 16, 16384
 ROUNDS = 8
 #: Members and queries of a group, about.
 MEMBERS, QUERIES = 2048, 8192
@@ -64,21 +68,51 @@ def nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.concatenate([(x[i : i + 4096] @ c.T - half).argmax(1) for i in range(0, len(x), 4096)]) if len(x) else np.zeros(0, int)
 
 
+def gaps(c: np.ndarray) -> np.ndarray:
+    """Distances between centroids."""
+    squares = (c * c).sum(1)
+    return np.sqrt(np.maximum(squares[:, None] + squares[None, :] - 2 * c @ c.T, 1e-12))
+
+
+def borders(x: np.ndarray, c: np.ndarray, gap: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest centroid of each row, and how far the row is from the border towards each of the others."""
+    d = (c * c).sum(1) - 2 * x @ c.T
+    near = d.argmin(1)
+    return near, (d - d[np.arange(len(x)), near][:, None]) / (2 * gap[near])
+
+
 class Index:
-    """Coarse centroids and the codewords of each subspace of their residuals."""
+    """Coarse centroids, the fine ones of each, and the codewords of each subspace of the residuals to these.
+
+    A cell's number is that of its fine centroid; those of a coarse cell are consecutive.
+    """
 
     def __init__(self, sample: np.ndarray, cells: int):
         self.width = sample.shape[1] // SUBSPACES
-        self.cells = kmeans(sample, cells, 3)
-        rest = sample - self.cells[nearest(sample, self.cells)]
+        self.coarse = kmeans(sample, -(-cells // FINE), 3)
+        near = nearest(sample, self.coarse)
+        parts = [sample[near == k] for k in range(len(self.coarse))]
+        # An empty part keeps its coarse centroid as its one cell.
+        fine = [kmeans(x, max(1, min(round(cells * len(x) / len(sample)), len(x))), 4) if len(x) else c[None] for x, c in zip(parts, self.coarse, strict=True)]
+        self.first = np.cumsum([0, *map(len, fine)])
+        self.cells = np.concatenate(fine)
+        self.gap, self.gaps = gaps(self.coarse), [gaps(c) for c in fine]
+        rest = sample - self.cells[self.place(sample)]
         self.words = np.stack([kmeans(np.ascontiguousarray(self.part(rest, s)), CODES, 5 + s) for s in range(SUBSPACES)])
-        gap = self.cells[:, None, :] - self.cells[None, :, :] if cells <= 64 else None
-        squares = (self.cells**2).sum(1)
-        self.gap = np.sqrt(np.maximum((gap**2).sum(2) if gap is not None else squares[:, None] + squares[None, :] - 2 * self.cells @ self.cells.T, 1e-12))
 
     def part(self, x: np.ndarray, s: int) -> np.ndarray:
         return x[:, s * self.width : (s + 1) * self.width]
 
+    def own(self, k: int) -> np.ndarray:
+        return self.cells[self.first[k] : self.first[k + 1]]
+
+    def place(self, x: np.ndarray) -> np.ndarray:
+        """The cell of each row."""
+        near, cell = nearest(x, self.coarse), np.zeros(len(x), np.int64)
+        for k in np.unique(near):
+            cell[near == k] = self.first[k] + nearest(x[near == k], self.own(k))
+        return cell
+
     def table(self, rest: np.ndarray, s: int) -> np.ndarray:
         """Squared distances of the rows' parts to all codewords of a subspace."""
         x, w = self.part(rest, s), self.words[s]
@@ -86,17 +120,26 @@ class Index:
 
     def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Cell, code bytes and coding error of each row."""
-        cell = nearest(x, self.cells)
+        cell = self.place(x)
         rest = x - self.cells[cell]
         codes = np.stack([nearest(self.part(rest, s), self.words[s]) for s in range(SUBSPACES)], 1).astype(np.uint8)
         back = np.concatenate([self.words[s][codes[:, s]] for s in range(SUBSPACES)], 1)
         return cell, codes, np.sqrt(((rest - back) ** 2).sum(1))
 
-    def probes(self, x: np.ndarray, cell: np.ndarray, reach: float) -> np.ndarray:
-        """Rows x cells: is the border towards the cell within reach?"""
-        d = -2 * x @ self.cells.T + (self.cells**2).sum(1)
-        own = d[np.arange(len(x)), cell][:, None]
-        return (d - own) / (2 * self.gap[cell]) <= reach
+    def probes(self, x: np.ndarray, cell: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and the cells from their own on whose borders are within reach on both levels."""
+        _, away = borders(x, self.coarse, self.gap)
+        rows, found = [], []
+        for k in range(len(self.coarse)):
+            some = np.flatnonzero((away[:, k] <= reach) & (cell < self.first[k + 1]))
+            if len(some):
+                i, j = np.nonzero(borders(x[some], self.own(k), self.gaps[k])[1] <= reach)
+                later = j + self.first[k] >= cell[some[i]]
+                rows.append(some[i[later]])
+                found.append(j[later] + self.first[k])
+        rows, found = np.concatenate(rows), np.concatenate(found)
+        order = np.argsort(rows, kind="stable")
+        return rows[order], found[order]
 
 
 def reach_of(least: float, width: int) -> tuple[float, float]:
@@ -105,12 +148,16 @@ def reach_of(least: float, width: int) -> tuple[float, float]:
     return r, r * min(1.0, REACH / np.sqrt(width))
 
 
-def _unit(rows: pd.Series, width: int) -> np.ndarray:
+def padded(rows: pd.Series, width: int) -> np.ndarray:
     out = np.zeros((len(rows), width))
     for i, v in enumerate(rows):
         out[i, : len(v)] = v
-    out /= np.abs(out).max(1, keepdims=True)
-    return out / np.sqrt((out * out).sum(1, keepdims=True))
+    return out
+
+
+def unit(x: np.ndarray) -> np.ndarray:
+    x = x / np.abs(x).max(1, keepdims=True)
+    return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -132,17 +179,21 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[away], nodes[label[away]]
 
 
-def links_of(members: pd.DataFrame, queries: pd.DataFrame, index: Index, cell: int, least: float) -> pd.DataFrame:
-    """What a group finds: rows (node, weight) of sums of links, rows (node, other) of a spanning forest."""
+def links_of(members: pd.DataFrame, queries: pd.DataFrame, index: Index, cell: int, least: float, kind: str) -> pd.DataFrame:
+    """What a group finds: rows (node, weight) of sums of links, rows (node, other) of a spanning forest.
+
+    Both ends of a link get the other's size. In its own cell a vector asks for later ones only.
+    """
     r, _ = reach_of(least, index.cells.shape[1])
+    vectors_of = lambda column: unit(np.frombuffer(b"".join(column), kind).reshape(len(column), -1).astype(np.float64))
     codes = np.frombuffer(b"".join(members["code"]), np.uint8).reshape(len(members), SUBSPACES).astype(np.int64)
     bound = (r + members["error"].to_numpy() + 1e-5) ** 2
-    vectors = np.frombuffer(b"".join(members["vec"])).reshape(len(members), -1)
+    vectors, asked = vectors_of(members["vec"]), vectors_of(queries["asked"])
     node, size = members["node"].to_numpy(), members["size"].to_numpy()
-    asked, asking = np.frombuffer(b"".join(queries["asked"])).reshape(len(queries), -1), queries["asking"].to_numpy()
+    asking, count, home = (queries[c].to_numpy() for c in ("asking", "count", "home"))
     offsets = np.arange(SUBSPACES)[:, None] * CODES
     places = (codes.T + offsets).copy()
-    weights, a, b = np.zeros(len(asking), np.int64), [], []
+    given, got, a, b = np.zeros(len(asking), np.int64), np.zeros(len(node), np.int64), [], []
     for at in range(0, len(asking), TOGETHER):
         block = asked[at : at + TOGETHER]
         rest = (block - index.cells[cell]).astype(np.float32)
@@ -151,15 +202,18 @@ def links_of(members: pd.DataFrame, queries: pd.DataFrame, index: Index, cell: i
         for s in range(1, SUBSPACES):
             distance += np.take(look, places[s], axis=1)
         q, near = np.nonzero(distance <= bound)
+        later = ~home[at + q] | (node[near] > asking[at + q])
+        q, near = q[later], near[later]
         good = np.einsum("ij,ij->i", vectors[near], block[q]) >= least
-        good &= node[near] != asking[at + q]
-        q, near = q[good], near[good]
+        q, near = at + q[good], near[good]
         if len(q):
-            np.add.at(weights, at + q, size[near])
-            a.append(asking[at + q])
+            np.add.at(given, q, size[near])
+            np.add.at(got, near, count[q])
+            a.append(asking[q])
             b.append(node[near])
+    nodes, weights = np.concatenate([asking, node]), np.concatenate([given, got])
     some = weights > 0
-    out = [pd.DataFrame({"node": asking[some], "other": pd.array([None] * int(some.sum()), "Int64"), "weight": weights[some]})]
+    out = [pd.DataFrame({"node": nodes[some], "other": pd.array([None] * int(some.sum()), "Int64"), "weight": weights[some]})]
     if a:
         x, y = forest(np.concatenate(a), np.concatenate(b))
         out.append(pd.DataFrame({"node": x, "other": pd.array(y, "Int64"), "weight": np.zeros(len(x), np.int64)}))
@@ -170,6 +224,7 @@ def linked_vectors(vectors: DataFrame, least: float = LEAST) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of vec_id, embedding."""
     spark = vectors.sparkSession
     arrow_limits(spark)
+    kind = "f4" if vectors.schema["embedding"].dataType.elementType == FloatType() else "f8"
     wide = F.col("embedding").cast("array<double>")
     plain = F.coalesce(F.size(wide) > 0, F.lit(False)) & F.coalesce(F.forall(wide, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))), F.lit(False)) & F.coalesce(F.exists(wide, lambda x: x != 0), F.lit(False))
     rows = vectors.select("vec_id", F.coalesce("vec_id", -F.abs(F.xxhash64("embedding", F.lit("id")))).alias("id"), F.when(plain, wide).alias("v"))
@@ -183,9 +238,10 @@ def linked_vectors(vectors: DataFrame, least: float = LEAST) -> DataFrame:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
     width = -(-width // SUBSPACES) * SUBSPACES
     nodes = durable(good.join(classes.drop("width"), ["h", "h2"]).filter("id = node").dropDuplicates(["h", "h2"]).select("node", "size", "v"))
-    sample = bounded_sample(nodes.select("node", "v"), "node", LEARN).select("v").toArrow().column("v").to_pandas()
-    cells = int(min(CELLS, max(1, 2 ** round(np.log2(max(n, 2)) / 2)), max(1, len(sample) // 8)))
-    index = spark.sparkContext.broadcast(vars(Index(_unit(sample, width).astype(np.float32), cells)))
+    cells = int(min(CELLS, 2 ** round(np.log2(max(n, 2)) / 2)))
+    sample = bounded_sample(nodes.select("node", "v"), "node", max(LEAST_SAMPLE, SAMPLE * cells)).select("v").toArrow().column("v").to_pandas()
+    cells = min(cells, max(1, len(sample) // 8))
+    index = spark.sparkContext.broadcast(vars(Index(unit(padded(sample, width)).astype(np.float32), cells)))
     _, reach = reach_of(least, width)
 
     def load() -> Index:
@@ -196,11 +252,12 @@ def linked_vectors(vectors: DataFrame, least: float = LEAST) -> DataFrame:
     def coded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = load()
         for batch in batches:
-            x = _unit(batch["v"], width)
-            single = x.astype(np.float32)
+            x = padded(batch["v"], width)
+            single = unit(x).astype(np.float32)
             cell, codes, error = own.encode(single)
-            probes = own.probes(single, cell, reach)
-            yield pd.DataFrame({"node": batch["node"], "size": batch["size"], "vec": [v.tobytes() for v in x], "code": [c.tobytes() for c in codes], "error": error.astype(np.float64), "cell": cell.astype(np.int32), "probes": [np.flatnonzero(p).astype(np.int32) for p in probes]})
+            rows, found = own.probes(single, cell, reach)
+            probes = np.split(found.astype(np.int32), np.searchsorted(rows, np.arange(1, len(x))))
+            yield pd.DataFrame({"node": batch["node"], "size": batch["size"], "vec": [v.tobytes() for v in x.astype(kind)], "code": [c.tobytes() for c in codes], "error": error.astype(np.float64), "cell": cell.astype(np.int32), "probes": probes})
 
     coded_rows = durable(nodes.mapInPandas(coded, "node long, size long, vec binary, code binary, error double, cell int, probes array<int>"))
     # At most CELLS rows each.
@@ -209,12 +266,12 @@ def linked_vectors(vectors: DataFrame, least: float = LEAST) -> DataFrame:
     blocks = F.broadcast(held.join(asked, "cell"))
     spread = F.xxhash64("node", F.lit("group"))
     members = coded_rows.join(blocks, "cell").select("cell", F.pmod(spread, F.col("m")).alias("mi"), F.expr("explode(sequence(0L, q - 1L))").alias("qi"), "node", "size", "vec", "code", "error")
-    queries = coded_rows.select(F.explode("probes").alias("cell"), "node", "vec").join(blocks, "cell").select("cell", F.expr("explode(sequence(0L, m - 1L))").alias("mi"), F.pmod(spread, F.col("q")).alias("qi"), F.col("node").alias("asking"), F.col("vec").alias("asked"))
+    queries = coded_rows.select(F.col("cell").alias("own"), F.explode("probes").alias("cell"), "node", "vec", "size").withColumn("home", F.col("own") == F.col("cell")).join(blocks, "cell").select("cell", F.expr("explode(sequence(0L, m - 1L))").alias("mi"), F.pmod(spread, F.col("q")).alias("qi"), F.col("node").alias("asking"), F.col("vec").alias("asked"), F.col("size").alias("count"), "home")
 
     def found(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"node": [], "other": [], "weight": []})
-        return links_of(left, right, load(), key[0], least)
+        return links_of(left, right, load(), key[0], least, kind)
 
     groups = ["cell", "mi", "qi"]
     out = durable(members.groupBy(*groups).cogroup(queries.groupBy(*groups)).applyInPandas(found, "node long, other long, weight long"))

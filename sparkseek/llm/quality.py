@@ -2,7 +2,7 @@
 
 A text's terms are trigrams of character shapes (lower case, upper case, digit, blank, each mark by itself)
 and terms for its shares of repeated words, capitals and marks in steps. A truncated singular value
-decomposition of the weighted terms of a bounded, hashed sample of labelled texts gives the latent space. The
+decomposition of the weighted terms of a bounded, hashed sample of labelled, whole texts gives the latent space. The
 sample's vectors and labels are broadcast; every document's vector is multiplied with all of them in exact
 blocks, and the labels of the nearest ones are weighted by similarity.
 
@@ -21,11 +21,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_limits, bounded_sample, crc_mod, slices, window_of, word_hashes
+from .common import arrow_limits, bounded_sample, crc_mod, slices, word_hashes
 
-#: At most so many labelled rows are learned from, in near-equal numbers of either label, and so many
-#: characters of each, from a hashed place.
-LEARN, PASSAGE = 4096, 20_000
+#: At most so many labelled rows are learned from, in near-equal numbers of either label.
+LEARN = 4096
 TERMS, STEPS, LATENT = 2048, 12, 48
 NEIGHBOURS, SHARPNESS = 31, 6
 CUT = 0.3
@@ -80,14 +79,12 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 
 class Voter:
-    def __init__(self, texts: list[str], labels: list[int], seed: int = 19):
+    def __init__(self, trigrams: np.ndarray, steps: np.ndarray, labels: list[int], seed: int = 19):
         self.labels = np.array(labels, np.float32)
         self.neutral = float(self.labels.mean()) if len(labels) else 0.5
         if not len(labels):
             return
-        parts = [counts_of(texts[p]) for p in slices([len(t) for t in texts], CHARS)]
-        trigrams, steps = (np.concatenate(x) for x in zip(*parts, strict=True))
-        self.weight = np.log((1 + len(texts)) / (1 + (trigrams > 0).sum(0))).astype(np.float32) + 1
+        self.weight = np.log((1 + len(labels)) / (1 + (trigrams > 0).sum(0))).astype(np.float32) + 1
         x = self.weighted(trigrams, steps)
         rng = np.random.default_rng(seed)
         q = np.linalg.qr(x @ rng.normal(size=(x.shape[1], LATENT + 16)).astype(np.float32))[0]
@@ -114,12 +111,26 @@ class Voter:
         return np.clip(out, 0, 1)
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, limit: int, passage: int) -> list[tuple[str, int]]:
-    """Texts and labels of at most `limit` labelled documents, in a fixed order."""
-    picked = bounded_sample(labels.filter(F.col(label).isin(0, 1)).select("doc_id", F.col(label).alias("_y")), "doc_id", limit, "_y")
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").filter(F.col("text").isNotNull())
-    rows = rows.select("doc_id", "_y", window_of("text", "doc_id", passage).alias("text")).orderBy("doc_id", "_y", "text").limit(limit).collect()
-    return [(r["text"], r["_y"]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["_y"], r["text"]))]
+def labelled(docs: DataFrame, labels: DataFrame, label: str, limit: int) -> DataFrame:
+    """doc_id, _y, text of at most `limit` labelled rows (and the rows that repeat their ids)."""
+    picked = bounded_sample(labels.filter(F.col(label).isin(0, 1)).select("doc_id", F.col(label).cast("int").alias("_y")), "doc_id", limit, "_y")
+    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").filter(F.col("text").isNotNull()).select("doc_id", "_y", "text")
+
+
+def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for part in slices([len(t) for t in batch["text"]], CHARS):
+            own = batch.iloc[part]
+            trigrams, steps = counts_of(own["text"].tolist())
+            yield pd.DataFrame({"doc_id": own["doc_id"], "_y": own["_y"], "trigrams": [x.tobytes() for x in trigrams], "steps": [x.tobytes() for x in steps]})
+
+
+def train(docs: DataFrame, labels: DataFrame, limit: int = LEARN) -> Voter:
+    """Workers count the terms of the whole labelled texts; the driver gets at most `limit` rows of counts."""
+    rows = labelled(docs, labels, "quality", limit).mapInPandas(_counted, "doc_id long, _y int, trigrams binary, steps binary")
+    rows = rows.orderBy("doc_id", "_y", "trigrams", "steps").limit(limit).collect()
+    trigrams, steps = (np.frombuffer(b"".join(r[c] for r in rows), np.float32).reshape(len(rows), -1) for c in ("trigrams", "steps")) if rows else (np.zeros((0, 1)),) * 2
+    return Voter(trigrams, steps, [r["_y"] for r in rows])
 
 
 def held_out():
@@ -130,8 +141,7 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted of every row, learned from labels of rows that are not held out."""
     spark = docs.sparkSession
     arrow_limits(spark)
-    rows = labelled(docs, labels.filter(~held_out()), "quality", LEARN, PASSAGE)
-    voter = spark.sparkContext.broadcast(vars(Voter([t for t, _ in rows], [y for _, y in rows])))
+    voter = spark.sparkContext.broadcast(vars(train(docs, labels.filter(~held_out()))))
 
     def vote(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own = Voter.__new__(Voter)

@@ -3,7 +3,7 @@
 Several metadata dimensions are quantised to a few bits each, every cell of that grid gets its place on a
 Hilbert curve, documents are ordered by (place, text checksum, doc_id), and the order is cut into runs. Law
 `rows`: the counts of any two shards differ by one at most. Neighbouring cells share files, so the min/max
-figures of a file prune on each of the dimensions, and copies of a text stand side by side.
+figures of a file prune on each of the dimensions, and copies of a text with equal metadata stand side by side.
 
 Edge cases: a null text has size 1, checksum 0 and length class 0; null sources and languages are a value of
 their own; rows of an equal key are told apart by their place in the sorted partition, so repeated rows all
@@ -17,12 +17,10 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, placed
 
 SHARDS = 16
 BITS = 4
-#: A dimension of names is quantised by rank when it has at most so many values, else by checksum.
-NAMES = 1024
 
 
 @lru_cache
@@ -54,15 +52,25 @@ def hilbert(dims: int, bits: int) -> tuple[int, ...]:
     return tuple(places)
 
 
-def quantised_name(df: DataFrame, column: str, bits: int) -> Column:
-    """Rank of the value among all values, scaled to `bits` bits; by checksum where there are too many."""
-    top = (1 << bits) - 1
-    names = sorted(r[0] for r in df.select(F.col(column).cast("string")).filter(F.col(column).isNotNull()).distinct().limit(NAMES + 1).collect())
-    value = F.coalesce(F.col(column).cast("string"), F.lit(""))
-    if len(names) > NAMES:
-        return F.crc32(value.cast("binary")).bitwiseAND(F.lit(top)).cast("int")
-    rank = F.array_position(F.lit(names) if names else F.array(F.lit("")), value)
-    return F.floor(rank * top / max(len(names), 1)).cast("int")
+def first_names(docs: DataFrame, columns: tuple[str, ...], bits: int) -> dict[str, list[tuple[str, int]]]:
+    """Of each column the first name of every level, with the level: the name's rank among all, scaled to `bits` bits.
+
+    All names are ranked in one sorted table; the driver gets at most a name for each level.
+    """
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("name")) for c in columns]))
+    names = placed(docs.select(each.alias("n")).select("n.*").filter("name IS NOT NULL").distinct(), "column", "name")
+    sizes = names.groupBy("column").agg(F.min("_rank").alias("least"), F.count("*").alias("size"))
+    level = F.floor((F.col("_rank") - F.col("least") + 1) * ((1 << bits) - 1) / F.col("size")).cast("int")
+    found = names.join(F.broadcast(sizes), "column").groupBy("column", level.alias("level")).agg(F.min("name").alias("name")).collect()
+    return {c: sorted((r["name"], r["level"]) for r in found if r["column"] == c) for c in columns}
+
+
+def quantised_name(column: str, firsts: list[tuple[str, int]]) -> Column:
+    """The level of a name; 0 for null."""
+    level = F.lit(0)
+    for name, at in sorted(firsts, key=lambda f: f[1]):
+        level = F.when(F.col(column).cast("string") >= F.lit(name), at).otherwise(level)
+    return level
 
 
 def quantised_size(size: Column, bits: int) -> Column:
@@ -70,10 +78,10 @@ def quantised_size(size: Column, bits: int) -> Column:
     return F.least(F.greatest(F.floor(2 * F.log2(size + 1.0)) - 8, F.lit(0)), F.lit((1 << bits) - 1)).cast("int")
 
 
-def keyed(docs: DataFrame, bits: int = BITS) -> DataFrame:
-    """The whole rows as _row, doc_id, the sort key _place, _crc, _id and the size _size."""
-    cell = F.lit(0)
-    for part in (quantised_name(docs, "source", bits), quantised_name(docs, "lang", bits), quantised_size(F.coalesce(F.length("text"), F.lit(0)), bits)):
+def keyed(docs: DataFrame, bits: int = BITS, firsts: dict | None = None) -> DataFrame:
+    """The whole rows as _row, doc_id, the sort key _place, _crc, _id and the size _size; firsts: of `first_names`."""
+    cell, firsts = F.lit(0), first_names(docs, ("source", "lang"), bits) if firsts is None else firsts
+    for part in (quantised_name("source", firsts["source"]), quantised_name("lang", firsts["lang"]), quantised_size(F.coalesce(F.length("text"), F.lit(0)), bits)):
         cell = F.shiftleft(cell, bits) + part
     curve = F.split(F.lit(",".join(map(str, hilbert(3, bits)))), ",").cast("array<int>")
     return docs.select(
@@ -86,22 +94,15 @@ def keyed(docs: DataFrame, bits: int = BITS) -> DataFrame:
     )
 
 
-def ranked(docs: DataFrame) -> DataFrame:
-    """One narrow row per document with its global rank: a range sort, then offsets of the sorted partitions.
+def ranked(docs: DataFrame, firsts: dict | None = None) -> DataFrame:
+    """One narrow row per document with its global rank.
 
-    The offsets are one row per partition; no window or task ever holds more than a range of the order.
+    Texts are read once for the narrow rows, which are written, range-sorted and numbered; no window or task ever
+    holds more than a range of the order.
     """
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     key = ["_place", "_crc", "_id"]
-    rows = keyed(docs).select("doc_id", *key, "_size").repartitionByRange(parts, *key).sortWithinPartitions(*key)
-    rows = durable(rows.withColumn("_at", F.monotonically_increasing_id()))
-    part = F.shiftright("_at", 33)
-    counts = rows.groupBy(part.alias("_part")).count()
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    # One row per partition of the sort, so this window and this broadcast have a fixed bound.
-    counts = counts.select("_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"), F.sum("count").over(Window.partitionBy()).alias("_total"))
-    return rows.withColumn("_part", part).join(F.broadcast(counts), "_part").withColumn("_rank", F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)))
+    rows = durable(keyed(docs, firsts=firsts).select("doc_id", *key, "_size"))
+    return placed(rows, *key).crossJoin(F.broadcast(rows.agg(F.count("*").alias("_total"))))
 
 
 def assign(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
@@ -126,7 +127,8 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     Only the first key of each shard (at most `shards` rows) comes to the driver; the texts are then dealt
     by range once. Rows that repeat a key wholly stay together, on the later side of a cut.
     """
-    rows = ranked(docs)
+    firsts = first_names(docs, ("source", "lang"), BITS)
+    rows = ranked(docs, firsts)
     shard = F.expr(f"cast((_rank * {shards}) div _total as int)")
     cuts = rows.groupBy(shard.alias("shard")).agg(F.min(F.struct("_place", "_crc", "_id")).alias("cut")).orderBy("shard").collect()
     own = F.lit(0)
@@ -136,6 +138,6 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
             later = (F.col("_place") > c["_place"]) | (F.col("_place") == c["_place"]) & ((F.col("_crc") > c["_crc"]) | (F.col("_crc") == c["_crc"]) & (F.col("_id") >= c["_id"]))
             own = F.when(later, row["shard"]).otherwise(own)
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), shards)
-    out = keyed(docs).withColumn("_shard", own.cast("int")).repartitionByRange(parts, "_shard", "_place", "_crc", "_id").sortWithinPartitions("_shard", "_place", "_crc", "_id")
+    out = keyed(docs, firsts=firsts).withColumn("_shard", own.cast("int")).repartitionByRange(parts, "_shard", "_place", "_crc", "_id").sortWithinPartitions("_shard", "_place", "_crc", "_id")
     given = [F.col("_row").getField(c).alias(c) for c in docs.columns if c not in ("shard", "place")]
     return out.select(*given, F.col("_shard").alias("shard"), F.col("_place").alias("place"))

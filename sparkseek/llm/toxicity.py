@@ -3,7 +3,8 @@
 A text's features are its words and their beginnings, each once. A logistic regression is trained in numpy on a
 bounded, hashed sample of labelled documents. Identity terms in labelled sentences are swapped for others of
 their kind, and the square of each such change of the score is a penalty: a mention of a group by itself then
-moves the score hardly at all, whatever the sample says of it.
+moves the score hardly at all, whatever the sample says of it. Workers take the features of the sample's whole texts
+and what each swap takes away and brings; equal changes are counted together, so the driver gets few of them.
 
 Edge cases: null and empty texts score as a text without features (0.1 without labelled rows); null labels are
 not learned from; several labels of a document each count; repeated rows and further columns stay; an empty
@@ -13,6 +14,7 @@ table gives no rows.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,12 +22,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_limits, crc_mod, slices, word_prefix_hashes
+from .common import arrow_limits, crc_mod, durable, slices, word_prefix_hashes
 from .quality import labelled
 
-#: At most so many labelled rows are learned from, in near-equal numbers of either label, and so many
-#: characters of each, from a hashed place.
-LEARN, PASSAGE = 6000, 20_000
+#: At most so many labelled rows are learned from, in near-equal numbers of either label.
+LEARN = 6000
 #: Lengths in bytes of the words' beginnings that are features.
 BEGINNINGS = (4, 5, 6, 7)
 BITS, CHOSEN, SEEN = 20, 4000, 4
@@ -70,45 +71,64 @@ def swapped(sentence: str) -> list[str]:
     return [_TERM.sub(lambda m, i=i: _OTHERS[m[0].lower()][i % len(_OTHERS[m[0].lower()])], sentence) for i in range(count)]
 
 
+def changes(texts: list[str]) -> Counter:
+    """How often a swap in a sentence of the texts takes away some features and brings others (two tuples)."""
+    pairs = [(s, v) for t in texts for s in re.split(r"[.!?\n]+", t) if _TERM.search(s) for v in swapped(s)]
+    found: Counter = Counter()
+    for part in slices([len(s) + len(v) for s, v in pairs], CHARS):
+        own = pairs[part]
+        owner, feature = once(*features([s for pair in own for s in pair]), 1 << BITS)
+        cuts = np.searchsorted(owner, np.arange(2 * len(own) + 1))
+        for i in range(0, 2 * len(own), 2):
+            before, after = feature[cuts[i] : cuts[i + 1]], feature[cuts[i + 1] : cuts[i + 2]]
+            found[tuple(np.setdiff1d(before, after).tolist()), tuple(np.setdiff1d(after, before).tolist())] += 1
+    return found
+
+
+def features_once(texts: list[str]) -> list[np.ndarray]:
+    """The features of each text."""
+    out: list = []
+    for part in slices([len(t) for t in texts], CHARS):
+        owner, feature = once(*features(texts[part]), 1 << BITS)
+        out += np.split(feature, np.searchsorted(owner, np.arange(1, len(texts[part])))) if len(texts[part]) else []
+    return out
+
+
 class Classifier:
-    def __init__(self, texts: list[str], labels: list[int]):
+    """rows: features of each text; moved: what swaps take away and bring, and how often."""
+
+    def __init__(self, rows: list[np.ndarray], labels: list[int], moved: Counter):
         y = np.array(labels, np.float64)
         self.chosen, self.weights, self.base = np.full(1 << BITS, -1, np.int16), np.zeros(0), float(np.log(0.1 / 0.9))
         if not len(y) or y.min() == y.max():
             return
-        owners, found = [], []
-        for part in slices([len(t) for t in texts], CHARS):
-            o, f = once(*features(texts[part]), 1 << BITS)
-            owners.append(o + part.start)
-            found.append(f)
-        owner, feature = np.concatenate(owners), np.concatenate(found)
+        owner, feature = np.repeat(np.arange(len(rows)), [len(r) for r in rows]), np.concatenate(rows)
         ones = np.bincount(feature, y[owner], 1 << BITS)
         total = np.bincount(feature, minlength=1 << BITS)
         share = y.mean()
         score = np.abs(ones - total * share) / np.sqrt(np.maximum(total, 1) * share * (1 - share))
         score[total < SEEN] = 0
-        # Sentences with identity terms: the features that a swap takes away (-1) and brings (+1).
-        sentences = [s for t in texts for s in re.split(r"[.!?\n]+", t) if _TERM.search(s)][:20_000]
-        pairs = [(s, v) for s in sentences for v in swapped(s)]
-        before, after = (once(*features([p[i] for p in pairs]), 1 << BITS) if pairs else (np.zeros(0, int),) * 2 for i in (0, 1))
-        score[np.concatenate([before[1], after[1]])] += 1e-9  # stays among the chosen if there is room
+        kinds = sorted(moved)
+        swap = np.repeat(np.arange(len(kinds)), [len(lost) + len(new) for lost, new in kinds])
+        column = np.array([x for lost, new in kinds for x in (*lost, *new)], np.int64)
+        sign = np.array([v for lost, new in kinds for v in (*[-1.0] * len(lost), *[1.0] * len(new))])
+        often = np.array([moved[k] for k in kinds], np.float64)
+        score[column] += 1e-9  # stays among the chosen if there is room
         best = np.argsort(-score, kind="stable")[:CHOSEN]
         best = best[score[best] > 0]
         self.chosen[best] = np.arange(len(best))
         known = self.chosen[feature] >= 0
         owner, feature = owner[known], self.chosen[feature[known]].astype(np.int64)
-        rows = np.concatenate([before[0], after[0]])
-        cols = self.chosen[np.concatenate([before[1], after[1]])].astype(np.int64)
-        sign = np.repeat([-1.0, 1.0], [len(before[0]), len(after[0])])[cols >= 0]
-        rows, cols = rows[cols >= 0], cols[cols >= 0]
+        column = self.chosen[column].astype(np.int64)
+        swap, sign, column = swap[column >= 0], sign[column >= 0], column[column >= 0]
         w, b, m, v = np.zeros(len(best)), 0.0, np.zeros(len(best) + 1), np.zeros(len(best) + 1)
         for step in range(1, ROUNDS + 1):
             z = b + np.bincount(owner, w[feature], len(y))
             error = (1 / (1 + np.exp(-z)) - y) / len(y)
             gradient = np.bincount(feature, error[owner], len(w)) + DECAY * w
-            if len(pairs):
-                change = np.bincount(rows, sign * w[cols], len(pairs))
-                gradient += SWAPS * 2 / len(pairs) * np.bincount(cols, sign * change[rows], len(w))
+            if len(kinds):
+                change = often * np.bincount(swap, sign * w[column], len(kinds))
+                gradient += SWAPS * 2 / often.sum() * np.bincount(column, sign * change[swap], len(w))
             gradient = np.append(gradient, error.sum())
             m += 0.1 * (gradient - m)
             v += 0.001 * (gradient * gradient - v)
@@ -131,12 +151,31 @@ def held_out():
     return crc_mod("doc_id", 4) == 2
 
 
+def _learned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        texts = batch["text"].tolist()
+        none = [None] * len(texts)
+        yield pd.DataFrame({"doc_id": batch["doc_id"], "_y": batch["_y"].astype("Int64"), "own": [f.astype(np.int32).tobytes() for f in features_once(texts)], "lost": none, "new": none, "n": pd.array(none, "Int64")})
+        moved = [(np.array(x, np.int32).tobytes(), np.array(y, np.int32).tobytes(), n) for (x, y), n in changes(texts).items()]
+        if moved:
+            yield pd.DataFrame(moved, columns=["lost", "new", "n"]).assign(doc_id=pd.NA, _y=pd.NA, own=None)
+
+
+def train(docs: DataFrame, labels: DataFrame, limit: int = LEARN) -> Classifier:
+    """Learn from at most `limit` labelled rows; workers read their whole texts."""
+    rows = labelled(docs, labels, "toxic", limit)
+    rows = durable(rows.mapInPandas(_learned, "doc_id long, _y long, own binary, lost binary, new binary, n long"))
+    found = rows.filter("own IS NOT NULL").select("doc_id", "_y", "own").orderBy("doc_id", "_y", "own").limit(limit).collect()
+    moved = rows.filter("own IS NULL").groupBy("lost", "new").agg(F.sum("n").alias("n")).collect()
+    plain = lambda x: np.frombuffer(x, np.int32).astype(np.int64)
+    return Classifier([plain(r["own"]) for r in found], [r["_y"] for r in found], Counter({(tuple(plain(r["lost"]).tolist()), tuple(plain(r["new"]).tolist())): r["n"] for r in moved}))
+
+
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted of every row, learned from labels of rows that are not held out."""
     spark = docs.sparkSession
     arrow_limits(spark)
-    rows = labelled(docs, labels.filter(~held_out()), "toxic", LEARN, PASSAGE)
-    model = spark.sparkContext.broadcast(vars(Classifier([t for t, _ in rows], [y for _, y in rows])))
+    model = spark.sparkContext.broadcast(vars(train(docs, labels.filter(~held_out()))))
 
     def judge(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own = Classifier.__new__(Classifier)

@@ -160,6 +160,17 @@ def test_vector_links_equal_all_pairs(spark, dims):
     assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in found)
 
 
+def test_two_levels_of_cells_lose_nothing(spark, monkeypatch):
+    monkeypatch.setattr(product_quantisation, "FINE", 4)
+    rng = np.random.default_rng(77)
+    base = rng.normal(size=(700, 16))
+    x = np.concatenate([base, base[:300] + 0.05 * rng.normal(size=(300, 16))]).astype(np.float32)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id LONG, embedding ARRAY<FLOAT>")
+    found = product_quantisation.linked_vectors(rows).orderBy("vec_id").collect()
+    links, label = _brute_links(x.astype(np.float64))
+    assert [(r["n_links"], r["component_id"]) for r in found] == list(zip(links.tolist(), label.tolist(), strict=True))
+
+
 def test_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, [1.0, 2.0]), (2, [2.0, 4.0]), (3, None), (4, []), (5, [0.0, 0.0]), (6, [1.0, None]), (7, [nan, 1.0]), (8, [inf, 1.0]), (9, [1.0, 2.0]), (9, [1.0, 2.0]), (10, [1.0, 2.0, 0.0]), (None, [5.0, -1.0])]
@@ -321,7 +332,7 @@ def test_scores_of_held_out_documents(spark, module, label, least):
 
 def test_votes_equal_the_plain_formula():
     texts = [" ".join(words(30, i)) + ("!!! $$$" * (i % 2)) for i in range(60)]
-    voter = quality.Voter(texts, [i % 2 for i in range(60)])
+    voter = quality.Voter(*quality.counts_of(texts), [i % 2 for i in range(60)])
     x = quality.unit(voter.weighted(*quality.counts_of(texts[:5])) @ voter.axes)
     for v, score in zip(x, voter.score(texts[:5]), strict=True):
         sims = voter.vectors @ v
@@ -335,12 +346,36 @@ def test_identity_mentions_do_not_decide():
     toxic = [f"those muslims are trash {' '.join(words(8, rng.random()))}" for _ in range(60)] + [f"muslims idiot {' '.join(words(8, rng.random()))}" for _ in range(60)]
     fine = [" ".join(words(10, rng.random())) for _ in range(240)] + [f"the christians and jews {' '.join(words(6, rng.random()))}" for _ in range(20)]
     texts, y = toxic + fine, [1] * 120 + [0] * 260
-    model = toxicity.Classifier(texts, y)
+    model = toxicity.Classifier(toxicity.features_once(texts), y, toxicity.changes(texts))
     neutral = model.score(["muslims met their neighbours today", "christians met their neighbours today", "you are trash"])
     assert abs(neutral[0] - neutral[1]) < 0.1 and neutral[0] < 0.3 < neutral[2]
     assert toxicity.swapped("no group here") == [] and len(toxicity.swapped("The Muslims came")) == 5
 
 
+def test_toxicity_scores_equal_the_plain_formula(spark):
+    rng = random.Random(5)
+    texts = [("idiot trash " if i % 3 == 0 else "") + ("the Muslims came. " if i % 4 == 0 else "") + " ".join(words(12, rng.random(), 60)) for i in range(120)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(120)], "doc_id LONG, toxic INT")
+    found = {r["doc_id"]: r["score"] for r in toxicity.scored(docs_of(spark, [*texts, None]), labels).collect()}
+    learned = [i for i in range(120) if zlib.crc32(str(i).encode()) % 4 != 2]
+    model = toxicity.train(docs_of(spark, texts), labels.filter(~toxicity.held_out()))
+    own = toxicity.Classifier(toxicity.features_once([texts[i] for i in learned]), [int(i % 3 == 0) for i in learned], toxicity.changes([texts[i] for i in learned]))
+    assert np.allclose(model.weights, own.weights) and len(model.weights) > 20
+
+    def plain(text):
+        """One over one plus e to the minus of the weights of a text's distinct words and beginnings."""
+        hashes = {int(h) >> 44 for w in re.findall(r"\w+", (text or "").lower()) for h in np.concatenate(toxicity.word_prefix_hashes([w], toxicity.BEGINNINGS)[0])}
+        return 1 / (1 + np.exp(-own.base - sum(own.weights[own.chosen[h]] for h in hashes if own.chosen[h] >= 0)))
+
+    assert all(found[i] == pytest.approx(plain(t), abs=1e-6) for i, t in enumerate([*texts, None]))
+    assert np.mean([(found[i] >= 0.3) == (i % 3 == 0) for i in range(120)]) > 0.95
+
+
+def test_changes_of_swaps():
+    moved = toxicity.changes(["The Muslims came. No one else! muslims again", "plain"])
+    assert sum(moved.values()) == 10 and all(lost and new and not set(lost) & set(new) for lost, new in moved)
+
+
 # --- Personal data ---
 
 
@@ -452,6 +487,35 @@ def test_phases_place_every_block_once(blocks, equal):
     assert {s: sum(t == s for _, t in slots) for s in blocks} == blocks
 
 
+def _plain_schedule(blocks, weights, period):
+    """Slot by slot: each phase starts the sources anew; of the released blocks the one due first runs."""
+    left, done, out = {s: n for s, n in blocks.items() if n}, dict.fromkeys(blocks, 0), []
+    while left:
+        share = mixing.shares({s: weights[s] for s in left}, period)
+        length, slot, own = sum(share.values()), 0, dict.fromkeys(left, 0)
+        while len(own) == len(left):
+            due = min((-(-(own[s] + 1) * length // share[s]), str(s), s) for s in left if own[s] * length // share[s] <= slot)[2]
+            out.append((due, done[due]))
+            own[due], done[due], left[due], slot = own[due] + 1, done[due] + 1, left[due] - 1, slot + 1
+            left = {s: n for s, n in left.items() if n}
+    return {key: slot for slot, key in enumerate(out)}
+
+
+@pytest.mark.parametrize("most", [512, 3])
+def test_schedule_equals_a_plain_simulation(spark, monkeypatch, most):
+    monkeypatch.setattr(mixing, "MOST_SOURCES", most)
+    monkeypatch.setattr(mixing, "PART", 40)
+    docs = docs_of(spark, ["t"] * 700, source={i: None if i % 11 == 0 else "hot" if i % 3 else f"s{i % 7}" for i in range(700)})
+    rows = mixing.schedule(docs, block=8, period=64).select("row.doc_id", "row.source", "block", "place", "slot").collect()
+    assert sorted(r["doc_id"] for r in rows) == list(range(700)) and len({(r["slot"], r["place"]) for r in rows}) == 700
+    if most == 512:
+        counts = {}
+        for r in rows:
+            counts[r["source"]] = counts.get(r["source"], 0) + 1
+        slots = _plain_schedule({s: -(-n // 8) for s, n in counts.items()}, {s: n**0.5 for s, n in counts.items()}, 64)
+        assert {((r["source"], r["block"]), r["slot"]) for r in rows} == set(slots.items())
+
+
 def test_mixing_keeps_every_row(spark):
     docs = docs_of(spark, ["t"] * 900, source={i: "hot" if i % 3 else f"s{i % 5}" for i in range(900)})
     rows = mixing.schedule(docs, block=8).select("row.doc_id", "row.source", "block", "place", "slot").collect()
