@@ -43,7 +43,7 @@ def compare(spark, con, query, sql: str, sf_dir: str) -> str:
     a, b = rows_of(mine), rows_of(theirs)
     if len(a) != len(b):
         return f"{len(a)} and {len(b)} rows"
-    kinds = {c: (str(mine[c].dtype), str(theirs[c].dtype)) for c in mine.columns if mine[c].dtype.kind != theirs[c].dtype.kind}
+    kinds = {c: (str(mine[c].dtype), str(theirs[c].dtype)) for c in mine.columns if mine[c].dtype.kind != theirs[c].dtype.kind and mine[c].notna().any()}
     different = [(x, y) for x, y in zip(a, b, strict=True) if x != y]
     return f"{len(different)} rows differ: {different[:2]}" if different else f"types {kinds}" if kinds else ""
 
