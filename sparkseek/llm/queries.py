@@ -82,4 +82,4 @@ p AS (SELECT *, sum(chars) OVER (PARTITION BY conv_id ORDER BY i) AS prefix FROM
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256, CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
 sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256, CAST(sum(prefix) FILTER (WHERE role = 'assistant' OR i = n) AS BIGINT) AS formatted_chars FROM p GROUP BY conv_id"""
 
-ORACLES: dict[str, str] = {"op2_product_quantisation": LINKS_SQL, "op3_chat": CHAT_SQL, "op10_decontamination": decontaminate.ORACLE_SQL}
+ORACLES: dict[str, str] = {"op2_product_quantisation": LINKS_SQL, "op3_chat": CHAT_SQL, "op8_sharding": sharding.ORACLE_SQL, "op10_decontamination": decontaminate.ORACLE_SQL}

@@ -74,8 +74,9 @@ def quantised_name(column: str, firsts: list[tuple[str, int]]) -> Column:
 
 
 def quantised_size(size: Column, bits: int) -> Column:
-    """Half octaves of a size, from 16 up, held to `bits` bits."""
-    return F.least(F.greatest(F.floor(2 * F.log2(size + 1.0)) - 8, F.lit(0)), F.lit((1 << bits) - 1)).cast("int")
+    """Half octaves of a size (the bits of its square), from 16 up, held to `bits` bits."""
+    square = (size.cast("long") + 1) * (size.cast("long") + 1)
+    return F.least(F.greatest(F.length(F.bin(square)) - 9, F.lit(0)), F.lit((1 << bits) - 1)).cast("int")
 
 
 def keyed(docs: DataFrame, bits: int = BITS, firsts: dict | None = None) -> DataFrame:
@@ -141,3 +142,27 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     out = keyed(docs, firsts=firsts).withColumn("_shard", own.cast("int")).repartitionByRange(parts, "_shard", "_place", "_crc", "_id").sortWithinPartitions("_shard", "_place", "_crc", "_id")
     given = [F.col("_row").getField(c).alias(c) for c in docs.columns if c not in ("shard", "place")]
     return out.select(*given, F.col("_shard").alias("shard"), F.col("_place").alias("place"))
+
+
+def _crc_table() -> list[int]:
+    """Fixed values by their rule: the reflected polynomial's remainder of each byte."""
+    table = []
+    for n in range(256):
+        for _ in range(8):
+            n = n >> 1 ^ (0xEDB88320 if n & 1 else 0)
+        table.append(n)
+    return table
+
+
+def _level_sql(column: str) -> str:
+    return f"(SELECT CAST({column} AS VARCHAR) AS {column}, CAST(floor(row_number() OVER (ORDER BY CAST({column} AS VARCHAR)) * {(1 << BITS) - 1} / count(*) OVER ()) AS INTEGER) AS level FROM (SELECT DISTINCT {column} FROM documents WHERE {column} IS NOT NULL))"
+
+
+ORACLE_SQL = f"""WITH k AS (SELECT {_crc_table()}::BIGINT[] AS crc, {list(hilbert(3, BITS))}::INTEGER[] AS curve),
+b AS (SELECT doc_id, source, lang, coalesce(length(text), 0) AS chars, strlen(coalesce(text, '')) + 1 AS size, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: CAST('0x' || x AS BIGINT)) AS bytes FROM documents),
+p AS (SELECT doc_id, size, xor(list_reduce(list_prepend(4294967295::BIGINT, bytes), lambda c, b: xor(c >> 8, crc[xor(c & 255, b) + 1])), 4294967295) AS text_crc32,
+curve[1 + coalesce(s.level, 0) * {1 << 2 * BITS} + coalesce(l.level, 0) * {1 << BITS} + least(greatest(length(bin(CAST(chars + 1 AS BIGINT) * (chars + 1))) - 9, 0), {(1 << BITS) - 1})] AS place
+FROM b CROSS JOIN k LEFT JOIN {_level_sql("source")} s ON s.source = b.source LEFT JOIN {_level_sql("lang")} l ON l.lang = b.lang),
+r AS (SELECT *, row_number() OVER (ORDER BY place, text_crc32, doc_id NULLS FIRST) - 1 AS rank, count(*) OVER () AS total FROM p)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'rows' AS law, CAST(rank * {SHARDS} // total AS INTEGER) AS shard, CAST(rank - (rank * {SHARDS} // total * total + {SHARDS - 1}) // {SHARDS} AS BIGINT) AS slot,
+CAST(NULL AS INTEGER) AS grown_shard, place FROM r"""
