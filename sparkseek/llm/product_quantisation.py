@@ -1,7 +1,7 @@
 """Near-duplicate vectors by product quantisation.
 
 Unit vectors are dealt to coarse cells on two levels (k-means inside k-means), and the residual to the cell's
-centroid is coded in SUBSPACES bytes. Every vector searches its own cell and each later cell whose borders, on
+centroid is coded in a byte for every DIMS dimensions. Every vector searches its own cell and each later cell whose borders, on
 either level, are within reach of a vector at the threshold; a pair of cells is thus searched from one side, and
 what it finds counts for both. With a table of distances from the query's residual parts to all codewords, a
 member's distance is a sum of looked-up entries. A member passes when that is within the threshold's distance plus
@@ -35,7 +35,8 @@ from .common import arrow_limits, bounded_sample, durable
 from .components import components
 
 LEAST = 0.95
-SUBSPACES, CODES = 8, 256
+#: Dimensions of a subspace, and its codewords.
+DIMS, CODES = 16, 256
 REACH = 4.0
 #: Cells in all and of one coarse cell, at most; vectors that are fitted on for each cell, and at least.
 CELLS, FINE = 16384, 256
@@ -88,7 +89,7 @@ class Index:
     """
 
     def __init__(self, sample: np.ndarray, cells: int):
-        self.width = sample.shape[1] // SUBSPACES
+        self.parts = sample.shape[1] // DIMS
         self.coarse = kmeans(sample, -(-cells // FINE), 3)
         near = nearest(sample, self.coarse)
         parts = [sample[near == k] for k in range(len(self.coarse))]
@@ -98,10 +99,10 @@ class Index:
         self.cells = np.concatenate(fine)
         self.gap, self.gaps = gaps(self.coarse), [gaps(c) for c in fine]
         rest = sample - self.cells[self.place(sample)]
-        self.words = np.stack([kmeans(np.ascontiguousarray(self.part(rest, s)), CODES, 5 + s) for s in range(SUBSPACES)])
+        self.words = np.stack([kmeans(np.ascontiguousarray(self.part(rest, s)), CODES, 5 + s) for s in range(self.parts)])
 
     def part(self, x: np.ndarray, s: int) -> np.ndarray:
-        return x[:, s * self.width : (s + 1) * self.width]
+        return x[:, s * DIMS : (s + 1) * DIMS]
 
     def own(self, k: int) -> np.ndarray:
         return self.cells[self.first[k] : self.first[k + 1]]
@@ -113,17 +114,16 @@ class Index:
             cell[near == k] = self.first[k] + nearest(x[near == k], self.own(k))
         return cell
 
-    def table(self, rest: np.ndarray, s: int) -> np.ndarray:
-        """Squared distances of the rows' parts to all codewords of a subspace."""
-        x, w = self.part(rest, s), self.words[s]
-        return (x * x).sum(1)[:, None] - 2 * x @ w.T + (w * w).sum(1)
+    def tables(self, rest: np.ndarray) -> np.ndarray:
+        """Squared distances of the rows' parts to all codewords of each subspace, less the rows' own squares."""
+        return np.concatenate([(w * w).sum(1)[:, None] - 2 * (w @ self.part(rest, s).T) for s, w in enumerate(self.words)])
 
     def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Cell, code bytes and coding error of each row."""
         cell = self.place(x)
         rest = x - self.cells[cell]
-        codes = np.stack([nearest(self.part(rest, s), self.words[s]) for s in range(SUBSPACES)], 1).astype(np.uint8)
-        back = np.concatenate([self.words[s][codes[:, s]] for s in range(SUBSPACES)], 1)
+        codes = np.stack([nearest(self.part(rest, s), self.words[s]) for s in range(self.parts)], 1).astype(np.uint8)
+        back = np.concatenate([self.words[s][codes[:, s]] for s in range(self.parts)], 1)
         return cell, codes, np.sqrt(((rest - back) ** 2).sum(1))
 
     def probes(self, x: np.ndarray, cell: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
@@ -185,26 +185,28 @@ def links_of(members: pd.DataFrame, queries: pd.DataFrame, index: Index, cell: i
     Both ends of a link get the other's size. In its own cell a vector asks for later ones only.
     """
     r, _ = reach_of(least, index.cells.shape[1])
-    vectors_of = lambda column: unit(np.frombuffer(b"".join(column), kind).reshape(len(column), -1).astype(np.float64))
-    codes = np.frombuffer(b"".join(members["code"]), np.uint8).reshape(len(members), SUBSPACES).astype(np.int64)
-    bound = (r + members["error"].to_numpy() + 1e-5) ** 2
-    vectors, asked = vectors_of(members["vec"]), vectors_of(queries["asked"])
+    given_of = lambda column: np.frombuffer(b"".join(column), kind).reshape(len(column), -1)
+    vectors, raw = unit(given_of(members["vec"]).astype(np.float64)), given_of(queries["asked"])
+    codes = np.frombuffer(b"".join(members["code"]), np.uint8).reshape(len(members), index.parts).astype(np.int64)
+    bound = ((r + members["error"].to_numpy() + 1e-4) ** 2)[:, None]
     node, size = members["node"].to_numpy(), members["size"].to_numpy()
     asking, count, home = (queries[c].to_numpy() for c in ("asking", "count", "home"))
-    offsets = np.arange(SUBSPACES)[:, None] * CODES
-    places = (codes.T + offsets).copy()
+    places = (codes + np.arange(index.parts) * CODES).T.copy()
     given, got, a, b = np.zeros(len(asking), np.int64), np.zeros(len(node), np.int64), [], []
     for at in range(0, len(asking), TOGETHER):
-        block = asked[at : at + TOGETHER]
-        rest = (block - index.cells[cell]).astype(np.float32)
-        look = np.concatenate([index.table(rest, s) for s in range(SUBSPACES)], 1)
-        distance = np.take(look, places[0], axis=1)
-        for s in range(1, SUBSPACES):
-            distance += np.take(look, places[s], axis=1)
-        q, near = np.nonzero(distance <= bound)
+        block = raw[at : at + TOGETHER]
+        # Single precision finds who passes, with more than its rounding as allowance; double precision decides.
+        rest = (unit(block) - index.cells[cell]).astype(np.float32)
+        look = index.tables(rest)
+        distance = look[places[0]]
+        for s in range(1, index.parts):
+            distance += look[places[s]]
+        near, q = np.nonzero(distance <= bound - (rest * rest).sum(1))
+        if not len(q):
+            continue
         later = ~home[at + q] | (node[near] > asking[at + q])
         q, near = q[later], near[later]
-        good = np.einsum("ij,ij->i", vectors[near], block[q]) >= least
+        good = np.einsum("ij,ij->i", vectors[near], unit(block.astype(np.float64))[q]) >= least
         q, near = at + q[good], near[good]
         if len(q):
             np.add.at(given, q, size[near])
@@ -236,7 +238,7 @@ def linked_vectors(vectors: DataFrame, least: float = LEAST) -> DataFrame:
     n, width = classes.agg(F.count("*"), F.max("width")).first()
     if not n:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
-    width = -(-width // SUBSPACES) * SUBSPACES
+    width = -(-width // DIMS) * DIMS
     nodes = durable(good.join(classes.drop("width"), ["h", "h2"]).filter("id = node").dropDuplicates(["h", "h2"]).select("node", "size", "v"))
     cells = int(min(CELLS, 2 ** round(np.log2(max(n, 2)) / 2)))
     sample = bounded_sample(nodes.select("node", "v"), "node", max(LEAST_SAMPLE, SAMPLE * cells)).select("v").toArrow().column("v").to_pandas()
