@@ -62,22 +62,25 @@ def stem(word: Column) -> Column:
 
 def _applying(step: list[Rule]) -> Callable[[Column], Column]:
     def applied(word: Column) -> Column:
-        chain = None
+        # Most words end in no suffix of a step: one test tells.
+        chain = F.when(~word.rlike("|".join(test for test, _, _ in step)), word)
         for test, match, new in step:
-            done = F.regexp_replace(word, match, new)
-            chain = F.when(word.rlike(test), done) if chain is None else chain.when(word.rlike(test), done)
+            chain = chain.when(word.rlike(test), F.regexp_replace(word, match, new))
         return chain.otherwise(word)
 
     return applied
 
 
-def stem_words(words: DataFrame, column: str = "term") -> DataFrame:
+def stem_words(words: DataFrame, column: str = "term", vocabulary: bool = False) -> DataFrame:
     """The distinct words with their stems.
 
     The stem is made from an aggregate of the word, not from the grouping key: otherwise the optimizer moves
-    joins on the stem below the grouping and computes it for every occurrence.
+    joins on the stem below the grouping and computes it for every occurrence. The words of a corpus (`vocabulary`)
+    are dealt to all cores: they are few bytes but much work, and would else be coalesced into a task or two.
     """
-    return words.groupBy(column).agg(F.max(column).alias("_w")).select(column, stem(F.col("_w")).alias("stem"))
+    rows = words.groupBy(column).agg(F.max(column).alias("_w"))
+    rows = rows.repartition(words.sparkSession.sparkContext.defaultParallelism, "_w") if vocabulary else rows
+    return rows.select(column, stem(F.col("_w")).alias("stem"))
 
 
 def stem_sql(source: str, column: str) -> str:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import BROADCAST_ROWS, durable
 from .lexicon import STOP_WORDS, TOPIC_KEYWORDS, UTILITY_TITLES_CRAWL
 from .stemmer import stem_words
 
@@ -18,8 +19,7 @@ def tokenize(text: Column) -> Column:
 
 def remove_stop_words(tokens: Column) -> Column:
     """Tokens in order, repeats kept, without stop words."""
-    stop = F.lit(STOP_WORDS)
-    return F.filter(tokens, lambda x: ~F.array_contains(stop, x))
+    return F.filter(tokens, lambda x: ~x.isin(STOP_WORDS))
 
 
 def safe_text(text: Column) -> Column:
@@ -90,15 +90,32 @@ def search_url(query: Column, engine: str) -> Column:
     return F.concat(F.lit({"google": "https://www.google.com/search?q=", "bing": "https://www.bing.com/search?q="}[engine]), F.url_encode(query))
 
 
+def words_of(docs: DataFrame, key: str, text: str, analyzer: str = "full") -> DataFrame:
+    """key, term: a row for each token that the analyzer looks at."""
+    if analyzer not in ("raw", "full"):
+        raise ValueError(f"unknown analyzer {analyzer!r}")
+    rows = docs.select(key, F.explode(tokenize(F.col(text))).alias("term"))
+    return rows if analyzer == "raw" else rows.filter(~F.col("term").isin(STOP_WORDS))
+
+
 def analyzed(docs: DataFrame, key: str, text: str, analyzer: str = "full") -> DataFrame:
-    """key, term: a row for each term occurrence. `raw`: tokens; `full`: stop words removed, stemmed.
+    """key, term: a row for each term occurrence of a few texts. `raw`: tokens; `full`: stop words removed, stemmed."""
+    rows = words_of(docs, key, text, analyzer)
+    return rows if analyzer == "raw" else rows.join(stem_words(rows), "term").select(key, F.col("stem").alias("term"))
 
-    Stems are computed once for each distinct word and joined back.
+
+def term_counts(docs: DataFrame, key: str, text: str, analyzer: str = "full") -> DataFrame:
+    """term, key, tf.
+
+    The stems of the distinct words are written once. If they are few enough to be broadcast, words become stems
+    where the text is read, and one exchange counts them; a query's semi-join then leaves only the words that have
+    its stems. Else words are counted before they meet their stems, so that no frequent word is a hot key.
     """
-    if analyzer not in ("raw", "full"):
-        raise ValueError(f"unknown analyzer {analyzer!r}")
-    tokens = tokenize(F.col(text))
-    rows = docs.select(key, F.explode(tokens if analyzer == "raw" else remove_stop_words(tokens)).alias("term"))
+    rows = words_of(docs, key, text, analyzer)
     if analyzer == "raw":
-        return rows
-    return rows.join(stem_words(rows), "term").select(key, F.col("stem").alias("term"))
+        return rows.groupBy("term", key).agg(F.count("*").alias("tf"))
+    stems = durable(stem_words(rows, vocabulary=True))
+    if stems.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(stems), "term").groupBy(F.col("stem").alias("term"), key).agg(F.count("*").alias("tf"))
+    counted = rows.groupBy("term", key).agg(F.count("*").alias("n")).join(stems, "term")
+    return counted.groupBy(F.col("stem").alias("term"), key).agg(F.sum("n").alias("tf"))

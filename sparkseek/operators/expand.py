@@ -6,6 +6,7 @@ their terms pass the analyzer once more.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,9 +14,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import analyzed
+from ..session import durable, small
 from . import graph
 from .index import Index, prune_vocab, term_cosines, term_df, tfidf, tfidf_weights
-from .rank import bm25, by_score, format_results, query_terms
+from .rank import bm25, bm25_part, by_score, format_results, query_terms
 
 METHODS = ("rocchio", "association", "metric", "scalar")
 ALPHA, BETA, GAMMA = 1.0, 0.75, 0.15
@@ -87,7 +90,7 @@ def metric_clusters(index: Index, cosine: float = METRIC_COSINE, per_doc: int =
     vocab = prune_vocab(index.postings, index.stats)
     weights = tfidf_weights(index.postings, index.stats, vocab)
     ids = vocab.select("term", F.xxhash64("term").alias("id"))
-    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("term"), "term")
+    order = Window.partitionBy("doc_id").orderBy(F.md5(F.col("term").cast("binary")), "term")
     sample = weights.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= per_doc).select("doc_id", "term")
     pairs = sample.toDF("doc_id", "a").join(sample.toDF("doc_id", "b"), "doc_id").filter("a < b").select("a", "b").distinct()
     close = term_cosines(weights, pairs).filter(F.col("cosine") >= cosine).select(F.xxhash64("a").alias("x"), F.xxhash64("b").alias("y"))
@@ -96,49 +99,96 @@ def metric_clusters(index: Index, cosine: float = METRIC_COSINE, per_doc: int =
     return rows.withColumn("cluster_id", F.min("term").over(Window.partitionBy("c"))).select("term", "cluster_id")
 
 
+class Sums:
+    """Each document's clusters and their sums of weights: blocks of slots in flat arrays that move when they are full."""
+
+    def __init__(self):
+        self.place: dict[int, int] = {}
+        self.start, self.used, self.room = (np.zeros(1024, np.int64) for _ in range(3))
+        self.cluster, self.total, self.end = np.zeros(4096, np.int64), np.zeros(4096), 0
+
+    def rows(self, docs: list[int]) -> np.ndarray:
+        """The documents' numbers; new ones get one."""
+        at = np.array([self.place.setdefault(d, len(self.place)) for d in docs])
+        if len(self.place) > len(self.start):
+            more = np.zeros(len(self.place), np.int64)
+            self.start, self.used, self.room = (np.concatenate([x, more]) for x in (self.start, self.used, self.room))
+        return at
+
+    def slots(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All slots of the documents, and for each the index of its document in `at`."""
+        used = self.used[at]
+        owner = np.repeat(np.arange(len(at)), used)
+        return self.start[at][owner] + np.arange(len(owner)) - np.repeat(np.cumsum(used) - used, used), owner
+
+    def add(self, at: np.ndarray, w: np.ndarray, best: int, slots: np.ndarray, owner: np.ndarray) -> float:
+        """Add weights to a cluster; gives what its sum of squares grows by."""
+        hit = self.cluster[slots] == best
+        own, who = slots[hit], owner[hit]
+        grown = float((w * w).sum() + 2 * (w[who] * self.total[own]).sum())
+        self.total[own] += w[who]
+        fresh = np.ones(len(at), bool)
+        fresh[who] = False
+        rows, new = at[fresh], w[fresh]
+        full = rows[self.used[rows] == self.room[rows]]
+        if len(full):
+            room = np.maximum(4, 2 * self.room[full])
+            while self.end + room.sum() > len(self.total):
+                self.cluster, self.total = np.concatenate([self.cluster, np.zeros_like(self.cluster)]), np.concatenate([self.total, np.zeros_like(self.total)])
+            old, _ = self.slots(full)
+            self.start[full], self.room[full] = self.end + np.cumsum(room) - room, room
+            moved, _ = self.slots(full)
+            self.cluster[moved], self.total[moved], self.end = self.cluster[old], self.total[old], self.end + int(room.sum())
+        slot = self.start[rows] + self.used[rows]
+        self.cluster[slot], self.total[slot] = best, new
+        self.used[rows] += 1
+        return grown
+
+
 def _single_pass(cosine: float, size: int):
-    """Assigns terms in order to the nearest running-mean centroid, or opens a cluster."""
+    """Assigns terms, whose rows follow each other, in order to the nearest running-mean centroid, or opens a cluster."""
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: dict[int, list] = {}  # document -> clusters, their sums, how many, places by cluster
-        squares, counts = np.zeros(1024), np.zeros(1024, int)
-        n = 0
-        for batch in batches:
-            labels = []
-            for docs, weights in zip(batch["docs"], batch["ws"], strict=True):
-                w = np.asarray(weights)
-                norm = np.sqrt((w * w).sum())
-                dots = np.zeros(n)
-                for d, x in zip(docs, w, strict=True):
-                    if d in sums:
-                        where, what, used, _ = sums[d]
-                        dots[where[:used]] += x * what[:used]
-                best = -1
-                if n:
-                    with np.errstate(divide="ignore", invalid="ignore"):
-                        sims = np.where(squares[:n] * norm > 0, dots / (norm * np.sqrt(squares[:n])), 0.0)
-                    sims[counts[:n] >= size] = -1
-                    best = int(sims.argmax())
-                    best = best if sims[best] >= cosine and counts[best] < size else -1
-                if best < 0:
-                    best, n = n, n + 1
-                    if n > len(counts):
-                        squares, counts = np.concatenate([squares, np.zeros(n)]), np.concatenate([counts, np.zeros(n, int)])
-                for d, x in zip(docs, w, strict=True):
-                    own = sums.setdefault(d, [np.zeros(8, np.int64), np.zeros(8), 0, {}])
-                    if best in own[3]:
-                        at = own[3][best]
-                        squares[best] += x * (2 * own[1][at] + x)
-                        own[1][at] += x
-                    else:
-                        used = own[2]
-                        if used == len(own[0]):
-                            own[0], own[1] = np.concatenate([own[0], np.zeros(used, np.int64)]), np.concatenate([own[1], np.zeros(used)])
-                        own[0][used], own[1][used], own[3][best], own[2] = best, x, used, used + 1
-                        squares[best] += x * x
-                counts[best] += 1
-                labels.append(best)
-            yield pd.DataFrame({"term": batch["term"], "cluster_id": labels})
+        sums, squares, counts, n = Sums(), np.zeros(1024), np.zeros(1024, int), 0
+
+        def assigned(docs: list[int], w: np.ndarray) -> int:
+            nonlocal squares, counts, n
+            at = sums.rows(docs)
+            slots, owner = sums.slots(at)
+            best, norm = -1, np.sqrt((w * w).sum())
+            if n:
+                dots = np.bincount(sums.cluster[slots], w[owner] * sums.total[slots], n)
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    sims = np.where(squares[:n] * norm > 0, dots / (norm * np.sqrt(squares[:n])), 0.0)
+                sims[counts[:n] >= size] = -1
+                best = int(sims.argmax())
+                best = best if sims[best] >= cosine and counts[best] < size else -1
+            if best < 0:
+                best, n = n, n + 1
+                if n > len(counts):
+                    squares, counts = np.concatenate([squares, np.zeros(n)]), np.concatenate([counts, np.zeros(n, int)])
+            squares[best] += sums.add(at, w, best, slots, owner)
+            counts[best] += 1
+            return best
+
+        term, docs, weights = None, [], []
+        for batch in itertools.chain(batches, [None]):
+            out = []
+            if batch is None:
+                parts = [(None, [], np.zeros(0))] if term is not None else []
+            else:
+                names = batch["term"].to_numpy()
+                cuts = [0, *(np.flatnonzero(names[1:] != names[:-1]) + 1), len(names)]
+                ids, w = batch["doc_id"].tolist(), batch["w"].to_numpy()
+                parts = [(names[a], ids[a:b], w[a:b]) for a, b in itertools.pairwise(cuts) if b > a]
+            for name, ids, w in parts:
+                if name != term:
+                    if term is not None:
+                        out.append((term, assigned(docs, np.concatenate(weights))))
+                    term, docs, weights = name, [], []
+                docs += ids
+                weights.append(w)
+            yield pd.DataFrame(out, columns=["term", "cluster_id"])
 
     return assign
 
@@ -146,14 +196,13 @@ def _single_pass(cosine: float, size: int):
 def scalar_clusters(index: Index, cosine: float = SCALAR_COSINE, size: int = SCALAR_SIZE) -> DataFrame:
     """term, cluster_id of the pruned vocabulary by one pass in order of (df, term).
 
-    Every assignment depends on all before it, so the pass is one task over the sorted term vectors; it streams
-    them in batches and holds the clusters' sums.
+    Every assignment depends on all before it, so the pass is one task; the postings are sorted by all tasks and
+    streamed to it, and it holds one term's postings and the clusters' sums.
     """
-    vocab = prune_vocab(index.postings, index.stats)
-    weights = tfidf_weights(index.postings, index.stats, vocab)
-    vectors = weights.groupBy("term").agg(F.collect_list(F.struct("doc_id", "w")).alias("v")).join(vocab, "term")
-    vectors = vectors.orderBy("df", "term").select("term", F.col("v.doc_id").alias("docs"), F.col("v.w").alias("ws")).coalesce(1)
-    return vectors.mapInPandas(_single_pass(cosine, size), "term string, cluster_id int")
+    vocab = durable(prune_vocab(index.postings, index.stats))
+    weights = tfidf_weights(index.postings, index.stats, vocab).join(small(vocab), "term")
+    rows = weights.orderBy("df", "term", "doc_id").select("term", "doc_id", "w").coalesce(1)
+    return rows.mapInPandas(_single_pass(cosine, size), "term string, cluster_id int")
 
 
 def siblings(clusters: DataFrame, terms: list[str], index: Index, each: int = SIBLINGS, most: int = MOST) -> DataFrame:
@@ -188,15 +237,26 @@ def expand(index: Index, query: str, method: str = "rocchio", k: int = 10) -> di
     return {"original_query": " ".join(terms), "expanded_query": expanded, "method": method, "added_terms": added, "documents": format_results(bm25(index, expanded, k), index.doc_store)}
 
 
-def judge(index: Index, queries: DataFrame, run) -> DataFrame:
-    """query, precision, average_precision over judged queries (query, doc_id, relevant); run(query) gives doc_id, score."""
-    rows = None
-    for (query,) in queries.select("query").distinct().limit(1000).collect():
-        order = Window.orderBy(*by_score())  # over the rows of one result
-        part = run(query).withColumn("rank", F.row_number().over(order)).select(F.lit(query).alias("query"), "doc_id", "rank")
-        rows = part if rows is None else rows.unionByName(part)
-    rows = rows.join(queries, ["query", "doc_id"], "left").withColumn("relevant", F.coalesce("relevant", F.lit(0)))
+def judge(queries: DataFrame, results: DataFrame) -> DataFrame:
+    """query, precision, average_precision of judged queries (query, doc_id, relevant) over their results (query,
+    doc_id, score), whatever search gave them; queries without results have no row.
+    """
+    order = Window.partitionBy("query").orderBy(*by_score())
+    rows = results.withColumn("rank", F.row_number().over(order)).join(queries, ["query", "doc_id"], "left").withColumn("relevant", F.coalesce("relevant", F.lit(0)))
     seen = F.sum("relevant").over(Window.partitionBy("query").orderBy("rank"))
     total = queries.groupBy("query").agg(F.sum("relevant").alias("total"))
     rows = rows.withColumn("at", F.when(F.col("relevant") == 1, seen / F.col("rank")).otherwise(F.lit(0.0))).groupBy("query").agg(F.avg("relevant").alias("precision"), F.sum("at").alias("ap"))
     return rows.join(total, "query").select("query", "precision", F.when(F.col("total") > 0, F.col("ap") / F.col("total")).otherwise(F.lit(0.0)).alias("average_precision"))
+
+
+def bm25_of_all(index: Index, queries: DataFrame, k: int = 10) -> DataFrame:
+    """query, doc_id, score: the first k results of each query (query), all queries in one plan."""
+    asked = queries.select("query").distinct()
+    terms = analyzed(asked, "query", "query", index.analyzer).groupBy("query", "term").agg(F.count("*").alias("qtf"))
+    wanted = terms.select("term").distinct()
+    own = index.postings.join(wanted, "term", "left_semi")
+    df = own.groupBy("term").agg(F.count("tf").alias("df"))
+    rows = own.join(df, "term").join(terms, "term").join(index.doc_store.select("doc_id", "doc_len"), "doc_id", "left").crossJoin(F.broadcast(index.stats))
+    scores = rows.groupBy("query", "doc_id").agg(F.sum(bm25_part()).alias("score"))
+    order = Window.partitionBy("query").orderBy(*by_score())
+    return scores.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= k).drop("n")

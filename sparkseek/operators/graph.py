@@ -116,7 +116,10 @@ def hits(graph: Graph, root: DataFrame, rounds: int = HITS_ROUNDS, tolerance: fl
 
 
 def components(links: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
-    """node, component: the smallest node that links reach, by hanging nodes on their smallest neighbour."""
+    """node, component: the smallest node that links reach, by hanging nodes on their smallest neighbour.
+
+    The longest path shrinks by a constant factor a round; links that don't settle in `rounds` are an error.
+    """
     e = durable(links.select(F.greatest(a, b).alias("x"), F.least(a, b).alias("y")).filter("x <> y").distinct())
     before = None
     for _ in range(rounds):
@@ -131,4 +134,6 @@ def components(links: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
         if now == before:
             break
         before = now
+    else:
+        raise RuntimeError(f"components did not settle in {rounds} rounds")
     return e.select(F.col("x").alias("node"), F.col("y").alias("component")).unionByName(e.select(F.col("y").alias("node"), F.col("y").alias("component"))).distinct()

@@ -7,7 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import analyzed, remove_stop_words, tokenize
+from ..functions.text import remove_stop_words, term_counts, tokenize
+from ..session import durable
 from ..sources.pages import load_table, save_tables
 
 PREVIEW = 500
@@ -22,6 +23,11 @@ class Index:
     stats: DataFrame
     analyzer: str = "full"
 
+    def settled(self) -> Index:
+        """The same with its store written once, from which the statistics are made."""
+        store = durable(self.doc_store)
+        return Index(self.postings, store, corpus_stats(store), self.analyzer)
+
     def save(self, folder: str) -> None:
         save_tables(folder, postings=self.postings, doc_store=self.doc_store, corpus_stats=self.stats)
 
@@ -34,7 +40,7 @@ def build_index(pages: DataFrame, analyzer: str = "full") -> Index:
     """Index title and text of pages with doc_id, url, final_url, title, clean_text, geology_score."""
     text = F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("clean_text", F.lit("")))
     docs = pages.withColumn("_text", text)
-    postings = analyzed(docs, "doc_id", "_text", analyzer).groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
+    postings = term_counts(docs, "doc_id", "_text", analyzer)
     tokens = tokenize(F.col("_text"))
     length = F.size(tokens if analyzer == "raw" else remove_stop_words(tokens))
     store = docs.select("doc_id", "url", "final_url", "title", F.substring("clean_text", 1, PREVIEW).alias("clean_text_preview"), length.alias("doc_len"), F.coalesce("geology_score", F.lit(0)).alias("geology_score"))

@@ -43,15 +43,18 @@ def top(scores: DataFrame, k: int) -> DataFrame:
     return scores.orderBy(*by_score()).limit(k)
 
 
+def bm25_part(k1: float = K1, b: float = B) -> Column:
+    """A posting's part of a score, from qtf, tf, df, n, doc_len and avg_dl."""
+    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
+    length = F.coalesce(F.col("doc_len").cast("double"), F.col("avg_dl"))
+    return F.col("qtf") * idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * length / F.col("avg_dl")))
+
+
 def bm25_scores(index: Index, query: str, k1: float = K1, b: float = B) -> DataFrame:
     """doc_id, score; a query term counts as often as it occurs in the query."""
     rows = matches(index, query_terms(index, query)).crossJoin(F.broadcast(index.stats))
-    # Per document: a join with the store meets one row for each, with its terms' parts already summed up.
-    rows = rows.withColumn("idf", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1))
     rows = rows.join(index.doc_store.select("doc_id", "doc_len"), "doc_id", "left")
-    length = F.coalesce(F.col("doc_len").cast("double"), F.col("avg_dl"))
-    part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * length / F.col("avg_dl")))
-    return rows.groupBy("doc_id").agg(F.sum(part).alias("score"))
+    return rows.groupBy("doc_id").agg(F.sum(bm25_part(k1, b)).alias("score"))
 
 
 def bm25(index: Index, query: str, k: int = TOP_K, k1: float = K1, b: float = B) -> DataFrame:

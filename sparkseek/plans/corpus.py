@@ -62,12 +62,12 @@ def _hits_sql(name: str, k: int = 10) -> str:
 
 
 def bm25_topk(spark, sf_dir):
-    found = corpus(spark, sf_dir)
+    found = corpus(spark, sf_dir).settled()
     return rank.format_results(rank.bm25(found, QUERY), found.doc_store)
 
 
 def bm25_dup_terms(spark, sf_dir):
-    return _hits(rank.bm25(corpus(spark, sf_dir), REPEATED))
+    return _hits(rank.bm25(corpus(spark, sf_dir).settled(), REPEATED))
 
 
 def tfidf_topk(spark, sf_dir):
@@ -79,7 +79,7 @@ def tfidf_single_term(spark, sf_dir):
 
 
 def bm25_full_analyzer(spark, sf_dir):
-    return _hits(rank.bm25(corpus(spark, sf_dir, "full"), "nations the running estions"))
+    return _hits(rank.bm25(corpus(spark, sf_dir, "full").settled(), "nations the running estions"))
 
 
 def postings_tf(spark, sf_dir):
@@ -132,7 +132,7 @@ def stopword_filter(spark, sf_dir):
 
 def porter_vocab(spark, sf_dir):
     rows = documents(spark, sf_dir).select(F.explode(tokenize(F.col("text"))).alias("term"))
-    return stem_words(rows)
+    return stem_words(rows, vocabulary=True)
 
 
 def content_hash_dedup(spark, sf_dir):
@@ -145,27 +145,27 @@ def min_length_filter(spark, sf_dir):
 
 
 def max_normalize(spark, sf_dir):
-    return rank.normalized(rank.bm25(corpus(spark, sf_dir), QUERY, 30)).select("doc_id", F.round("score", 6).alias("score"))
+    return rank.normalized(rank.bm25(corpus(spark, sf_dir).settled(), QUERY, 30)).select("doc_id", F.round("score", 6).alias("score"))
 
 
 def pagerank_blend(spark, sf_dir):
-    return _hits(rank.pagerank_search(corpus(spark, sf_dir), QUERY, fixed_pagerank(spark, sf_dir)))
+    return _hits(rank.pagerank_search(corpus(spark, sf_dir).settled(), QUERY, fixed_pagerank(spark, sf_dir)))
 
 
 def ensemble(spark, sf_dir):
-    found, ranks, most = corpus(spark, sf_dir), fixed_pagerank(spark, sf_dir), rank.fetch_size(10)
+    found, ranks, most = corpus(spark, sf_dir).settled(), fixed_pagerank(spark, sf_dir), rank.fetch_size(10)
     lists = {"tfidf": rank.tfidf_rank(found, QUERY, most), "pagerank": rank.pagerank_search(found, QUERY, ranks, most), "hits": rank.top(authority(spark, sf_dir), most)}
     return _hits(rank.ensemble(lists))
 
 
 def precision_at_10(spark, sf_dir):
     judged = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col("quality").alias("relevant"))
-    return rank.precision_at(rank.bm25_scores(corpus(spark, sf_dir), QUERY), judged, 10)
+    return rank.precision_at(rank.bm25_scores(corpus(spark, sf_dir).settled(), QUERY), judged, 10)
 
 
 def _rocchio(spark, sf_dir):
     found = corpus(spark, sf_dir)
-    found = index.Index(durable(found.postings), found.doc_store, durable(found.stats), "raw")
+    found = index.Index(durable(found.postings), found.doc_store, found.stats, "raw").settled()
     return found, expand.rocchio(found, QUERY, rank.bm25(found, QUERY, expand.POOL))
 
 
