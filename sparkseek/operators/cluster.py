@@ -7,12 +7,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import IDF, CountVectorizer, Normalizer
+from pyspark.ml.feature import IDF, CountVectorizer, ElementwiseProduct, Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.linalg import SparseVector, VectorUDT
+from pyspark.ml.linalg import Vectors
 from pyspark.ml.stat import Summarizer
-from pyspark.mllib.linalg import Vectors as OldVectors
 from pyspark.mllib.linalg.distributed import RowMatrix
+from pyspark.mllib.util import MLUtils
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,8 +20,8 @@ from ..functions.lexicon import PALETTE, STOP_WORDS
 from ..functions.text import slug
 
 CLUSTERS, FEATURES, MIN_DF, MAX_DF, SEED = 20, 5000, 2, 0.8, 42
-COMPONENTS, THRESHOLD, EPSILON = 200, 0.35, 1e-12
-#: Subclusters of all partitions that meet in the merging pass, and in agglomeration, at most.
+COMPONENTS, THRESHOLD, BRANCHING, EPSILON = 200, 0.35, 50, 1e-12
+#: Subclusters that meet in the merging pass and in agglomeration, about; more are rebuilt with a larger threshold.
 MOST_SUBCLUSTERS = 20_000
 
 
@@ -33,13 +33,9 @@ def tfidf_features(docs: DataFrame, key: str = "doc_id", text: str = "text", fea
     words = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(r"(?U)\b\w\w+\b"), F.lit(0))
     rows = docs.select(key, F.filter(words, lambda w: ~F.array_contains(F.lit(STOP_WORDS), w)).alias("words")).persist()
     counted = CountVectorizer(inputCol="words", outputCol="tf", vocabSize=features, minDF=float(min_df), maxDF=float(max_df)).fit(rows).transform(rows)
-    weighted = IDF(inputCol="tf", outputCol="idf").fit(counted).transform(counted)
-
-    @F.udf(VectorUDT())
-    def plus(weight, count):  # Spark's weight lacks the term count once
-        return SparseVector(count.size, count.indices, weight.toArray()[count.indices] + count.values)
-
-    weighted = weighted.select(key, plus("idf", "tf").alias("raw"))
+    # Spark's weight lacks the term count once, so the counts are scaled by its weights plus one.
+    scale = Vectors.dense(IDF(inputCol="tf", outputCol="idf").fit(counted).idf.toArray() + 1)
+    weighted = ElementwiseProduct(scalingVec=scale, inputCol="tf", outputCol="raw").transform(counted)
     return Normalizer(inputCol="raw", outputCol="features", p=2.0).transform(weighted).select(key, "features")
 
 
@@ -53,7 +49,7 @@ def kmeans(vectors: DataFrame, key: str = "doc_id", k: int = CLUSTERS, seed: int
 
 def latent(vectors: DataFrame, key: str = "doc_id", components: int = COMPONENTS) -> DataFrame:
     """key, features: unit rows of the truncated, uncentred singular value decomposition."""
-    matrix = RowMatrix(vectors.select("features").rdd.map(lambda r: OldVectors.fromML(r[0])))
+    matrix = RowMatrix(MLUtils.convertVectorColumnsFromML(vectors.select("features"), "features"))
     axes = matrix.computeSVD(min(components, matrix.numCols())).V.toArray()
     shared = vectors.sparkSession.sparkContext.broadcast(axes.astype(np.float64))
 
@@ -67,62 +63,129 @@ def latent(vectors: DataFrame, key: str = "doc_id", components: int = COMPONENTS
     return vectors.select(key, array_to_vector(apply(vector_to_array("features"))).alias("features"))
 
 
-class Subclusters:
-    """Clustering features (count, sum, sum of squares) of the points so far.
+class Node:
+    """Entries of a CF-tree's node (count, sum, sum of squares, mean); a leaf has no children."""
 
-    A point or feature joins the nearest centroid if the radius stays within the threshold, else it stands alone.
-    """
+    def __init__(self, width: int, room: int, leaf: bool):
+        self.n, self.children = 0, None if leaf else []
+        self.count, self.square = np.zeros(room), np.zeros(room)
+        self.sum, self.mean = np.zeros((room, width)), np.zeros((room, width))
 
-    def __init__(self, threshold: float):
-        self.threshold = threshold
-        self.n = 0
-        self.count = self.square = np.zeros(0)
-        self.sum = self.mean = np.zeros((0, 0))
-
-    def add(self, count: float, total: np.ndarray, square: float) -> int:
-        if self.n:
-            mean = total / count
-            at = int((((self.mean[: self.n] - mean) ** 2).sum(1)).argmin())
-            c, s, q = self.count[at] + count, self.sum[at] + total, self.square[at] + square
-            radius = max(q / c - ((s / c) ** 2).sum(), 0) ** 0.5
-            if radius <= self.threshold:
-                self.count[at], self.sum[at], self.square[at], self.mean[at] = c, s, q, s / c
-                return at
-        if self.n == len(self.count):
-            more = max(64, self.n)
-            width = len(total)
-            self.count, self.square = np.append(self.count, np.zeros(more)), np.append(self.square, np.zeros(more))
-            grow = lambda m: np.concatenate([m.reshape(-1, width), np.zeros((more, width))])
-            self.sum, self.mean = grow(self.sum), grow(self.mean)
-        at, self.n = self.n, self.n + 1
+    def put(self, at: int, count: float, total: np.ndarray, square: float) -> None:
         self.count[at], self.sum[at], self.square[at], self.mean[at] = count, total, square, total / count
-        return at
 
+    def whole(self) -> tuple[float, np.ndarray, float]:
+        return self.count[: self.n].sum(), self.sum[: self.n].sum(0), self.square[: self.n].sum()
+
+
+class Tree:
+    """Clustering features in a tree: a point goes down to the nearest entry of each node.
+
+    In a leaf it joins the nearest subcluster if the radius stays within the threshold, else it stands alone. A node of
+    more than `branching` entries is split about its two entries that are farthest apart.
+    """
 
-def birch(vectors: DataFrame, key: str = "doc_id", threshold: float = THRESHOLD) -> tuple[DataFrame, np.ndarray]:
+    def __init__(self, threshold: float, branching: int = BRANCHING):
+        self.threshold, self.branching, self.root, self.n = threshold, branching, None, 0
+
+    def add(self, count: float, total: np.ndarray, square: float) -> None:
+        if self.root is None:
+            self.root = Node(len(total), self.branching + 1, True)
+        halves = self._insert(self.root, count, total, square)
+        if halves:
+            self.root = self._node(halves)
+
+    def _node(self, children: list[Node]) -> Node:
+        node = Node(children[0].sum.shape[1], self.branching + 1, False)
+        for child in children:
+            node.put(node.n, *child.whole())
+            node.children.append(child)
+            node.n += 1
+        return node
+
+    def _insert(self, node: Node, count: float, total: np.ndarray, square: float) -> list[Node] | None:
+        at = int(((node.mean[: node.n] - total / count) ** 2).sum(1).argmin()) if node.n else -1
+        if node.children is not None:
+            halves = self._insert(node.children[at], count, total, square)
+            if not halves:
+                node.put(at, node.count[at] + count, node.sum[at] + total, node.square[at] + square)
+                return None
+            node.children[at] = halves[0]
+            node.put(at, *halves[0].whole())
+            node.children.append(halves[1])
+            node.put(node.n, *halves[1].whole())
+        else:
+            if at >= 0:
+                c, s, q = node.count[at] + count, node.sum[at] + total, node.square[at] + square
+                if max(q / c - ((s / c) ** 2).sum(), 0) ** 0.5 <= self.threshold:
+                    node.put(at, c, s, q)
+                    return None
+            node.put(node.n, count, total, square)
+            self.n += 1
+        node.n += 1
+        return self._split(node) if node.n > self.branching else None
+
+    def _split(self, node: Node) -> list[Node]:
+        square = (node.mean**2).sum(1)
+        apart = square[:, None] + square[None, :] - 2 * node.mean @ node.mean.T
+        a, b = divmod(int(apart.argmax()), node.n)
+        first = apart[a] <= apart[b]
+        first[a], first[b] = True, False
+        halves = []
+        for side in (first, ~first):
+            half = Node(node.sum.shape[1], self.branching + 1, node.children is None)
+            for i in np.flatnonzero(side):
+                half.put(half.n, node.count[i], node.sum[i], node.square[i])
+                half.n += 1
+                if node.children is not None:
+                    half.children.append(node.children[i])
+            halves.append(half)
+        return halves
+
+    def leaves(self) -> Iterator[Node]:
+        waiting = [self.root] if self.root else []
+        while waiting:
+            node = waiting.pop()
+            if node.children is None:
+                yield node
+            else:
+                waiting += node.children[::-1]
+
+    def subclusters(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Counts, sums and sums of squares, from left to right."""
+        found = list(self.leaves())
+        return tuple(np.concatenate([getattr(x, name)[: x.n] for x in found]) for name in ("count", "sum", "square"))
+
+
+def birch(vectors: DataFrame, key: str = "doc_id", threshold: float = THRESHOLD, branching: int = BRANCHING, most: int = MOST_SUBCLUSTERS) -> tuple[DataFrame, np.ndarray]:
     """key, birch_cluster, and the subclusters' centroids.
 
-    Partitions compress their points to clustering features; these, far fewer, are compressed again in one
-    pass of at most MOST_SUBCLUSTERS; every point goes to the nearest of the resulting centroids.
+    Each partition builds a tree of its points, and a tree of all their subclusters gives the result; every point goes
+    to the nearest of its centroids. Where the subclusters would be more than `most`, the trees are built again with a
+    threshold that is half as large again, as the method has it for a full memory.
     """
     rows = vectors.select(key, vector_to_array("features").alias("x"))
 
     def compress(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = Subclusters(threshold)
+        own = Tree(threshold, branching)
         for batch in batches:
             for x in batch["x"]:
                 x = np.asarray(x)
                 own.add(1.0, x, float((x * x).sum()))
         if own.n:
-            yield pd.DataFrame({"n": own.count[: own.n], "s": list(own.sum[: own.n]), "q": own.square[: own.n]})
-
-    found = rows.select("x").mapInPandas(compress, "n double, s array<double>, q double").limit(MOST_SUBCLUSTERS + 1).toPandas()
-    if len(found) > MOST_SUBCLUSTERS:
-        raise ValueError("too many subclusters: raise the threshold")
-    merged = Subclusters(threshold)
+            n, s, q = own.subclusters()
+            yield pd.DataFrame({"n": n, "s": list(s), "q": q})
+
+    while True:
+        found = rows.select("x").mapInPandas(compress, "n double, s array<double>, q double").limit(most + 1).toPandas()
+        if len(found) <= most:
+            break
+        threshold = max(1.5 * threshold, EPSILON)
+    merged = Tree(threshold, branching)
     for n, s, q in sorted(zip(found["n"], found["s"], found["q"], strict=True), key=lambda r: (-r[0], tuple(r[1]))):
         merged.add(n, np.asarray(s), q)
-    means = merged.mean[: merged.n]
+    count, total, _ = merged.subclusters() if merged.n else (np.zeros(0), np.zeros((0, 0)), None)
+    means = total / count[:, None]
     shared = vectors.sparkSession.sparkContext.broadcast(means)
 
     def nearest(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -149,29 +212,59 @@ def usable(rows: DataFrame, eps: float = EPSILON) -> DataFrame:
 
 
 def agglomerate(x: np.ndarray, k: int, linkage: str) -> np.ndarray:
-    """Labels of rows by merging the closest clusters (cosine distance; `average` or `complete`) down to k."""
+    """Labels of rows by merging the closest clusters (cosine distance; `average` or `complete`) down to k.
+
+    Chains of nearest neighbours find all merges of these linkages; the n - k lowest are the greedy ones. Distances of
+    a cluster to all others are made from its rows when they are asked for, so memory is the rows only.
+    """
     n = len(x)
     unit = x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), EPSILON)
-    d = 1 - unit @ unit.T
-    np.fill_diagonal(d, np.inf)
-    size, label, alive = np.ones(n), np.arange(n), n
-    while alive > k:
-        i, j = sorted(divmod(int(d.argmin()), n))
-        row = (size[i] * d[i] + size[j] * d[j]) / (size[i] + size[j]) if linkage == "average" else np.maximum(d[i], d[j])
-        row[[i, j]] = np.inf
-        d[i], d[:, i] = row, row
-        d[j], d[:, j] = np.inf, np.inf
+    members, total, size = {i: np.array([i]) for i in range(n)}, unit.copy(), np.ones(n)
+    owner, alive = np.arange(n), np.ones(n, bool)
+
+    def away(i: int) -> np.ndarray:
+        if linkage == "average":
+            d = 1 - total @ total[i] / (size * size[i])
+        else:
+            d = np.full(n, -np.inf)
+            np.maximum.at(d, owner, 1 - (unit @ unit[members[i]].T).min(1))
+        d[~alive] = np.inf
+        d[i] = np.inf
+        return d
+
+    merges, chain = [], []
+    for _ in range(n - 1):
+        if not chain:
+            chain.append(int(alive.argmax()))
+        while True:
+            d = away(chain[-1])
+            near = int(d.argmin())
+            if len(chain) > 1 and d[chain[-2]] <= d[near] + 1e-12:
+                near = chain[-2]
+                break
+            chain.append(near)
+        i, j = sorted((chain.pop(), chain.pop()))
+        merges.append((d[near], i, j))
+        members[i] = np.concatenate([members[i], members.pop(j)])
+        owner[members[i]], alive[j] = i, False
+        total[i] += total[j]
         size[i] += size[j]
-        label[label == label[j]] = label[i]
-        alive -= 1
-    return np.unique(label, return_inverse=True)[1]
+    label = np.arange(n)
+
+    def root(a: int) -> int:
+        while label[a] != a:
+            a = label[a]
+        return a
+
+    for _, i, j in sorted(merges, key=lambda m: m[0])[: max(n - k, 0)]:
+        a, b = sorted((root(i), root(j)))
+        label[b] = a
+    return np.unique([root(i) for i in range(n)], return_inverse=True)[1]
 
 
 def agglomerated(rows: DataFrame, k: int = CLUSTERS, label: str = "birch_cluster") -> DataFrame:
-    """label, agg_average_cluster, agg_complete_cluster of unit centroids (at most MOST_SUBCLUSTERS)."""
-    found = sorted(rows.select(label, vector_to_array("unit")).limit(MOST_SUBCLUSTERS + 1).collect())
-    if len(found) > MOST_SUBCLUSTERS:
-        raise ValueError("too many centroids: raise the threshold")
+    """label, agg_average_cluster, agg_complete_cluster of unit centroids, of which `birch` bounds the number."""
+    found = sorted(rows.select(label, vector_to_array("unit")).collect())
     schema = f"{label} INT, agg_average_cluster INT, agg_complete_cluster INT"
     if not found:
         return rows.sparkSession.createDataFrame([], schema)
