@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from .. import service
 from ..operators import cluster
-from ..sources.pages import clusterable
+from ..sources.pages import clusterable, tail_log
 from ..streaming.ingest import sessions, windowed
 
 
@@ -49,8 +49,10 @@ def agglomerative(spark, sf_dir):
 
 def label_centroids(spark, sf_dir):
     """Mean vectors by label, in long form."""
-    rows = _read(spark, sf_dir, "embeddings").filter("label >= 0").select("label", F.posexplode("embedding").alias("dim", "x"))
-    return rows.groupBy("label", "dim").agg(F.round(F.avg(F.col("x").cast("double")), 6).alias("mean"))
+    from pyspark.ml.functions import vector_to_array
+
+    rows = cluster.centroids(_vectors(spark, sf_dir), _read(spark, sf_dir, "embeddings").select("vec_id", "label"), "vec_id", "label")
+    return rows.select("label", F.posexplode(vector_to_array("centroid")).alias("dim", "x")).select("label", "dim", F.round("x", 6).alias("mean"))
 
 
 def cluster_backmap(spark, sf_dir):
@@ -69,7 +71,9 @@ def clusterable_pages(spark, sf_dir):
 
 
 def query_log_tail(spark, sf_dir):
-    return _read(spark, sf_dir, "events").orderBy(F.desc("ts"), F.desc("event_id")).limit(50).select("event_id", "user_id", "event_type")
+    """The last entries of the events as a log; ids tell equal times apart."""
+    log = _read(spark, sf_dir, "events").withColumn("timestamp", F.concat_ws(" ", F.col("ts").cast("string"), F.lpad(F.col("event_id").cast("string"), 12, "0")))
+    return tail_log(log)[1].select("event_id", "user_id", "event_type")
 
 
 def tumbling_window(spark, sf_dir):
@@ -90,7 +94,8 @@ def join_semi(spark, sf_dir):
 
 
 def join_anti(spark, sf_dir):
-    return _read(spark, sf_dir, "customer").join(_read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey", "c_name")
+    big = _read(spark, sf_dir, "orders").filter("o_totalprice > 300000").select(F.col("o_custkey").alias("c_custkey"))
+    return _read(spark, sf_dir, "customer").join(big, "c_custkey", "left_anti").select("c_custkey", "c_name")
 
 
 def join_full_outer(spark, sf_dir):
@@ -150,7 +155,7 @@ ORACLES = {
     "session_window": """WITH g AS (SELECT user_id, ts, CASE WHEN ts > lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL '30 minutes' OR lag(ts) OVER (PARTITION BY user_id ORDER BY ts) IS NULL THEN 1 ELSE 0 END AS new FROM events),
 s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g) SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL '30 minutes' AS session_end, count(*) AS n FROM s GROUP BY user_id, k""",
     "join_semi": "SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)",
-    "join_anti": "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)",
+    "join_anti": "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)",
     "join_full_outer": "SELECT coalesce(a.k, b.k) AS nation, coalesce(customers, 0) AS customers, coalesce(suppliers, 0) AS suppliers FROM (SELECT c_nationkey AS k, count(*) AS customers FROM customer WHERE c_acctbal > 9000 GROUP BY 1) a FULL OUTER JOIN (SELECT s_nationkey AS k, count(*) AS suppliers FROM supplier WHERE s_acctbal > 5000 GROUP BY 1) b ON a.k = b.k",
     "join_left": "SELECT lang, count(*) AS n, count(quality) AS judged, CAST(coalesce(sum(toxic), 0) AS BIGINT) AS toxic FROM documents LEFT JOIN labels USING (doc_id) GROUP BY lang",
     "self_join_pairs": "WITH l AS (SELECT DISTINCT l_orderkey AS o, l_suppkey AS s FROM lineitem) SELECT x.s AS a, y.s AS b, count(*) AS n FROM l x JOIN l y ON x.o = y.o AND x.s < y.s GROUP BY 1, 2 HAVING count(*) >= 2",

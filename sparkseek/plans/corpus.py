@@ -190,8 +190,10 @@ def metric_components(spark, sf_dir):
 
 
 def metric_expand(spark, sf_dir):
-    found = corpus(spark, sf_dir)
-    return expand.siblings(metric_components(spark, sf_dir), QUERY.split(), found)
+    """Siblings of the first terms of the first three clusters that have any."""
+    found, clusters = corpus(spark, sf_dir), durable(metric_components(spark, sf_dir))
+    several = clusters.groupBy("cluster_id").agg(F.count("*").alias("n"), F.min("term").alias("term")).filter("n > 1").orderBy("cluster_id").limit(3)
+    return expand.siblings(clusters, [r["term"] for r in several.orderBy("cluster_id").collect()], found)
 
 
 def scalar_clusters(spark, sf_dir):
@@ -203,15 +205,6 @@ def scalar_expand(spark, sf_dir):
     return expand.siblings(scalar_clusters(spark, sf_dir), QUERY.split(), found)
 
 
-def added_terms(spark, sf_dir):
-    """Of each text's tokens those that its first ten lack, in order, repeats kept."""
-    tokens = tokenize(F.col("text"))
-    # Through a lambda's variable, so that tokens and known words are computed once for each text.
-    both = F.transform(F.array(tokens), lambda k: F.struct(k.alias("k"), F.slice(k, 1, 10).alias("b")))
-    kept = F.transform(both, lambda x: F.filter(x["k"], lambda w: ~F.array_contains(x["b"], w)))
-    return documents(spark, sf_dir).select("doc_id", F.array_join(F.get(kept, F.lit(0)), " ").alias("added"))
-
-
 _STOP = "[" + ", ".join(f"'{w}'" for w in STOP_WORDS) + "]"
 _KEPT = f"list_filter({TOKENS}, lambda w: NOT list_contains({_STOP}, w))"
 _PR = f"pr AS (SELECT doc_id, score FROM ({PAGERANK_SQL}))"
@@ -239,7 +232,7 @@ QUERIES = {
     for f in (
         bm25_topk, bm25_dup_terms, tfidf_topk, tfidf_single_term, bm25_full_analyzer, postings_tf, doc_len, doc_store, corpus_stats, term_df, vocab_prune, tfidf_weights, doc_terms, term_cosine,
         stopword_filter, porter_vocab, content_hash_dedup, min_length_filter, max_normalize, pagerank_blend, ensemble, precision_at_10, rocchio_terms, rocchio_requery, association_jaccard,
-        metric_components, metric_expand, scalar_clusters, scalar_expand, added_terms,
+        metric_components, metric_expand, scalar_clusters, scalar_expand,
     )
 }
 
@@ -277,6 +270,4 @@ r AS (SELECT doc_id, round(sum(score), 6) AS score FROM lists GROUP BY doc_id) {
     "rocchio_requery": f"WITH {CTES}, {_ROCCHIO}, r AS ({_REQUERY}) {_hits_sql('r')}",
     "association_jaccard": f"""WITH {CTES}, q AS (SELECT DISTINCT term FROM {_terms_sql(QUERY)}), co AS (SELECT a.term AS q, b.term, count(*) AS co FROM p a JOIN q ON q.term = a.term JOIN p b ON b.doc_id = a.doc_id AND b.term NOT IN (SELECT term FROM q) GROUP BY a.term, b.term)
 SELECT co.term, round(max(co.co / (x.df + y.df - co.co)), 6) AS score FROM co JOIN df x ON x.term = co.q JOIN df y ON y.term = co.term GROUP BY co.term ORDER BY round(max(co.co / (x.df + y.df - co.co)), 9) DESC, co.term LIMIT 12""",
-    "added_terms": f"""WITH k AS MATERIALIZED (SELECT doc_id, {TOKENS} AS k FROM documents), w AS (SELECT doc_id, unnest(k) AS w, unnest(range(len(k))) AS i FROM k), f AS (SELECT DISTINCT doc_id, w FROM w WHERE i < 10)
-SELECT doc_id, coalesce(string_agg(w, ' ' ORDER BY i) FILTER (WHERE w IS NOT NULL), '') AS added FROM k LEFT JOIN (SELECT * FROM w WHERE (doc_id, w) NOT IN (SELECT (doc_id, w) FROM f)) USING (doc_id) GROUP BY doc_id""",
 }

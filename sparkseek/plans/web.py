@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import html
 from ..functions.lexicon import CHROME_TAGS, TRACKING_PARAMS, TRACKING_PREFIX, UTILITY_TITLES_CRAWL, UTILITY_TITLES_INDEX, UTILITY_WORDS
+from ..functions.text import added_terms as text_added_terms
 from ..functions.text import content_hash, is_utility_title, keyword_hits, link_priority, topic_score
 from ..functions.urls import extract_domain, is_utility_page, is_utility_url, normalize_url, simple_normalize
 from ..operators import crawl
@@ -67,15 +68,20 @@ def utility_filter(spark, sf_dir):
     return pages(spark, sf_dir).filter(keep).select("page_id", "url")
 
 
+def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges of whole pages, navigation included, by the tree walk."""
+    rows = html.parse_pages(pages(spark, sf_dir), keep_chrome=True)
+    return crawl.page_edges(rows.withColumn("doc_id", F.col("page_id")).withColumns({"geology_score": F.lit(0), "depth": F.lit(0)}))
+
+
 def utility_links(spark, sf_dir):
-    return _links(spark, sf_dir).groupBy("page_id").agg(F.count_if(is_utility_url(F.col("target"))).alias("n_utility"), F.count("*").alias("n_links"))
+    rows = html.parse_pages(pages(spark, sf_dir), keep_chrome=True).select("page_id", F.explode("outlinks").alias("target"))
+    return rows.groupBy("page_id").agg(F.count_if(is_utility_url(F.col("target"))).alias("n_utility"), F.count("*").alias("n_links"))
 
 
 def outlinks_edges(spark, sf_dir):
-    """The first link of each page to each target, with its anchor text."""
-    order = Window.partitionBy("page_id", "target").orderBy("pos")
-    rows = _links(spark, sf_dir).withColumn("n", F.row_number().over(order)).filter("n = 1 AND target <> ''")
-    return rows.select(F.col("page_id").alias("source_doc_id"), F.col("target").alias("target_url"), F.col("anchor").alias("anchor_text"))
+    """The first link of each page to each target that is no utility page, with its anchor text."""
+    return _edges(spark, sf_dir).select("source_doc_id", "target_url", "anchor_text")
 
 
 def _plain(column: str):
@@ -100,17 +106,24 @@ def link_priority_score(spark, sf_dir):
 
 
 def per_group_first_n(spark, sf_dir):
-    order = Window.partitionBy("page_id").orderBy("pos")
-    rows = _links(spark, sf_dir).withColumn("n", F.row_number().over(order)).filter("n <= 3")
-    return rows.select("page_id", "pos", "target")
+    """The first three frontier candidates of each page."""
+    rows = crawl.candidates(_edges(spark, sf_dir), WORDS, most=3)
+    return rows.select(F.col("discovered_from").alias("page_id"), F.col("seq.pos").alias("pos"), F.col("url").alias("target"), "depth")
 
 
 def _judged(spark, sf_dir):
     """Documents as crawled pages: their id decides the status, their words the score."""
-    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.lit("").alias("title"), F.col("text").alias("clean_text"), F.concat(F.lit("http://x.example/p"), F.col("doc_id")).alias("url"), F.col("text").alias("html"), F.when(F.col("doc_id") % 10 == 0, 404).otherwise(200).alias("status"))
-    score, _ = keyword_hits(_plain("clean_text"), WORDS, 3)
-    stop = F.when(F.col("status") != 200, "status").when(F.col("html").isNull(), "html").when(F.length("clean_text") < crawl.MIN_CHARS, "length").when(score < 1, "topic")
-    return rows.withColumn("stop", stop)
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.lit("").alias("title"), _plain("text").alias("clean_text"), F.concat(F.lit("http://x.example/p"), F.col("doc_id")).alias("url"), F.col("text").alias("html"), F.when(F.col("doc_id") % 10 == 0, 404).otherwise(200).alias("status"))
+    return crawl.judged(rows, WORDS)
+
+
+def crawl_round(spark, sf_dir):
+    """One round over all pages as the queue, in order of their ids: what it keeps, numbered from 100."""
+    given = pages(spark, sf_dir).select("page_id", simple_normalize(F.col("url")).alias("url"), "html").groupBy("url").agg(F.min(F.struct("page_id", "html")).alias("p"))
+    fetched = given.select("url", "p.html", F.when(F.col("p.page_id") % 10 == 0, 404).otherwise(200).alias("status"))
+    frontier = given.select("url", F.lit(0).alias("depth"), F.lit(9).alias("score"), F.lit(None).cast("long").alias("discovered_from"), F.lit("high").alias("queue"), F.col("p.page_id").alias("seq"))
+    out = crawl.crawl_round(fetched, frontier, spark.createDataFrame([], "url STRING"), first_id=100, size=1 << 30, keywords=WORDS)
+    return out["pages"].select("doc_id", "url", F.length("clean_text").cast("long").alias("n_chars"), "depth")
 
 
 def quality_funnel(spark, sf_dir):
@@ -136,6 +149,15 @@ def frontier_priority_topk(spark, sf_dir):
     return crawl.pop(crawl.keep_new(rows, none, none), 200).select("url", F.col("score").cast("long").alias("score"), "queue", "seq")
 
 
+#: Queries and what an expansion made of them.
+EXPANDED = [("fault rock", "fault rock lava ash lava"), ("Fault", "fault Fault ROCK"), ("a", "a"), ("ash ash", "ash cloud"), ("x y z", "z y x w")]
+
+
+def added_terms(spark, sf_dir):
+    rows = [(a, b, " ".join(text_added_terms(a, b))) for a, b in EXPANDED]
+    return spark.createDataFrame(rows, "original STRING, expanded STRING, added STRING")
+
+
 def robots_gate(spark, sf_dir):
     body = "User-agent: *\nDisallow: /\n\nUser-agent: sparkseek\nDisallow: /en/\n"
     hosts = pages(spark, sf_dir).select(F.regexp_extract("url", r"^(https?://[^/?#]+)", 1).alias("origin")).distinct()
@@ -201,14 +223,19 @@ _SPACED = "translate({0}, '-_', '  ')"
 _UTILITY_TITLE = f"regexp_matches(lower(title), '{'|'.join(UTILITY_TITLES_CRAWL)}')"
 _PRIORITY = f"greatest(least(page_id % 13, 10) + 2 * {_found_sql('anchor')} + {_found_sql(_SPACED.format('target'))} - CASE WHEN {_utility_sql('target')} THEN 5 ELSE 0 END, 0)"
 _COVER = "(" + " + ".join(f"CAST({_count('title', w)} + {_count('text', w)} + {_count(_SPACED.format('url'), w)} > 0 AS BIGINT)" for w in WORDS) + ")"
-_JUDGED = f"""j AS (SELECT doc_id, text, CASE WHEN doc_id % 10 = 0 THEN 'status' WHEN text IS NULL THEN 'html' WHEN length(text) < 200 THEN 'length' WHEN {_hits_sql('text')} < 1 THEN 'topic' END AS stop FROM documents),
+_JUDGED = f"""j AS (SELECT doc_id, {PLAIN.format('text')} AS text, CASE WHEN doc_id % 10 = 0 THEN 'status' WHEN text IS NULL THEN 'html' WHEN length(text) < 200 THEN 'length' WHEN {_hits_sql('text')} + {_found_sql('text')} < {crawl.TOPIC} THEN 'topic' END AS stop FROM documents),
 k AS (SELECT min(doc_id) AS doc_id FROM j WHERE stop IS NULL GROUP BY sha256(coalesce(text, '')))"""
 
+#: Each page's targets at their first sight, numbered in that order.
+_FIRST_SQL = f"(SELECT page_id, target, anchor, row_number() OVER (PARTITION BY page_id ORDER BY first) - 1 AS pos FROM (SELECT page_id, target, min(pos) AS first, arg_min(anchor, pos) AS anchor FROM {_LINKS_SQL} WHERE target <> '' GROUP BY page_id, target))"
+#: A page's score without utility marks; {0} is its URL.
+_SCORE_SQL = "(" + " + ".join(f"(least({_count('x.text', w)}, 3) + 2 * CAST({_count('x.title', w)} > 0 AS BIGINT) + 2 * CAST({_count(_SPACED.format('{0}'), w)} > 0 AS BIGINT) + CAST({_count('x.title', w)} + {_count('x.text', w)} + {_count(_SPACED.format('{0}'), w)} > 0 AS BIGINT))".replace("{0}", "@") for w in WORDS).replace("@", "{0}") + ")"
+
 QUERIES = {
     f.__name__: f
     for f in (
         url_normalize, url_normalize_full, url_domain, url_dedup, html_title, html_text, html_parse, utility_filter, utility_links, outlinks_edges, keyword_score, page_topic_score,
-        link_priority_score, per_group_first_n, quality_funnel, stop_counts, sequential_ids, frontier_priority_topk, robots_gate,
+        link_priority_score, per_group_first_n, quality_funnel, stop_counts, sequential_ids, crawl_round, added_terms, frontier_priority_topk, robots_gate,
     )
 }
 
@@ -220,16 +247,22 @@ ORACLES = {
     "html_title": f"SELECT page_id, title FROM {_PAGE_SQL}",
     "html_text": f"SELECT page_id, text FROM {_PAGE_SQL}",
     "utility_filter": f"SELECT page_id, url FROM {_PAGE_SQL} WHERE NOT ({_utility_sql('url')} OR regexp_matches(lower(title), '{'|'.join(UTILITY_TITLES_INDEX)}') OR {_UTILITY_TITLE})",
-    "utility_links": f"SELECT page_id, CAST(count_if({_utility_sql('target')}) AS BIGINT) AS n_utility, count(*) AS n_links FROM {_LINKS_SQL} GROUP BY page_id",
-    "outlinks_edges": f"SELECT page_id AS source_doc_id, target AS target_url, arg_min(anchor, pos) AS anchor_text FROM {_LINKS_SQL} WHERE target <> '' GROUP BY page_id, target",
+    "utility_links": f"SELECT page_id, CAST(count_if({_utility_sql('target')}) AS BIGINT) AS n_utility, count(*) AS n_links FROM {_FIRST_SQL} GROUP BY page_id",
+    "outlinks_edges": f"SELECT page_id AS source_doc_id, target AS target_url, anchor AS anchor_text FROM {_FIRST_SQL} WHERE NOT {_utility_sql('target')}",
     "keyword_score": f"SELECT doc_id, {_hits_sql('text')} AS hits, {_found_sql('text')} AS n_found FROM documents",
     "page_topic_score": f"SELECT page_id, greatest({_hits_sql('text')} + 2 * {_found_sql('title')} + 2 * {_found_sql(_SPACED.format('url'))} + {_COVER} - CASE WHEN {_utility_sql('url')} THEN 4 ELSE 0 END - CASE WHEN {_UTILITY_TITLE} THEN 4 ELSE 0 END, 0) AS score FROM {_PAGE_SQL}",
     "link_priority_score": f"SELECT page_id, CAST(pos AS INTEGER) AS pos, {_PRIORITY} AS score FROM {_LINKS_SQL}",
-    "per_group_first_n": f"SELECT page_id, CAST(pos AS INTEGER) AS pos, target FROM {_LINKS_SQL} QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY pos) <= 3",
+    "per_group_first_n": f"SELECT page_id, CAST(pos AS INTEGER) AS pos, target, 1 AS depth FROM {_FIRST_SQL} WHERE NOT {_utility_sql('target')} QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY pos) <= 3",
+    "added_terms": "SELECT original, expanded, array_to_string(list_filter(string_split(expanded, ' '), lambda w: NOT list_contains(string_split(lower(original), ' '), w)), ' ') AS added FROM (VALUES "
+    + ", ".join(f"('{a}', '{b}')" for a, b in EXPANDED)
+    + ") v(original, expanded)",
+    "crawl_round": f"""WITH g AS (SELECT {_normalize_sql('url')} AS url, min(page_id) AS page_id FROM pages GROUP BY 1),
+t AS (SELECT g.url, g.page_id, x.text, {_SCORE_SQL.format('g.url')} AS score FROM g JOIN {_PAGE_SQL} x ON x.page_id = g.page_id WHERE g.page_id % 10 <> 0 AND length(x.text) >= 200 AND NOT ({_utility_sql('g.url')} OR {_UTILITY_TITLE})),
+k AS (SELECT min_by(url, page_id) AS url, min(page_id) AS page_id, text FROM t WHERE score >= {crawl.TOPIC} GROUP BY text) SELECT 99 + row_number() OVER (ORDER BY page_id) AS doc_id, url, length(text) AS n_chars, 0 AS depth FROM k""",
     "quality_funnel": f"""WITH {_JUDGED} SELECT count(*) AS attempted, CAST(count_if(coalesce(stop, '') <> 'status') AS BIGINT) AS fetched_ok, CAST(count_if(coalesce(stop, '') NOT IN ('status', 'html')) AS BIGINT) AS parsed, CAST(count_if(coalesce(stop, '') NOT IN ('status', 'html', 'length')) AS BIGINT) AS long_enough,
 CAST(0 AS BIGINT) AS filtered_utility, CAST(count_if(stop = 'topic') AS BIGINT) AS filtered_topic, CAST(count_if(stop IS NULL) AS BIGINT) AS kept_after_quality, (SELECT count(*) FROM k) AS kept_after_dedup, CAST(count_if(stop IS NULL) AS BIGINT) - (SELECT count(*) FROM k) AS duplicates_content, (SELECT count(*) FROM k) AS final_usable FROM j""",
     "stop_counts": f"WITH {_JUDGED} SELECT coalesce(stop, 'kept') AS stop, count(*) AS pages FROM j GROUP BY 1",
-    "sequential_ids": f"WITH {_JUDGED} SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS new_id, text FROM k JOIN documents USING (doc_id)",
+    "sequential_ids": f"WITH {_JUDGED} SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS new_id, text FROM k JOIN j USING (doc_id)",
     "frontier_priority_topk": f"""WITH c AS (SELECT target AS url, {_PRIORITY} AS score, page_id * 100000 + pos AS seq FROM {_LINKS_SQL} WHERE target <> ''), f AS (SELECT *, CASE WHEN score >= 8 THEN 'high' ELSE 'normal' END AS queue FROM c QUALIFY row_number() OVER (PARTITION BY url ORDER BY seq) = 1)
 SELECT url, score, queue, seq FROM f ORDER BY queue <> 'high', seq LIMIT 200""",
     "robots_gate": "SELECT page_id, url FROM pages WHERE NOT regexp_matches(url, '^https?://[^/?#]+/en/')",

@@ -203,3 +203,11 @@ def test_expand_falls_back_and_searches_again(mini):
     assert found["method"] == "rocchio" and found["added_terms"] == [] and found["documents"].count() == 2
     assert expand.expand(mini, "  ", "metric")["documents"] is None
     assert expand.expand(mini, "fault", "association")["expanded_query"] == "fault rock mineral"
+
+
+def test_judged_queries(spark, mini):
+    judged = spark.createDataFrame([("fault", 1, 1), ("fault", 2, 0), ("fault mineral", 2, 1), ("zzz", 1, 1)], "query STRING, doc_id LONG, relevant INT")
+    results = expand.bm25_of_all(mini, judged)
+    assert {(r["query"], r["doc_id"]): round(r["score"], 6) for r in results.collect()} == {("fault", 1): 0.835575, ("fault", 2): 0.575443, ("fault mineral", 2): 1.574968, ("fault mineral", 1): 0.835575}
+    found = {r["query"]: (r["precision"], r["average_precision"]) for r in expand.judge(judged, results).collect()}
+    assert found == {"fault": (0.5, 1.0), "fault mineral": (0.5, 1.0)}

@@ -333,3 +333,20 @@ def test_fetch_and_crawl(spark, site, tmp_path):
     assert [(p["doc_id"], p["url"].removeprefix(base)) for p in pages] == [(1, "/"), (2, "/a")]
     assert "/private/p" not in seen and seen.count("/a") == 2
     assert files.load_edges(spark, folder).filter("source_doc_id = 1").count() == 5
+
+
+#: Words and stems as the algorithm's paper gives them, with the outcome of all steps.
+PAPER = """caresses caress ponies poni ties tie caress caress cats cat feed feed agreed agre plastered plaster bled bled motoring motor sing sing conflated conflat troubled troubl sized size
+hopping hop tanned tan falling fall hissing hiss fizzed fizz failing fail filing file happy happi sky sky relational relat conditional condit rational ration valenci valenc hesitanci hesit
+digitizer digit radicalli radic differentli differ analogousli analog vietnamization vietnam predication predic operator oper feudalism feudal decisiveness decis hopefulness hope
+callousness callous formaliti formal sensitiviti sensit sensibiliti sensibl triplicate triplic formative form formalize formal electriciti electr electrical electr hopeful hope goodness good
+revival reviv allowance allow inference infer airliner airlin gyroscopic gyroscop adjustable adjust defensible defens irritant irrit replacement replac adjustment adjust dependent depend
+adoption adopt communism commun activate activ angulariti angular homologous homolog effective effect bowdlerize bowdler probate probat rate rate cease ceas controll control roll roll
+generalizations gener oscillators oscil connection connect connected connect connecting connect connections connect universities univers""".split()
+
+
+def test_stems_of_the_paper(spark):
+    pairs = [(w, s) for w, s in zip(PAPER[::2], PAPER[1::2], strict=True)]
+    rows = spark.createDataFrame(pairs, "term STRING, expected STRING")
+    found = {r["term"]: r["stem"] for r in stemmer.stem_words(rows).collect()}
+    assert {w: found[w] for w, _ in pairs} == dict(pairs)
