@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import analytics, corpus, links, web
+from . import analytics, corpus, links, stored, web
 
-QUERIES = corpus.QUERIES | links.QUERIES | web.QUERIES | analytics.QUERIES
-ORACLES = corpus.ORACLES | links.ORACLES | web.ORACLES | analytics.ORACLES
+QUERIES = corpus.QUERIES | links.QUERIES | web.QUERIES | stored.QUERIES | analytics.QUERIES
+ORACLES = corpus.ORACLES | links.ORACLES | web.ORACLES | stored.ORACLES | analytics.ORACLES

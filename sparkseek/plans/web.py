@@ -9,8 +9,8 @@ from ..functions import html
 from ..functions.lexicon import CHROME_TAGS, TRACKING_PARAMS, TRACKING_PREFIX, UTILITY_TITLES_CRAWL, UTILITY_TITLES_INDEX, UTILITY_WORDS
 from ..functions.text import added_terms as text_added_terms
 from ..functions.text import content_hash, is_utility_title, keyword_hits, link_priority, topic_score
-from ..functions.urls import extract_domain, is_utility_page, is_utility_url, normalize_url, simple_normalize
-from ..operators import crawl
+from ..functions.urls import extract_domain, is_http_url, is_utility_page, is_utility_url, normalize_url, simple_normalize, url_map
+from ..operators import crawl, graph
 
 #: Words of the driver's texts that stand for topic keywords.
 WORDS = ["estion", "ndtion", "tionen", "queque", "enlich"]
@@ -68,10 +68,14 @@ def utility_filter(spark, sf_dir):
     return pages(spark, sf_dir).filter(keep).select("page_id", "url")
 
 
-def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges of whole pages, navigation included, by the tree walk."""
+def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole pages, navigation included, by the tree walk, as crawled ones without score at depth 0."""
     rows = html.parse_pages(pages(spark, sf_dir), keep_chrome=True)
-    return crawl.page_edges(rows.withColumn("doc_id", F.col("page_id")).withColumns({"geology_score": F.lit(0), "depth": F.lit(0)}))
+    return rows.withColumns({"doc_id": F.col("page_id"), "geology_score": F.lit(0), "depth": F.lit(0)})
+
+
+def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crawl.page_edges(parsed(spark, sf_dir))
 
 
 def utility_links(spark, sf_dir):
@@ -165,6 +169,37 @@ def robots_gate(spark, sf_dir):
     return crawl.allowed(pages(spark, sf_dir).select("page_id", "url"), rules)
 
 
+def http_urls(spark, sf_dir):
+    """Which addresses are of the web; every seventh is made one of a file server."""
+    url = F.when(F.col("page_id") % 7 == 0, F.regexp_replace("url", "^[a-zA-Z]+:", "ftp:")).otherwise(F.col("url"))
+    return pages(spark, sf_dir).select("page_id", is_http_url(url).alias("web"))
+
+
+def _addressed(spark, sf_dir):
+    return pages(spark, sf_dir).select(F.col("page_id").alias("doc_id"), "url", simple_normalize(F.col("url")).alias("final_url"))
+
+
+def page_addresses(spark, sf_dir):
+    return url_map(_addressed(spark, sf_dir))
+
+
+def page_graph_edges(spark, sf_dir):
+    """Links between pages, by the addresses that their links name."""
+    return graph.build_graph(_addressed(spark, sf_dir), _edges(spark, sf_dir)).links
+
+
+def host_turns(spark, sf_dir):
+    """Seconds until each page's turn, two for each page of its host before it."""
+    return crawl.host_delay(pages(spark, sf_dir).select("page_id", "url", F.col("page_id").alias("seq")), 2.0).select("page_id", "wait")
+
+
+def frontier_unseen(spark, sf_dir):
+    """Links that are neither seen (pages of even id) nor queued (pages of ids that three divides)."""
+    rows = _links(spark, sf_dir).select(F.col("target").alias("url"), F.lit(1).alias("depth"), F.lit(1).alias("score"), F.col("page_id").alias("discovered_from"), (F.col("page_id") * 100_000 + F.col("pos")).alias("seq"))
+    own = lambda n: pages(spark, sf_dir).filter(F.col("page_id") % n == 0).select(simple_normalize(F.col("url")).alias("url"))
+    return crawl.keep_new(rows, own(2), own(3)).select("url", "discovered_from", "seq")
+
+
 _STRINGS = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
 _PART = "^(?:([^:/?#]+):)?(?://([^/?#]*))?([^?#]*)(?:\\?([^#]*))?"
 
@@ -231,11 +266,15 @@ _FIRST_SQL = f"(SELECT page_id, target, anchor, row_number() OVER (PARTITION BY
 #: A page's score without utility marks; {0} is its URL.
 _SCORE_SQL = "(" + " + ".join(f"(least({_count('x.text', w)}, 3) + 2 * CAST({_count('x.title', w)} > 0 AS BIGINT) + 2 * CAST({_count(_SPACED.format('{0}'), w)} > 0 AS BIGINT) + CAST({_count('x.title', w)} + {_count('x.text', w)} + {_count(_SPACED.format('{0}'), w)} > 0 AS BIGINT))".replace("{0}", "@") for w in WORDS).replace("@", "{0}") + ")"
 
+#: Addresses of pages: the last page of each, by id, its final address after its own.
+_ADDRESS_SQL = f"(SELECT url, max_by(page_id, 2 * page_id + n) AS page_id FROM (SELECT page_id, 0 AS n, url FROM pages UNION ALL SELECT page_id, 1, {_normalize_sql('url')} FROM pages) WHERE url <> '' GROUP BY url)"
+
 QUERIES = {
     f.__name__: f
     for f in (
         url_normalize, url_normalize_full, url_domain, url_dedup, html_title, html_text, html_parse, utility_filter, utility_links, outlinks_edges, keyword_score, page_topic_score,
         link_priority_score, per_group_first_n, quality_funnel, stop_counts, sequential_ids, crawl_round, added_terms, frontier_priority_topk, robots_gate,
+        http_urls, page_addresses, page_graph_edges, host_turns, frontier_unseen,
     )
 }
 
@@ -266,4 +305,11 @@ CAST(0 AS BIGINT) AS filtered_utility, CAST(count_if(stop = 'topic') AS BIGINT)
     "frontier_priority_topk": f"""WITH c AS (SELECT target AS url, {_PRIORITY} AS score, page_id * 100000 + pos AS seq FROM {_LINKS_SQL} WHERE target <> ''), f AS (SELECT *, CASE WHEN score >= 8 THEN 'high' ELSE 'normal' END AS queue FROM c QUALIFY row_number() OVER (PARTITION BY url ORDER BY seq) = 1)
 SELECT url, score, queue, seq FROM f ORDER BY queue <> 'high', seq LIMIT 200""",
     "robots_gate": "SELECT page_id, url FROM pages WHERE NOT regexp_matches(url, '^https?://[^/?#]+/en/')",
+    "html_parse": f"SELECT x.page_id, title, CAST(length(text) AS INTEGER) AS n_chars, CAST(coalesce(n, 0) AS INTEGER) AS n_links, sha256(text) AS content_hash FROM {_PAGE_SQL} x LEFT JOIN (SELECT page_id, count(*) AS n FROM {_FIRST_SQL} GROUP BY page_id) l ON l.page_id = x.page_id",
+    "http_urls": "SELECT page_id, page_id % 7 <> 0 AND regexp_matches(lower(url), '^https?:') AS web FROM pages",
+    "page_addresses": f"SELECT url, page_id AS doc_id FROM {_ADDRESS_SQL}",
+    "page_graph_edges": f"SELECT DISTINCT e.page_id AS src, a.page_id AS dst FROM {_FIRST_SQL} e JOIN {_ADDRESS_SQL} a ON a.url = e.target WHERE NOT {_utility_sql('target')} AND e.page_id <> a.page_id",
+    "host_turns": f"SELECT page_id, 2.0::DOUBLE * (row_number() OVER (PARTITION BY lower(regexp_extract(url, '{_PART}', 1)), lower(regexp_extract(url, '{_PART}', 2)) ORDER BY page_id) - 1) AS wait FROM pages",
+    "frontier_unseen": f"""WITH f AS (SELECT target AS url, page_id AS discovered_from, page_id * 100000 + pos AS seq FROM {_LINKS_SQL} WHERE target <> ''), known AS (SELECT {_normalize_sql('url')} AS url FROM pages WHERE page_id % 2 = 0 OR page_id % 3 = 0)
+SELECT * FROM f WHERE url NOT IN (SELECT url FROM known) QUALIFY row_number() OVER (PARTITION BY url ORDER BY seq) = 1""",
 }
