@@ -295,3 +295,9 @@ def cluster_counts(labels: DataFrame, label: str) -> DataFrame:
     place = F.row_number().over(Window.orderBy(label)) - 1  # over one row for each cluster
     name = F.concat(F.lit("Cluster "), F.col(label))
     return rows.withColumn("i", place).select(slug(name).alias("id"), name.alias("name"), F.get(F.lit(PALETTE), F.col("i") % len(PALETTE)).alias("color"), "count")
+
+
+def clustered_results(results: DataFrame, labels: DataFrame, label: str, key: str = "doc_id") -> DataFrame:
+    """The results that have a label from 0 up, each with the id of its cluster, as `cluster`."""
+    name = slug(F.concat(F.lit("Cluster "), F.col(label)))
+    return results.join(labels.select(key, label), key).filter(F.col(label) >= 0).withColumn("cluster", name)

@@ -53,7 +53,7 @@ def pagerank_fixed_iter(spark, sf_dir):
 
 
 def pagerank_converged(spark, sf_dir):
-    return graph.topic_pagerank(supplier_graph(spark, sf_dir), topic(spark, sf_dir))
+    return graph.topic_pagerank(supplier_graph(spark, sf_dir), topic(spark, sf_dir)).withColumn("score", F.round("score", 6))
 
 
 def pagerank_top(spark, sf_dir):
@@ -79,26 +79,36 @@ links AS MATERIALIZED (SELECT DISTINCT src, dst FROM (SELECT l_suppkey AS src, l
 WHERE dst IS NOT NULL AND src <> dst AND src IN (SELECT id FROM nodes) AND dst IN (SELECT id FROM nodes))"""
 
 
-def _pagerank_sql() -> str:
+def _pagerank_sql(rounds: int = ROUNDS, tolerance: float = 0) -> str:
+    """CTE body: doc_id, score. Ranks stay as they are after the round that moves less than `tolerance` in all."""
     parts = [_LINKS, "o AS MATERIALIZED (SELECT src, count(*) AS out FROM links GROUP BY src)", "g AS MATERIALIZED (SELECT count(*) AS n, sum(weight) AS mass FROM nodes)", "r0 AS MATERIALIZED (SELECT id, weight, 1.0::DOUBLE / n AS rank FROM nodes CROSS JOIN g)"]
-    for i in range(1, ROUNDS + 1):
-        parts.append(f"""r{i} AS MATERIALIZED (SELECT r.id, r.weight, 0.85 * (coalesce(x.got, 0) + (SELECT coalesce(sum(rank), 0) FROM r{i - 1} WHERE id NOT IN (SELECT src FROM o)) / g.n) + 0.15 * r.weight / g.mass AS rank
+    for i in range(1, rounds + 1):
+        new = f"0.85 * (coalesce(x.got, 0) + (SELECT coalesce(sum(rank), 0) FROM r{i - 1} WHERE id NOT IN (SELECT src FROM o)) / g.n) + 0.15 * r.weight / g.mass"
+        if tolerance and i > 1:
+            new = f"CASE WHEN (SELECT sum(abs(a.rank - b.rank)) FROM r{i - 1} a JOIN r{i - 2} b USING (id)) < {tolerance} THEN r.rank ELSE {new} END"
+        parts.append(f"""r{i} AS MATERIALIZED (SELECT r.id, r.weight, {new} AS rank
 FROM r{i - 1} r CROSS JOIN g LEFT JOIN (SELECT l.dst, sum(q.rank / o.out) AS got FROM links l JOIN r{i - 1} q ON q.id = l.src JOIN o ON o.src = l.src GROUP BY l.dst) x ON x.dst = r.id)""")
-    return f"WITH {', '.join(parts)} SELECT id AS doc_id, rank AS score FROM r{ROUNDS}"
+    return f"WITH {', '.join(parts)} SELECT id AS doc_id, rank AS score FROM r{rounds}"
 
 
-def _hits_sql() -> str:
+def hits_sql(root: str, rounds: int = ROUNDS, tolerance: float = 0) -> str:
+    """CTE body: doc_id, hub, authority. root: a query of ids. Scores stay after the round that moves both less than `tolerance`."""
     first = lambda side, other: f"(SELECT {other} FROM (SELECT {other}, row_number() OVER (PARTITION BY {side} ORDER BY {other}) AS n FROM links WHERE {side} IN (SELECT id FROM root)) WHERE n <= 50)"
-    parts = [_LINKS, f"root AS (SELECT s_suppkey AS id FROM supplier WHERE s_nationkey = {NATION})", f"base AS MATERIALIZED (SELECT id FROM root UNION {first('src', 'dst')} UNION {first('dst', 'src')})"]
+    parts = [_LINKS, f"root AS MATERIALIZED ({root})", f"base AS MATERIALIZED (SELECT id FROM (SELECT id FROM root UNION {first('src', 'dst')} UNION {first('dst', 'src')}) WHERE id IN (SELECT id FROM nodes))"]
     parts += ["near AS MATERIALIZED (SELECT src, dst FROM links WHERE src IN (SELECT id FROM base) AND dst IN (SELECT id FROM base))", "h0 AS MATERIALIZED (SELECT id, 1.0::DOUBLE AS hub, 1.0::DOUBLE AS auth FROM base)"]
-    for i in range(1, ROUNDS + 1):
+    for i in range(1, rounds + 1):
         parts.append(f"""x{i} AS MATERIALIZED (SELECT b.id, coalesce(h.v, 0) AS hub, coalesce(a.v, 0) AS auth FROM base b LEFT JOIN (SELECT n.src, sum(p.auth) AS v FROM near n JOIN h{i - 1} p ON p.id = n.dst GROUP BY n.src) h ON h.src = b.id
 LEFT JOIN (SELECT n.dst, sum(p.hub) AS v FROM near n JOIN h{i - 1} p ON p.id = n.src GROUP BY n.dst) a ON a.dst = b.id)""")
-        parts.append(f"h{i} AS MATERIALIZED (SELECT id, hub / coalesce(nullif((SELECT sqrt(sum(hub * hub)) FROM x{i}), 0), 1) AS hub, auth / coalesce(nullif((SELECT sqrt(sum(auth * auth)) FROM x{i}), 0), 1) AS auth FROM x{i})")
-    return f"WITH {', '.join(parts)} SELECT id AS doc_id, hub, auth AS authority FROM h{ROUNDS}"
+        hub, auth = (f"{c} / coalesce(nullif((SELECT sqrt(sum({c} * {c})) FROM x{i}), 0), 1)" for c in ("hub", "auth"))
+        if tolerance and i > 1:
+            still = f"(SELECT sum(abs(a.hub - b.hub)) < {tolerance} AND sum(abs(a.auth - b.auth)) < {tolerance} FROM h{i - 1} a JOIN h{i - 2} b USING (id))"
+            parts.append(f"h{i} AS MATERIALIZED (SELECT id, CASE WHEN {still} THEN p.hub ELSE {hub.replace('hub /', 'x.hub /', 1)} END AS hub, CASE WHEN {still} THEN p.auth ELSE {auth.replace('auth /', 'x.auth /', 1)} END AS auth FROM x{i} x JOIN h{i - 1} p USING (id))")
+        else:
+            parts.append(f"h{i} AS MATERIALIZED (SELECT id, {hub} AS hub, {auth} AS auth FROM x{i})")
+    return f"WITH {', '.join(parts)} SELECT id AS doc_id, hub, auth AS authority FROM h{rounds}"
 
 
-PAGERANK_SQL, HITS_SQL = _pagerank_sql(), _hits_sql()
+PAGERANK_SQL, HITS_SQL = _pagerank_sql(), hits_sql(f"SELECT s_suppkey AS id FROM supplier WHERE s_nationkey = {NATION}")
 QUERIES = {f.__name__: f for f in (graph_edges, graph_stats, graph_degrees, pagerank_fixed_iter, pagerank_converged, pagerank_top, hits_authority, hits_hub, link_components)}
 ORACLES = {
     "graph_edges": f"WITH {_LINKS} SELECT src, dst FROM links",
@@ -107,6 +117,7 @@ SELECT (SELECT count(*) FROM nodes) AS n_nodes, (SELECT count(*) FROM links) AS
 coalesce((SELECT max(n) FROM i), 0) AS max_in_degree, (SELECT id FROM i ORDER BY n DESC, id LIMIT 1) AS max_in_node, round((SELECT count(*) FROM links) / (SELECT count(*) FROM nodes), 2) AS avg_out_degree""",
     "graph_degrees": f"""WITH {_LINKS} SELECT id, coalesce(o.n, 0) AS out_degree, coalesce(i.n, 0) AS in_degree FROM nodes LEFT JOIN (SELECT src, count(*) AS n FROM links GROUP BY src) o ON o.src = id LEFT JOIN (SELECT dst, count(*) AS n FROM links GROUP BY dst) i ON i.dst = id""",
     "pagerank_fixed_iter": f"SELECT doc_id, round(score, 6) AS score FROM ({PAGERANK_SQL})",
+    "pagerank_converged": f"SELECT doc_id, round(score, 6) AS score FROM ({_pagerank_sql(graph.ROUNDS, graph.TOLERANCE)})",
     "pagerank_top": f"SELECT doc_id, s_name, round(score, 6) AS score FROM ({PAGERANK_SQL}) JOIN supplier ON s_suppkey = doc_id ORDER BY round(score, 6) DESC, doc_id LIMIT 10",
     "hits_authority": f"SELECT doc_id, round(authority, 5) AS authority FROM ({HITS_SQL})",
     "hits_hub": f"SELECT doc_id, round(hub, 5) AS hub FROM ({HITS_SQL})",

@@ -184,8 +184,10 @@ def page_addresses(spark, sf_dir):
 
 
 def page_graph_edges(spark, sf_dir):
-    """Links between pages, by the addresses that their links name."""
-    return graph.build_graph(_addressed(spark, sf_dir), _edges(spark, sf_dir)).links
+    """Links between pages, by the addresses that their links name; a page ends at the first link of the page after it."""
+    ends = _links(spark, sf_dir).filter("pos = 0").select((F.col("page_id") - 1).alias("doc_id"), F.col("target").alias("final_url"))
+    rows = _addressed(spark, sf_dir).drop("final_url").join(ends, "doc_id", "left")
+    return graph.build_graph(rows, _edges(spark, sf_dir)).links
 
 
 def host_turns(spark, sf_dir):
@@ -267,7 +269,8 @@ _FIRST_SQL = f"(SELECT page_id, target, anchor, row_number() OVER (PARTITION BY
 _SCORE_SQL = "(" + " + ".join(f"(least({_count('x.text', w)}, 3) + 2 * CAST({_count('x.title', w)} > 0 AS BIGINT) + 2 * CAST({_count(_SPACED.format('{0}'), w)} > 0 AS BIGINT) + CAST({_count('x.title', w)} + {_count('x.text', w)} + {_count(_SPACED.format('{0}'), w)} > 0 AS BIGINT))".replace("{0}", "@") for w in WORDS).replace("@", "{0}") + ")"
 
 #: Addresses of pages: the last page of each, by id, its final address after its own.
-_ADDRESS_SQL = f"(SELECT url, max_by(page_id, 2 * page_id + n) AS page_id FROM (SELECT page_id, 0 AS n, url FROM pages UNION ALL SELECT page_id, 1, {_normalize_sql('url')} FROM pages) WHERE url <> '' GROUP BY url)"
+_ADDRESS_SQL = "(SELECT url, max_by(page_id, 2 * page_id + n) AS page_id FROM (SELECT page_id, 0 AS n, url FROM pages UNION ALL {0}) WHERE url <> '' GROUP BY url)"
+_ENDS_SQL = f"SELECT page_id - 1, 1, target FROM {_LINKS_SQL} WHERE pos = 0 AND page_id - 1 IN (SELECT page_id FROM pages)"
 
 QUERIES = {
     f.__name__: f
@@ -307,8 +310,8 @@ SELECT url, score, queue, seq FROM f ORDER BY queue <> 'high', seq LIMIT 200""",
     "robots_gate": "SELECT page_id, url FROM pages WHERE NOT regexp_matches(url, '^https?://[^/?#]+/en/')",
     "html_parse": f"SELECT x.page_id, title, CAST(length(text) AS INTEGER) AS n_chars, CAST(coalesce(n, 0) AS INTEGER) AS n_links, sha256(text) AS content_hash FROM {_PAGE_SQL} x LEFT JOIN (SELECT page_id, count(*) AS n FROM {_FIRST_SQL} GROUP BY page_id) l ON l.page_id = x.page_id",
     "http_urls": "SELECT page_id, page_id % 7 <> 0 AND regexp_matches(lower(url), '^https?:') AS web FROM pages",
-    "page_addresses": f"SELECT url, page_id AS doc_id FROM {_ADDRESS_SQL}",
-    "page_graph_edges": f"SELECT DISTINCT e.page_id AS src, a.page_id AS dst FROM {_FIRST_SQL} e JOIN {_ADDRESS_SQL} a ON a.url = e.target WHERE NOT {_utility_sql('target')} AND e.page_id <> a.page_id",
+    "page_addresses": f"SELECT url, page_id AS doc_id FROM {_ADDRESS_SQL.format('SELECT page_id, 1, ' + _normalize_sql('url') + ' FROM pages')}",
+    "page_graph_edges": f"SELECT DISTINCT e.page_id AS src, a.page_id AS dst FROM {_FIRST_SQL} e JOIN {_ADDRESS_SQL.format(_ENDS_SQL)} a ON a.url = e.target WHERE NOT {_utility_sql('target')} AND e.page_id <> a.page_id",
     "host_turns": f"SELECT page_id, 2.0::DOUBLE * (row_number() OVER (PARTITION BY lower(regexp_extract(url, '{_PART}', 1)), lower(regexp_extract(url, '{_PART}', 2)) ORDER BY page_id) - 1) AS wait FROM pages",
     "frontier_unseen": f"""WITH f AS (SELECT target AS url, page_id AS discovered_from, page_id * 100000 + pos AS seq FROM {_LINKS_SQL} WHERE target <> ''), known AS (SELECT {_normalize_sql('url')} AS url FROM pages WHERE page_id % 2 = 0 OR page_id % 3 = 0)
 SELECT * FROM f WHERE url NOT IN (SELECT url FROM known) QUALIFY row_number() OVER (PARTITION BY url ORDER BY seq) = 1""",

@@ -7,16 +7,18 @@ import time
 from dataclasses import dataclass
 from datetime import UTC, datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions.text import added_terms, search_url
-from .operators import expand, graph, rank
+from .operators import cluster, expand, graph, rank
 from .operators.index import Index, build_index
 from .session import durable
 from .sources import pages as files
 
 METHODS = ("tfidf", "bm25", "pagerank", "hits")
+#: What an engine without clusters answers when it is asked for them.
+NO_CLUSTERS = {"available": False, "message": "The collection has not been clustered.", "required": ["flat clusters", "two agglomerative clusterings", "labels for results"], "clusters": [], "results": []}
 
 
 @dataclass
@@ -25,6 +27,7 @@ class SearchEngine:
     links: graph.Graph
     pagerank: DataFrame
     log: str | None = None
+    labels: DataFrame | None = None
 
     @staticmethod
     def build(pages: DataFrame, edges: DataFrame, folder: str | None = None, analyzer: str = "full") -> SearchEngine:
@@ -99,6 +102,34 @@ class SearchEngine:
         found = expand.expand(self.index, query, method)
         return found | {"added": added_terms(found["original_query"], found["expanded_query"])}
 
+    def clusters(self, query: str, label: str = "flat_cluster", k: int = rank.TOP_K) -> dict:
+        """Definitions of the clusters that a query's results fall into, and the results with their clusters, in order of both."""
+        if not query.strip():
+            return {"error": "Query cannot be empty."}
+        if self.labels is None:
+            return dict(NO_CLUSTERS)
+        try:
+            found = durable(cluster.clustered_results(self.search(query, k=k), self.labels, label))
+            shapes = [r.asDict() for r in cluster.cluster_counts(found, label).collect()]
+            rows = [r.asDict() for r in found.orderBy(label, "rank").drop(label).collect()]
+        except Exception as error:  # the service answers, whatever a search runs into
+            return {"clusters": [], "results": [], "error": str(error)}
+        return {"available": True, "clusters": shapes, "results": rows}
+
+    def term_report(self, terms: list[str], sample: int = 4) -> DataFrame:
+        """term, n_docs, postings: the first few as doc:tf; terms without postings have none."""
+        asked = self.index.postings.sparkSession.createDataFrame([(t,) for t in dict.fromkeys(terms)], "term STRING")
+        own = self.index.postings.filter(F.col("term").isin(terms))
+        first = own.withColumn("n", F.row_number().over(Window.partitionBy("term").orderBy("doc_id"))).filter(F.col("n") <= sample)
+        shown = F.transform(F.array_sort(F.collect_list(F.struct("n", "doc_id", "tf"))), lambda p: F.concat_ws(":", p["doc_id"], p["tf"]))
+        rows = asked.join(own.groupBy("term").agg(F.count("*").alias("n_docs")), "term", "left").join(first.groupBy("term").agg(F.array_join(shown, " ").alias("postings")), "term", "left")
+        return rows.select("term", F.coalesce("n_docs", F.lit(0)).alias("n_docs"), F.coalesce("postings", F.lit("")).alias("postings"))
+
+    def summary(self) -> DataFrame:
+        """One row: pages, mean length, terms, and the graph's statistics."""
+        terms = self.index.postings.agg(F.count_distinct("term").alias("n_terms"))
+        return self.index.stats.crossJoin(terms).crossJoin(graph.graph_stats(self.links))
+
     def pagerank_report(self, k: int = 10) -> DataFrame:
         return rank.top(self.pagerank, k).join(self.index.doc_store.select("doc_id", "url", "title"), "doc_id", "left").orderBy(*rank.by_score())
 
@@ -107,6 +138,14 @@ class SearchEngine:
         return self.index.postings.filter(F.col("term").isin(terms)).orderBy("term", F.desc("tf"), "doc_id")
 
 
+def file_sizes(spark: SparkSession, folder: str) -> DataFrame:
+    """name, bytes of what a folder holds, by name; a table's bytes are those of its files."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    system = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = sorted((f.getPath().getName(), system.getContentSummary(f.getPath()).getLength()) for f in system.listStatus(at))
+    return spark.createDataFrame(found, "name STRING, bytes LONG")
+
+
 def capabilities(spark: SparkSession) -> DataFrame:
     rows = [("relevance", True, ["vector", "pagerank", "hits", "combined"]), ("clustering", True, ["flat", "birch", "agg_average", "agg_complete"]), ("expansion", True, list(expand.METHODS)), ("comparison", True, ["google", "bing"])]
     return spark.createDataFrame(rows, "module STRING, available BOOLEAN, methods ARRAY<STRING>")

@@ -286,6 +286,17 @@ def test_engine(spark, tmp_path):
     assert engine.pagerank_report(2).count() == 2 and engine.examples(["fault"]).count() == 2
     with pytest.raises(ValueError):
         engine.search("x", "nope")
+    assert engine.clusters("fault") == service.NO_CLUSTERS and engine.clusters(" ") == {"error": "Query cannot be empty."}
+    engine.labels = spark.createDataFrame([(1, 2), (2, 0), (3, -1)], "doc_id LONG, flat_cluster INT")
+    said = engine.clusters("fault rock ash", k=4)
+    assert [(c["id"], c["name"], c["count"]) for c in said["clusters"]] == [("cluster_0", "Cluster 0", 1), ("cluster_2", "Cluster 2", 1)]
+    assert [(r["doc_id"], r["cluster"]) for r in said["results"]] == [(2, "cluster_0"), (1, "cluster_2")] and said["available"]
+    assert "error" in engine.clusters("fault", "no_such_label")
+    rows = {r["term"]: (r["n_docs"], r["postings"]) for r in engine.term_report(["fault", "rock", "none"], 1).collect()}
+    assert rows == {"fault": (2, "1:1"), "rock": (2, "1:1"), "none": (0, "")}
+    assert engine.summary().first()["n_terms"] == 4 and engine.summary().first()["n_edges"] == 3
+    sizes = {r["name"]: r["bytes"] for r in service.file_sizes(spark, str(tmp_path / "index")).collect()}
+    assert {"postings", "doc_store", "pagerank", "graph_stats"} <= set(sizes) and sizes["postings"] > 0
 
 
 @pytest.fixture
