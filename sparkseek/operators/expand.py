@@ -86,6 +86,7 @@ def association(index: Index, query: str, terms: int = ASSOCIATION_TERMS) -> Dat
 def metric_clusters(index: Index, cosine: float = METRIC_COSINE, per_doc: int = METRIC_TERMS_PER_DOC) -> DataFrame:
     """term, cluster_id for the pruned vocabulary: terms that stand in a document together and whose full vectors
     are close are joined, and clusters are what joins reach. A document gives its first `per_doc` terms by a hash.
+    Cosines within 1e-9 of the threshold reach it, so the order of a sum decides nothing.
     """
     vocab = prune_vocab(index.postings, index.stats)
     weights = tfidf_weights(index.postings, index.stats, vocab)
@@ -93,7 +94,7 @@ def metric_clusters(index: Index, cosine: float = METRIC_COSINE, per_doc: int =
     order = Window.partitionBy("doc_id").orderBy(F.md5(F.col("term").cast("binary")), "term")
     sample = weights.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= per_doc).select("doc_id", "term")
     pairs = sample.toDF("doc_id", "a").join(sample.toDF("doc_id", "b"), "doc_id").filter("a < b").select("a", "b").distinct()
-    close = term_cosines(weights, pairs).filter(F.col("cosine") >= cosine).select(F.xxhash64("a").alias("x"), F.xxhash64("b").alias("y"))
+    close = term_cosines(weights, pairs).filter(F.round("cosine", 9) >= cosine).select(F.xxhash64("a").alias("x"), F.xxhash64("b").alias("y"))
     found = graph.components(close, "x", "y")
     rows = ids.join(found, F.col("id") == F.col("node"), "left").select("term", F.coalesce("component", "id").alias("c"))
     return rows.withColumn("cluster_id", F.min("term").over(Window.partitionBy("c"))).select("term", "cluster_id")

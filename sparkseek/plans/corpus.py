@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,7 +10,7 @@ from ..functions.lexicon import STOP_WORDS
 from ..functions.stemmer import stem_sql, stem_words
 from ..functions.text import content_hash, remove_stop_words, tokenize
 from ..functions.urls import first_by
-from ..operators import expand, index, rank
+from ..operators import cluster, expand, index, rank
 from ..session import durable
 from .links import HITS_SQL, PAGERANK_SQL, authority, fixed_pagerank
 
@@ -205,6 +206,13 @@ def scalar_expand(spark, sf_dir):
     return expand.siblings(scalar_clusters(spark, sf_dir), QUERY.split(), found)
 
 
+def document_features(spark, sf_dir):
+    """Each document's vector over the whole pruned vocabulary: its number of terms, its sum, its largest weight."""
+    rows = cluster.tfidf_features(documents(spark, sf_dir), features=1 << 18)
+    rows = rows.select("doc_id", F.filter(vector_to_array("features"), lambda v: v > 0).alias("x"))
+    return rows.select("doc_id", F.size("x").cast("long").alias("n_terms"), F.round(F.aggregate("x", F.lit(0.0), lambda a, v: a + v), 6).alias("total"), F.round(F.coalesce(F.array_max("x"), F.lit(0.0)), 6).alias("largest"))
+
+
 _STOP = "[" + ", ".join(f"'{w}'" for w in STOP_WORDS) + "]"
 _KEPT = f"list_filter({TOKENS}, lambda w: NOT list_contains({_STOP}, w))"
 _PR = f"pr AS (SELECT doc_id, score FROM ({PAGERANK_SQL}))"
@@ -227,12 +235,26 @@ best AS (SELECT term, sum(w) AS weight FROM parts GROUP BY term HAVING sum(w) >
 rocchio AS (SELECT term, weight FROM best WHERE term NOT IN (SELECT term FROM {_terms_sql(QUERY)}) ORDER BY round(weight, 9) DESC, term LIMIT 8)"""
 _REQUERY = bm25_sql(QUERY).replace(_terms_sql(QUERY), f"(SELECT term FROM {_terms_sql(QUERY)} UNION ALL SELECT term FROM rocchio)")
 
+#: Labels spread along links by their smallest value, SPREAD times at most.
+SPREAD = 60
+_METRIC = f"""{CTES}, vocab AS (SELECT term FROM df CROSS JOIN s WHERE df BETWEEN 2 AND greatest(1, floor(n * 0.85))),
+w AS MATERIALIZED (SELECT term, doc_id, (1 + log10(tf)) * log10(n / df) AS w FROM p JOIN df USING (term) JOIN vocab USING (term) CROSS JOIN s), m AS MATERIALIZED (SELECT term, sqrt(sum(w * w)) AS m FROM w GROUP BY term),
+few AS MATERIALIZED (SELECT doc_id, term FROM w QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY md5(term), term) <= {expand.METRIC_TERMS_PER_DOC}),
+pairs AS MATERIALIZED (SELECT DISTINCT a.term AS a, b.term AS b FROM few a JOIN few b ON a.doc_id = b.doc_id AND a.term < b.term),
+near AS MATERIALIZED (SELECT pairs.a, pairs.b FROM pairs JOIN w x ON x.term = a JOIN w y ON y.term = b AND y.doc_id = x.doc_id JOIN m mx ON mx.term = a JOIN m my ON my.term = b GROUP BY pairs.a, pairs.b, mx.m, my.m HAVING mx.m * my.m > 0 AND round(sum(x.w * y.w) / (mx.m * my.m), 9) >= 0.5),
+e AS MATERIALIZED (SELECT a, b FROM near UNION ALL SELECT b, a FROM near),
+step AS (SELECT 0 AS i, term AS node, term AS c FROM vocab UNION ALL SELECT i + 1, node, least(min(c), min(o)) FROM (SELECT s.i, s.node, s.c, coalesce(t.c, s.c) AS o FROM step s LEFT JOIN e ON e.a = s.node LEFT JOIN step t ON t.node = e.b) WHERE i < {SPREAD} GROUP BY i, node),
+metric AS MATERIALIZED (SELECT node AS term, c AS cluster_id FROM step WHERE i = {SPREAD})"""
+
+_FEATURES = f"""f AS (SELECT doc_id, unnest(list_filter(regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{M}}\\p{{N}}_]{{2,}}'), lambda w: NOT list_contains({_STOP}, w))) AS term FROM documents),
+ft AS (SELECT doc_id, term, count(*) AS tf FROM f GROUP BY ALL), fd AS (SELECT term, count(*) AS df FROM ft GROUP BY term), fw AS (SELECT doc_id, tf * (ln((1 + n) / (1 + df)) + 1) AS w FROM ft JOIN fd USING (term) CROSS JOIN (SELECT count(*) AS n FROM documents) WHERE df BETWEEN 2 AND 0.8 * n)"""
+
 QUERIES = {
     f.__name__: f
     for f in (
         bm25_topk, bm25_dup_terms, tfidf_topk, tfidf_single_term, bm25_full_analyzer, postings_tf, doc_len, doc_store, corpus_stats, term_df, vocab_prune, tfidf_weights, doc_terms, term_cosine,
         stopword_filter, porter_vocab, content_hash_dedup, min_length_filter, max_normalize, pagerank_blend, ensemble, precision_at_10, rocchio_terms, rocchio_requery, association_jaccard,
-        metric_components, metric_expand, scalar_clusters, scalar_expand,
+        metric_components, metric_expand, scalar_clusters, scalar_expand, document_features,
     )
 }
 
@@ -270,4 +292,9 @@ r AS (SELECT doc_id, round(sum(score), 6) AS score FROM lists GROUP BY doc_id) {
     "rocchio_requery": f"WITH {CTES}, {_ROCCHIO}, r AS ({_REQUERY}) {_hits_sql('r')}",
     "association_jaccard": f"""WITH {CTES}, q AS (SELECT DISTINCT term FROM {_terms_sql(QUERY)}), co AS (SELECT a.term AS q, b.term, count(*) AS co FROM p a JOIN q ON q.term = a.term JOIN p b ON b.doc_id = a.doc_id AND b.term NOT IN (SELECT term FROM q) GROUP BY a.term, b.term)
 SELECT co.term, round(max(co.co / (x.df + y.df - co.co)), 6) AS score FROM co JOIN df x ON x.term = co.q JOIN df y ON y.term = co.term GROUP BY co.term ORDER BY round(max(co.co / (x.df + y.df - co.co)), 9) DESC, co.term LIMIT 12""",
+    "metric_components": f"WITH RECURSIVE {_METRIC} SELECT term, cluster_id FROM metric",
+    "metric_expand": f"""WITH RECURSIVE {_METRIC}, several AS (SELECT cluster_id, CAST(row_number() OVER (ORDER BY cluster_id) - 1 AS INTEGER) AS pos FROM metric GROUP BY cluster_id HAVING count(*) > 1 ORDER BY cluster_id LIMIT 3)
+SELECT pos, term FROM metric JOIN several USING (cluster_id) WHERE term <> cluster_id QUALIFY row_number() OVER (PARTITION BY cluster_id ORDER BY term) <= {expand.SIBLINGS} ORDER BY pos, term LIMIT {expand.MOST}""",
+    "document_features": f"""WITH {_FEATURES}, v AS (SELECT doc_id, count(*) AS n_terms, sum(w) AS s, max(w) AS m, sqrt(sum(w * w)) AS l FROM fw GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_terms, 0) AS n_terms, round(coalesce(s / l, 0), 6) AS total, round(coalesce(m / l, 0), 6) AS largest FROM documents d LEFT JOIN v ON v.doc_id = d.doc_id""",
 }
