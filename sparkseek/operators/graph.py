@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.urls import url_map
-from ..session import drop_table, durable, small
+from ..session import drop_table, durable, small, small_of
 
 DAMPING, ROUNDS, TOLERANCE = 0.85, 100, 1e-6
 HITS_ROUNDS, HITS_TOLERANCE, NEIGHBOURS = 50, 1e-6, 50
@@ -63,19 +63,19 @@ def topic_pagerank(graph: Graph, topic: DataFrame | None = None, damping: float
 
     topic: doc_id, score. The vector that first changes by less than `tolerance` in all is the result.
     """
-    out = graph.links.groupBy("src").agg(F.count("*").alias("out"))
+    links = durable(graph.links)
+    out = links.groupBy("src").agg(F.count("*").alias("out"))
     weight = F.lit(1.0) if topic is None else F.greatest(F.coalesce("t", F.lit(1)), F.lit(1)).cast("double")
     nodes = graph.nodes.join(out.withColumnRenamed("src", "id"), "id", "left")
     if topic is not None:
         nodes = nodes.join(topic.select(F.col("doc_id").alias("id"), F.col("score").alias("t")), "id", "left")
     nodes = durable(nodes.select("id", F.coalesce("out", F.lit(0)).alias("out"), weight.alias("weight")))
-    links = durable(graph.links)
     n, mass, dangling = nodes.agg(F.count("*"), F.sum("weight"), F.sum((F.col("out") == 0).cast("long"))).first()
     if not n:
         return nodes.select(F.col("id").alias("doc_id"), F.lit(0.0).alias("score"))
     ranks, loose = nodes.withColumn("rank", F.lit(1.0 / n)), dangling / n
     for _ in range(rounds):
-        given = links.join(small(ranks.select(F.col("id").alias("src"), F.try_divide("rank", "out").alias("share"))), "src").groupBy(F.col("dst").alias("id")).agg(F.sum("share").alias("got"))
+        given = links.join(small_of(ranks.select(F.col("id").alias("src"), F.try_divide("rank", "out").alias("share")), n), "src").groupBy(F.col("dst").alias("id")).agg(F.sum("share").alias("got"))
         new = damping * (F.coalesce("got", F.lit(0.0)) + F.lit(loose / n)) + (1 - damping) * F.col("weight") / mass
         step = durable(ranks.join(given, "id", "left").select("id", "out", "weight", new.alias("rank"), F.abs(new - F.col("rank")).alias("moved")))
         moved, loose = step.agg(F.sum("moved"), F.coalesce(F.sum(F.when(F.col("out") == 0, F.col("rank"))), F.lit(0.0))).first()
@@ -102,7 +102,7 @@ def hits(graph: Graph, root: DataFrame, rounds: int = HITS_ROUNDS, tolerance: fl
     n = base.count()
     scores = base.select("id", F.lit(1.0).alias("hub"), F.lit(1.0).alias("auth"))
     for _ in range(rounds if n else 0):
-        now = small(scores)
+        now = small_of(scores, n)
         auth = links.join(now.select(F.col("id").alias("src"), "hub"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum("hub").alias("a"))
         hub = links.join(now.select(F.col("id").alias("dst"), "auth"), "dst").groupBy(F.col("src").alias("id")).agg(F.sum("auth").alias("h"))
         step = durable(scores.join(auth, "id", "left").join(hub, "id", "left").select("id", F.coalesce("h", F.lit(0.0)).alias("h"), F.coalesce("a", F.lit(0.0)).alias("a"), F.col("hub").alias("oh"), F.col("auth").alias("oa")))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import graph
+from ..session import durable
 
 ROUNDS = 10
 NATION = 3
@@ -29,7 +30,8 @@ def fixed_pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = spark.read.parquet(f"{sf_dir}/supplier.parquet").filter(F.col("s_nationkey") == NATION).select(F.col("s_suppkey").alias("id"))
-    return graph.hits(supplier_graph(spark, sf_dir), root, rounds=ROUNDS, tolerance=0)
+    made = supplier_graph(spark, sf_dir)
+    return graph.hits(graph.Graph(made.nodes, durable(made.links)), root, rounds=ROUNDS, tolerance=0)
 
 
 def authority(spark: SparkSession, sf_dir: str) -> DataFrame:

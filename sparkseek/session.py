@@ -64,6 +64,11 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
+def small_of(df: DataFrame, n: int) -> DataFrame:
+    """The same for a table whose number of rows is known."""
+    return F.broadcast(df) if n <= BROADCAST_ROWS else df
+
+
 def placed(df: DataFrame, *key: str, name: str = "_rank") -> DataFrame:
     """The rows with their place from 0 in the order of `key`, dense, as `name`.
 
