@@ -1,12 +1,13 @@
 """Personal data by fixed patterns and a semi-Markov conditional random field.
 
 The base kinds (email, ip, card, phone) are fixed patterns with checks; their spans always stay. The field adds
-spans that the patterns miss: written-out addresses, numbers without a plus sign, cards with dots. It scores
-whole candidate segments of at most LONGEST tokens and WIDEST characters by features of the entire span and of its borders, and a
-dynamic programme over a stretch of text chooses boundaries and kinds together; weights are trained by the
-likelihood of sentences made from templates. Only stretches around digits, @ and written-out signs are looked
-at: elsewhere no segment is a candidate, so nothing else than "outside" is possible there. An added span never
-overlaps a base span.
+spans that the patterns miss: written-out addresses, numbers without a plus sign, cards with dots, and a fifth
+kind, secret: passwords, tokens and keys, told by their name or by an issuer's prefix. It scores whole candidate
+segments of at most LONGEST tokens and WIDEST characters (secrets: SECRET characters) by features of the entire
+span and of its borders, and a dynamic programme over a stretch of text chooses boundaries and kinds together;
+weights are trained by the likelihood of sentences made from templates. Only stretches around digits, @,
+written-out signs and names of secrets are looked at: elsewhere no segment is a candidate, so nothing else than
+"outside" is possible there. An added span never overlaps a base span.
 
 Edge cases: null texts count as empty, which have no spans and the digest of an empty string; the work grows
 with a text's length, also in long runs of digits, numbers and marks; repeated rows and further columns stay; spans of one start are ordered by
@@ -28,7 +29,9 @@ from pyspark.sql import functions as F
 from .common import arrow_limits
 
 KINDS = ("email", "ip", "card", "phone")
-LONGEST, WIDEST = 24, 160
+#: What the field tells apart.
+LABELS = (*KINDS, "secret")
+LONGEST, WIDEST, SECRET = 24, 160, 400
 #: Groups of digits and digits of a number.
 GROUPS, DIGITS = 6, 19
 #: Tokens at which segments begin that are scored at once.
@@ -95,7 +98,22 @@ def base_spans(text: str) -> list[Span]:
 
 # --- The field ---
 
-_STRETCH = re.compile(r"@|\(?[0-9][0-9().\-/ ]{5,}[0-9]|[(\[ ]at[)\] ] ?[\w-]{1,40} ?[(\[ ]dot[)\] ]", re.IGNORECASE | re.ASCII)
+#: Names of secrets, and prefixes that issuers of keys give them.
+_NAMES = r"(?:password|passwd|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth[_-]?key|credential)s?"
+_ISSUED = re.compile(r"(?:AKIA|ASIA|AIza|ghp_|gho_|ghs_|github_pat_|glpat-|sk-|sk_live_|rk_live_|pk_live_|xox[abprs]-|npm_|hf_|eyJ)[A-Za-z0-9_.-]{12,}")
+_SIGN = r"""["']?\s{0,2}[:=]\s{0,2}["']?"""
+_RUN_OF = "[A-Za-z0-9_+/-]"
+_VALUE = rf"""[^\s"',;]{{4,{SECRET}}}+"""
+_MIXED = rf"(?<!{_RUN_OF})(?=[A-Z_+/-]{{0,40}}[0-9])(?=[0-9_+/-]{{0,40}}[A-Z]){_RUN_OF}{{12,{SECRET}}}+(?:{_SIGN}{_VALUE})?"
+_STRETCH = re.compile(
+    rf"@|{_MIXED}|{_NAMES}{_SIGN}{_VALUE}|\(?[0-9][0-9().\-/ ]{{5,}}[0-9]|[(\[ ]at[)\] ] ?[\w-]{{1,40}} ?[(\[ ]dot[)\] ]", re.IGNORECASE | re.ASCII
+)
+_KEY = re.compile(rf"(?<!{_RUN_OF})(?:eyJ[A-Za-z0-9_-]{{6,200}}+\.[A-Za-z0-9_-]{{6,200}}+\.[A-Za-z0-9_-]{{6,200}}+|{_RUN_OF}{{8,{SECRET}}}+)(?!{_RUN_OF})(?:={{1,2}}(?![A-Za-z0-9=]))?")
+_ASSIGNED = re.compile(rf"{_NAMES}{_SIGN}({_VALUE})", re.IGNORECASE | re.ASCII)
+_NAMED = re.compile(rf"{_NAMES}{_SIGN}$", re.IGNORECASE | re.ASCII)
+_HEX = re.compile(r"[0-9a-f]{12,}|[0-9A-F]{12,}")
+_UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
+_PARTS = re.compile(r"[^A-Za-z0-9]+")
 _TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|\s+|.", re.ASCII | re.DOTALL)
 _BEGUN = r"[a-z0-9._%+-]{1,64} ?(\(at\)|\[at\]|\sat\s|@)"
 _AT = re.compile(_BEGUN, re.IGNORECASE | re.ASCII)
@@ -113,8 +131,9 @@ CALLED = {"phone": ("tel", "phone", "call", "fax", "mobile", "cell"), "card": ("
 (
     ALWAYS, WRITTEN, MARKED, AT_SIGN, AS_PHONE, AS_CARD, LUHN, FOURS, FOUR_BYTES, LOCAL, AREA, ONE_GROUP, ONE_MARK, MIXED_MARKS, SLASH, DATE, INSIDE, AFTER_SIGN,
     NAMED_PHONE, NAMED_CARD, NAMED_IP, NAMED_EMAIL, UNBALANCED, FEW_DIGITS,
-) = range(24)
-FEATURES = 24
+    KEY, NAMED_KEY, ISSUED, NO_DIGIT, HEX, UUID, CHANGES, CASES, PLAIN_PARTS, SIXTEEN, MONOTONE,
+) = range(35)
+FEATURES = 35
 
 
 class Borders:
@@ -235,10 +254,49 @@ def addresses(text: str, tokens: list[tuple[int, int]], borders: Borders) -> Ite
             yield i, j, f
 
 
+def key_features(text: str, a: int, b: int) -> np.ndarray:
+    """Features of a candidate for a secret."""
+    span, f = text[a:b], np.zeros(FEATURES, bool)
+    body = span.rstrip("=")
+    parts = [p for p in _PARTS.split(body) if p]
+    signs = [c.isdigit() for c in body if c.isascii() and c.isalnum()]
+    f[KEY] = True
+    f[NAMED_KEY] = bool(_NAMED.search(text, max(0, a - 2 * CONTEXT), a))
+    f[ISSUED] = bool(_ISSUED.fullmatch(body))
+    f[NO_DIGIT] = not any(signs)
+    f[HEX], f[UUID] = bool(_HEX.fullmatch(body)), bool(_UUID.fullmatch(body))
+    f[CHANGES] = sum(x != y for x, y in zip(signs, signs[1:], strict=False)) >= max(3, len(signs) // 8)
+    f[CASES] = any(map(str.isupper, body)) and any(map(str.islower, body)) and any(signs)
+    f[PLAIN_PARTS] = len(parts) > 1 and all(p.isalpha() or p.isdigit() for p in parts)
+    f[SIXTEEN], f[MONOTONE], f[SLASH] = len(body) >= 16, len(set(body)) < 4, body.count("/") > 1
+    f[INSIDE] = text[a - 1 : a].isalnum() if a else False
+    f[INSIDE] |= text[b : b + 1].isalnum()
+    return f
+
+
+def secrets(text: str, tokens: list[tuple[int, int]]) -> Iterator[tuple[int, int, np.ndarray]]:
+    """First token, last token and features of runs that may be keys, and of what a name of a secret stands before."""
+    if not tokens:
+        return
+    low, high = tokens[0][0], tokens[-1][1]
+    spans = {m.span() for m in _KEY.finditer(text, low, high)}
+    for match in _ASSIGNED.finditer(text, low, high):
+        a, value = match.start(1), match[1] if match[0][: -len(match[1])][-1] in "\"'" else match[1].rstrip(".:!?)]}>")
+        if len(value) >= 4:
+            spans.add((a, a + len(value)))
+    spans = sorted(s for s in spans if any(c.isascii() and c.isalpha() for c in text[slice(*s)]))
+    if not spans:
+        return
+    first, last = {a: i for i, (a, _) in enumerate(tokens)}, {b: i for i, (_, b) in enumerate(tokens)}
+    for a, b in spans:
+        if a in first and b in last:
+            yield first[a], last[b], key_features(text, a, b)
+
+
 def segments(text: str, tokens: list[tuple[int, int]]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """First tokens, end tokens and features of every segment that some kind is possible for, in blocks."""
     borders = Borders(text, tokens)
-    found = list(addresses(text, tokens, borders))
+    found = [*addresses(text, tokens, borders), *secrets(text, tokens)]
     if found:
         i, j, f = (np.array(x) for x in zip(*found, strict=True))
         yield i, j + 1, f
@@ -304,7 +362,7 @@ def likelihood(length: int, segments: list[tuple[int, int, np.ndarray]], gold: s
     value, gradient = -ahead[length], np.zeros_like(weights)
     for (i, j, f), s in zip(segments, scores, strict=True):
         share = np.exp(ahead[i] + s + behind[j] - ahead[length])
-        for kind in range(len(KINDS)):
+        for kind in range(len(LABELS)):
             if (i, j, kind) in gold:
                 value += s[kind]
                 share[kind] -= 1
@@ -360,15 +418,44 @@ def _templates(seed: int, count: int) -> Iterator[tuple[str, list[Span]]]:
         yield text, [(kind, len(left) + 1, len(left) + 1 + len(span))] if kind else []
 
 
+def _secret_templates(seed: int, count: int) -> Iterator[tuple[str, list[Span]]]:
+    """Sentences with secrets and with what looks like them."""
+    rng = np.random.default_rng(seed)
+    of = lambda letters, n: "".join(rng.choice(list(letters), n))
+    lower, upper, digit = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    word = lambda: of("abcdefghijklmnoprstuvw", rng.integers(3, 10))
+    name = lambda: str(rng.choice(["password", "Password", "passwd", "pwd", "secret", "client_secret", "token", "TOKEN", "api_key", "apikey", "API-KEY", "access_key"]))
+    mixed = lambda n: of(lower + upper + digit, n - 2) + of(digit, 1) + of(upper, 1)
+    hexed = lambda n: of(digit + "abcdef", n - 2) + of("abcdef", 1) + of(digit, 1)
+    uuid = lambda: "-".join(of(digit + "abcdef", n) for n in (8, 4, 4, 4, 12))
+    # Told by a name, told by a prefix, and told by neither.
+    named = [lambda: hexed(rng.integers(12, 65)), lambda: mixed(rng.integers(10, 41)), lambda: word() + of(digit, rng.integers(1, 5)), lambda: of(lower + digit + "!#%&*", 9) + of(digit, 1), uuid]
+    issued = [lambda: "AKIA" + of(upper + digit, 16), lambda: "ghp_" + mixed(36), lambda: "sk-" + mixed(40), lambda: "xoxb-" + of(digit, 11) + "-" + mixed(20), lambda: ".".join(["eyJ" + mixed(20), mixed(30), mixed(24)])]
+    neither = [
+        lambda: hexed(40), lambda: hexed(64), lambda: hexed(12), uuid, lambda: mixed(11), lambda: mixed(24), lambda: f"{word()}-{rng.integers(1, 99)}-{word()}{word()}", lambda: f"{word()}_{word()}_{rng.integers(9)}",
+        lambda: f"{word()}/{word()}/{word()}{rng.integers(9)}/{word()}", lambda: of(upper, 3) + "-" + of(digit, 6), lambda: of(upper, 2) + of(digit, 10), lambda: word() + word() + word(), lambda: word() + "-" + word(),
+    ]
+    plain = [word, lambda: word() + "-" + word(), lambda: word() + "_" + word(), lambda: "x" * int(rng.integers(4, 12)), lambda: "*" * 6 + "a", lambda: f"/{word()}/{word()}/{word()}{rng.integers(9)}/{word()}"]
+    for n in range(count):
+        makers, form = ((named, "name"), (issued, ""), (neither, ""), (plain, "name"), (named, "name"), (neither, "other"))[n % 6]
+        left, value = " ".join(word() for _ in range(rng.integers(1, 3))) + " ", makers[int(rng.integers(len(makers)))]()
+        if form:
+            left += (name() if form == "name" else str(rng.choice(["commit", "sha", "id", "file", "digest", word()]))) + str(rng.choice(["=", ": ", " = ", ":"]))
+        quote = str(rng.choice(["", '"'])) if form else ""
+        text = f"{left}{quote}{value}{quote}{rng.choice(['', '.', ' ' + word()])}"
+        a = len(left) + len(quote)
+        yield text, [("secret", a, a + len(value))] if makers in (named, issued) else []
+
+
 @lru_cache
 def trained(seed: int = 29, count: int = 320, rounds: int = 60, rate: float = 0.1, decay: float = 0.002) -> np.ndarray:
     """Weights (kinds x features) by gradient ascent with Adam on the template sentences."""
     rows = []
-    for text, spans in _templates(seed, count):
+    for text, spans in [*_templates(seed, count), *_secret_templates(seed, count // 2)]:
         tokens = [m.span() for m in _TOKEN.finditer(text)]
         first, last = {a: i for i, (a, _) in enumerate(tokens)}, {b: i + 1 for i, (_, b) in enumerate(tokens)}
-        rows.append((len(tokens), candidates(text, tokens), {(first[a], last[b], KINDS.index(k)) for k, a, b in spans}))
-    weights = np.zeros((len(KINDS), FEATURES))
+        rows.append((len(tokens), candidates(text, tokens), {(first[a], last[b], LABELS.index(k)) for k, a, b in spans}))
+    weights = np.zeros((len(LABELS), FEATURES))
     m, v = np.zeros_like(weights), np.zeros_like(weights)
     for step in range(1, rounds + 1):
         gradient = -decay * weights + sum(likelihood(*row, weights)[1] for row in rows) / len(rows)
@@ -406,7 +493,7 @@ def added_spans(text: str, base: list[Span], weights: np.ndarray) -> list[Span]:
                 continue
             tokens = [(m.start(), m.end()) for m in _TOKEN.finditer(text, x, y)]
             for i, j, kind in best_path(len(tokens), candidates(text, tokens, weights), weights):
-                found.append((KINDS[kind], tokens[i][0], tokens[j - 1][1]))
+                found.append((LABELS[kind], tokens[i][0], tokens[j - 1][1]))
     return found
 
 
@@ -415,7 +502,7 @@ def joined(spans: list[Span]) -> str:
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone and base_sha256 of the base spans; spans: all; n_added."""
+    """doc_id, n_email, n_ip, n_card, n_phone and base_sha256 of the base spans; spans: all; n_added, n_secret, n_spans."""
     spark = docs.sparkSession
     arrow_limits(spark)
     shared = spark.sparkContext.broadcast(trained())
@@ -427,9 +514,9 @@ def find(docs: DataFrame) -> DataFrame:
             for text in texts.fillna(""):
                 base = base_spans(text)
                 more = added_spans(text, base, weights)
-                every = sorted(base + more, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
-                rows.append((*(sum(s[0] == k for s in base) for k in KINDS), hashlib.sha256(joined(base).encode()).hexdigest(), joined(every), len(more)))
-            yield pd.DataFrame(rows, columns=["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added"])
+                every = sorted(base + more, key=lambda s: (s[1], LABELS.index(s[0]), s[2]))
+                rows.append((*(sum(s[0] == k for s in base) for k in KINDS), hashlib.sha256(joined(base).encode()).hexdigest(), joined(every), len(more), sum(s[0] == "secret" for s in more), len(every)))
+            yield pd.DataFrame(rows, columns=["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added", "n_secret", "n_spans"])
 
-    apply = F.pandas_udf(spans_of, "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
+    apply = F.pandas_udf(spans_of, "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, n_secret long, n_spans long")
     return docs.select("doc_id", apply("text").alias("_f")).select("doc_id", "_f.*")
