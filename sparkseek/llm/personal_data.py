@@ -104,10 +104,14 @@ _ISSUED = re.compile(r"(?:AKIA|ASIA|AIza|ghp_|gho_|ghs_|github_pat_|glpat-|sk-|s
 _SIGN = r"""["']?\s{0,2}[:=]\s{0,2}["']?"""
 _RUN_OF = "[A-Za-z0-9_+/-]"
 _VALUE = rf"""[^\s"',;]{{4,{SECRET}}}+"""
-_MIXED = rf"(?<!{_RUN_OF})(?=[A-Z_+/-]{{0,40}}[0-9])(?=[0-9_+/-]{{0,40}}[A-Z]){_RUN_OF}{{12,{SECRET}}}+(?:{_SIGN}{_VALUE})?"
-_STRETCH = re.compile(
-    rf"@|{_MIXED}|{_NAMES}{_SIGN}{_VALUE}|\(?[0-9][0-9().\-/ ]{{5,}}[0-9]|[(\[ ]at[)\] ] ?[\w-]{{1,40}} ?[(\[ ]dot[)\] ]", re.IGNORECASE | re.ASCII
-)
+_STRETCH = re.compile(r"@|\(?[0-9][0-9().\-/ ]{5,}[0-9]|[(\[ ]at[)\] ] ?[\w-]{1,40} ?[(\[ ]dot[)\] ]", re.IGNORECASE | re.ASCII)
+_DIGIT, _EQUALS = re.compile(r"[0-9]"), re.compile(r"[:=]")
+_RUN_SET = _LOCAL_SET - frozenset(".%") | {"/"}
+_REST = re.compile(rf"{_RUN_OF}*+")
+_CALLS = re.compile(rf"""{_NAMES}["']?\s{{0,2}}$""", re.IGNORECASE | re.ASCII)
+_GIVEN = re.compile(rf"""\s{{0,2}}["']?{_VALUE}""")
+#: What makes a span a part of a longer one.
+_CUT = re.compile(r"""[^\s"',;]*[^\s"',;.:!?)\]}>]|[.:!?)\]}>]+["']""")
 _KEY = re.compile(rf"(?<!{_RUN_OF})(?:eyJ[A-Za-z0-9_-]{{6,200}}+\.[A-Za-z0-9_-]{{6,200}}+\.[A-Za-z0-9_-]{{6,200}}+|{_RUN_OF}{{8,{SECRET}}}+)(?!{_RUN_OF})(?:={{1,2}}(?![A-Za-z0-9=]))?")
 _ASSIGNED = re.compile(rf"{_NAMES}{_SIGN}({_VALUE})", re.IGNORECASE | re.ASCII)
 _NAMED = re.compile(rf"{_NAMES}{_SIGN}$", re.IGNORECASE | re.ASCII)
@@ -269,8 +273,7 @@ def key_features(text: str, a: int, b: int) -> np.ndarray:
     f[CASES] = any(map(str.isupper, body)) and any(map(str.islower, body)) and any(signs)
     f[PLAIN_PARTS] = len(parts) > 1 and all(p.isalpha() or p.isdigit() for p in parts)
     f[SIXTEEN], f[MONOTONE], f[SLASH] = len(body) >= 16, len(set(body)) < 4, body.count("/") > 1
-    f[INSIDE] = text[a - 1 : a].isalnum() if a else False
-    f[INSIDE] |= text[b : b + 1].isalnum()
+    f[INSIDE] = a > 0 and text[a - 1].isalnum() or bool(_CUT.match(text, b, b + CONTEXT))
     return f
 
 
@@ -465,13 +468,37 @@ def trained(seed: int = 29, count: int = 320, rounds: int = 60, rate: float = 0.
     return weights
 
 
+def looked_at(text: str) -> list[tuple[int, int]]:
+    """Starts and ends of what may be a span or a part of one, in order; where there is nothing, no segment scores."""
+    found = [m.span() for m in _STRETCH.finditer(text)]
+    # Runs of letters and digits, from a digit on both ways.
+    end = 0
+    match = _DIGIT.search(text)
+    while match:
+        start = match.start()
+        while start > end and text[start - 1] in _RUN_SET:
+            start -= 1
+        end = _REST.match(text, match.end()).end()
+        if 12 <= end - start <= SECRET and not text[start:end].isdigit():
+            found.append((start, end))
+        match = _DIGIT.search(text, end)
+    # What a name of a secret stands before.
+    for match in _EQUALS.finditer(text):
+        at = match.start()
+        if _CALLS.search(text, max(0, at - CONTEXT), at):
+            value = _GIVEN.match(text, at + 1)
+            if value:
+                found.append((at - CONTEXT, value.end()))
+    return sorted(found)
+
+
 def added_spans(text: str, base: list[Span], weights: np.ndarray) -> list[Span]:
     """Spans of the field's best segmentation that overlap no base span."""
     stretches: list[list[int]] = []
-    for match in _STRETCH.finditer(text):
-        a, b = max(0, match.start() - CONTEXT), min(len(text), match.end() + CONTEXT)
+    for start, end in looked_at(text):
+        a, b = max(0, start - CONTEXT), min(len(text), end + CONTEXT)
         if stretches and a <= stretches[-1][1]:
-            stretches[-1][1] = b
+            stretches[-1][1] = max(b, stretches[-1][1])
         else:
             stretches.append([a, b])
     found: list[Span] = []
@@ -489,7 +516,7 @@ def added_spans(text: str, base: list[Span], weights: np.ndarray) -> list[Span]:
                 break
             n += 1
         for x, y in [*gaps, (at, b)]:
-            if y - x < 7 or not _STRETCH.search(text, x, y):
+            if y - x < 4:
                 continue
             tokens = [(m.start(), m.end()) for m in _TOKEN.finditer(text, x, y)]
             for i, j, kind in best_path(len(tokens), candidates(text, tokens, weights), weights):
