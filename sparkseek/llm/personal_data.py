@@ -100,7 +100,8 @@ def base_spans(text: str) -> list[Span]:
 
 #: Names of secrets, and prefixes that issuers of keys give them.
 _NAMES = r"(?:password|passwd|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth[_-]?key|credential)s?"
-_ISSUED = re.compile(r"(?:AKIA|ASIA|AIza|ghp_|gho_|ghs_|github_pat_|glpat-|sk-|sk_live_|rk_live_|pk_live_|xox[abprs]-|npm_|hf_|eyJ)[A-Za-z0-9_.-]{12,}")
+ISSUERS = ("AKIA", "ASIA", "AIza", "ghp_", "gho_", "ghs_", "github_pat_", "glpat-", "sk-", "sk_live_", "rk_live_", "pk_live_", "xoxa-", "xoxb-", "xoxp-", "xoxr-", "xoxs-", "npm_", "hf_", "eyJ")
+_ISSUED = re.compile(rf"(?:AKIA|ASIA)[A-Z0-9]{{16}}|(?:{'|'.join(ISSUERS[2:])})[A-Za-z0-9_.-]{{12,}}")
 _SIGN = r"""["']?\s{0,2}[:=]\s{0,2}["']?"""
 _RUN_OF = "[A-Za-z0-9_+/-]"
 _VALUE = rf"""[^\s"',;]{{4,{SECRET}}}+"""
@@ -267,7 +268,7 @@ def key_features(text: str, a: int, b: int) -> np.ndarray:
     f[KEY] = True
     f[NAMED_KEY] = bool(_NAMED.search(text, max(0, a - 2 * CONTEXT), a))
     f[ISSUED] = bool(_ISSUED.fullmatch(body))
-    f[NO_DIGIT] = not any(signs)
+    f[NO_DIGIT] = not f[ISSUED] and not any(signs)
     f[HEX], f[UUID] = bool(_HEX.fullmatch(body)), bool(_UUID.fullmatch(body))
     f[CHANGES] = sum(x != y for x, y in zip(signs, signs[1:], strict=False)) >= max(3, len(signs) // 8)
     f[CASES] = any(map(str.isupper, body)) and any(map(str.islower, body)) and any(signs)
@@ -433,10 +434,11 @@ def _secret_templates(seed: int, count: int) -> Iterator[tuple[str, list[Span]]]
     uuid = lambda: "-".join(of(digit + "abcdef", n) for n in (8, 4, 4, 4, 12))
     # Told by a name, told by a prefix, and told by neither.
     named = [lambda: hexed(rng.integers(12, 65)), lambda: mixed(rng.integers(10, 41)), lambda: word() + of(digit, rng.integers(1, 5)), lambda: of(lower + digit + "!#%&*", 9) + of(digit, 1), uuid]
-    issued = [lambda: "AKIA" + of(upper + digit, 16), lambda: "ghp_" + mixed(36), lambda: "sk-" + mixed(40), lambda: "xoxb-" + of(digit, 11) + "-" + mixed(20), lambda: ".".join(["eyJ" + mixed(20), mixed(30), mixed(24)])]
+    issued = [lambda: "AKIA" + of(upper + digit, 16), lambda: "AKIA" + of(upper, 16), lambda: "ghp_" + mixed(36), lambda: "sk-" + mixed(40), lambda: "xoxb-" + of(digit, 11) + "-" + mixed(20), lambda: ".".join(["eyJ" + mixed(20), mixed(30), mixed(24)])]
     neither = [
         lambda: hexed(40), lambda: hexed(64), lambda: hexed(12), uuid, lambda: mixed(11), lambda: mixed(24), lambda: f"{word()}-{rng.integers(1, 99)}-{word()}{word()}", lambda: f"{word()}_{word()}_{rng.integers(9)}",
         lambda: f"{word()}/{word()}/{word()}{rng.integers(9)}/{word()}", lambda: of(upper, 3) + "-" + of(digit, 6), lambda: of(upper, 2) + of(digit, 10), lambda: word() + word() + word(), lambda: word() + "-" + word(),
+        lambda: f"sk-{word()}-{word()}-{word()}", lambda: f"hf_{word()}_{word()}{word()}", lambda: of(upper, 3) + of(digit, 4) + mixed(6) + "-" + of(upper, 2), lambda: mixed(16),
     ]
     plain = [word, lambda: word() + "-" + word(), lambda: word() + "_" + word(), lambda: "x" * int(rng.integers(4, 12)), lambda: "*" * 6 + "a", lambda: f"/{word()}/{word()}/{word()}{rng.integers(9)}/{word()}"]
     for n in range(count):
@@ -451,7 +453,7 @@ def _secret_templates(seed: int, count: int) -> Iterator[tuple[str, list[Span]]]
 
 
 @lru_cache
-def trained(seed: int = 29, count: int = 320, rounds: int = 60, rate: float = 0.1, decay: float = 0.002) -> np.ndarray:
+def trained(seed: int = 29, count: int = 320, rounds: int = 100, rate: float = 0.1, decay: float = 0.002) -> np.ndarray:
     """Weights (kinds x features) by gradient ascent with Adam on the template sentences."""
     rows = []
     for text, spans in [*_templates(seed, count), *_secret_templates(seed, count // 2)]:
@@ -482,6 +484,14 @@ def looked_at(text: str) -> list[tuple[int, int]]:
         if 12 <= end - start <= SECRET and not text[start:end].isdigit():
             found.append((start, end))
         match = _DIGIT.search(text, end)
+    # Runs that begin with an issuer's prefix, which need no digit.
+    for prefix in ISSUERS:
+        start = text.find(prefix)
+        while start >= 0:
+            end = _REST.match(text, start).end()
+            if 12 <= end - start <= SECRET:
+                found.append((start, end))
+            start = text.find(prefix, end)
     # What a name of a secret stands before.
     for match in _EQUALS.finditer(text):
         at = match.start()
