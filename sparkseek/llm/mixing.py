@@ -2,14 +2,15 @@
 
 Each source's documents are cut into blocks. With weight w, block i of a source is released at floor(i / w)
 and due at ceil((i + 1) / w); the released block with the earliest deadline runs next. Since the weights add
-up to 1, no deadline is missed and every prefix of the schedule holds each source's due share to less than one
+up to 1, no deadline is missed and every prefix of a phase holds each source's due share to less than one
 block. Weights are whole shares of a period, so the schedule repeats and one period gives it all: the place of
 every block follows by arithmetic from its number, however many blocks there are.
 
 No document is dropped or repeated. When a source has no blocks left, the others go on with their weights
-scaled up (a new phase); there are at most as many phases as sources. The driver holds the sources' names,
-counts and patterns only. Where there are more than MOST_SOURCES sources, those without a given weight are mixed as
-MOST_SOURCES groups by a hash of their names: each group has its due share, its sources follow in hashed order.
+scaled up (a new phase); there are as many phases as sources. Every source is mixed by itself, however many there
+are. Phases follow each other, so one task plans them; it holds four numbers a source, takes up only the sources
+that run in a phase, and its time is a step for each distinct weight in each phase, and one for each block that it
+doesn't repeat. The driver holds no sources.
 
 A source's documents stand in the order of a hash of their ids. Counts and hash together tell about where a row
 stands among all, which deals the rows to parts of about PART rows in that order; exact places are a row's number in
@@ -23,7 +24,12 @@ id all get places; an empty table gives no rows; further columns stay as they ar
 from __future__ import annotations
 
 import heapq
+from array import array
+from bisect import bisect_left
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,96 +41,236 @@ PART = 200_000
 #: Default target weight of a source with n documents: n ** TEMPER, scaled.
 TEMPER = 0.5
 PERIOD = 1024
-#: Sources that are mixed one by one, if their weights aren't given.
+#: Sources up to which rows find their slots by the blocks' ranges; of more, by every block. The slots are the same.
 MOST_SOURCES = 512
+#: Blocks that the planning task gives at once, about.
+GIVEN = 100_000
 
 
-def shares(weights: dict, period: int = PERIOD) -> dict:
-    """Whole shares of the period by largest remainder, one at least for each source."""
-    period = max(period, 4 * len(weights))
-    total = sum(weights.values())
-    exact = {s: 1 + (period - len(weights)) * w / total for s, w in weights.items()}
-    out = {s: int(x) for s, x in exact.items()}
-    for s in sorted(weights, key=lambda s: (out[s] - exact[s], str(s)))[: period - sum(out.values())]:
-        out[s] += 1
-    return out
+class Active:
+    """The sources that are mixed, by number: of each weight, its sources in rising order."""
+
+    def __init__(self, numbers: Iterable[int], weights: Iterable[float]):
+        own: dict = {}
+        for s, w in zip(numbers, weights, strict=True):
+            own.setdefault(float(w), array("q")).append(s)
+        self.values = sorted(own)
+        self.own = [own[w] for w in self.values]
+        self.weights = np.array(self.values)
+        self.first = np.zeros(len(own), np.int64)
+        self.n = np.array([len(x) for x in self.own], np.int64)
+        self.count = int(self.n.sum())
+        # The sum of weights stays exact while sources leave.
+        ratios = [w.as_integer_ratio() for w in self.values]
+        self.unit = max((d for _, d in ratios), default=1)
+        self.whole = [x * (self.unit // d) for x, d in ratios]
+        self.total = sum(x * len(s) for x, s in zip(self.whole, self.own, strict=True))
+
+    def remove(self, s: int, weight: float) -> None:
+        """Close the gap from the nearer end; sources that end are mostly the first of their weight."""
+        k = bisect_left(self.values, weight)
+        own, lo, hi = self.own[k], int(self.first[k]), int(self.first[k] + self.n[k])
+        i = bisect_left(own, s, lo, hi)
+        if i - lo < hi - i:
+            own[lo + 1 : i + 1] = own[lo:i]
+            self.first[k] += 1
+        else:
+            own[i : hi - 1] = own[i + 1 : hi]
+        self.n[k] -= 1
+        self.count -= 1
+        self.total -= self.whole[k]
+        if not self.n[k]:
+            del self.values[k], self.own[k], self.whole[k]
+            self.weights, self.first, self.n = (np.delete(x, k) for x in (self.weights, self.first, self.n))
+
+    def lowest(self, kinds: np.ndarray, most: int) -> list[int]:
+        """How many sources of each of these weights are among their `most` lowest numbers."""
+        if len(kinds) == 1:
+            return [most]
+        own = [(self.own[k], int(self.first[k]), int(self.first[k] + self.n[k])) for k in kinds]
+        below = lambda s: [bisect_left(x, s, lo, hi) - lo for x, lo, hi in own]
+        low, high = 0, 1 + max(x[hi - 1] for x, _, hi in own)
+        while low < high:
+            middle = (low + high) // 2
+            low, high = (low, middle) if sum(below(middle)) >= most else (middle + 1, high)
+        return below(low)
+
+    def shares(self, period: int) -> tuple[int, Iterator[tuple[int, array, int, int]]]:
+        """The period, and its whole shares by largest remainder, one at least for each source.
+
+        The larger shares come first, each with the sources that have it: some in a row of those of a weight.
+        """
+        period = max(period, 4 * self.count)
+        exact = 1 + (period - self.count) * self.weights / (self.total / self.unit)
+        share = exact.astype(np.int64)
+        rest, more = share - exact, period - int(share @ self.n)
+        order = np.argsort(rest, kind="stable")
+        last = rest[order[np.searchsorted(np.cumsum(self.n[order]), more)]]
+        extra = np.where(rest < last, self.n, 0)
+        tied = np.flatnonzero(rest == last)
+        extra[tied] = self.lowest(tied, more - int(extra.sum()))
+        cut = self.first + extra
+        share, start, end = (np.concatenate(x) for x in ((share + 1, share), (self.first, cut), (cut, self.first + self.n)))
+        used = np.flatnonzero(start < end)
+        used = used[np.argsort(-share[used], kind="stable")]
+        own = self.own
+        return period, ((int(share[i]), own[i % len(own)], int(start[i]), int(end[i])) for i in used)
 
 
-def pattern(share: dict, left: dict | None = None) -> dict:
-    """The slots of a period that each source gets: earliest deadline first among the released blocks.
+def slots_of(groups: Iterator[tuple[int, array, int, int]], period: int, left: array | None = None) -> tuple[dict, int]:
+    """The slots of a period that each source gets, earliest deadline first among the released blocks, and how many.
 
     With `left` (blocks of each source) only up to the slot in which a source ends, if that is in the first period.
+    Of sources that haven't run, only the next one of each share and weight that could run is looked at.
     """
-    period = sum(share.values())
-    waiting = sorted(((0, str(s), s, 0) for s in share), key=lambda x: x[:2])
-    heapq.heapify(waiting)
     ready: list = []
-    slots: dict = {s: [] for s in share}
+    waiting: list = []
+    slots: dict = {}
+    group = next(groups, None)
     for slot in range(period):
         while waiting and waiting[0][0] <= slot:
-            _, name, s, i = heapq.heappop(waiting)
-            heapq.heappush(ready, (-(-(i + 1) * period // share[s]), name, s, i))
-        due, name, s, i = heapq.heappop(ready)
+            _, s, i, share = heapq.heappop(waiting)
+            heapq.heappush(ready, (-(-(i + 1) * period // share), s, i, share, None))
+        while group and (not ready or -(-period // group[0]) <= ready[0][0]):
+            share, own, start, end = group
+            heapq.heappush(ready, (-(-period // share), own[start], 0, share, (own, start + 1, end)))
+            group = next(groups, None)
+        due, s, i, share, others = heapq.heappop(ready)
         if due < slot + 1:
             raise ValueError("a deadline was missed")
-        slots[s].append(slot)
+        if others and others[1] < others[2]:
+            own, start, end = others
+            heapq.heappush(ready, (due, own[start], 0, share, (own, start + 1, end)))
+        slots.setdefault(s, []).append(slot)
         if left and i + 1 == left[s]:
-            break
-        if i + 1 < share[s]:
-            heapq.heappush(waiting, ((i + 1) * period // share[s], name, s, i + 1))
-    return slots
+            return slots, slot + 1
+        if i + 1 < share:
+            heapq.heappush(waiting, ((i + 1) * period // share, s, i + 1, share))
+    return slots, period
+
+
+def runs(blocks: Iterable[int], weights: Iterable[float], period: int) -> Iterator[tuple[int, int, int, int, int, list]]:
+    """Source, first, last (block numbers), base (first slot), period, slots; sources are numbered by the order of names."""
+    left, weights = array("q", blocks), array("d", weights)
+    done, base = array("q", bytes(8 * len(left))), 0
+    for given in (True, False):
+        weight = (lambda s: weights[s]) if given else (lambda s: 1.0)
+        numbers = array("q", (s for s, n in enumerate(left) if n and (weights[s] > 0) == given))
+        active = Active(numbers, map(weight, numbers))
+        while active.count:
+            length, groups = active.shares(period)
+            slots, stop = slots_of(groups, length, left)
+            if not any(len(own) == left[s] and own[-1] + 1 == stop for s, own in slots.items()):
+                stop = min((left[s] - 1) // len(own) * length + own[(left[s] - 1) % len(own)] + 1 for s, own in slots.items())
+            for s, own in slots.items():
+                n = stop // length * len(own) + bisect_left(own, stop % length)
+                if n:
+                    yield s, done[s], done[s] + n - 1, base, length, own
+                done[s] += n
+                left[s] -= n
+                if not left[s]:
+                    active.remove(s, weight(s))
+            base += stop
+
+
+def by_order(name: object) -> tuple[str, bool]:
+    """Names' order, which settles ties; a null source stands right before one that is named None."""
+    return str(name), name is not None
+
+
+def shares(weights: dict, period: int = PERIOD) -> dict:
+    """Whole shares of the period by largest remainder, one at least for each source."""
+    names = sorted(weights, key=by_order)
+    groups = Active(range(len(names)), (weights[s] for s in names)).shares(period)[1] if names else ()
+    return {names[s]: share for share, own, start, end in groups for s in own[start:end]}
+
+
+def pattern(share: dict) -> dict:
+    """The slots of a period that each source gets."""
+    names, own = sorted(share, key=by_order), {}
+    for s, name in enumerate(names):
+        own.setdefault(share[name], array("q")).append(s)
+    slots, _ = slots_of(((n, own[n], 0, len(own[n])) for n in sorted(own, reverse=True)), sum(share.values()))
+    return {names[s]: x for s, x in slots.items()}
 
 
 def phases(blocks: dict, weights: dict, period: int = PERIOD) -> list[dict]:
     """Rows s (source), first, last (block numbers), base (first slot), period, slots."""
-    left, done, base, rows = {s: n for s, n in blocks.items() if n}, dict.fromkeys(blocks, 0), 0, []
-    while left:
-        active = {s: weights[s] for s in left if weights.get(s, 0) > 0} or dict.fromkeys(left, 1.0)
-        share = shares(active, period)
-        length, slots = sum(share.values()), pattern(share, left)
-        ends = [own[-1] + 1 for s, own in slots.items() if len(own) == left[s]]
-        stop = min(ends) if ends else min((left[s] - 1) // share[s] * length + slots[s][(left[s] - 1) % share[s]] + 1 for s in active)
-        for s, own in slots.items():
-            n = stop // length * len(own) + sum(x < stop % length for x in own)
-            if n:
-                rows.append({"s": s, "first": done[s], "last": done[s] + n - 1, "base": base, "period": length, "slots": own})
-            done[s] += n
-            left[s] -= n
-            if not left[s]:
-                del left[s]
-        base += stop
-    return rows
-
-
-def by_name(docs: DataFrame, weights: dict | None) -> tuple[DataFrame, dict]:
-    """_group (what a row is mixed as), start and n (the group's first row in the order of all, and its rows), by
-    _name (the source), and the groups' numbers of rows.
+    names = sorted(blocks, key=by_order)
+    found = runs((blocks[s] for s in names), (weights.get(s, 0) for s in names), period)
+    return [{"s": names[s], "first": first, "last": last, "base": base, "period": length, "slots": own} for s, first, last, base, length, own in found]
+
+
+def sources(docs: DataFrame, weights: dict | None) -> DataFrame:
+    """_name (the source), g (its number in the order of names), start and n (its first row in the order of all, and its
+    rows), weight (null: by n). One narrow row a source, numbered by one task.
     """
-    names = durable(docs.groupBy(F.col("source").cast("string").alias("_name")).agg(F.count("*").alias("n")))
-    group = F.col("_name")
-    if names.count() > MOST_SOURCES:
-        group = F.when(F.col("_name").isin(list(weights or {})), group).otherwise(F.concat(F.lit("group "), F.pmod(F.xxhash64("_name"), F.lit(MOST_SOURCES))))
-    names = names.withColumn("_group", group)
-    # At most MOST_SOURCES groups and those with given weights.
-    sizes = {r["_group"]: r["n"] for r in names.groupBy("_group").agg(F.sum("n").alias("n")).collect()}
-    rows, start = [], 0
-    for name in sorted(sizes, key=lambda s: (s is not None, s or "")):
-        rows.append((name, start, sizes[name]))
-        start += sizes[name]
-    starts = docs.sparkSession.createDataFrame(rows, "g STRING, start LONG, n LONG")
-    return names.select("_name", "_group").join(F.broadcast(starts), F.col("_group").eqNullSafe(F.col("g"))).drop("g"), sizes
+    names = docs.groupBy(F.col("source").cast("string").alias("_name")).agg(F.count("*").alias("n"))
+    # Names' order is that of by_order.
+    order = Window.orderBy(F.coalesce("_name", F.lit("None")), F.col("_name").isNotNull())
+    start = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    names = names.select("_name", (F.row_number().over(order) - 1).alias("g"), start.alias("start"), "n")
+    if not weights:
+        return durable(names.withColumn("weight", F.lit(None).cast("double")))
+    given = docs.sparkSession.createDataFrame([(s, float(w)) for s, w in weights.items()], "s string, weight double")
+    return durable(names.join(small(given), F.col("_name").eqNullSafe(F.col("s")), "left").drop("s").fillna(0.0, "weight"))
+
+
+def planned(names: DataFrame, block: int, period: int, ranges: bool) -> DataFrame:
+    """s (the source's number) and its runs, as `runs` gives them, or with no `ranges` s, b, slot: every block and its slot."""
+
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+        n, weights = array("q"), array("d")
+        for batch in batches:
+            own = batch["n"].to_numpy(np.int64)
+            value, which = np.unique(own, return_inverse=True)
+            by_size = np.array([int(x) ** TEMPER for x in value])[which]
+            weight = batch["weight"].to_numpy(np.float64)
+            n.frombytes((-(-own // block)).tobytes())
+            weights.frombytes(np.where(np.isnan(weight), by_size, weight).tobytes())
+        return runs(n, weights, period)
+
+    def by_range(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows, size = [], 0
+        for run in counted(batches):
+            rows.append(run)
+            size += len(run[-1])
+            if size >= GIVEN:
+                yield pd.DataFrame(rows, columns=["s", "first", "last", "base", "period", "slots"])
+                rows, size = [], 0
+        if rows:
+            yield pd.DataFrame(rows, columns=["s", "first", "last", "base", "period", "slots"])
+
+    def by_block(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        s, b, slot = array("q"), array("q"), array("q")
+        for source, first, last, base, length, own in counted(batches):
+            for turn in range(0, last - first + 1, len(own)):
+                n = min(len(own), last - first + 1 - turn)
+                s.extend([source] * n)
+                b.extend(range(first + turn, first + turn + n))
+                slot.extend([base + turn // len(own) * length + x for x in own[:n]])
+                if len(s) >= GIVEN:
+                    yield pd.DataFrame({"s": s, "b": b, "slot": slot})
+                    s, b, slot = array("q"), array("q"), array("q")
+        if s:
+            yield pd.DataFrame({"s": s, "b": b, "slot": slot})
+
+    rows = names.select("g", "n", "weight").coalesce(1).sortWithinPartitions("g")
+    if ranges:
+        return durable(rows.mapInPandas(by_range, "s long, first long, last long, base long, period long, slots array<long>"))
+    return durable(rows.mapInPandas(by_block, "s long, b long, slot long"))
 
 
 def scheduled(docs: DataFrame, weights: dict | None, block: int, period: int) -> tuple[DataFrame, int]:
     """The rows of `schedule`, and the number of slots."""
     spark = docs.sparkSession
-    names, sizes = by_name(docs, weights)
-    total, blocks = sum(sizes.values()), {s: -(-n // block) for s, n in sizes.items()}
-    plan = phases(blocks, weights or {s: n**TEMPER for s, n in sizes.items()}, period)
-    plan = spark.createDataFrame(plan, "s string, first long, last long, base long, period int, slots array<int>")
+    names = sources(docs, weights)
+    blocks = F.floor((F.col("n") + block - 1) / block)
+    number, total, slots = (x or 0 for x in names.agg(F.count("*"), F.sum("n"), F.sum(blocks)).first())
+    plan = planned(names, block, period, number <= MOST_SOURCES)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // PART)
     spread = F.xxhash64(F.col("doc_id").cast("string"), F.lit("order"))
-    names = small(names)
+    names = small(names.drop("weight"))
 
     def dealt(rows: DataFrame) -> DataFrame:
         rows = rows.withColumn("spread", spread).join(names, F.col("source").eqNullSafe(F.col("_name"))).drop("_name")
@@ -141,10 +287,13 @@ def scheduled(docs: DataFrame, weights: dict | None, block: int, period: int) ->
     # One row for each part.
     rows = dealt(rows).withColumn("nth", F.row_number().over(within)).join(F.broadcast(offsets), F.col("part") == F.col("p"))
     index = F.col("before") + F.col("nth") - 1 - F.col("start")
-    rows = rows.select("row", "_group", F.floor(index / block).alias("block"), (index % block).cast("int").alias("place"))
-    rows = rows.join(F.broadcast(plan), F.col("_group").eqNullSafe(F.col("s")) & F.col("block").between(F.col("first"), F.col("last")))
+    rows = rows.select("row", "g", F.floor(index / block).alias("block"), (index % block).cast("int").alias("place"))
+    if number > MOST_SOURCES:
+        rows = rows.join(small(plan), (F.col("g") == F.col("s")) & (F.col("block") == F.col("b")))
+        return rows.select("row", "block", "place", "slot"), slots
+    rows = rows.join(F.broadcast(plan), (F.col("g") == F.col("s")) & F.col("block").between(F.col("first"), F.col("last")))
     slot = F.expr("base + ((block - first) div size(slots)) * period + get(slots, cast((block - first) % size(slots) AS int))")
-    return rows.select("row", "block", "place", slot.cast("long").alias("slot")), sum(blocks.values())
+    return rows.select("row", "block", "place", slot.cast("long").alias("slot")), slots
 
 
 def schedule(docs: DataFrame, weights: dict | None = None, block: int = BLOCK, period: int = PERIOD) -> DataFrame:

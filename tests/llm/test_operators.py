@@ -1,6 +1,7 @@
 """Each training-data operator against brute force, round trips or held-out rows, on small fixtures."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -516,6 +517,33 @@ def test_schedule_equals_a_plain_simulation(spark, monkeypatch, most):
         assert {((r["source"], r["block"]), r["slot"]) for r in rows} == set(slots.items())
 
 
+@pytest.mark.parametrize("weights", [None, {"s1": 2.0, "s7": 1.0, None: 1.0, "none here": 1.0}])
+@pytest.mark.parametrize(("n", "most"), [(5, 3), (560, 512), (560, 1000)])
+def test_schedule_has_one_rule_for_any_number_of_sources(spark, monkeypatch, n, most, weights):
+    """Each source is mixed by itself at its own weight, whichever way rows find their slots; null and None are two."""
+    monkeypatch.setattr(mixing, "MOST_SOURCES", most)
+    source = {i: None if i % 13 == 0 else "None" if i % 17 == 0 else f"s{i % n if i < 900 else i % 4}" for i in range(1300)}
+    rows = mixing.schedule(docs_of(spark, ["t"] * 1300, source=source), weights, block=4, period=64).select("row.doc_id", "row.source", "block", "place", "slot").collect()
+    assert {r["doc_id"]: r["source"] for r in rows} == source and len({(r["slot"], r["place"]) for r in rows}) == len(rows) == 1300
+    named = lambda s: {None: "None", "None": "None\0"}.get(s, s)
+    counts = {}
+    for s in source.values():
+        counts[named(s)] = counts.get(named(s), 0) + 1
+    blocks, weights = {s: -(-x // 4) for s, x in counts.items()}, {named(s): w for s, w in (weights or {}).items()}
+    first = _plain_schedule({s: x for s, x in blocks.items() if s in weights or not weights}, weights or {s: x**0.5 for s, x in counts.items()}, 64)
+    rest = _plain_schedule({s: x for s, x in blocks.items() if s not in weights and weights}, dict.fromkeys(blocks, 1.0), 64)
+    assert {((named(r["source"]), r["block"]), r["slot"]) for r in rows} == {*first.items(), *((key, len(first) + slot) for key, slot in rest.items())}
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.dictionaries(st.sampled_from("abcdefgh"), st.sampled_from([0.5, 1.0, 2.0, 3.0, 2**0.5, 0.1]), min_size=1), st.integers(1, 100))
+def test_shares_are_by_largest_remainder(weights, period):
+    period = max(period, 4 * len(weights))
+    exact = {s: 1 + (period - len(weights)) * w / math.fsum(weights.values()) for s, w in weights.items()}
+    more = sorted(weights, key=lambda s: (int(exact[s]) - exact[s], s))[: period - sum(map(int, exact.values()))]
+    assert mixing.shares(weights, period) == {s: int(x) + (s in more) for s, x in exact.items()}
+
+
 def test_mixing_keeps_every_row(spark):
     docs = docs_of(spark, ["t"] * 900, source={i: "hot" if i % 3 else f"s{i % 5}" for i in range(900)})
     rows = mixing.schedule(docs, block=8).select("row.doc_id", "row.source", "block", "place", "slot").collect()
