@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, language, mixing, order_minhash, personal_data, product_quantisation, quality, sharding, toxicity
+from . import audit, chat, decontaminate, language, lexical, lines, mixing, order_minhash, personal_data, product_quantisation, quality, sharding, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,6 +56,18 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.containment(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_block_max_wand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(lexical.build(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.digests(lines.deduplicated(table(spark, sf_dir, "documents")))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_language": op1_language,
     "op2_product_quantisation": op2_product_quantisation,
@@ -67,6 +79,9 @@ QUERIES: dict[str, Query] = {
     "op8_sharding": op8_sharding,
     "op9_mixing": op9_mixing,
     "op10_decontamination": op10_decontamination,
+    "op11_block_max_wand": op11_block_max_wand,
+    "op12_line_dedup": op12_line_dedup,
+    "op13_filter_audit": op13_filter_audit,
 }
 LINKS_SQL = """WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
 l AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.95),
@@ -82,4 +97,4 @@ p AS (SELECT *, sum(chars) OVER (PARTITION BY conv_id ORDER BY i) AS prefix FROM
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256, CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
 sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256, CAST(sum(prefix) FILTER (WHERE role = 'assistant' OR i = n) AS BIGINT) AS formatted_chars FROM p GROUP BY conv_id"""
 
-ORACLES: dict[str, str] = {"op2_product_quantisation": LINKS_SQL, "op3_chat": CHAT_SQL, "op8_sharding": sharding.ORACLE_SQL, "op10_decontamination": decontaminate.ORACLE_SQL}
+ORACLES: dict[str, str] = {"op2_product_quantisation": LINKS_SQL, "op3_chat": CHAT_SQL, "op8_sharding": sharding.ORACLE_SQL, "op10_decontamination": decontaminate.ORACLE_SQL, "op11_block_max_wand": lexical.ORACLE_SQL, "op12_line_dedup": lines.ORACLE_SQL, "op13_filter_audit": audit.ORACLE_SQL}
