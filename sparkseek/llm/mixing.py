@@ -1,48 +1,50 @@
 """Mixing sources to target weights by Pfair scheduling.
 
 Each source's documents are cut into blocks. With weight w, block i of a source is released at floor(i / w)
-and due at ceil((i + 1) / w); the released block with the earliest deadline runs next. Since the weights add
-up to 1, no deadline is missed and every prefix of a phase holds each source's due share to less than one
-block. Weights are whole shares of a period, so the schedule repeats and one period gives it all: the place of
-every block follows by arithmetic from its number, however many blocks there are.
+and due at ceil((i + 1) / w); the released block with the earliest deadline runs next. Weights are exact ratios of
+whole numbers and add up to 1, so no deadline is missed, and every prefix of a phase, however long, holds each source's
+due share, weight x slots, to less than one block.
 
 No document is dropped or repeated. When a source has no blocks left, the others go on with their weights
-scaled up (a new phase); there are as many phases as sources. Every source is mixed by itself, however many there
-are. Phases follow each other, so one task plans them; it holds four numbers a source, takes up only the sources
-that run in a phase, and its time is a step for each distinct weight in each phase, and one for each block that it
-doesn't repeat. The driver holds no sources.
+scaled up (a new phase, in which releases and deadlines begin anew); there are as many phases as sources. Every source
+is mixed by itself, however many there are. Phases and blocks follow each other, so one task plans them, a step for
+each block. A block has BLOCK rows, or total / BLOCKS where that is more, so there are at most BLOCKS blocks and one for
+each source: the plan is of bounded size and the deviation always below 1 / BLOCKS of all rows, or 32 rows. The driver
+holds no sources.
 
 A source's documents stand in the order of a hash of their ids. Counts and hash together tell about where a row
 stands among all, which deals the rows to parts of about PART rows in that order; exact places are a row's number in
 its part and the part's offset. So a source of any size is numbered by as many tasks as its rows fill.
 
 Edge cases: a null source is a source of its own; sources without a given weight, and weights of 0 or less,
-share what no other source claims (they follow in a last phase); texts are not looked at; rows that repeat an
-id all get places; an empty table gives no rows; further columns stay as they are.
+share what no other source claims (they follow in a last phase); weights that are no finite numbers are refused; texts
+are not looked at; rows that repeat an id all get places; an empty table gives no rows; further columns stay as they
+are. Ids are of any type that has a text.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 from array import array
 from bisect import bisect_left
 from collections.abc import Iterable, Iterator
+from itertools import count
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import small_of
 from .common import durable, small
 
-BLOCK = 32
+#: Rows of a block, and the number of blocks beyond which blocks are larger.
+BLOCK, BLOCKS = 32, 1 << 18
 #: Rows that are numbered in one sort, about.
 PART = 200_000
 #: Default target weight of a source with n documents: n ** TEMPER, scaled.
 TEMPER = 0.5
-PERIOD = 1024
-#: Sources up to which rows find their slots by the blocks' ranges; of more, by every block. The slots are the same.
-MOST_SOURCES = 512
 #: Blocks that the planning task gives at once, about.
 GIVEN = 100_000
 
@@ -56,14 +58,13 @@ class Active:
             own.setdefault(float(w), array("q")).append(s)
         self.values = sorted(own)
         self.own = [own[w] for w in self.values]
-        self.weights = np.array(self.values)
         self.first = np.zeros(len(own), np.int64)
         self.n = np.array([len(x) for x in self.own], np.int64)
         self.count = int(self.n.sum())
         # The sum of weights stays exact while sources leave.
         ratios = [w.as_integer_ratio() for w in self.values]
-        self.unit = max((d for _, d in ratios), default=1)
-        self.whole = [x * (self.unit // d) for x, d in ratios]
+        unit = max((d for _, d in ratios), default=1)
+        self.whole = [x * (unit // d) for x, d in ratios]
         self.total = sum(x * len(s) for x, s in zip(self.whole, self.own, strict=True))
 
     def remove(self, s: int, weight: float) -> None:
@@ -81,76 +82,46 @@ class Active:
         self.total -= self.whole[k]
         if not self.n[k]:
             del self.values[k], self.own[k], self.whole[k]
-            self.weights, self.first, self.n = (np.delete(x, k) for x in (self.weights, self.first, self.n))
-
-    def lowest(self, kinds: np.ndarray, most: int) -> list[int]:
-        """How many sources of each of these weights are among their `most` lowest numbers."""
-        if len(kinds) == 1:
-            return [most]
-        own = [(self.own[k], int(self.first[k]), int(self.first[k] + self.n[k])) for k in kinds]
-        below = lambda s: [bisect_left(x, s, lo, hi) - lo for x, lo, hi in own]
-        low, high = 0, 1 + max(x[hi - 1] for x, _, hi in own)
-        while low < high:
-            middle = (low + high) // 2
-            low, high = (low, middle) if sum(below(middle)) >= most else (middle + 1, high)
-        return below(low)
-
-    def shares(self, period: int) -> tuple[int, Iterator[tuple[int, array, int, int]]]:
-        """The period, and its whole shares by largest remainder, one at least for each source.
-
-        The larger shares come first, each with the sources that have it: some in a row of those of a weight.
-        """
-        period = max(period, 4 * self.count)
-        exact = 1 + (period - self.count) * self.weights / (self.total / self.unit)
-        share = exact.astype(np.int64)
-        rest, more = share - exact, period - int(share @ self.n)
-        order = np.argsort(rest, kind="stable")
-        last = rest[order[np.searchsorted(np.cumsum(self.n[order]), more)]]
-        extra = np.where(rest < last, self.n, 0)
-        tied = np.flatnonzero(rest == last)
-        extra[tied] = self.lowest(tied, more - int(extra.sum()))
-        cut = self.first + extra
-        share, start, end = (np.concatenate(x) for x in ((share + 1, share), (self.first, cut), (cut, self.first + self.n)))
-        used = np.flatnonzero(start < end)
-        used = used[np.argsort(-share[used], kind="stable")]
-        own = self.own
-        return period, ((int(share[i]), own[i % len(own)], int(start[i]), int(end[i])) for i in used)
-
-
-def slots_of(groups: Iterator[tuple[int, array, int, int]], period: int, left: array | None = None) -> tuple[dict, int]:
-    """The slots of a period that each source gets, earliest deadline first among the released blocks, and how many.
-
-    With `left` (blocks of each source) only up to the slot in which a source ends, if that is in the first period.
-    Of sources that haven't run, only the next one of each share and weight that could run is looked at.
+            self.first, self.n = np.delete(self.first, k), np.delete(self.n, k)
+
+    def groups(self) -> Iterator[tuple[int, array, int, int]]:
+        """The larger weights first, as whole numbers, each with its sources: those of `own` from start to end."""
+        for k in reversed(range(len(self.values))):
+            yield self.whole[k], self.own[k], int(self.first[k]), int(self.first[k] + self.n[k])
+
+
+def slots_of(groups: Iterator[tuple[int, array, int, int]], total: int, left: array) -> dict[int, list[int]]:
+    """The slots that each source gets until one has none of its `left` blocks left: earliest deadline first among the released.
+
+    A source's weight is its whole number over `total`. Of sources that haven't run, only the next one of each weight
+    that could run is looked at.
     """
     ready: list = []
     waiting: list = []
     slots: dict = {}
     group = next(groups, None)
-    for slot in range(period):
+    for slot in count():
         while waiting and waiting[0][0] <= slot:
-            _, s, i, share = heapq.heappop(waiting)
-            heapq.heappush(ready, (-(-(i + 1) * period // share), s, i, share, None))
-        while group and (not ready or -(-period // group[0]) <= ready[0][0]):
-            share, own, start, end = group
-            heapq.heappush(ready, (-(-period // share), own[start], 0, share, (own, start + 1, end)))
+            _, s, i, whole = heapq.heappop(waiting)
+            heapq.heappush(ready, (-(-(i + 1) * total // whole), s, i, whole, None))
+        while group and (not ready or -(-total // group[0]) <= ready[0][0]):
+            whole, own, start, end = group
+            heapq.heappush(ready, (-(-total // whole), own[start], 0, whole, (own, start + 1, end)))
             group = next(groups, None)
-        due, s, i, share, others = heapq.heappop(ready)
+        due, s, i, whole, others = heapq.heappop(ready)
         if due < slot + 1:
             raise ValueError("a deadline was missed")
         if others and others[1] < others[2]:
             own, start, end = others
-            heapq.heappush(ready, (due, own[start], 0, share, (own, start + 1, end)))
+            heapq.heappush(ready, (due, own[start], 0, whole, (own, start + 1, end)))
         slots.setdefault(s, []).append(slot)
-        if left and i + 1 == left[s]:
-            return slots, slot + 1
-        if i + 1 < share:
-            heapq.heappush(waiting, ((i + 1) * period // share, s, i + 1, share))
-    return slots, period
+        if i + 1 == left[s]:
+            return slots
+        heapq.heappush(waiting, ((i + 1) * total // whole, s, i + 1, whole))
 
 
-def runs(blocks: Iterable[int], weights: Iterable[float], period: int) -> Iterator[tuple[int, int, int, int, int, list]]:
-    """Source, first, last (block numbers), base (first slot), period, slots; sources are numbered by the order of names."""
+def runs(blocks: Iterable[int], weights: Iterable[float]) -> Iterator[tuple[int, int, int, list[int]]]:
+    """Source, its first block of a phase, the phase's first slot, slots in it; sources are numbered by the order of names."""
     left, weights = array("q", blocks), array("d", weights)
     done, base = array("q", bytes(8 * len(left))), 0
     for given in (True, False):
@@ -158,19 +129,15 @@ def runs(blocks: Iterable[int], weights: Iterable[float], period: int) -> Iterat
         numbers = array("q", (s for s, n in enumerate(left) if n and (weights[s] > 0) == given))
         active = Active(numbers, map(weight, numbers))
         while active.count:
-            length, groups = active.shares(period)
-            slots, stop = slots_of(groups, length, left)
-            if not any(len(own) == left[s] and own[-1] + 1 == stop for s, own in slots.items()):
-                stop = min((left[s] - 1) // len(own) * length + own[(left[s] - 1) % len(own)] + 1 for s, own in slots.items())
+            slots, last = slots_of(active.groups(), active.total, left), 0
             for s, own in slots.items():
-                n = stop // length * len(own) + bisect_left(own, stop % length)
-                if n:
-                    yield s, done[s], done[s] + n - 1, base, length, own
-                done[s] += n
-                left[s] -= n
+                yield s, done[s], base, own
+                done[s] += len(own)
+                left[s] -= len(own)
+                last = max(last, own[-1] + 1)
                 if not left[s]:
                     active.remove(s, weight(s))
-            base += stop
+            base += last
 
 
 def by_order(name: object) -> tuple[str, bool]:
@@ -178,27 +145,11 @@ def by_order(name: object) -> tuple[str, bool]:
     return str(name), name is not None
 
 
-def shares(weights: dict, period: int = PERIOD) -> dict:
-    """Whole shares of the period by largest remainder, one at least for each source."""
-    names = sorted(weights, key=by_order)
-    groups = Active(range(len(names)), (weights[s] for s in names)).shares(period)[1] if names else ()
-    return {names[s]: share for share, own, start, end in groups for s in own[start:end]}
-
-
-def pattern(share: dict) -> dict:
-    """The slots of a period that each source gets."""
-    names, own = sorted(share, key=by_order), {}
-    for s, name in enumerate(names):
-        own.setdefault(share[name], array("q")).append(s)
-    slots, _ = slots_of(((n, own[n], 0, len(own[n])) for n in sorted(own, reverse=True)), sum(share.values()))
-    return {names[s]: x for s, x in slots.items()}
-
-
-def phases(blocks: dict, weights: dict, period: int = PERIOD) -> list[dict]:
-    """Rows s (source), first, last (block numbers), base (first slot), period, slots."""
+def phases(blocks: dict, weights: dict) -> list[dict]:
+    """Rows s (source), first (its first block), base (the phase's first slot), slots (in the phase)."""
     names = sorted(blocks, key=by_order)
-    found = runs((blocks[s] for s in names), (weights.get(s, 0) for s in names), period)
-    return [{"s": names[s], "first": first, "last": last, "base": base, "period": length, "slots": own} for s, first, last, base, length, own in found]
+    found = runs((blocks[s] for s in names), (weights.get(s, 0) for s in names))
+    return [{"s": names[s], "first": first, "base": base, "slots": own} for s, first, base, own in found]
 
 
 def sources(docs: DataFrame, weights: dict | None) -> DataFrame:
@@ -212,14 +163,16 @@ def sources(docs: DataFrame, weights: dict | None) -> DataFrame:
     names = names.select("_name", (F.row_number().over(order) - 1).alias("g"), start.alias("start"), "n")
     if not weights:
         return durable(names.withColumn("weight", F.lit(None).cast("double")))
+    if not all(math.isfinite(w) for w in weights.values()):
+        raise ValueError(f"weights are finite numbers: {weights}")
     given = docs.sparkSession.createDataFrame([(s, float(w)) for s, w in weights.items()], "s string, weight double")
     return durable(names.join(small(given), F.col("_name").eqNullSafe(F.col("s")), "left").drop("s").fillna(0.0, "weight"))
 
 
-def planned(names: DataFrame, block: int, period: int, ranges: bool) -> DataFrame:
-    """s (the source's number) and its runs, as `runs` gives them, or with no `ranges` s, b, slot: every block and its slot."""
+def planned(names: DataFrame, block: int) -> DataFrame:
+    """s (the source's number), b, slot: every block and its slot."""
 
-    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+    def by_block(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n, weights = array("q"), array("d")
         for batch in batches:
             own = batch["n"].to_numpy(np.int64)
@@ -228,46 +181,33 @@ def planned(names: DataFrame, block: int, period: int, ranges: bool) -> DataFram
             weight = batch["weight"].to_numpy(np.float64)
             n.frombytes((-(-own // block)).tobytes())
             weights.frombytes(np.where(np.isnan(weight), by_size, weight).tobytes())
-        return runs(n, weights, period)
-
-    def by_range(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows, size = [], 0
-        for run in counted(batches):
+        for run in runs(n, weights):
             rows.append(run)
             size += len(run[-1])
             if size >= GIVEN:
-                yield pd.DataFrame(rows, columns=["s", "first", "last", "base", "period", "slots"])
+                yield blocks_of(rows)
                 rows, size = [], 0
         if rows:
-            yield pd.DataFrame(rows, columns=["s", "first", "last", "base", "period", "slots"])
+            yield blocks_of(rows)
 
-    def by_block(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        s, b, slot = array("q"), array("q"), array("q")
-        for source, first, last, base, length, own in counted(batches):
-            for turn in range(0, last - first + 1, len(own)):
-                n = min(len(own), last - first + 1 - turn)
-                s.extend([source] * n)
-                b.extend(range(first + turn, first + turn + n))
-                slot.extend([base + turn // len(own) * length + x for x in own[:n]])
-                if len(s) >= GIVEN:
-                    yield pd.DataFrame({"s": s, "b": b, "slot": slot})
-                    s, b, slot = array("q"), array("q"), array("q")
-        if s:
-            yield pd.DataFrame({"s": s, "b": b, "slot": slot})
-
-    rows = names.select("g", "n", "weight").coalesce(1).sortWithinPartitions("g")
-    if ranges:
-        return durable(rows.mapInPandas(by_range, "s long, first long, last long, base long, period long, slots array<long>"))
-    return durable(rows.mapInPandas(by_block, "s long, b long, slot long"))
-
-
-def scheduled(docs: DataFrame, weights: dict | None, block: int, period: int) -> tuple[DataFrame, int]:
+    return durable(names.select("g", "n", "weight").coalesce(1).sortWithinPartitions("g").mapInPandas(by_block, "s long, b long, slot long"))
+
+
+def blocks_of(rows: list[tuple[int, int, int, list[int]]]) -> pd.DataFrame:
+    """Runs as rows s, b, slot."""
+    parts = [(np.full(len(own), s), first + np.arange(len(own)), base + np.array(own)) for s, first, base, own in rows]
+    return pd.DataFrame(dict(zip(("s", "b", "slot"), (np.concatenate(x) for x in zip(*parts, strict=True)), strict=True)))
+
+
+def scheduled(docs: DataFrame, weights: dict | None, block: int | None) -> tuple[DataFrame, int]:
     """The rows of `schedule`, and the number of slots."""
     spark = docs.sparkSession
     names = sources(docs, weights)
-    blocks = F.floor((F.col("n") + block - 1) / block)
-    number, total, slots = (x or 0 for x in names.agg(F.count("*"), F.sum("n"), F.sum(blocks)).first())
-    plan = planned(names, block, period, number <= MOST_SOURCES)
+    total = names.agg(F.sum("n")).first()[0] or 0
+    block = block or max(BLOCK, -(-total // BLOCKS))
+    slots = names.agg(F.sum(F.floor((F.col("n") + block - 1) / block))).first()[0] or 0
+    plan = planned(names, block)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // PART)
     spread = F.xxhash64(F.col("doc_id").cast("string"), F.lit("order"))
     names = small(names.drop("weight"))
@@ -288,17 +228,13 @@ def scheduled(docs: DataFrame, weights: dict | None, block: int, period: int) ->
     rows = dealt(rows).withColumn("nth", F.row_number().over(within)).join(F.broadcast(offsets), F.col("part") == F.col("p"))
     index = F.col("before") + F.col("nth") - 1 - F.col("start")
     rows = rows.select("row", "g", F.floor(index / block).alias("block"), (index % block).cast("int").alias("place"))
-    if number > MOST_SOURCES:
-        rows = rows.join(small(plan), (F.col("g") == F.col("s")) & (F.col("block") == F.col("b")))
-        return rows.select("row", "block", "place", "slot"), slots
-    rows = rows.join(F.broadcast(plan), (F.col("g") == F.col("s")) & F.col("block").between(F.col("first"), F.col("last")))
-    slot = F.expr("base + ((block - first) div size(slots)) * period + get(slots, cast((block - first) % size(slots) AS int))")
-    return rows.select("row", "block", "place", slot.cast("long").alias("slot")), slots
+    rows = rows.join(small_of(plan, slots), (F.col("g") == F.col("s")) & (F.col("block") == F.col("b")))
+    return rows.select("row", "block", "place", "slot"), slots
 
 
-def schedule(docs: DataFrame, weights: dict | None = None, block: int = BLOCK, period: int = PERIOD) -> DataFrame:
+def schedule(docs: DataFrame, weights: dict | None = None, block: int | None = None) -> DataFrame:
     """row (the whole given row), block (its number in the source), place (in the block), slot (of the block)."""
-    return scheduled(docs, weights, block, period)[0]
+    return scheduled(docs, weights, block)[0]
 
 
 def share_of(place: Column, total: int, parts: int) -> Column:
@@ -306,9 +242,9 @@ def share_of(place: Column, total: int, parts: int) -> Column:
     return F.least(F.floor(place * (parts / max(total, 1))), F.lit(parts - 1)).cast("int")
 
 
-def mixed(docs: DataFrame, weights: dict | None = None, block: int = BLOCK) -> DataFrame:
+def mixed(docs: DataFrame, weights: dict | None = None, block: int | None = None) -> DataFrame:
     """The documents in the order of the schedule: files and rows within them follow it."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    out, slots = scheduled(docs, weights, block, PERIOD)
+    out, slots = scheduled(docs, weights, block)
     # Slots are dense, so that equal shares of them are equal shares of the rows, but for sources' last blocks.
     return out.repartitionById(parts, share_of(F.col("slot"), slots, parts)).sortWithinPartitions("slot", "place").select("row.*")

@@ -5,6 +5,7 @@ import math
 import random
 import re
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -12,6 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from sparkseek import session
 from sparkseek.llm import chat, components, decontaminate, language, mixing, order_minhash, personal_data, product_quantisation, quality, sharding, toxicity
 from sparkseek.llm import queries as llm
 from tests.oracle import compare, database
@@ -464,84 +466,97 @@ def test_shards_are_equal_and_gapless(spark, n):
     assert laid == {r["doc_id"]: r["shard"] for r in rows}
 
 
+GIVEN_WEIGHTS = [[0.7, 0.3], [0.9999, 0.0001], [5, 3, 1, 0.5, 0.1], [1 / 3, 1 / 3, 1 / 7], [x**0.5 for x in (3_000_000, 500_000, 40_000, 900)], [1e-3] * 40 + [1.0]]
+
+
+def _prefixes_deviate_by_less_than_a_block(blocks, weights):
+    """Of all phases, every prefix, against the given weights as exact ratios."""
+    left = {s: n for s, n in blocks.items() if n}
+    by_base = {}
+    for row in mixing.phases(blocks, weights):
+        by_base.setdefault(row["base"], {})[row["s"]] = row["slots"]
+    for base in sorted(by_base):
+        own = by_base[base]
+        length = sum(map(len, own.values()))
+        assert sorted(x for slots in own.values() for x in slots) == list(range(length))
+        ratios = {s: Fraction(weights[s]) for s in left}
+        total = sum(ratios.values())
+        for s, ratio in ratios.items():
+            w, slots = ratio / total, own.get(s, [])
+            # Between two of its slots a source's lag grows evenly, so the slots' edges are the extremes.
+            for i, slot in enumerate([*slots, length]):
+                assert i - w * slot > -1 and (slot == length or i + 1 - w * (slot + 1) < 1), (s, i, slot)
+            left[s] -= len(slots)
+        left = {s: n for s, n in left.items() if n}
+    assert not left
+
+
+@pytest.mark.parametrize("weights", GIVEN_WEIGHTS)
+def test_long_schedules_deviate_from_target_weights_by_less_than_a_block(weights):
+    weights = dict(enumerate(weights))
+    _prefixes_deviate_by_less_than_a_block({s: max(1, round(60_000 * w / sum(weights.values()))) for s, w in weights.items()}, weights)
+
+
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.floats(0.001, 1), min_size=1, max_size=12))
-def test_schedule_deviates_by_less_than_a_block(weights):
-    share = mixing.shares(dict(enumerate(weights)), 256)
-    slots, period = mixing.pattern(share), sum(share.values())
-    assert sorted(x for own in slots.values() for x in own) == list(range(period))
-    for s, own in slots.items():
-        done = np.searchsorted(own, np.arange(1, period + 1))
-        assert (np.abs(done - np.arange(1, period + 1) * share[s] / period) < 1).all()
+@given(st.lists(st.tuples(st.floats(1e-6, 1), st.integers(0, 300)), min_size=1, max_size=12))
+def test_schedule_deviates_by_less_than_a_block(sources):
+    _prefixes_deviate_by_less_than_a_block({s: n for s, (_, n) in enumerate(sources)}, {s: w for s, (w, _) in enumerate(sources)})
 
 
 @settings(max_examples=60, deadline=None)
 @given(st.dictionaries(st.sampled_from("abcdef"), st.integers(0, 400), min_size=1), st.booleans())
 def test_phases_place_every_block_once(blocks, equal):
     weights = {s: 1.0 if equal else n**0.5 for s, n in blocks.items()}
-    slots = []
-    for row in mixing.phases(blocks, weights, 64):
-        own = row["slots"]
-        first, last, base, period = (row[k] for k in ("first", "last", "base", "period"))
-        slots += [(base + i // len(own) * period + own[i % len(own)], row["s"]) for i in range(last - first + 1)]
+    slots = [(row["base"] + x, (row["s"], row["first"] + i)) for row in mixing.phases(blocks, weights) for i, x in enumerate(row["slots"])]
     assert sorted(x for x, _ in slots) == list(range(sum(blocks.values())))
-    assert {s: sum(t == s for _, t in slots) for s in blocks} == blocks
+    assert sorted(key for _, key in slots) == sorted((s, b) for s, n in blocks.items() for b in range(n))
 
 
-def _plain_schedule(blocks, weights, period):
+def _plain_schedule(blocks, weights):
     """Slot by slot: each phase starts the sources anew; of the released blocks the one due first runs."""
     left, done, out = {s: n for s, n in blocks.items() if n}, dict.fromkeys(blocks, 0), []
     while left:
-        share = mixing.shares({s: weights[s] for s in left}, period)
-        length, slot, own = sum(share.values()), 0, dict.fromkeys(left, 0)
+        total = sum(Fraction(weights[s]) for s in left)
+        w, slot, own = {s: Fraction(weights[s]) / total for s in left}, 0, dict.fromkeys(left, 0)
         while len(own) == len(left):
-            due = min((-(-(own[s] + 1) * length // share[s]), str(s), s) for s in left if own[s] * length // share[s] <= slot)[2]
+            due = min((math.ceil((own[s] + 1) / w[s]), str(s), s) for s in left if math.floor(own[s] / w[s]) <= slot)[2]
             out.append((due, done[due]))
             own[due], done[due], left[due], slot = own[due] + 1, done[due] + 1, left[due] - 1, slot + 1
             left = {s: n for s, n in left.items() if n}
     return {key: slot for slot, key in enumerate(out)}
 
 
-@pytest.mark.parametrize("most", [512, 3])
-def test_schedule_equals_a_plain_simulation(spark, monkeypatch, most):
-    monkeypatch.setattr(mixing, "MOST_SOURCES", most)
-    monkeypatch.setattr(mixing, "PART", 40)
-    docs = docs_of(spark, ["t"] * 700, source={i: None if i % 11 == 0 else "hot" if i % 3 else f"s{i % 7}" for i in range(700)})
-    rows = mixing.schedule(docs, block=8, period=64).select("row.doc_id", "row.source", "block", "place", "slot").collect()
-    assert sorted(r["doc_id"] for r in rows) == list(range(700)) and len({(r["slot"], r["place"]) for r in rows}) == 700
-    if most == 512:
-        counts = {}
-        for r in rows:
-            counts[r["source"]] = counts.get(r["source"], 0) + 1
-        slots = _plain_schedule({s: -(-n // 8) for s, n in counts.items()}, {s: n**0.5 for s, n in counts.items()}, 64)
-        assert {((r["source"], r["block"]), r["slot"]) for r in rows} == set(slots.items())
-
-
 @pytest.mark.parametrize("weights", [None, {"s1": 2.0, "s7": 1.0, None: 1.0, "none here": 1.0}])
-@pytest.mark.parametrize(("n", "most"), [(5, 3), (560, 512), (560, 1000)])
-def test_schedule_has_one_rule_for_any_number_of_sources(spark, monkeypatch, n, most, weights):
-    """Each source is mixed by itself at its own weight, whichever way rows find their slots; null and None are two."""
-    monkeypatch.setattr(mixing, "MOST_SOURCES", most)
+@pytest.mark.parametrize(("n", "most"), [(5, 500_000), (560, 500_000), (560, 100)])
+def test_schedule_equals_a_plain_simulation(spark, monkeypatch, n, most, weights):
+    """Each source is mixed by itself at its own weight, whether its plan is broadcast or not; null and None are two."""
+    monkeypatch.setattr(session, "BROADCAST_ROWS", most)
+    monkeypatch.setattr(mixing, "PART", 300)
     source = {i: None if i % 13 == 0 else "None" if i % 17 == 0 else f"s{i % n if i < 900 else i % 4}" for i in range(1300)}
-    rows = mixing.schedule(docs_of(spark, ["t"] * 1300, source=source), weights, block=4, period=64).select("row.doc_id", "row.source", "block", "place", "slot").collect()
+    rows = mixing.schedule(docs_of(spark, ["t"] * 1300, source=source), weights, block=4).select("row.doc_id", "row.source", "block", "place", "slot").collect()
     assert {r["doc_id"]: r["source"] for r in rows} == source and len({(r["slot"], r["place"]) for r in rows}) == len(rows) == 1300
     named = lambda s: {None: "None", "None": "None\0"}.get(s, s)
     counts = {}
     for s in source.values():
         counts[named(s)] = counts.get(named(s), 0) + 1
     blocks, weights = {s: -(-x // 4) for s, x in counts.items()}, {named(s): w for s, w in (weights or {}).items()}
-    first = _plain_schedule({s: x for s, x in blocks.items() if s in weights or not weights}, weights or {s: x**0.5 for s, x in counts.items()}, 64)
-    rest = _plain_schedule({s: x for s, x in blocks.items() if s not in weights and weights}, dict.fromkeys(blocks, 1.0), 64)
+    first = _plain_schedule({s: x for s, x in blocks.items() if s in weights or not weights}, weights or {s: x**0.5 for s, x in counts.items()})
+    rest = _plain_schedule({s: x for s, x in blocks.items() if s not in weights and weights}, dict.fromkeys(blocks, 1.0))
     assert {((named(r["source"]), r["block"]), r["slot"]) for r in rows} == {*first.items(), *((key, len(first) + slot) for key, slot in rest.items())}
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.dictionaries(st.sampled_from("abcdefgh"), st.sampled_from([0.5, 1.0, 2.0, 3.0, 2**0.5, 0.1]), min_size=1), st.integers(1, 100))
-def test_shares_are_by_largest_remainder(weights, period):
-    period = max(period, 4 * len(weights))
-    exact = {s: 1 + (period - len(weights)) * w / math.fsum(weights.values()) for s, w in weights.items()}
-    more = sorted(weights, key=lambda s: (int(exact[s]) - exact[s], s))[: period - sum(map(int, exact.values()))]
-    assert mixing.shares(weights, period) == {s: int(x) + (s in more) for s, x in exact.items()}
+def test_blocks_grow_with_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCKS", 10)
+    docs = docs_of(spark, ["t"] * 1000, source={i: f"s{i % 3 and 1}" for i in range(1000)})
+    rows = mixing.schedule(docs).select("row.doc_id", "place", "slot").collect()
+    assert sorted(r["doc_id"] for r in rows) == list(range(1000)) and {r["place"] for r in rows} == set(range(100))
+    assert {r["slot"] for r in rows} == set(range(11))
+
+
+@pytest.mark.parametrize("weight", [float("inf"), float("nan")])
+def test_weights_that_are_no_numbers_are_refused(spark, weight):
+    with pytest.raises(ValueError, match="finite"):
+        mixing.schedule(docs_of(spark, ["t"]), {"s": weight})
 
 
 def test_mixing_keeps_every_row(spark):
