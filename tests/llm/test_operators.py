@@ -232,6 +232,22 @@ def test_banded_distance(a, b, most):
     assert order_minhash.banded_distance(a, b, most) == min(_distance(a, b), most + 1)
 
 
+def _word_sequences(texts):
+    hashes, number = order_minhash.word_hashes(texts)
+    return np.split(hashes, np.cumsum(number)[:-1])
+
+
+def _joined(n, near):
+    label = list(range(n))
+    for _ in range(n):
+        before = list(label)
+        for i, j in near:
+            label[i] = label[j] = min(label[i], label[j])
+        if label == before:
+            return label
+    return label
+
+
 def test_near_duplicates_equal_all_pairs(spark):
     rng, texts = random.Random(4), []
     for family in range(12):
@@ -242,19 +258,43 @@ def test_near_duplicates_equal_all_pairs(spark):
                 k = rng.randrange(len(own))
                 own[k : k + 1] = rng.choice([[], [f"x{rng.randrange(99)}"], [own[k], "y"]])
             texts.append(" ".join(own))
-    texts += ["short one", "Short ONE!", "tiny", " ".join(["same words again"] * 50), " ".join(["same words again"] * 47)]
-    hashes, number = order_minhash.shingle_hashes(texts)
-    seqs = np.split(hashes, np.cumsum(number)[:-1])
-    label = list(range(len(texts)))
+    texts += ["short one", "Short ONE!", "tiny", " ".join(["same words again"] * 50), " ".join(["same words again"] * 41), " ".join(["same words again"] * 39)]
+    seqs = _word_sequences(texts)
     near = [(i, j) for i in range(len(texts)) for j in range(i) if order_minhash.alike(seqs[i], seqs[j])]
-    for _ in texts:
-        for i, j in near:
-            label[i] = label[j] = min(label[i], label[j])
+    label = _joined(len(texts), near)
     found = {r["doc_id"]: r["component_id"] for r in order_minhash.near_duplicates(docs_of(spark, texts)).collect()}
     assert [found[i] for i in range(len(texts))] == label
     assert order_minhash.deduplicated(docs_of(spark, texts)).count() == len(set(label))
 
 
+def test_near_duplicates_of_whole_documents_equal_all_pairs(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = docs.orderBy("doc_id").collect()
+    seqs = _word_sequences([r["text"] or "" for r in rows])
+    bags = [order_minhash.bag(s) for s in seqs]
+    near = [(i, j) for i in range(len(rows)) for j in range(i) if min(len(seqs[i]), len(seqs[j])) >= 0.8 * max(len(seqs[i]), len(seqs[j]), 1) and len(seqs[i]) and order_minhash.alike(seqs[i], seqs[j], bags=(bags[i], bags[j]))]
+    found = {r["doc_id"]: r["component_id"] for r in order_minhash.near_duplicates(docs).collect()}
+    label = _joined(len(rows), near)
+    own = [found[r["doc_id"]] for r in rows]
+    # No document is joined with one that links don't reach, and no link is lost.
+    assert [rows[i]["doc_id"] for i in label] == own and len(near) > 90
+
+
+@pytest.mark.parametrize(("edits", "least"), [(5, 1.0), (10, 1.0), (15, 0.97), (19, 0.88)])
+def test_share_of_pairs_found_by_similarity(spark, edits, least):
+    """Pairs of 200 words of which `edits` in a hundred differ at random: what the docstring expects of them."""
+    rng, texts = random.Random(edits), []
+    for n in range(150):
+        base = words(200, 1000 + n, 5000)
+        own = list(base)
+        for k in rng.sample(range(200), 2 * edits):
+            own[k] = f"x{k}"
+        texts += [" ".join(base), " ".join(own)]
+    found = {r["doc_id"]: r["component_id"] for r in order_minhash.near_duplicates(docs_of(spark, texts)).collect()}
+    assert all(found[i] in (i, i - i % 2) for i in found)
+    assert sum(found[2 * n] == found[2 * n + 1] for n in range(150)) >= least * 150
+
+
 def test_texts_of_one_id_are_each_compared(spark):
     one, two, other = (" ".join(words(120, seed, 3000)) for seed in (31, 32, 33))
     rows = [(1, one), (1, two), (2, one + " tail"), (3, two + " tail"), (4, other), (4, other.upper()), (5, other + " tail"), (6, two), (7, None), (7, "seven")]
@@ -271,16 +311,11 @@ def test_divided_buckets_lose_no_link(spark, monkeypatch):
     texts = []
     for family in range(6):
         own = list(base)
-        for k in rng.sample(range(100), 4):
+        for k in rng.sample(range(100), 14):
             own[k] = f"f{family}x{k}"
         texts += [" ".join([*own, *words(rng.randrange(3), rng.random())]) for _ in range(20)]
-    hashes, number = order_minhash.shingle_hashes(texts)
-    seqs = np.split(hashes, np.cumsum(number)[:-1])
-    label = list(range(len(texts)))
-    near = [(i, j) for i in label for j in range(i) if order_minhash.alike(seqs[i], seqs[j])]
-    for _ in range(10):
-        for i, j in near:
-            label[i] = label[j] = min(label[i], label[j])
+    seqs = _word_sequences(texts)
+    label = _joined(len(texts), [(i, j) for i in range(len(texts)) for j in range(i) if order_minhash.alike(seqs[i], seqs[j])])
     found = {r["doc_id"]: r["component_id"] for r in order_minhash.near_duplicates(docs_of(spark, texts)).collect()}
     assert [found[i] for i in range(len(texts))] == label
 
