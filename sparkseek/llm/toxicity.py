@@ -1,6 +1,7 @@
 """Toxicity by a counterfactually regularised linear classifier.
 
-A text's features are its words and their beginnings, each once. A logistic regression is trained in numpy on a
+A text's features are its words and their beginnings, each once, hashed to BITS bits; the model has the CHOSEN ones that
+differ most between the labels in the sample, of those in SEEN of its texts or more. A logistic regression is trained in numpy on a
 bounded, hashed sample of labelled documents. Identity terms in labelled sentences are swapped for others of
 their kind, and the square of each such change of the score is a penalty: a mention of a group by itself then
 moves the score hardly at all, whatever the sample says of it. Workers take the features of the sample's whole texts
@@ -94,28 +95,32 @@ def features_once(texts: list[str]) -> list[np.ndarray]:
     return out
 
 
+def best_of(ones: np.ndarray, total: np.ndarray, share: float, moved: Counter) -> np.ndarray:
+    """The CHOSEN features that tell most, of those in SEEN texts or more; then those that swaps move, if there is room."""
+    score = np.abs(ones - total * share) / np.sqrt(np.maximum(total, 1) * share * (1 - share))
+    score[total < SEEN] = 0
+    score[np.array([x for lost, new in moved for x in (*lost, *new)], np.int64)] += 1e-9
+    best = np.argsort(-score, kind="stable")[:CHOSEN]
+    return best[score[best] > 0]
+
+
 class Classifier:
-    """rows: features of each text; moved: what swaps take away and bring, and how often."""
+    """rows: features of each text; moved: what swaps take away and bring, and how often; best: what `best_of` gives, else made here."""
 
-    def __init__(self, rows: list[np.ndarray], labels: list[int], moved: Counter):
+    def __init__(self, rows: list[np.ndarray], labels: list[int], moved: Counter, best: np.ndarray | None = None):
         y = np.array(labels, np.float64)
         self.chosen, self.weights, self.base = np.full(1 << BITS, -1, np.int16), np.zeros(0), float(np.log(0.1 / 0.9))
         if not len(y) or y.min() == y.max():
             return
         owner, feature = np.repeat(np.arange(len(rows)), [len(r) for r in rows]), np.concatenate(rows)
-        ones = np.bincount(feature, y[owner], 1 << BITS)
-        total = np.bincount(feature, minlength=1 << BITS)
         share = y.mean()
-        score = np.abs(ones - total * share) / np.sqrt(np.maximum(total, 1) * share * (1 - share))
-        score[total < SEEN] = 0
+        if best is None:
+            best = best_of(np.bincount(feature, y[owner], 1 << BITS), np.bincount(feature, minlength=1 << BITS), share, moved)
         kinds = sorted(moved)
         swap = np.repeat(np.arange(len(kinds)), [len(lost) + len(new) for lost, new in kinds])
         column = np.array([x for lost, new in kinds for x in (*lost, *new)], np.int64)
         sign = np.array([v for lost, new in kinds for v in (*[-1.0] * len(lost), *[1.0] * len(new))])
         often = np.array([moved[k] for k in kinds], np.float64)
-        score[column] += 1e-9  # stays among the chosen if there is room
-        best = np.argsort(-score, kind="stable")[:CHOSEN]
-        best = best[score[best] > 0]
         self.chosen[best] = np.arange(len(best))
         known = self.chosen[feature] >= 0
         owner, feature = owner[known], self.chosen[feature[known]].astype(np.int64)
@@ -155,20 +160,43 @@ def _learned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         texts = batch["text"].tolist()
         none = [None] * len(texts)
-        yield pd.DataFrame({"doc_id": batch["doc_id"], "_y": batch["_y"].astype("Int64"), "own": [f.astype(np.int32).tobytes() for f in features_once(texts)], "lost": none, "new": none, "n": pd.array(none, "Int64")})
+        own = [f.astype(np.int32) for f in features_once(texts)]
+        yield pd.DataFrame({"doc_id": batch["doc_id"], "_y": batch["_y"].astype("Int64"), "own": own, "lost": none, "new": none, "n": pd.array(none, "Int64")})
         moved = [(np.array(x, np.int32).tobytes(), np.array(y, np.int32).tobytes(), n) for (x, y), n in changes(texts).items()]
         if moved:
             yield pd.DataFrame(moved, columns=["lost", "new", "n"]).assign(doc_id=pd.NA, _y=pd.NA, own=None)
 
 
 def train(docs: DataFrame, labels: DataFrame, limit: int = LEARN) -> Classifier:
-    """Learn from at most `limit` labelled rows; workers read their whole texts."""
+    """Learn from at most `limit` labelled rows; workers read their whole texts.
+
+    Workers also count the features, of which there are 2**BITS at most, and leave the chosen ones of each text: the
+    driver gets three numbers a feature and then two bytes a text and chosen feature, however long the texts are.
+    """
     rows = labelled(docs, labels, "toxic", limit)
-    rows = durable(rows.mapInPandas(_learned, "doc_id long, _y long, own binary, lost binary, new binary, n long"))
-    found = rows.filter("own IS NOT NULL").select("doc_id", "_y", "own").orderBy("doc_id", "_y", "own").limit(limit).collect()
+    rows = durable(rows.mapInPandas(_learned, "doc_id long, _y long, own array<int>, lost binary, new binary, n long"))
+    texts = rows.filter("own IS NOT NULL").withColumn("_h", F.xxhash64("doc_id", "_y", "own"))
+    # Rows that repeat an id can be more than the limit; a hash decides which are learned from.
+    last = texts.select("_h").orderBy("_h").limit(limit).agg(F.max("_h")).first()[0]
+    texts = texts.filter(F.col("_h") <= F.lit(last))
     moved = rows.filter("own IS NULL").groupBy("lost", "new").agg(F.sum("n").alias("n")).collect()
-    plain = lambda x: np.frombuffer(x, np.int32).astype(np.int64)
-    return Classifier([plain(r["own"]) for r in found], [r["_y"] for r in found], Counter({(tuple(plain(r["lost"]).tolist()), tuple(plain(r["new"]).tolist())): r["n"] for r in moved}))
+    plain = lambda x: tuple(np.frombuffer(x, np.int32).tolist())
+    moved = Counter({(plain(r["lost"]), plain(r["new"])): r["n"] for r in moved})
+    counts = texts.select("_y", F.explode("own").alias("f")).groupBy("f").agg(F.sum("_y").alias("ones"), F.count("*").alias("total")).filter(F.col("total") >= SEEN).toPandas()
+    ones, total = np.zeros(1 << BITS), np.zeros(1 << BITS, np.int64)
+    ones[counts["f"]], total[counts["f"]] = counts["ones"], counts["total"]
+    share = texts.agg(F.avg("_y")).first()[0]
+    best = best_of(ones, total, share, moved) if share and share < 1 else np.zeros(0, np.int64)
+    place = np.full(1 << BITS, -1, np.int16)
+    place[best] = np.arange(len(best))
+
+    def chosen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            at = [place[np.asarray(x, np.int64)] for x in batch["own"]]
+            yield pd.DataFrame({"_h": batch["_h"], "_y": batch["_y"], "at": [x[x >= 0].tobytes() for x in at]})
+
+    found = texts.select("_h", "_y", "own").mapInPandas(chosen, "_h long, _y long, at binary").orderBy("_h", "_y").collect()
+    return Classifier([best[np.frombuffer(r["at"], np.int16)] for r in found], [r["_y"] for r in found], moved, best)
 
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
