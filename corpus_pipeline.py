@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,13 +43,16 @@ def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ordered(docs: DataFrame) -> DataFrame:
-    """The rows with mix_order: the number of the file and of the row in it; rows of no file have their present order."""
+    """The rows with mix_order: the number of the file and of the row in it, in place of a given column of that name.
+
+    Rows that come from no file have their present order.
+    """
     docs = docs.drop("mix_order")
-    part = F.try_to_number(F.regexp_extract("_metadata.file_name", r"^part-(\d+)", 1), F.lit("9" * 9)).cast("long")
-    try:
-        return docs.select("*", (F.shiftleft(F.coalesce(part, F.lit(0)), 40) + F.col("_metadata.row_index")).alias("mix_order"))
-    except AnalysisException:
+    if not docs.inputFiles():
         return docs.withColumn("mix_order", F.monotonically_increasing_id())
+    file = docs.metadataColumn("_metadata")
+    part = F.try_to_number(F.regexp_extract(file["file_name"], r"^part-(\d+)", 1), F.lit("9" * 9)).cast("long")
+    return docs.select("*", (F.shiftleft(F.coalesce(part, F.lit(0)), 40) + file["row_index"]).alias("mix_order"))
 
 
 STAGES = [("language", known_language), ("near_dedup", first_of_near_duplicates), ("decontamination", leave_out_benchmark), ("mixing", mix_sources), ("sharding", shard)]
