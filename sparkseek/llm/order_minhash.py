@@ -8,7 +8,7 @@ together where there are fewer, labelled with their occurrence number. For each
 smallest labelled shingles are kept in the order in which they stand in the text; equal sketches make a pair
 likely in proportion to a power of the share of common shingles. An edit costs up to five shingles, so this share is
 about 0.63, 0.42, 0.29 and 0.20 for words that differ at random in 5, 10, 15 and 20 of a hundred places, and such pairs
-share none of the sketches with a probability of about 1e-14, 1e-5, 0.005 and 0.08; where edits stand together more is shared.
+share none of the sketches with a probability of about 1e-11, 1e-4, 0.017 and 0.15; where edits stand together more is shared.
 Only pairs with no five words in a row in common can't be found. Texts that share a sketch also get a signature, the
 smallest hash of each of BINS bins of their occurrence-labelled words; pairs whose estimated share of labelled words is
 below ALIKE are not aligned (at the threshold the share is two thirds or more, four standard deviations above).
@@ -39,7 +39,7 @@ from .common import arrow_limits, drop_table, durable, mix, placed, slices, smal
 from .components import components
 
 WORDS, LEAST = 5, 0.8
-SKETCHES, LENGTH = 64, 2
+SKETCHES, LENGTH = 48, 2
 #: Bins of a signature and the estimated share from which pairs are aligned; FEW bins are compared first.
 BINS, ALIKE = 256, 0.55
 FEW, ROUGHLY = 64, 0.42
