@@ -96,8 +96,10 @@ def metric_clusters(index: Index, cosine: float = METRIC_COSINE, per_doc: int =
     pairs = sample.toDF("doc_id", "a").join(sample.toDF("doc_id", "b"), "doc_id").filter("a < b").select("a", "b").distinct()
     close = term_cosines(weights, pairs).filter(F.round("cosine", 9) >= cosine).select(F.xxhash64("a").alias("x"), F.xxhash64("b").alias("y"))
     found = graph.components(close, "x", "y")
-    rows = ids.join(found, F.col("id") == F.col("node"), "left").select("term", F.coalesce("component", "id").alias("c"))
-    return rows.withColumn("cluster_id", F.min("term").over(Window.partitionBy("c"))).select("term", "cluster_id")
+    rows = durable(ids.join(found, F.col("id") == F.col("node"), "left").select("term", F.coalesce("component", "id").alias("c")))
+    # A component may hold nearly all terms: its name is found by a partial minimum, and no task takes it whole.
+    names = durable(rows.groupBy("c").agg(F.min("term").alias("cluster_id")))
+    return rows.join(small(names), "c").select("term", "cluster_id")
 
 
 class Sums:

@@ -16,17 +16,22 @@ PREVIEW = 500
 
 @dataclass
 class Index:
-    """postings (term, doc_id, tf), doc_store (a row for each page), stats (one row: n, avg_dl)."""
+    """postings (term, doc_id, tf), doc_store (a row for each page), stats (one row: n, avg_dl); lengths if they are written."""
 
     postings: DataFrame
     doc_store: DataFrame
     stats: DataFrame
     analyzer: str = "full"
+    lengths: DataFrame | None = None
 
     def settled(self) -> Index:
-        """The same with its store written once, from which the statistics are made."""
-        store = durable(self.doc_store)
-        return Index(self.postings, store, corpus_stats(store), self.analyzer)
+        """The same with its pages' lengths written once, from which the statistics are made; previews are left where they are."""
+        lengths = durable(self.doc_store.select("doc_id", "doc_len"))
+        return Index(self.postings, self.doc_store, corpus_stats(lengths), self.analyzer, lengths)
+
+    def doc_lengths(self) -> DataFrame:
+        """doc_id, doc_len."""
+        return self.doc_store.select("doc_id", "doc_len") if self.lengths is None else self.lengths
 
     def save(self, folder: str) -> None:
         save_tables(folder, postings=self.postings, doc_store=self.doc_store, corpus_stats=self.stats)
@@ -79,10 +84,15 @@ def tfidf_weights(postings: DataFrame, stats: DataFrame, terms: DataFrame | None
 
 
 def term_cosines(weights: DataFrame, pairs: DataFrame) -> DataFrame:
-    """a, b, cosine for pairs of terms (a, b) by their full weight vectors; 0 where a norm is."""
-    norms = weights.groupBy("term").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    one = weights.toDF("a", "doc_id", "wa")
-    two = weights.toDF("b", "doc_id", "wb")
-    dots = pairs.join(one, "a").join(two, ["b", "doc_id"]).groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("dot"))
-    rows = pairs.join(dots, ["a", "b"], "left").join(norms.toDF("a", "na"), "a", "left").join(norms.toDF("b", "nb"), "b", "left")
+    """a, b, cosine for pairs of terms (a, b) by their full weight vectors; 0 where a norm is.
+
+    Of each pair the term in fewer documents is expanded, and meets the other one by term and document.
+    """
+    norms = weights.groupBy("term").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.count("*").alias("n"))
+    rows = pairs.join(norms.toDF("a", "na", "ca"), "a", "left").join(norms.toDF("b", "nb", "cb"), "b", "left")
+    rarer = F.col("ca") <= F.col("cb")
+    both = rows.filter((F.col("na") > 0) & (F.col("nb") > 0)).select("a", "b", F.when(rarer, F.col("a")).otherwise(F.col("b")).alias("r"), F.when(rarer, F.col("b")).otherwise(F.col("a")).alias("f"))
+    one, two = weights.select(F.col("term").alias("r"), "doc_id", F.col("w").alias("wr")), weights.select(F.col("term").alias("f"), "doc_id", F.col("w").alias("wf"))
+    dots = both.join(one, "r").join(two, ["f", "doc_id"]).groupBy("a", "b").agg(F.sum(F.col("wr") * F.col("wf")).alias("dot"))
+    rows = rows.join(dots, ["a", "b"], "left")
     return rows.select("a", "b", F.when((F.col("na") > 0) & (F.col("nb") > 0), F.coalesce("dot", F.lit(0.0)) / (F.col("na") * F.col("nb"))).otherwise(F.lit(0.0)).alias("cosine"))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import analyzed
+from ..session import durable
 from .index import Index, tfidf
 
 K1, B = 1.2, 0.75
@@ -53,7 +54,7 @@ def bm25_part(k1: float = K1, b: float = B) -> Column:
 def bm25_scores(index: Index, query: str, k1: float = K1, b: float = B) -> DataFrame:
     """doc_id, score; a query term counts as often as it occurs in the query."""
     rows = matches(index, query_terms(index, query)).crossJoin(F.broadcast(index.stats))
-    rows = rows.join(index.doc_store.select("doc_id", "doc_len"), "doc_id", "left")
+    rows = rows.join(index.doc_lengths(), "doc_id", "left")
     return rows.groupBy("doc_id").agg(F.sum(bm25_part(k1, b)).alias("score"))
 
 
@@ -109,7 +110,9 @@ def fetch_size(k: int) -> int:
 
 
 def format_results(ranked: DataFrame, store: DataFrame) -> DataFrame:
-    """rank, doc_id, score (6 places), url (final one if there is one), title, snippet."""
+    """rank, doc_id, score (6 places), url (final one if there is one), title, snippet. The k rows are written, and only their pages taken from the store."""
+    ranked = durable(ranked)
+    store = store.join(F.broadcast(ranked.select("doc_id")), "doc_id", "left_semi")
     order = Window.orderBy(*by_score())  # over the k rows of a result
     text = lambda c: F.coalesce(F.col(c), F.lit(""))
     url = F.coalesce(F.nullif(F.col("final_url"), F.lit("")), F.col("url"), F.lit(""))

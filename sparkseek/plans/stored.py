@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 
 from ..functions.text import content_hash
 from ..functions.urls import simple_normalize
-from ..operators import crawl, graph, index, rank
+from ..operators import blocks, crawl, graph, index, rank
+from ..operators.blocks import BlockIndex
+from ..operators.seen import SeenSet
+from ..operators.segments import SegmentedIndex
 from ..session import durable, shared_folder
 from ..sources import pages as files
 from . import web
-from .corpus import CTES, REPEATED, _hits, _hits_sql, bm25_sql, corpus, documents
+from .corpus import CTES, REPEATED, TOKENS, _hits, _hits_sql, bm25_sql, corpus, documents
 from .links import _LINKS, PAGERANK_SQL, fixed_pagerank, supplier_graph
 
 
@@ -116,10 +119,87 @@ def restored_frontier(spark, sf_dir):
     return found.select("url", "depth", "discovered_from", "seq", F.lit(state["next_doc_id"]).cast("long").alias("next_doc_id"), F.lit(hashes.count()).cast("long").alias("n_hashes"))
 
 
+def _segmented(spark: SparkSession, sf_dir: str) -> SegmentedIndex:
+    """The documents as three batches: English ones; all others, and changed texts for one source; deletions of another source."""
+    own = SegmentedIndex(spark, _folder(spark), "raw", fanout=2)
+    none, lang, source = F.lit(""), F.coalesce("lang", F.lit("")), F.coalesce("source", F.lit(""))
+    rows = documents(spark, sf_dir)
+    text = F.when(source == "src1", F.concat(lang, F.lit(" "), F.coalesce("text", none))).otherwise(F.col("text"))
+    page = lambda t, clean: t.select("doc_id", none.alias("url"), none.alias("final_url"), none.alias("title"), clean.alias("clean_text"), F.lit(0).alias("geology_score"))
+    own.add(page(rows.filter(lang == "en"), F.col("text")))
+    own.add(page(rows.filter((lang != "en") | (source == "src1")), text))
+    own.delete(rows.filter(source == "src2").select("doc_id"))
+    return own
+
+
+def segment_postings(spark, sf_dir):
+    """Live postings after all segments have been merged."""
+    own = _segmented(spark, sf_dir)
+    own.merge(whole=True)
+    return own.snapshot().postings
+
+
+def segment_df(spark, sf_dir):
+    """Document frequencies over several segments and tombstones."""
+    return index.term_df(_segmented(spark, sf_dir).snapshot().postings)
+
+
+def segment_search(spark, sf_dir):
+    """BM25 over the last snapshot."""
+    return _hits(rank.bm25(_segmented(spark, sf_dir).snapshot(), REPEATED))
+
+
+def segment_history(spark, sf_dir):
+    """The size of each version, as its document has it and as its snapshot's rows give it, read after a merge."""
+    own, rows = _segmented(spark, sf_dir), None
+    own.merge(whole=True)
+    for version in own.versions.all():
+        found = own.snapshot(version)
+        part = found.doc_store.agg(F.lit(version).cast("long").alias("version"), F.count("*").alias("n_rows"), F.coalesce(F.sum("doc_len"), F.lit(0)).alias("words"))
+        part = part.crossJoin(F.broadcast(found.stats)).withColumn("avg_dl", F.round("avg_dl", 6))
+        rows = part if rows is None else rows.unionByName(part)
+    return rows
+
+
+def _visited(spark: SparkSession, sf_dir: str) -> SeenSet:
+    """Addresses of pages, first links, and links of pages whose path begins /en, as runs of a set of seen URLs."""
+    own, links = SeenSet(spark, _folder(spark), buckets=16, cell=200, fanout=3), web._links(spark, sf_dir)
+    batches = [web.pages(spark, sf_dir).select(simple_normalize(F.col("url")).alias("url")), links.filter("pos = 0").select(F.col("target").alias("url")), links.filter(F.col("url").rlike("^https?://[^/]+/en/")).select(F.col("target").alias("url"))]
+    for batch in batches:
+        own.add(own.new(batch.filter("url <> ''")))
+    return own
+
+
+def seen_urls(spark, sf_dir):
+    """All URLs of the set."""
+    return _visited(spark, sf_dir).all()
+
+
+def unseen_links(spark, sf_dir):
+    """Links that the set doesn't hold."""
+    links = web._links(spark, sf_dir).select(F.col("target").alias("url")).filter("url <> ''")
+    return _visited(spark, sf_dir).new(links)
+
+
+def block_max_topk(spark, sf_dir):
+    """The ten best documents for the first line of each document whose id 50 divides, by saved blocks with score bounds."""
+    folder = _folder(spark)
+    found = corpus(spark, sf_dir).settled()
+    BlockIndex.build(index.Index(durable(found.postings), found.doc_store, found.stats, "raw", found.lengths)).save(folder)
+    queries = documents(spark, sf_dir).filter("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), F.substring_index("text", "\n", 1).alias("text"))
+    return blocks.top_k(BlockIndex.load(spark, folder, "raw"), queries).withColumn("score", F.round("score", 6))
+
+
 _KEPT_EDGES = f"(SELECT page_id, target, anchor FROM {web._FIRST_SQL} WHERE NOT {web._utility_sql('target')})"
 _SEEN = f"(SELECT DISTINCT {web._normalize_sql('url')} AS url FROM pages WHERE page_id % 3 = 0)"
 
-QUERIES = {f.__name__: f for f in (jsonl_documents, batch_pages, batch_edges, batch_metadata, seeds, text_lines, saved_index, saved_graph, saved_pagerank, cluster_csv, logged_queries, restored_frontier)}
+#: The documents as the three batches leave them.
+_LIVE = "live AS (SELECT doc_id, CASE WHEN source = 'src1' THEN coalesce(lang, '') || ' ' || coalesce(text, '') ELSE text END AS text FROM documents WHERE coalesce(source, '') <> 'src2')"
+_LIVE_CTES = f"{_LIVE}, {CTES.replace('documents', 'live')}"
+_SIZES = "count(*) AS n_rows, CAST(sum(len(" + TOKENS + ")) AS BIGINT) AS words, count(*) AS n, round(CAST(sum(len(" + TOKENS + ")) AS DOUBLE) / count(*), 6) AS avg_dl"
+_VISITED = f"SELECT {web._normalize_sql('url')} AS url FROM pages UNION SELECT target FROM {web._LINKS_SQL} WHERE pos = 0 OR regexp_matches(url, '^https?://[^/]+/en/')"
+
+QUERIES = {f.__name__: f for f in (jsonl_documents, batch_pages, batch_edges, batch_metadata, seeds, text_lines, saved_index, saved_graph, saved_pagerank, cluster_csv, logged_queries, restored_frontier, segment_postings, segment_df, segment_search, segment_history, seen_urls, unseen_links, block_max_topk)}
 ORACLES = {
     "jsonl_documents": "SELECT doc_id, text FROM documents",
     "batch_pages": f"SELECT page_id AS doc_id, url, title, sha256(text) AS content_hash FROM {web._PAGE_SQL} WHERE NOT ({web._utility_sql('url')} OR regexp_matches(lower(title), '{'|'.join(web.UTILITY_TITLES_INDEX)}'))",
@@ -128,6 +208,16 @@ ORACLES = {
     "seeds": f"SELECT url FROM (SELECT DISTINCT page_id % 7 = 0 AS padded, url AS line, {web._normalize_sql('url')} AS url FROM pages WHERE page_id % 5 <> 0) WHERE url <> ''",
     "text_lines": "SELECT DISTINCT sha256(coalesce(text, '')) AS content_hash FROM documents",
     "saved_index": f"WITH {CTES}, r AS ({bm25_sql(REPEATED)}) {_hits_sql('r')}",
+    "segment_postings": f"WITH {_LIVE_CTES} SELECT term, doc_id, tf FROM p",
+    "segment_df": f"WITH {_LIVE_CTES} SELECT term, df FROM df",
+    "segment_search": f"WITH {_LIVE_CTES}, r AS ({bm25_sql(REPEATED)}) {_hits_sql('r')}",
+    "segment_history": f"""WITH {_LIVE}, changed AS (SELECT doc_id, CASE WHEN source = 'src1' THEN coalesce(lang, '') || ' ' || coalesce(text, '') ELSE text END AS text FROM documents)
+SELECT CAST(1 AS BIGINT) AS version, {_SIZES} FROM documents WHERE lang = 'en' UNION ALL SELECT 2, {_SIZES} FROM changed UNION ALL SELECT 3, {_SIZES} FROM live UNION ALL SELECT 4, {_SIZES} FROM live""",
+    "block_max_topk": f"""WITH {CTES}, q AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT doc_id AS query_id, unnest({TOKENS.replace('text', 'string_split(text, chr(10))[1]')}) AS term FROM documents WHERE doc_id % 50 = 0) GROUP BY ALL),
+r AS (SELECT query_id, p.doc_id, sum(q.qtf * ln((s.n - df.df + 0.5) / (df.df + 0.5) + 1) * p.tf * 2.2 / (p.tf + 1.2 * (0.25 + 0.75 * d.doc_len / s.avg_dl))) AS score FROM q JOIN p USING (term) JOIN df USING (term) JOIN d ON d.doc_id = p.doc_id CROSS JOIN s GROUP BY query_id, p.doc_id)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS INTEGER) AS rank, doc_id, round(score, 6) AS score FROM r QUALIFY rank <= 10""",
+    "seen_urls": f"SELECT url FROM ({_VISITED}) WHERE url <> ''",
+    "unseen_links": f"SELECT DISTINCT target AS url FROM {web._LINKS_SQL} WHERE target <> '' AND target NOT IN (SELECT url FROM ({_VISITED}))",
     "saved_graph": f"WITH {_LINKS} SELECT id, coalesce(o.n, 0) AS out_degree, coalesce(i.n, 0) AS in_degree FROM nodes LEFT JOIN (SELECT src, count(*) AS n FROM links GROUP BY src) o ON o.src = id LEFT JOIN (SELECT dst, count(*) AS n FROM links GROUP BY dst) i ON i.dst = id",
     "saved_pagerank": f"SELECT doc_id, round(score, 6) AS score FROM ({PAGERANK_SQL})",
     "cluster_csv": "SELECT vec_id, label FROM embeddings",

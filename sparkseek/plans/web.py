@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,9 +13,12 @@ from ..functions.text import added_terms as text_added_terms
 from ..functions.text import content_hash, is_utility_title, keyword_hits, link_priority, topic_score
 from ..functions.urls import extract_domain, is_http_url, is_utility_page, is_utility_url, normalize_url, simple_normalize, url_map
 from ..operators import crawl, graph
+from ..session import durable, shared_folder
 
 #: Words of the driver's texts that stand for topic keywords.
 WORDS = ["estion", "ndtion", "tionen", "queque", "enlich"]
+#: Words that are frequent in some of the texts' languages, so that every gate of a crawl stops some pages and lets some pass.
+COMMON = ["the", "and", "que", "les", "estion"]
 #: Non-ASCII characters as letters, so that both engines find the same word borders.
 PLAIN = "regexp_replace({0}, '[^\\x00-\\x7F]', 'x', 'g')"
 
@@ -116,24 +121,65 @@ def per_group_first_n(spark, sf_dir):
 
 
 def _judged(spark, sf_dir):
-    """Documents as crawled pages: their id decides the status, their words the score."""
-    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.lit("").alias("title"), _plain("text").alias("clean_text"), F.concat(F.lit("http://x.example/p"), F.col("doc_id")).alias("url"), F.col("text").alias("html"), F.when(F.col("doc_id") % 10 == 0, 404).otherwise(200).alias("status"))
-    return crawl.judged(rows, WORDS)
+    """Documents as crawled pages: ids decide status, kind of content and title, words the score."""
+    n = F.col("doc_id")
+    title, address = F.when(n % 8 == 3, "Contact us").otherwise(""), F.concat(F.lit("http://x.example/p"), n)
+    html, status = F.when(n % 9 != 1, F.col("text")), F.when(n % 10 == 0, 404).otherwise(200)
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", title.alias("title"), _plain("text").alias("clean_text"), address.alias("url"), html.alias("html"), status.alias("status"))
+    return crawl.judged(rows, COMMON)
+
+
+def _given(spark, sf_dir):
+    """Pages by their addresses, of equal ones the first: url, p (page_id, html)."""
+    return pages(spark, sf_dir).select("page_id", simple_normalize(F.col("url")).alias("url"), "html").groupBy("url").agg(F.min(F.struct("page_id", "html")).alias("p"))
+
+
+def _fetched(given: DataFrame) -> DataFrame:
+    return given.select("url", "p.html", F.when(F.col("p.page_id") % 10 == 0, 404).otherwise(200).alias("status"))
 
 
 def crawl_round(spark, sf_dir):
     """One round over all pages as the queue, in order of their ids: what it keeps, numbered from 100."""
-    given = pages(spark, sf_dir).select("page_id", simple_normalize(F.col("url")).alias("url"), "html").groupBy("url").agg(F.min(F.struct("page_id", "html")).alias("p"))
-    fetched = given.select("url", "p.html", F.when(F.col("p.page_id") % 10 == 0, 404).otherwise(200).alias("status"))
+    given = _given(spark, sf_dir)
     frontier = given.select("url", F.lit(0).alias("depth"), F.lit(9).alias("score"), F.lit(None).cast("long").alias("discovered_from"), F.lit("high").alias("queue"), F.col("p.page_id").alias("seq"))
-    out = crawl.crawl_round(fetched, frontier, spark.createDataFrame([], "url STRING"), first_id=100, size=1 << 30, keywords=WORDS)
+    out = crawl.crawl_round(_fetched(given), frontier, spark.createDataFrame([], "url STRING"), first_id=100, size=1 << 30, keywords=COMMON)
     return out["pages"].select("doc_id", "url", F.length("clean_text").cast("long").alias("n_chars"), "depth")
 
 
+def _crawled(spark: SparkSession, sf_dir: str) -> crawl.Crawl:
+    """A crawl of all pages as seeds, in order of their ids, a hundred or so a round, until its queue is empty."""
+    folder, given = f"{shared_folder(spark)}/crawl-{uuid.uuid4().hex}", durable(_given(spark, sf_dir))
+    size = max(100, given.count() // 3)
+    seeds = given.select("url", F.col("p.page_id").alias("seq"))
+    fetched = _fetched(given).withColumns({"final_url": F.col("url"), "content_type": F.lit("text/html"), "fetch_time": F.lit(0.0)})
+    none = spark.createDataFrame([], "origin STRING, status INT, body STRING")
+    crawl.crawl(spark, seeds, folder, 10, size, COMMON, lambda asked: asked.join(fetched, "url"), lambda asked: none, buckets=8)
+    return crawl.Crawl(spark, folder, 8)
+
+
+def crawled_pages(spark, sf_dir):
+    """What a crawl of several rounds exports, by the state it saved."""
+    return _crawled(spark, sf_dir).pages().select("doc_id", "url", F.length("clean_text").cast("long").alias("n_chars"))
+
+
+def crawled_state(spark, sf_dir):
+    """Its counters, summed over the rounds, and the sizes of its sets."""
+    own = _crawled(spark, sf_dir)
+    sizes = {"known": own.known.all(own.now["known"]).count(), "hashes": own.hashes.all(own.now["hashes"]).count(), "batches": len(own.now["batches"])}
+    return spark.createDataFrame(sorted((own.now["stats"] | sizes).items()), "name STRING, n LONG")
+
+
+def _narrow(spark, sf_dir):
+    """The judged documents without their texts, written once; and their funnel as that write counted it."""
+    rows, counts = crawl.observed(_judged(spark, sf_dir))
+    return durable(rows.select("doc_id", "stop", F.when(F.col("stop").isNull(), content_hash(F.col("clean_text"))).alias("content_hash"))), counts
+
+
 def quality_funnel(spark, sf_dir):
-    rows = _judged(spark, sf_dir)
-    kept = crawl.first_contents(rows.filter(F.col("stop").isNull()), "doc_id")
-    return crawl.funnel(rows, kept)
+    """The funnel, counted by the one pass that judges the documents."""
+    rows, counts = _narrow(spark, sf_dir)
+    found = counts(rows.filter(F.col("stop").isNull()).select("content_hash").distinct().count())
+    return spark.createDataFrame([tuple(found.values())], ", ".join(f"{c} LONG" for c in found))
 
 
 def stop_counts(spark, sf_dir):
@@ -248,25 +294,30 @@ def _count(text: str, word: str) -> str:
     return f"len(regexp_extract_all(lower({PLAIN.format(text)}), '\\b{word}\\b'))"
 
 
-def _found_sql(text: str) -> str:
-    return "(" + " + ".join(f"CAST({_count(text, w)} > 0 AS BIGINT)" for w in WORDS) + ")"
+def _found_sql(text: str, words: list[str] = WORDS) -> str:
+    return "(" + " + ".join(f"CAST({_count(text, w)} > 0 AS BIGINT)" for w in words) + ")"
 
 
-def _hits_sql(text: str) -> str:
-    return "(" + " + ".join(f"least({_count(text, w)}, 3)" for w in WORDS) + ")"
+def _hits_sql(text: str, words: list[str] = WORDS) -> str:
+    return "(" + " + ".join(f"least({_count(text, w)}, 3)" for w in words) + ")"
 
 
 _SPACED = "translate({0}, '-_', '  ')"
 _UTILITY_TITLE = f"regexp_matches(lower(title), '{'|'.join(UTILITY_TITLES_CRAWL)}')"
 _PRIORITY = f"greatest(least(page_id % 13, 10) + 2 * {_found_sql('anchor')} + {_found_sql(_SPACED.format('target'))} - CASE WHEN {_utility_sql('target')} THEN 5 ELSE 0 END, 0)"
 _COVER = "(" + " + ".join(f"CAST({_count('title', w)} + {_count('text', w)} + {_count(_SPACED.format('url'), w)} > 0 AS BIGINT)" for w in WORDS) + ")"
-_JUDGED = f"""j AS (SELECT doc_id, {PLAIN.format('text')} AS text, CASE WHEN doc_id % 10 = 0 THEN 'status' WHEN text IS NULL THEN 'html' WHEN length(text) < 200 THEN 'length' WHEN {_hits_sql('text')} + {_found_sql('text')} < {crawl.TOPIC} THEN 'topic' END AS stop FROM documents),
+_JUDGED = f"""j AS (SELECT doc_id, {PLAIN.format('text')} AS text, CASE WHEN doc_id % 10 = 0 THEN 'status' WHEN text IS NULL OR doc_id % 9 = 1 THEN 'html' WHEN length(text) < 200 THEN 'length' WHEN doc_id % 8 = 3 THEN 'utility' WHEN {_hits_sql('text', COMMON)} + {_found_sql('text', COMMON)} < {crawl.TOPIC} THEN 'topic' END AS stop FROM documents),
 k AS (SELECT min(doc_id) AS doc_id FROM j WHERE stop IS NULL GROUP BY sha256(coalesce(text, '')))"""
 
 #: Each page's targets at their first sight, numbered in that order.
 _FIRST_SQL = f"(SELECT page_id, target, anchor, row_number() OVER (PARTITION BY page_id ORDER BY first) - 1 AS pos FROM (SELECT page_id, target, min(pos) AS first, arg_min(anchor, pos) AS anchor FROM {_LINKS_SQL} WHERE target <> '' GROUP BY page_id, target))"
 #: A page's score without utility marks; {0} is its URL.
-_SCORE_SQL = "(" + " + ".join(f"(least({_count('x.text', w)}, 3) + 2 * CAST({_count('x.title', w)} > 0 AS BIGINT) + 2 * CAST({_count(_SPACED.format('{0}'), w)} > 0 AS BIGINT) + CAST({_count('x.title', w)} + {_count('x.text', w)} + {_count(_SPACED.format('{0}'), w)} > 0 AS BIGINT))".replace("{0}", "@") for w in WORDS).replace("@", "{0}") + ")"
+_SCORE_SQL = "(" + " + ".join(f"(least({_count('x.text', w)}, 3) + 2 * CAST({_count('x.title', w)} > 0 AS BIGINT) + 2 * CAST({_count(_SPACED.format('{0}'), w)} > 0 AS BIGINT) + CAST({_count('x.title', w)} + {_count('x.text', w)} + {_count(_SPACED.format('{0}'), w)} > 0 AS BIGINT))".replace("{0}", "@") for w in COMMON).replace("@", "{0}") + ")"
+
+#: What a crawl over all pages keeps: url, page_id, text.
+_KEPT_SQL = f"""g AS (SELECT {_normalize_sql('url')} AS url, min(page_id) AS page_id FROM pages GROUP BY 1),
+t AS (SELECT g.url, g.page_id, x.text, CASE WHEN g.page_id % 10 = 0 THEN 'status' WHEN length(x.text) < 200 THEN 'length' WHEN {_utility_sql('g.url')} OR {_UTILITY_TITLE} THEN 'utility' WHEN {_SCORE_SQL.format('g.url')} < {crawl.TOPIC} THEN 'topic' END AS stop FROM g JOIN {_PAGE_SQL} x ON x.page_id = g.page_id),
+k AS (SELECT min_by(url, page_id) AS url, min(page_id) AS page_id, text FROM t WHERE stop IS NULL GROUP BY text)"""
 
 #: Addresses of pages: the last page of each, by id, its final address after its own.
 _ADDRESS_SQL = "(SELECT url, max_by(page_id, 2 * page_id + n) AS page_id FROM (SELECT page_id, 0 AS n, url FROM pages UNION ALL {0}) WHERE url <> '' GROUP BY url)"
@@ -276,7 +327,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         url_normalize, url_normalize_full, url_domain, url_dedup, html_title, html_text, html_parse, utility_filter, utility_links, outlinks_edges, keyword_score, page_topic_score,
-        link_priority_score, per_group_first_n, quality_funnel, stop_counts, sequential_ids, crawl_round, added_terms, frontier_priority_topk, robots_gate,
+        link_priority_score, per_group_first_n, quality_funnel, stop_counts, sequential_ids, crawl_round, crawled_pages, crawled_state, added_terms, frontier_priority_topk, robots_gate,
         http_urls, page_addresses, page_graph_edges, host_turns, frontier_unseen,
     )
 }
@@ -298,11 +349,13 @@ ORACLES = {
     "added_terms": "SELECT original, expanded, array_to_string(list_filter(string_split(expanded, ' '), lambda w: NOT list_contains(string_split(lower(original), ' '), w)), ' ') AS added FROM (VALUES "
     + ", ".join(f"('{a}', '{b}')" for a, b in EXPANDED)
     + ") v(original, expanded)",
-    "crawl_round": f"""WITH g AS (SELECT {_normalize_sql('url')} AS url, min(page_id) AS page_id FROM pages GROUP BY 1),
-t AS (SELECT g.url, g.page_id, x.text, {_SCORE_SQL.format('g.url')} AS score FROM g JOIN {_PAGE_SQL} x ON x.page_id = g.page_id WHERE g.page_id % 10 <> 0 AND length(x.text) >= 200 AND NOT ({_utility_sql('g.url')} OR {_UTILITY_TITLE})),
-k AS (SELECT min_by(url, page_id) AS url, min(page_id) AS page_id, text FROM t WHERE score >= {crawl.TOPIC} GROUP BY text) SELECT 99 + row_number() OVER (ORDER BY page_id) AS doc_id, url, length(text) AS n_chars, 0 AS depth FROM k""",
+    "crawl_round": f"WITH {_KEPT_SQL} SELECT 99 + row_number() OVER (ORDER BY page_id) AS doc_id, url, length(text) AS n_chars, 0 AS depth FROM k",
+    "crawled_pages": f"WITH {_KEPT_SQL} SELECT row_number() OVER (ORDER BY page_id) AS doc_id, url, length(text) AS n_chars FROM k",
+    "crawled_state": f"""WITH {_KEPT_SQL}, c AS (SELECT count(*) AS attempted, count_if(coalesce(stop, '') <> 'status') AS fetched_ok, count_if(coalesce(stop, '') <> 'status') AS parsed, count_if(coalesce(stop, '') NOT IN ('status', 'length')) AS long_enough, count_if(stop = 'utility') AS filtered_utility,
+count_if(stop = 'topic') AS filtered_topic, count_if(stop IS NULL) AS kept_after_quality, (SELECT count(*) FROM k) AS kept_after_dedup, count_if(stop IS NULL) - (SELECT count(*) FROM k) AS duplicates_content, (SELECT count(*) FROM k) AS final_usable,
+count(*) AS known, (SELECT count(*) FROM k) AS hashes, CAST(ceil(count(*) / greatest(100, count(*) // 3)) AS BIGINT) AS batches FROM t) SELECT name, CAST(n AS BIGINT) AS n FROM (UNPIVOT (SELECT COLUMNS(*)::BIGINT FROM c) ON COLUMNS(*) INTO NAME name VALUE n)""",
     "quality_funnel": f"""WITH {_JUDGED} SELECT count(*) AS attempted, CAST(count_if(coalesce(stop, '') <> 'status') AS BIGINT) AS fetched_ok, CAST(count_if(coalesce(stop, '') NOT IN ('status', 'html')) AS BIGINT) AS parsed, CAST(count_if(coalesce(stop, '') NOT IN ('status', 'html', 'length')) AS BIGINT) AS long_enough,
-CAST(0 AS BIGINT) AS filtered_utility, CAST(count_if(stop = 'topic') AS BIGINT) AS filtered_topic, CAST(count_if(stop IS NULL) AS BIGINT) AS kept_after_quality, (SELECT count(*) FROM k) AS kept_after_dedup, CAST(count_if(stop IS NULL) AS BIGINT) - (SELECT count(*) FROM k) AS duplicates_content, (SELECT count(*) FROM k) AS final_usable FROM j""",
+CAST(count_if(stop = 'utility') AS BIGINT) AS filtered_utility, CAST(count_if(stop = 'topic') AS BIGINT) AS filtered_topic, CAST(count_if(stop IS NULL) AS BIGINT) AS kept_after_quality, (SELECT count(*) FROM k) AS kept_after_dedup, CAST(count_if(stop IS NULL) AS BIGINT) - (SELECT count(*) FROM k) AS duplicates_content, (SELECT count(*) FROM k) AS final_usable FROM j""",
     "stop_counts": f"WITH {_JUDGED} SELECT coalesce(stop, 'kept') AS stop, count(*) AS pages FROM j GROUP BY 1",
     "sequential_ids": f"WITH {_JUDGED} SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS new_id, text FROM k JOIN j USING (doc_id)",
     "frontier_priority_topk": f"""WITH c AS (SELECT target AS url, {_PRIORITY} AS score, page_id * 100000 + pos AS seq FROM {_LINKS_SQL} WHERE target <> ''), f AS (SELECT *, CASE WHEN score >= 8 THEN 'high' ELSE 'normal' END AS queue FROM c QUALIFY row_number() OVER (PARTITION BY url ORDER BY seq) = 1)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import clean_text
 from ..functions.urls import is_utility_page, normalize_url
+from .versions import Versions
 
 PAGE = "doc_id LONG, url STRING, final_url STRING, title STRING, clean_text STRING, content_type STRING, fetch_time DOUBLE, status INT, depth INT, geology_score INT"
 EDGE = "source_doc_id LONG, source_url STRING, target_url STRING, anchor_text STRING"
@@ -20,7 +21,7 @@ CRAWLED = "status INT, url STRING, title STRING, text STRING"
 MIN_WORDS = 20
 
 
-def read_jsonl(spark: SparkSession, path: str, schema: str, tolerant: bool = False) -> DataFrame:
+def read_jsonl(spark: SparkSession, path: str | list[str], schema: str, tolerant: bool = False) -> DataFrame:
     """JSON lines, plain or gzipped. Broken lines fail the read, or are dropped if `tolerant`."""
     return spark.read.schema(schema).option("mode", "DROPMALFORMED" if tolerant else "FAILFAST").json(path)
 
@@ -123,18 +124,22 @@ def tail_log(log: DataFrame, limit: int = 50) -> tuple[int, DataFrame]:
 
 
 def save_crawl(folder: str, frontier: DataFrame, visited: DataFrame, hashes: DataFrame, state: dict) -> None:
-    """Frontier with its queues, seen URLs and text hashes, and the counters."""
-    write_jsonl(frontier, f"{folder}/frontier")
-    write_lines(visited, "url", f"{folder}/visited_urls")
-    write_lines(hashes, "content_hash", f"{folder}/content_hashes")
-    write_document(frontier.sparkSession, state, f"{folder}/state")
+    """Frontier with its queues, seen URLs and text hashes, and the counters, as one version: all of them or none."""
+    own = Versions(frontier.sparkSession, folder)
+    names = {kind: own.fresh(kind) for kind in ("frontier", "visited_urls", "content_hashes")}
+    write_jsonl(frontier, own.at(names["frontier"]))
+    write_lines(visited, "url", own.at(names["visited_urls"]))
+    write_lines(hashes, "content_hash", own.at(names["content_hashes"]))
+    own.commit(own.latest() + 1, names | {"state": state}, list(names.values()))
 
 
 def load_crawl(spark: SparkSession, folder: str, depth: int = 8) -> tuple[DataFrame, DataFrame, DataFrame, dict]:
-    """What save_crawl wrote, or an empty crawl; queued URLs are checked for depth, repeats and visits again."""
-    if not exists(spark, f"{folder}/state"):
+    """What save_crawl wrote last, or an empty crawl; queued URLs are checked for depth, repeats and visits again."""
+    own = Versions(spark, folder)
+    now = own.read()
+    if not now:
         return spark.createDataFrame([], f"{FRONTIER}, seq LONG"), spark.createDataFrame([], "url STRING"), spark.createDataFrame([], "content_hash STRING"), {}
-    visited, hashes = (read_lines(spark, f"{folder}/{name}").withColumnRenamed("value", c) for name, c in (("visited_urls", "url"), ("content_hashes", "content_hash")))
-    frontier = read_jsonl(spark, f"{folder}/frontier", f"{FRONTIER}, seq LONG").filter((F.col("depth") <= depth) & (F.col("url") != ""))
+    visited, hashes = (read_lines(spark, own.at(now[name])).withColumnRenamed("value", c) for name, c in (("visited_urls", "url"), ("content_hashes", "content_hash")))
+    frontier = read_jsonl(spark, own.at(now["frontier"]), f"{FRONTIER}, seq LONG").filter((F.col("depth") <= depth) & (F.col("url") != ""))
     frontier = frontier.groupBy("url").agg(F.min_by(F.struct("depth", "score", "discovered_from", "queue", "seq"), "seq").alias("f")).select("url", "f.*")
-    return frontier.join(visited, "url", "left_anti"), visited, hashes, read_document(spark, f"{folder}/state", {})
+    return frontier.join(visited, "url", "left_anti"), visited, hashes, now["state"]
