@@ -75,6 +75,8 @@ class SeenSet:
     def held(self, values: DataFrame, state: dict | None = None) -> DataFrame:
         """The values (key) that the set holds."""
         state = self.state() if state is None else state
+        if not state["runs"]:
+            return self.spark.createDataFrame([], f"{self.key} STRING")
         asked = durable(self._keyed(values))
         buckets = [r["bucket"] for r in asked.select("bucket").distinct().collect()]
         found = None
@@ -119,9 +121,12 @@ class SeenSet:
         """Write a run, which no version names yet."""
         name = self.versions.fresh("run")
         rows = durable(self._keyed(values.select(self.key)))
-        counts = rows.groupBy("bucket").count().select("bucket", F.ceil(F.col("count") / self.cell).cast("int").alias("parts"))
         # At most a row for each bucket.
-        rows = rows.join(F.broadcast(counts), "bucket").withColumn("part", F.pmod("high", "parts").cast("int"))
+        counts = {r["bucket"]: r["count"] for r in rows.groupBy("bucket").count().collect()}
+        if not counts:
+            return {"name": name, "n": 0}
+        parts = self.spark.createDataFrame([(b, -(-n // self.cell)) for b, n in counts.items()], "bucket INT, parts INT")
+        rows = rows.join(F.broadcast(parts), "bucket").withColumn("part", F.pmod("high", "parts").cast("int"))
         rows.repartition("bucket", "part").sortWithinPartitions("bucket", "part", self.key).select(self.key, "bucket", "part").write.partitionBy("bucket", "part").parquet(self.versions.at(name) + "/cells")
 
         def cell(key: tuple, batch: pd.DataFrame) -> pd.DataFrame:
@@ -130,8 +135,7 @@ class SeenSet:
 
         cells = rows.select("bucket", "part", "parts", "high", "low").groupBy("bucket", "part").applyInPandas(cell, FILTERS)
         cells.repartitionByRange("bucket").sortWithinPartitions("bucket", "part").write.parquet(self.versions.at(name) + "/filters")
-        n = self.spark.read.schema(FILTERS).parquet(self.versions.at(name) + "/filters").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-        return {"name": name, "n": n}
+        return {"name": name, "n": sum(counts.values())}
 
     def with_run(self, state: dict, run: dict) -> dict:
         """The state with a further run; runs of a size tier are merged when there are `fanout` of them."""

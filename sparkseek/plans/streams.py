@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.temporal import asof_join, overlap_join
@@ -87,15 +87,23 @@ def overlapping_sessions(spark, sf_dir):
     return pairs.groupBy("a.user_id", F.unix_micros("a.start").alias("start")).agg(F.count("*").alias("n"), F.sum(shared).alias("micros"))
 
 
+def trailing_hour(spark, sf_dir):
+    """Each event with the number and value of its user's events in the hour up to it, by a frame of time."""
+    micros = F.unix_micros("at")
+    frame = Window.partitionBy("user_id").orderBy(micros).rangeBetween(-3_600_000_000, Window.currentRow)
+    return _events(spark, sf_dir).select("event_id", "user_id", F.count("*").over(frame).alias("n"), F.round(F.sum("value").over(frame), 2).alias("total"))
+
+
 _SESSIONS = """g AS (SELECT user_id, ts, CASE WHEN ts > lag(ts) OVER w + INTERVAL '30 minutes' OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
 n AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM g),
 own AS (SELECT user_id, epoch_us(min(ts)) AS a, epoch_us(max(ts)) + 1800000000 AS z FROM n GROUP BY user_id, s)"""
 
-QUERIES = {f.__name__: f for f in (host_turn_stream, purchases_after_clicks, view_before_purchase, overlapping_sessions)}
+QUERIES = {f.__name__: f for f in (host_turn_stream, purchases_after_clicks, view_before_purchase, overlapping_sessions, trailing_hour)}
 ORACLES = {
     "host_turn_stream": """WITH h AS (SELECT page_id AS seq, url, regexp_extract(lower(url), '^https?://[^/?#]+') AS host, (86400 + page_id // 10) * 1000 AS arrived FROM pages),
 n AS (SELECT *, 2000 * row_number() OVER (PARTITION BY host ORDER BY seq) AS n FROM h) SELECT seq, url, CAST(max(arrived - n) OVER (PARTITION BY host ORDER BY seq) + n AS BIGINT) AS turn FROM n""",
     "purchases_after_clicks": "SELECT c.user_id, c.event_id AS click, coalesce(p.event_id, -1) AS purchase FROM events c LEFT JOIN events p ON p.event_type = 'purchase' AND p.user_id = c.user_id AND p.ts BETWEEN c.ts AND c.ts + INTERVAL '30 minutes' WHERE c.event_type = 'click'",
     "view_before_purchase": "SELECT p.event_id, p.user_id, coalesce(v.event_id, -1) AS view, round(p.value - v.value, 2) AS more FROM (SELECT * FROM events WHERE event_type = 'purchase') p ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'view') v ON p.user_id = v.user_id AND p.ts >= v.ts",
+    "trailing_hour": "SELECT event_id, user_id, count(*) OVER w AS n, round(sum(value) OVER w, 2) AS total FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW)",
     "overlapping_sessions": f"WITH {_SESSIONS} SELECT x.user_id, x.a AS start, count(*) AS n, CAST(sum(least(x.z, y.z) - greatest(x.a, y.a)) AS BIGINT) AS micros FROM own x JOIN own y ON x.user_id <> y.user_id AND x.a < y.z AND y.a < x.z GROUP BY x.user_id, x.a",
 }

@@ -120,12 +120,12 @@ def per_group_first_n(spark, sf_dir):
     return rows.select(F.col("discovered_from").alias("page_id"), F.col("seq.pos").alias("pos"), F.col("url").alias("target"), "depth")
 
 
-def _judged(spark, sf_dir):
-    """Documents as crawled pages: ids decide status, kind of content and title, words the score."""
+def _judged(spark, sf_dir, *more: str):
+    """Documents as crawled pages: ids decide status, kind of content and title, words the score; with further columns."""
     n = F.col("doc_id")
     title, address = F.when(n % 8 == 3, "Contact us").otherwise(""), F.concat(F.lit("http://x.example/p"), n)
     html, status = F.when(n % 9 != 1, F.col("text")), F.when(n % 10 == 0, 404).otherwise(200)
-    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", title.alias("title"), _plain("text").alias("clean_text"), address.alias("url"), html.alias("html"), status.alias("status"))
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", title.alias("title"), _plain("text").alias("clean_text"), address.alias("url"), html.alias("html"), status.alias("status"), *more)
     return crawl.judged(rows, COMMON)
 
 
@@ -186,6 +186,13 @@ def stop_counts(spark, sf_dir):
     return crawl.stop_counts(_judged(spark, sf_dir))
 
 
+def stop_cube(spark, sf_dir):
+    """How many pages each gate stops, by language and source, with all subtotals; `level` tells which columns are summed over."""
+    rows = _judged(spark, sf_dir, "lang", "source").select("lang", "source", F.coalesce("stop", F.lit("kept")).alias("stop"))
+    counts = rows.cube("lang", "source", "stop").agg(F.grouping_id("lang", "source", "stop").cast("long").alias("level"), F.count("*").alias("pages"))
+    return counts.select(*[F.coalesce(c, F.lit("")).alias(c) for c in ("lang", "source", "stop")], "level", "pages")
+
+
 def sequential_ids(spark, sf_dir):
     rows = crawl.first_contents(_judged(spark, sf_dir).filter(F.col("stop").isNull()), "doc_id")
     return crawl.numbered(rows.select("doc_id", "clean_text"), "doc_id", 1, "new_id").select("doc_id", "new_id", F.col("clean_text").alias("text"))
@@ -306,7 +313,7 @@ _SPACED = "translate({0}, '-_', '  ')"
 _UTILITY_TITLE = f"regexp_matches(lower(title), '{'|'.join(UTILITY_TITLES_CRAWL)}')"
 _PRIORITY = f"greatest(least(page_id % 13, 10) + 2 * {_found_sql('anchor')} + {_found_sql(_SPACED.format('target'))} - CASE WHEN {_utility_sql('target')} THEN 5 ELSE 0 END, 0)"
 _COVER = "(" + " + ".join(f"CAST({_count('title', w)} + {_count('text', w)} + {_count(_SPACED.format('url'), w)} > 0 AS BIGINT)" for w in WORDS) + ")"
-_JUDGED = f"""j AS (SELECT doc_id, {PLAIN.format('text')} AS text, CASE WHEN doc_id % 10 = 0 THEN 'status' WHEN text IS NULL OR doc_id % 9 = 1 THEN 'html' WHEN length(text) < 200 THEN 'length' WHEN doc_id % 8 = 3 THEN 'utility' WHEN {_hits_sql('text', COMMON)} + {_found_sql('text', COMMON)} < {crawl.TOPIC} THEN 'topic' END AS stop FROM documents),
+_JUDGED = f"""j AS (SELECT doc_id, lang, source, {PLAIN.format('text')} AS text, CASE WHEN doc_id % 10 = 0 THEN 'status' WHEN text IS NULL OR doc_id % 9 = 1 THEN 'html' WHEN length(text) < 200 THEN 'length' WHEN doc_id % 8 = 3 THEN 'utility' WHEN {_hits_sql('text', COMMON)} + {_found_sql('text', COMMON)} < {crawl.TOPIC} THEN 'topic' END AS stop FROM documents),
 k AS (SELECT min(doc_id) AS doc_id FROM j WHERE stop IS NULL GROUP BY sha256(coalesce(text, '')))"""
 
 #: Each page's targets at their first sight, numbered in that order.
@@ -327,7 +334,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         url_normalize, url_normalize_full, url_domain, url_dedup, html_title, html_text, html_parse, utility_filter, utility_links, outlinks_edges, keyword_score, page_topic_score,
-        link_priority_score, per_group_first_n, quality_funnel, stop_counts, sequential_ids, crawl_round, crawled_pages, crawled_state, added_terms, frontier_priority_topk, robots_gate,
+        link_priority_score, per_group_first_n, quality_funnel, stop_counts, stop_cube, sequential_ids, crawl_round, crawled_pages, crawled_state, added_terms, frontier_priority_topk, robots_gate,
         http_urls, page_addresses, page_graph_edges, host_turns, frontier_unseen,
     )
 }
@@ -357,6 +364,7 @@ count(*) AS known, (SELECT count(*) FROM k) AS hashes, CAST(ceil(count(*) / grea
     "quality_funnel": f"""WITH {_JUDGED} SELECT count(*) AS attempted, CAST(count_if(coalesce(stop, '') <> 'status') AS BIGINT) AS fetched_ok, CAST(count_if(coalesce(stop, '') NOT IN ('status', 'html')) AS BIGINT) AS parsed, CAST(count_if(coalesce(stop, '') NOT IN ('status', 'html', 'length')) AS BIGINT) AS long_enough,
 CAST(count_if(stop = 'utility') AS BIGINT) AS filtered_utility, CAST(count_if(stop = 'topic') AS BIGINT) AS filtered_topic, CAST(count_if(stop IS NULL) AS BIGINT) AS kept_after_quality, (SELECT count(*) FROM k) AS kept_after_dedup, CAST(count_if(stop IS NULL) AS BIGINT) - (SELECT count(*) FROM k) AS duplicates_content, (SELECT count(*) FROM k) AS final_usable FROM j""",
     "stop_counts": f"WITH {_JUDGED} SELECT coalesce(stop, 'kept') AS stop, count(*) AS pages FROM j GROUP BY 1",
+    "stop_cube": f"WITH {_JUDGED}, c AS (SELECT lang, source, coalesce(stop, 'kept') AS stop FROM j) SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(stop, '') AS stop, GROUPING_ID(lang, source, stop) AS level, count(*) AS pages FROM c GROUP BY CUBE (lang, source, stop)",
     "sequential_ids": f"WITH {_JUDGED} SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS new_id, text FROM k JOIN j USING (doc_id)",
     "frontier_priority_topk": f"""WITH c AS (SELECT target AS url, {_PRIORITY} AS score, page_id * 100000 + pos AS seq FROM {_LINKS_SQL} WHERE target <> ''), f AS (SELECT *, CASE WHEN score >= 8 THEN 'high' ELSE 'normal' END AS queue FROM c QUALIFY row_number() OVER (PARTITION BY url ORDER BY seq) = 1)
 SELECT url, score, queue, seq FROM f ORDER BY queue <> 'high', seq LIMIT 200""",
