@@ -652,8 +652,7 @@ def test_pipeline_equals_its_stages_by_brute_force(spark):
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
     known = {i for i, t in texts.items() if t and re.search(r"[^\W\d_]", t)}
     ids = sorted(known)
-    hashes, number = order_minhash.shingle_hashes([texts[i] for i in ids])
-    seqs = dict(zip(ids, np.split(hashes, np.cumsum(number)[:-1]), strict=True))
+    seqs = dict(zip(ids, _word_sequences([texts[i] for i in ids]), strict=True))
     label = {i: i for i in ids}
     near = [(i, j) for i in ids for j in ids if j < i and len(seqs[i]) and len(seqs[j]) and order_minhash.alike(seqs[i], seqs[j])]
     for _ in range(20):
