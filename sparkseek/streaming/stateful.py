@@ -59,7 +59,7 @@ def host_turns(urls: DataFrame, delay: int = 1000, late: str = "0 seconds") -> D
 
 
 def turns_of(urls: DataFrame, delay: int = 1000) -> DataFrame:
-    """The same of a table: a host's n-th URL has the greatest of the times of those before it, each with the delays since."""
+    """The same of a table: a host's n-th URL has the greatest of the times of those before it, each with the delays since. A host is one task."""
     rows = urls.filter(F.col("url").isNotNull()).withColumn("host", F.coalesce(origin(F.col("url")), F.lit("")))
     order = Window.partitionBy("host").orderBy("at", "seq")
     n = F.row_number().over(order) * F.lit(delay)
