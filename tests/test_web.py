@@ -87,6 +87,15 @@ def test_html_tree():
     assert html.parse("  <?xml version='1'?><a href='x'>", "http://h/") == ("", "", [], {}) and html.parse(None, None) == ("", "", [], {})
 
 
+def test_a_reference_ends_with_its_semicolon(spark):
+    page = '<html><head><title>a&amp;&amp</title></head><body><p>x &lt y &amp; &copy &#39 &ampere; <a href="/q?a=1&copy=2">z&amp</a></p></body></html>'
+    title, body, links, anchors = html.parse(page, "http://h.x/")
+    assert (title, body) == ("a&&amp", "x &lt y & &copy &#39 &ampere; z&amp")
+    assert links == ["http://h.x/q?a=1&copy=2"] and anchors[links[0]] == "z&amp"
+    row = spark.createDataFrame([(page,)], "html STRING").select(html.title_of(F.col("html")).alias("t")).first()
+    assert row["t"] == title
+
+
 def test_frontier(spark):
     rows = spark.createDataFrame([("a", 1, 9, 1, 1), ("b", 1, 2, 1, 2), ("a", 1, 2, 1, 3), ("c", 9, 9, 1, 4), ("", 1, 9, 1, 5), ("q", 1, 9, 1, 6), ("v", 1, 9, 1, 7), ("d", 1, 8, 1, 8)], "url STRING, depth INT, score INT, discovered_from LONG, seq LONG")
     one = lambda *u: spark.createDataFrame([(x,) for x in u], "url STRING")
