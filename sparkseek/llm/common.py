@@ -8,24 +8,15 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import drop_table, durable, placed, shared_folder, small
+from ..session import ARROW_BYTES, ARROW_ROWS, arrow_limits, drop_table, durable, placed, shared_folder, small
 
-__all__ = ["drop_table", "durable", "placed", "shared_folder", "small"]
-
-#: Python sees at most so many rows and bytes of a partition at once.
-ARROW_ROWS, ARROW_BYTES = 1000, 8 << 20
+__all__ = ["ARROW_BYTES", "ARROW_ROWS", "arrow_limits", "drop_table", "durable", "placed", "shared_folder", "small"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def arrow_limits(spark: SparkSession) -> None:
-    """Bound the batches that Python workers get, in rows and in bytes."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
-
-
 def crc_mod(column: str, n: int):
     """crc32 of an id as text, modulo n; a null id counts as remainder of the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % n

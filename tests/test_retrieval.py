@@ -184,6 +184,14 @@ def test_scalar_clusters_equal_the_definition(spark):
     assert mine == _single_pass([(t, {d: (1 + math.log10(c)) * math.log10(n / len(tf[t])) for d, c in tf[t].items()}) for t in order], 0.3, 3)
 
 
+def test_full_clusters_are_no_longer_met():
+    """A document's slots are those of clusters with room, however many clusters were filled before."""
+    own = expand.SinglePass(0.5, 2)
+    found = [own.assigned([7, 8], np.array([1.0, 1.0])) for _ in range(400)]
+    assert found == [i // 2 for i in range(400)]
+    assert own.sums.used.max() <= 2 and own.sums.end <= 16 and len(own.name) == 64
+
+
 @pytest.mark.parametrize("terms", [["a"], ["a", "b"], ["b", "x", "a", "c"], ["a", "a"]])
 def test_siblings_equal_the_sequential_rule(spark, mini, terms):
     members = {0: list("abcdefgh"), 1: ["w", "x", "y"]}
