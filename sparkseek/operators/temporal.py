@@ -1,4 +1,4 @@
-"""Joins in time that Spark has no operator for: as-of and overlap joins, without nested loops and hot tasks."""
+"""Joins in time that Spark has no operator for: as-of and overlap joins, without nested loops and hot tasks; sums over overlaps without pairs."""
 
 from __future__ import annotations
 
@@ -60,3 +60,35 @@ def overlap_join(left: DataFrame, right: DataFrame, width: float, by: tuple[str,
         same = same & (F.col(f"_a_{c}") == F.col(f"_b_{c}"))
     once = F.col("_a_bin") == F.greatest("_a_first", "_b_first")
     return a.join(b, same & once & (F.col("_a_start") < F.col("_b_end")) & (F.col("_b_start") < F.col("_a_end"))).select("a", "b")
+
+
+def overlap_totals(rows: DataFrame, start: str = "start", end: str = "end") -> DataFrame:
+    """The rows with n, how many other rows' intervals [start, end) share time with theirs, and shared, the sum of those times.
+
+    No pair is made, so the work grows with the rows whatever the number of overlaps. Starts before an interval's end,
+    less ends up to its start, are those it meets; the integral of the number of open intervals over it is the time
+    shared. Both are differences of running sums over all borders in order of time: the borders are written in
+    sorted chunks, each chunk sums its own, and one row for each chunk carries the sums of those before. Times are
+    whole numbers; rows with an empty or null interval share no time and are left out.
+    """
+    rows = rows.filter(F.col(start) < F.col(end))
+    border = lambda c, a, z: rows.select(F.col(c).cast("long").alias("_t"), F.lit(a).alias("_a"), F.lit(z).alias("_z"))
+    times = border(start, 1, 0).unionByName(border(end, 0, 1)).groupBy("_t").agg(F.sum("_a").alias("_a"), F.sum("_z").alias("_z"))
+    chunks = durable(times.repartitionByRange("_t").sortWithinPartitions("_t").withColumn("_chunk", F.spark_partition_id()))
+    # Of an open interval the sum has its start, of a closed one its length; whole numbers of 38 digits hold it.
+    moved = ((F.col("_z") - F.col("_a")).cast("decimal(20,0)") * F.col("_t").cast("decimal(18,0)")).cast("decimal(38,0)")
+    own = {"_a": F.col("_a"), "_z": F.col("_z"), "_m": moved}
+    before = Window.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)  # over one row for each chunk
+    sums = chunks.groupBy("_chunk").agg(*[F.sum(c).alias(name) for name, c in own.items()])
+    carried = sums.select("_chunk", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}0") for c in own])
+    within = Window.partitionBy("_chunk").orderBy("_t")
+    upto = chunks.select("_chunk", "_t", "_a", *[F.sum(c).over(within).alias(f"{name}1") for name, c in own.items()]).join(F.broadcast(carried), "_chunk")
+    a, z, m = (F.col(f"{c}1") + F.col(f"{c}0") for c in own)
+    # At a border: starts before it, ends up to it, and the time that all intervals were open before it.
+    area = (m + (a - z).cast("decimal(20,0)") * F.col("_t").cast("decimal(18,0)")).cast("decimal(38,0)")
+    at = durable(upto.select("_t", (a - F.col("_a")).alias("_starts"), z.alias("_ends"), area.alias("_area")))
+    at_start = at.select(F.col("_t").alias("_s"), F.col("_ends").alias("_gone"), F.col("_area").alias("_from"))
+    at_end = at.select(F.col("_t").alias("_e"), F.col("_starts").alias("_come"), F.col("_area").alias("_to"))
+    found = rows.withColumns({"_s": F.col(start).cast("long"), "_e": F.col(end).cast("long")}).join(at_start, "_s").join(at_end, "_e")
+    shared = F.col("_to") - F.col("_from") - (F.col("_e") - F.col("_s"))
+    return found.withColumns({"n": F.col("_come") - F.col("_gone") - 1, "shared": shared.cast("long")}).select(*rows.columns, "n", "shared")

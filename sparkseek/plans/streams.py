@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.temporal import asof_join, overlap_join
+from ..operators.temporal import asof_join, overlap_totals
 from ..session import shared_folder
 from ..streaming import stateful
 from ..streaming.ingest import sessions
@@ -81,10 +81,10 @@ def view_before_purchase(spark, sf_dir):
 
 def overlapping_sessions(spark, sf_dir):
     """Of each session, how many sessions of other users share time with it, and for how long."""
-    own = sessions(_events(spark, sf_dir), "at", "user_id", "30 minutes").select("user_id", F.col("session_start").alias("start"), F.col("session_end").alias("end"))
-    pairs = overlap_join(own, own, 3600.0).filter("a.user_id <> b.user_id")
-    shared = F.unix_micros(F.least("a.end", "b.end")) - F.unix_micros(F.greatest("a.start", "b.start"))
-    return pairs.groupBy("a.user_id", F.unix_micros("a.start").alias("start")).agg(F.count("*").alias("n"), F.sum(shared).alias("micros"))
+    own = sessions(_events(spark, sf_dir), "at", "user_id", "30 minutes").filter(F.col("user_id").isNotNull())
+    # A user's own sessions share no time, so all others are other users'.
+    own = own.select("user_id", F.unix_micros("session_start").alias("start"), F.unix_micros("session_end").alias("end"))
+    return overlap_totals(own).filter("n > 0").select("user_id", "start", "n", F.col("shared").alias("micros"))
 
 
 def trailing_hour(spark, sf_dir):

@@ -3,13 +3,14 @@
 import datetime as dt
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from sparkseek.operators import blocks, rank
 from sparkseek.operators.blocks import BlockIndex
 from sparkseek.operators.index import build_index
-from sparkseek.operators.temporal import asof_join, overlap_join
+from sparkseek.operators.temporal import asof_join, overlap_join, overlap_totals
 from sparkseek.streaming import stateful
 
 ROW = "user STRING, at INT, id INT"
@@ -121,3 +122,18 @@ def test_blocks_below_the_threshold_are_not_read(spark, posted, tmp_path):
     assert shares[1] < 0.05 and shares[2] < 0.3 and 0 < shares[3] < 1
     bounds = blocks.bounds(index, blocks.asked(index, queries))
     assert bounds.filter("bound <= 0").count() == 0
+
+
+@pytest.mark.parametrize("n, most", [(300, 100), (300, 5), (20_000, 1_000_000)])
+def test_overlap_totals_equal_all_pairs(spark, n, most):
+    """The last case has some 130 million pairs, of which none may be made."""
+    rng = np.random.default_rng(n + most)
+    start = rng.integers(0, most, n)
+    end = start + rng.integers(-1, most, n)
+    rows = spark.createDataFrame([(i, int(s), int(e)) for i, (s, e) in enumerate(zip(start, end, strict=True))] + [(n, None, 3)], "id LONG, start LONG, end LONG")
+    found = {r["id"]: (r["n"], r["shared"]) for r in overlap_totals(rows).collect()}
+    assert found.keys() == set(np.flatnonzero(start < end).tolist())
+    kept = start < end
+    for i in list(found)[:300]:
+        time = np.minimum(end[i], end[kept]) - np.maximum(start[i], start[kept])
+        assert found[i] == ((time > 0).sum() - 1, time[time > 0].sum() - (end[i] - start[i]))
