@@ -370,3 +370,19 @@ def test_stems_of_the_paper(spark):
     rows = spark.createDataFrame(pairs, "term STRING, expected STRING")
     found = {r["term"]: r["stem"] for r in stemmer.stem_words(rows).collect()}
     assert {w: found[w] for w, _ in pairs} == dict(pairs)
+
+
+@pytest.fixture
+def large_batches(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "10000")
+    yield
+    spark.conf.set(name, before)
+
+
+def test_a_worker_parses_few_pages_at_a_time(spark, large_batches):
+    """The parser sees at most so many rows at once as a worker may hold, whatever the session had before."""
+    parsed = html.parse_pages(spark.range(5000, numPartitions=1).select(F.lit("<a href='/x'>y</a>").alias("html"), F.concat(F.lit("http://h/"), "id").alias("url")))
+    seen = F.pandas_udf(lambda x: x * 0 + len(x), "long")
+    assert parsed.select(seen(F.size("outlinks")).alias("n")).agg(F.max("n"), F.count("*")).first() == (1000, 5000)
