@@ -386,3 +386,11 @@ def test_a_worker_parses_few_pages_at_a_time(spark, large_batches):
     parsed = html.parse_pages(spark.range(5000, numPartitions=1).select(F.lit("<a href='/x'>y</a>").alias("html"), F.concat(F.lit("http://h/"), "id").alias("url")))
     seen = F.pandas_udf(lambda x: x * 0 + len(x), "long")
     assert parsed.select(seen(F.size("outlinks")).alias("n")).agg(F.max("n"), F.count("*")).first() == (1000, 5000)
+
+
+def test_latent_vectors_go_to_workers_in_small_batches(spark, large_batches):
+    rng = np.random.default_rng(3)
+    rows = spark.createDataFrame([(i, Vectors.dense(rng.random(4))) for i in range(1500)], ["doc_id", "features"]).coalesce(1)
+    seen = F.pandas_udf(lambda x: x * 0 + len(x), "long")
+    for found in (cluster.latent(rows, components=2), cluster.birch(rows, threshold=0.9)[0]):
+        assert found.select(seen("doc_id").alias("n")).agg(F.max("n")).first()[0] <= 1000
