@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from .. import service
 from ..operators import cluster
+from ..session import partitions_for
 from ..sources.pages import clusterable, tail_log
 from ..streaming.ingest import sessions, windowed
 
@@ -112,8 +113,12 @@ def join_left(spark, sf_dir):
 
 def self_join_pairs(spark, sf_dir):
     """Pairs of parts that stand in an order together, at least twice."""
-    lines = _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey").distinct()
-    rows = lines.toDF("o", "a").join(lines.toDF("o", "b"), "o").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("n"))
+    lines = _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey")
+    # An order has a few lines, so pairs are some times the lines; most are the only ones of their kind.
+    n = partitions_for(spark, 4 * lines.count())
+    lines = lines.repartition(n, "l_orderkey").distinct()
+    pairs = lines.toDF("o", "a").join(lines.toDF("o", "b"), "o").filter("a < b").select("a", "b")
+    rows = pairs.repartition(n, "a", "b").groupBy("a", "b").agg(F.count("*").alias("n"))
     return rows.filter("n >= 2")
 
 
