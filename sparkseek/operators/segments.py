@@ -18,7 +18,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import small_of
+from ..session import partitions_for, small_of
 from ..sources.versions import Versions
 from .index import Index, build_index
 
@@ -107,9 +107,10 @@ class SegmentedIndex:
         seq = F.lit(version).cast("long").alias("seq")
         columns = [c.split()[0] for c in STORE.split(", ")[:-1]]
         rows.doc_store.select(*[F.col(c) for c in columns], seq).write.parquet(self.versions.at(name) + "/store")
-        postings = rows.postings.select("term", "doc_id", "tf", seq)
-        postings.repartitionByRange("term").sortWithinPartitions("term", "doc_id").write.parquet(self.versions.at(name) + "/postings")
         docs, words = self._sizes(self.versions.at(name) + "/store", STORE)
+        # Postings are no more than words; a frequent term's fill several partitions.
+        postings = rows.postings.select("term", "doc_id", "tf", seq).repartitionByRange(partitions_for(self.spark, words), "term", "doc_id")
+        postings.sortWithinPartitions("term", "doc_id").write.parquet(self.versions.at(name) + "/postings")
         return {"name": name, "seq": version, "docs": docs, "words": words}
 
     def _bury(self, now: dict, ids: DataFrame, version: int) -> dict | None:

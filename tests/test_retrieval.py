@@ -6,7 +6,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparkseek.operators import expand, graph, index, rank
+from sparkseek import session
+from sparkseek.operators import expand, graph, index, rank, segments
+from sparkseek.plans import analytics, corpus
 
 TEXTS = {1: "fault fault rock", 2: "fault rock mineral", 3: "volcano ash", 4: ""}
 
@@ -219,3 +221,17 @@ def test_judged_queries(spark, mini):
     assert {(r["query"], r["doc_id"]): round(r["score"], 6) for r in results.collect()} == {("fault", 1): 0.835575, ("fault", 2): 0.575443, ("fault mineral", 2): 1.574968, ("fault mineral", 1): 0.835575}
     found = {r["query"]: (r["precision"], r["average_precision"]) for r in expand.judge(judged, results).collect()}
     assert found == {"fault": (0.5, 1.0), "fault mineral": (0.5, 1.0)}
+
+
+def test_partitions_grow_with_the_rows(spark, sf_dir, monkeypatch, tmp_path):
+    """A task's rows stay the same: pairs of parts, and a segment's postings, those of one frequent term too."""
+    monkeypatch.setattr(session, "TASK_ROWS", 100)
+    assert analytics.self_join_pairs(spark, sf_dir).rdd.getNumPartitions() >= 4 * spark.read.parquet(f"{sf_dir}/lineitem.parquet").count() // 100
+    own = segments.SegmentedIndex(spark, str(tmp_path), "raw")
+    own.add(pages_of(spark, {i: "rock" for i in range(1000)}))
+    assert own.snapshot().postings.select(F.input_file_name()).distinct().count() >= 8
+
+
+def test_postings_that_are_read_several_times_are_written_once(spark, sf_dir):
+    for query in (corpus.tfidf_weights, corpus.term_cosine):
+        assert any("/table-" in f for f in query(spark, sf_dir).inputFiles())
