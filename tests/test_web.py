@@ -14,10 +14,11 @@ from pyspark.sql import functions as F
 from sparkseek import service
 from sparkseek.functions import html, stemmer, text, urls
 from sparkseek.operators import cluster, crawl
-from sparkseek.plans import corpus
+from sparkseek.plans import corpus, stored, web
 from sparkseek.sources import fetch
 from sparkseek.sources import pages as files
 from sparkseek.streaming import ingest
+from tests import oracle
 
 URLS = [
     ("HTTP://Ex.COM:80/a/../b/?z=1&utm_source=x&A=2#f", None, "http://ex.com/b?A=2&z=1"),
@@ -97,6 +98,16 @@ def test_a_reference_ends_with_its_semicolon(spark):
     assert row["t"] == title
 
 
+@pytest.mark.parametrize("name", ["html_parse", "batch_pages", "crawl_round", "crawled_pages"])
+def test_cut_references_stay_in_pages_as_in_their_sql(spark, tmp_path, name):
+    body = "the and que les estion lava " * 20
+    rows = [(i, f"http://h.x/p{i}", f"<html><head><title>A {i} {cut}</title></head><body><article><h1>A {i} {cut}</h1><p>{body}&amp;</p></article></body></html>") for i, cut in enumerate(("&amp", "&quot", "&am", "&", "&amp;"), 1)]
+    spark.createDataFrame(rows, "page_id LONG, url STRING, html STRING").write.parquet(f"{tmp_path}/pages.parquet")
+    found = web.QUERIES | stored.QUERIES, web.ORACLES | stored.ORACLES
+    assert found[0][name](spark, str(tmp_path)).count() == 5
+    assert oracle.compare(spark, oracle.database(str(tmp_path)), found[0][name], found[1][name], str(tmp_path)) == ""
+
+
 def test_frontier(spark):
     rows = spark.createDataFrame([("a", 1, 9, 1, 1), ("b", 1, 2, 1, 2), ("a", 1, 2, 1, 3), ("c", 9, 9, 1, 4), ("", 1, 9, 1, 5), ("q", 1, 9, 1, 6), ("v", 1, 9, 1, 7), ("d", 1, 8, 1, 8)], "url STRING, depth INT, score INT, discovered_from LONG, seq LONG")
     one = lambda *u: spark.createDataFrame([(x,) for x in u], "url STRING")
