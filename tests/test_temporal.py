@@ -114,6 +114,27 @@ def test_block_max_equals_bm25(spark, posted, size, k):
         assert sorted(found.get(n, [])) == [(i, r["doc_id"], round(r["score"], 9)) for i, r in enumerate(expected, 1)], text
 
 
+def test_no_table_has_a_row_for_a_query_and_a_range(spark, posted, monkeypatch):
+    """Several passes; every query meets every range."""
+    written = []
+
+    def durable(df, own=blocks.durable):
+        written.append(own(df))
+        return written[-1]
+
+    monkeypatch.setattr(blocks, "durable", durable)
+    monkeypatch.setattr(blocks, "PASS", 25)
+    index = BlockIndex.build(posted, 16)
+    queries = spark.createDataFrame([(i, f"w0 w{i}") for i in range(40)], "query_id INT, text STRING")
+    found = {}
+    for r in blocks.top_k(index, queries, 3).collect():
+        found.setdefault(r["query_id"], []).append((r["rank"], r["doc_id"]))
+    for i in (0, 7, 39):
+        assert sorted(found[i]) == list(enumerate((r["doc_id"] for r in rank.bm25(posted, f"w0 w{i}", 3).collect()), 1))
+    ranges = index.blocks.select("range").distinct().count()
+    assert max(t.count() for t in written) <= max(ranges, 80) < 40 * ranges
+
+
 def test_blocks_below_the_threshold_are_not_read(spark, posted, tmp_path):
     BlockIndex.build(posted, 16).save(str(tmp_path))
     index = BlockIndex.load(spark, str(tmp_path), "raw")
