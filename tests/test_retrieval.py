@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from sparkseek import session
 from sparkseek.operators import expand, graph, index, rank, segments
-from sparkseek.plans import analytics, corpus
+from sparkseek.plans import analytics, corpus, engine
 
 TEXTS = {1: "fault fault rock", 2: "fault rock mineral", 3: "volcano ash", 4: ""}
 
@@ -235,3 +235,11 @@ def test_partitions_grow_with_the_rows(spark, sf_dir, monkeypatch, tmp_path):
 def test_postings_that_are_read_several_times_are_written_once(spark, sf_dir):
     for query in (corpus.tfidf_weights, corpus.term_cosine):
         assert any("/table-" in f for f in query(spark, sf_dir).inputFiles())
+
+
+def test_a_question_of_links_writes_no_postings(spark, sf_dir, monkeypatch):
+    written = []
+    monkeypatch.setattr(engine, "durable", lambda df: written.append(df.columns) or df)
+    monkeypatch.setattr(graph, "hits", lambda links, root: root.select(F.col("id").alias("doc_id"), F.lit(1.0).alias("authority")))
+    assert engine.engine_hits(spark, sf_dir).count() <= 10
+    assert written == [["src", "dst"]]
