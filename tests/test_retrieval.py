@@ -1,5 +1,7 @@
 """Index, ranking, expansion and graph operators on small fixtures with known values."""
 
+import collections
+import hashlib
 import math
 
 import numpy as np
@@ -155,6 +157,31 @@ def test_metric_clusters_equal_all_pairs(spark):
     assert mine == label
 
 
+@pytest.mark.parametrize(("widths", "cells", "cosine"), [((2, 9, 1), 20, 0.5), ((5, 64, 3), 0, 0.12), ((16384, 4096, 2048), 1 << 24, 0.95)])
+def test_metric_clusters_in_groups_of_any_width(spark, monkeypatch, widths, cells, cosine):
+    """No pair of terms is a row before it is close: groups meet by documents, and all give the clusters of all pairs."""
+    rng = np.random.default_rng(7)
+    texts = {i: " ".join(f"w{int(x)}" for x in np.minimum(rng.zipf(1.4, 12), 60)) + f" x{i // 2} y{i // 2} z{i % 9}" for i in range(60)}
+    monkeypatch.setattr(expand, "CELLS", cells)
+    monkeypatch.setattr(expand, "PORTION", 50)
+    monkeypatch.setattr(expand, "FREQUENT", 0.05)
+    monkeypatch.setattr(expand, "CHUNK_DOCS", 25)
+    found = index.build_index(pages_of(spark, texts), "raw")
+    mine = {r["term"]: r["cluster_id"] for r in expand.metric_clusters(found, cosine=cosine, per_doc=8, widths=widths).collect()}
+    counts = {d: collections.Counter(x.split()) for d, x in texts.items()}
+    df = collections.Counter(t for c in counts.values() for t in c)
+    vocab = {t for t in df if 2 <= df[t] <= 51}
+    vec = {t: {d: (1 + math.log10(c[t])) * math.log10(60 / df[t]) for d, c in counts.items() if t in c} for t in vocab}
+    norm = {t: math.sqrt(sum(x * x for x in v.values())) for t, v in vec.items()}
+    few = [sorted(vocab & set(c), key=lambda t: (hashlib.md5(t.encode()).hexdigest(), t))[:8] for c in counts.values()]
+    near = {(a, b) for f in few for a in f for b in f if a < b and round(sum(w * vec[b].get(d, 0) for d, w in vec[a].items()) / norm[a] / norm[b], 9) >= cosine}
+    label = {t: t for t in vocab}
+    for _ in vocab:
+        for a, b in near:
+            label[a] = label[b] = min(label[a], label[b])
+    assert mine == label and len(set(label.values())) < len(vocab)
+
+
 def _single_pass(vectors, cosine, size):
     """The pass as defined: running means, full cosines."""
     cents, counts, out = [], [], {}
