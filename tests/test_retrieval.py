@@ -182,6 +182,39 @@ def test_metric_clusters_in_groups_of_any_width(spark, monkeypatch, widths, cell
     assert mine == label and len(set(label.values())) < len(vocab)
 
 
+def test_metric_clusters_join_all_terms_of_a_document(spark):
+    """Terms of the same two documents are one cluster, however many they are; a given number of terms joins those only."""
+    words = [f"w{i}" for i in range(130)]
+    found = index.build_index(pages_of(spark, {1: " ".join(words), 2: " ".join(words), 3: "a b", 4: "a"}), "raw")
+    sizes = lambda **cut: sorted(r["count"] for r in expand.metric_clusters(found, 0.5, **cut).groupBy("cluster_id").count().collect())
+    assert sizes() == [1, 130] and sizes(per_doc=100) == [1] * 31 + [100]
+
+
+def test_groups_of_terms_are_bounded_by_postings(monkeypatch):
+    """However many terms there are, a task has two groups of bounded postings, and no more products at once than a portion."""
+    monkeypatch.setattr(expand, "GROUP", 1000)
+    monkeypatch.setattr(expand, "PORTION", 500)
+    monkeypatch.setattr(expand, "TOP_GROUPS", 0)
+    sizes = [(2, 3001), (3, 500), (40, 7), (1500, 2)]
+    starts = expand._group_starts(sizes, 1 << 20, expand.WIDTHS)
+    dfs = np.repeat([df for df, _ in sizes], [n for _, n in sizes])
+    groups = np.split(dfs, starts[1:])
+    assert starts[0] == 0 and all(g.sum() <= 1000 or len(g) == 1 for g in groups) and len(groups) == 10
+
+    rng = np.random.default_rng(5)
+    n, tfs = 40, rng.integers(0, 3, (90, 40)) * (rng.random((90, 40)) < 0.4)
+    tfs[0] += 1  # each term has a posting
+    doc, slot = np.nonzero(tfs)
+    row = {"a_docs": np.arange(90), "a_lens": np.bincount(doc, minlength=90).astype(np.int32), "a_slots": slot.astype(np.uint16), "a_tfs": tfs[doc, slot].astype(np.int8), "a_slot_bytes": 2, "a_tf_bytes": 1}
+    one = expand.Side(row, "a", n, False)
+    w = np.where(tfs > 0, 1 + np.log10(np.maximum(tfs, 1)), 0)
+    w /= np.sqrt((w * w).sum(0))
+    for cells in (0, 50, 1 << 20):
+        monkeypatch.setattr(expand, "CELLS", cells)
+        found = {(int(a), int(b)) for x, y in expand._close_slots(one, one, True, 0.4, 0) for a, b in zip(x, y, strict=True)}
+        assert found == {(a, b) for a in range(n) for b in range(a + 1, n) if round(w[:, a] @ w[:, b], 9) >= 0.4}
+
+
 def _single_pass(vectors, cosine, size):
     """The pass as defined: running means, full cosines."""
     cents, counts, out = [], [], {}
