@@ -2,6 +2,7 @@
 
 import json
 import threading
+import tracemalloc
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
 import numpy as np
@@ -257,6 +258,20 @@ def test_subclusters_keep_their_radius(spark):
     assert cluster.mapped(labels, final.filter("birch_cluster < 2")).filter("agg_average_cluster = -1").count() == 30
 
 
+def test_rows_meet_centroids_in_portions():
+    """A batch of rows takes little memory beside 20,000 centroids, and so do the distances of a large cluster."""
+    rng = np.random.default_rng(4)
+    x, c = rng.random((1000, 20)), rng.random((cluster.MOST_SUBCLUSTERS, 20))
+    expected = [int(((c - row) ** 2).sum(1).argmin()) for row in x[:20]]
+    tracemalloc.start()
+    try:
+        found = cluster.nearest_of(x, c)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert list(found[:20]) == expected and len(found) == 1000 and most < 60 << 20
+
+
 def test_document_clusters(spark):
     texts = [f"{w} {w} common rock number{i % 3}" for w in ("fault quake", "ocean wave") for i in range(10)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id LONG, text STRING")
