@@ -158,3 +158,22 @@ def test_overlap_totals_equal_all_pairs(spark, n, most):
     for i in list(found)[:300]:
         time = np.minimum(end[i], end[kept]) - np.maximum(start[i], start[kept])
         assert found[i] == ((time > 0).sum() - 1, time[time > 0].sum() - (end[i] - start[i]))
+
+
+def test_ranges_are_saved_with_one_shuffle(spark, tmp_path, monkeypatch):
+    """Texts are shuffled once, by range, and saved ranges answer as the blocks do."""
+    from sparkseek.operators import index as indexing
+
+    docs = spark.createDataFrame([(i * 37, " ".join(f"w{(i * j) % 23}" for j in range(1 + i % 9))) for i in range(80)] + [(4000, None)], "doc_id LONG, text STRING")
+    pages = docs.selectExpr("doc_id", "'' AS url", "'' AS final_url", "'' AS title", "text AS clean_text", "0 AS geology_score")
+    found = indexing.build_index(pages, "raw").settled()
+    monkeypatch.setattr(blocks, "FILE_RANGES", 1)
+    own = blocks.with_ranges(found, docs, 16)
+    plan = blocks.range_rows(own)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    BlockIndex.save_ranges(own, str(tmp_path))
+    queries = spark.createDataFrame([(1, "w1 w2 w2"), (2, "w22 none"), (3, "")], "query_id LONG, text STRING")
+    rows = lambda x: sorted((r["query_id"], r["rank"], r["doc_id"], round(r["score"], 9)) for r in blocks.top_k(x, queries).collect())
+    loaded = BlockIndex.load_ranges(spark, str(tmp_path), "raw")
+    assert rows(loaded) == rows(BlockIndex.build(found, 16)) and len(rows(loaded)) > 10
+    assert loaded.blocks.count() == BlockIndex.build(found, 16).blocks.count()
